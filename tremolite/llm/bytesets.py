@@ -14,7 +14,6 @@ import pyarrow.compute as pc
 
 RUN = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 _powers: list[np.ndarray] = []
 
 
@@ -42,7 +41,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers, modulo 2^64, of the base of the word hash and of its inverse."""
     if not _powers or len(_powers[0]) < n:
         size = max(n, RUN + 1)
-        _powers[:] = [np.cumprod(np.concatenate([[1], np.full(size - 1, b, np.uint64)]).astype(np.uint64)) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _powers.append(np.cumprod(factors))
     return _powers[0][:n], _powers[1][:n]
 
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import matched, staged
+
+#: Tasks among which the copies of one text are dealt when bytes are compared.
+SALTS = 16
 
 
 def content_hash(text: Column) -> Column:
@@ -22,8 +25,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     text counts as empty. ``keep`` is ``smallest`` or ``largest``: which id of a group stays.
 
     Only hashes are grouped and joined, pre-aggregated before the shuffle. For hashes seen more
-    than once, the smallest and largest text are compared, again with partial aggregation; only
-    where those differ (a collision) are the texts themselves made part of the key.
+    than once, the smallest and largest text are compared: the copies are dealt out by a salt, and
+    each task sends on one pair for a hash. Only where those differ (a collision) are the texts
+    themselves made part of the key.
 
     Empty table: empty result. Rows that repeat an id and text are all marked alike. A null id is
     never kept if its group has another id; in a group without ids, ``keep_id`` is null and all rows
@@ -34,13 +38,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows = df.select(F.col(id_col).alias("id"), (normalise(text) if normalise else text).alias("t"))
     thin = staged(rows.select("id", hashed(F.col("t")).alias("h"), F.sha2("t", 256).alias("sha")))
     repeated = thin.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    again = rows.withColumn("h", hashed(F.col("t"))).join(repeated, "h", "left_semi")
+    salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    again = rows.withColumn("h", hashed(F.col("t"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
     collided = staged(again.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").select("h"))
     keyed = thin.withColumn("sub", F.lit(None).cast("string"))
     if not collided.isEmpty():
         apart = rows.withColumn("h", hashed(F.col("t"))).join(collided, "h", "left_semi")
         keyed = keyed.join(collided, "h", "left_anti").select("id", "h", "sha", "sub").unionByName(apart.select("id", "h", F.sha2("t", 256).alias("sha"), F.col("t").alias("sub")))
     groups = keyed.groupBy("h", "sub").agg(pick("id").alias("keep_id"), F.count("*").alias("group_size")).withColumnsRenamed({"h": "gh", "sub": "gsub"})
-    same = (F.col("h") == F.col("gh")) & F.col("sub").eqNullSafe(F.col("gsub"))
+    same = matched(F.col("h"), F.col("gh")) & F.col("sub").eqNullSafe(F.col("gsub"))
     kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull())
     return keyed.join(groups, same).select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -73,6 +73,8 @@ def temperature_mix(df: DataFrame, entropy: float | None = None, repetition: flo
     budget = budget_tokens if budget_tokens is not None else total * z / least
     weight = F.when(F.col("st") > 0, F.pow(F.col("st") / F.lit(max(1, total)), F.lit(exponent)) / F.lit(z)).otherwise(F.lit(0.0))
     plan = sums.withColumn("weight", weight).withColumn("q", F.when(F.col("st") > 0, F.round(F.col("weight") * F.lit(float(budget)))).otherwise(0).cast("long"))
+    if repetition is not None and budget_tokens is None:
+        plan = plan.withColumn("q", F.least("q", F.floor(F.col("st") * F.lit(float(repetition))).cast("long")))
     plan = plan.withColumn("whole", F.when(F.col("st") > 0, F.expr("q div st")).otherwise(1)).withColumn("rest", F.when(F.col("st") > 0, F.col("q") - F.col("whole") * F.col("st")).otherwise(0))
     plan = plan.withColumn("blocks", F.ceil(F.col("sn") / F.lit(ROWS_PER_BLOCK)).cast("long")).select(F.col("s").alias("ps"), "weight", "whole", "rest", "blocks")
     dealt = staged(rows.join(plan, F.col("s").eqNullSafe(F.col("ps"))).withColumn("block", F.pmod("k", "blocks")).select("id", "s", "t", "k", "weight", "whole", "rest", "block"))

@@ -10,12 +10,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, out: int) -> DataFrame:
+    """The documents with a label, without those held out."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != out).select("doc_id", label)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def judged(scores: DataFrame, modulus: int, out: int) -> DataFrame:
+    """doc_id, held_out, score and predicted (1 from a score of 0.3)."""
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == out
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    model = fit_quality(labelled(spark, sf_dir, "quality", 5, 0))
+    return judged(quality_scores(table(spark, sf_dir, "documents"), model), 5, 0)
+
+
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit_toxicity, toxicity_scores
+
+    model = fit_toxicity(labelled(spark, sf_dir, "toxic", 4, 2))
+    return judged(toxicity_scores(table(spark, sf_dir, "documents"), model), 4, 2)
+
+
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import temperature_mix
 
     return temperature_mix(table(spark, sf_dir, "documents"), repetition=2.0)
 
 
+def tokenizer_path() -> str:
+    """The byte-level vocabulary that the queries use; a file outside the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_encode
+
+    coded = bpe_encode(table(spark, sf_dir, "documents"), tokenizer_path(), decode=True)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after two kinds of edits: digit runs masked, line breaks doubled."""
+    from .tokencount import edited_token_counts
+
+    return edited_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), [(r"[0-9]+", "0"), (r"\n", "\n\n")])
+
+
 def op8_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import stratified_shards
 
@@ -29,6 +88,13 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    found = personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 SQL = {
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -36,4 +102,7 @@ SQL = {
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 }
 
-QUERIES = {f.__name__: f for f in (op5_temperature_mixing, op8_stratified_shards, op9_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_embedding_near_dedup, op3_setsketch_near_dedup, op4_toxicity, op5_temperature_mixing, op6_bpe_round_trip, op7_token_counts, op8_stratified_shards, op9_exact_dedup, op10_personal_data)
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import ranked, staged
+from .staging import matched, ranked, staged
 
 
 def stratified_shards(df: DataFrame, shards: int, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -30,7 +30,7 @@ def stratified_shards(df: DataFrame, shards: int, seed: int = 17, id_col: str =
     order = first.withColumn("f", (F.col("r") + F.lit(0.5)) / F.col("m")).select("f", "k", "k2", "id", "source", "size", "crc")
     order = staged(order)
     copies = order.groupBy("k").agg(F.min("f").alias("f1"), F.count("*").alias("c")).where("c > 1").select(F.col("k").alias("ck"), "f1")
-    order = order.join(copies, F.col("k") == F.col("ck"), "left").withColumn("f", F.coalesce("f1", "f")).drop("f1", "ck")
+    order = order.join(copies, matched(F.col("k"), F.col("ck")), "left").withColumn("f", F.coalesce("f1", "f")).drop("f1", "ck")
     placed = staged(ranked(order, ["f", "k", "k2", "id"], rank="p"))
     n = placed.count()
     shard = F.expr(f"(p * {shards}) div {max(1, n)}")

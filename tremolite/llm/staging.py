@@ -8,20 +8,32 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder; only a session that names none (a test) gets a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tremolite-"))
+    return sc.getCheckpointDir()
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared checkpoint folder.
+    """``df``, computed once and written to the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    The folder is the session's; only a session that names none (a test) gets a temporary one.
+
+def matched(a, b):
+    """That keys a and b are equal, said so that a hot key can be split.
+
+    An aggregate's output lies by its key, and a join on that very key would take it as it lies;
+    adaptive execution then can't split the other side's hot partition. The second equality makes
+    the (small) aggregated side move once more, and the join splittable.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tremolite-"))
-    return df.checkpoint(eager=True)
+    return (F.hash(a) == F.hash(b)) & (a == b)
 
 
 def ranked(df: DataFrame, order: list, group: str | None = None, rank: str = "rank", total: str | None = None) -> DataFrame:
