@@ -21,7 +21,7 @@ def _within(t: Column, start: float, finish: float, value: Column) -> Column:
 
 def _phase(t: Column, start: float, period: float, shift: float) -> Column:
     """Where t lies in its period, 0 to 1."""
-    turns = (t + F.lit(shift - start)) / F.lit(period)
+    turns = (t + F.lit(shift) - F.lit(start)) / F.lit(period)
     return turns - F.floor(turns)
 
 
