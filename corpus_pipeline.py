@@ -11,7 +11,7 @@ from tremolite.llm.bpe import bpe_encode
 from tremolite.llm.exact_dedup import exact_dedup
 from tremolite.llm.mixing import temperature_mix
 from tremolite.llm.quality import fit_quality, quality_scores
-from tremolite.llm.queries import labelled, tokenizer_path
+from tremolite.llm.queries import learned_from, tokenizer_path
 from tremolite.llm.setsketch import near_duplicates
 
 #: No column of documents is named like this.
@@ -20,7 +20,7 @@ _OWN = "__kept_id"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score at least 0.3)."""
-    model = fit_quality(labelled(spark, sf_dir, "quality", 5, 0))
+    model = fit_quality(*learned_from(spark, sf_dir, "quality", 5, 0))
     return quality_scores(docs, model, keep=docs.columns).where("score >= 0.3").select(*docs.columns)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesets as B
+from .staging import labelled_sample
 
 #: Words in a passage.
 PASSAGE = 48
@@ -143,13 +144,14 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, rows = passages(b[at[i] : at[j]], at[i : j + 1] - at[i])
             cut = np.searchsorted(rows, np.arange(j - i + 1))
             packed = [x[cut[r] : cut[r + 1]].astype("<f4").tobytes() for r in range(j - i)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary())], ["y", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(packed, pa.binary()), batch.column(2).slice(i, j - i)], ["y", "bag", "h"])
 
 
-def fit_quality(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel | None:
-    """A model from at most 4,000 rows with a 0/1 label, those of the least hashed ids; None unless both labels occur."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("double").alias("y"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
-    got = rows.orderBy("h", "y").limit(SAMPLE).select("y", "text").mapInArrow(_bags, "y double, bag binary").toArrow()
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> AttentionModel | None:
+    """A model from the documents of at most 4,000 rows of ``labels`` with a 0/1 label, those of the least hashed
+    ids; None unless both labels occur."""
+    rows = labelled_sample(docs, labels, SAMPLE, id_col, text_col, label_col)
+    got = rows.select("y", "text", "h").mapInArrow(_bags, "y double, bag binary, h long").toArrow().sort_by("h")
     y = got.column(0).to_numpy()
     if len(np.unique(y)) < 2:
         return None

@@ -10,10 +10,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, modulus: int, out: int) -> DataFrame:
-    """The documents with a label, without those held out."""
-    labels = table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != out).select("doc_id", label)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def learned_from(spark: SparkSession, sf_dir: str, label: str, modulus: int, out: int) -> tuple[DataFrame, DataFrame]:
+    """The documents, and the labels of those that aren't held out."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) != out)
+    return table(spark, sf_dir, "documents"), labels.select("doc_id", label)
 
 
 def judged(scores: DataFrame, modulus: int, out: int) -> DataFrame:
@@ -25,7 +25,7 @@ def judged(scores: DataFrame, modulus: int, out: int) -> DataFrame:
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_scores
 
-    model = fit_quality(labelled(spark, sf_dir, "quality", 5, 0))
+    model = fit_quality(*learned_from(spark, sf_dir, "quality", 5, 0))
     return judged(quality_scores(table(spark, sf_dir, "documents"), model), 5, 0)
 
 
@@ -44,7 +44,7 @@ def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import fit_toxicity, toxicity_scores
 
-    model = fit_toxicity(labelled(spark, sf_dir, "toxic", 4, 2))
+    model = fit_toxicity(*learned_from(spark, sf_dir, "toxic", 4, 2))
     return judged(toxicity_scores(table(spark, sf_dir, "documents"), model), 4, 2)
 
 

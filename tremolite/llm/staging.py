@@ -36,6 +36,16 @@ def matched(a, b):
     return (F.hash(a) == F.hash(b)) & (a == b)
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(y, text, h) of the documents whose 0/1 labels have the least hashed ids, at most ``size`` of them.
+
+    The labels are cut to size by id first; so few ids are broadcast, and no text is shuffled.
+    """
+    few = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y"), F.xxhash64(id_col).alias("h"))
+    few = few.where("l_id is not null").orderBy("h", "l_id", "y").limit(size)
+    return docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), F.col("d_id") == F.col("l_id")).select("y", "text", "h")
+
+
 def ranked(df: DataFrame, order: list, group: str | None = None, rank: str = "rank", total: str | None = None) -> DataFrame:
     """Add the 0-based ``rank`` of each row in ``order``, within ``group`` if named.
 

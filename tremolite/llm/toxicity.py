@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesets as B
+from .staging import labelled_sample
 
 #: Most labelled documents that lexicons, label model and classifier are fitted on: those of the least hashed ids.
 SAMPLE = 12_000
@@ -205,10 +206,10 @@ def _induced(y: np.ndarray, h: list[np.ndarray], kinds: list[np.ndarray], stems:
     return ToxicityModel(np.concatenate([names, extra]), np.concatenate([voter, np.zeros(len(extra), int)]), np.concatenate([strength, np.full(len(extra), np.log(4 * LIFT))]))
 
 
-def fit_toxicity(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
-    """A model from at most 12,000 rows with a 0/1 label, those of the least hashed ids; None unless both labels occur."""
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(label_col).cast("double").alias("y"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("h"))
-    sample = rows.orderBy("h", "y").limit(SAMPLE).select("y", "text")
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
+    """A model from the documents of at most 12,000 rows of ``labels`` with a 0/1 label, those of the least hashed
+    ids; None unless both labels occur."""
+    sample = labelled_sample(docs, labels, SAMPLE, id_col, text_col, label_col)
     got = sample.mapInArrow(_distinct_terms, "y double, h binary, kind binary, stem binary").toArrow()
     y = got.column(0).to_numpy()
     if len(np.unique(y)) < 2:
