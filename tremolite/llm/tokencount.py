@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe import PATTERN, ByteBpe, text_runs, tokenizer
 
-#: Pre-tokens in a leaf of the tree.
+#: Pre-tokens in a new leaf of the tree.
 LEAF = 64
 #: Characters before an edit that a pre-token's match may have looked at beyond its own end: the
 #: one after a run of white space, and the letters of a contraction.
@@ -21,62 +21,63 @@ CONTEXT = 3
 
 
 class SegmentTree:
-    """Characters and tokens of a text's pre-tokens, summed up a binary tree over leaves of LEAF pre-tokens."""
+    """Characters and tokens of a text's pre-tokens, summed up a binary tree over leaves of at most 2 LEAF pre-tokens."""
 
     def __init__(self, chars: list[int], tokens: list[int]):
         self.leaves = [(chars[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(chars), LEAF)]
-        self._grow()
-
-    def _grow(self) -> None:
-        self.width = 1 << max(0, len(self.leaves) - 1).bit_length()
-        self.sums = np.zeros((2 * self.width, 2), np.int64)
-        for i, (c, t) in enumerate(self.leaves):
-            self.sums[self.width + i] = sum(c), sum(t)
-        low = self.width
-        while low > 1:
-            self.sums[low // 2 : low] = self.sums[low : 2 * low : 2] + self.sums[low + 1 : 2 * low : 2]
-            low //= 2
+        self._grow([(sum(c), sum(t)) for c, t in self.leaves])
+
+    def _grow(self, sums: list[tuple[int, int]]) -> None:
+        """Build the nodes over the leaves' sums."""
+        width = self.width = 1 << max(0, len(sums) - 1).bit_length()
+        self._chars, self._tokens = ([0] * width + [x[k] for x in sums] + [0] * (width - len(sums)) for k in (0, 1))
+        for values in (self._chars, self._tokens):
+            for node in range(width - 1, 0, -1):
+                values[node] = values[2 * node] + values[2 * node + 1]
 
     @property
     def tokens(self) -> int:
-        return int(self.sums[1, 1])
+        return self._tokens[1]
 
     @property
     def chars(self) -> int:
-        return int(self.sums[1, 0])
+        return self._chars[1]
 
     def find(self, char: int) -> tuple[int, int]:
         """The leaf that holds a character, and the characters before that leaf."""
-        node, before = 1, 0
+        node, before, sums = 1, 0, self._chars
         while node < self.width:
             node *= 2
-            if char - before >= self.sums[node, 0] and self.sums[node + 1, 0]:
-                before += int(self.sums[node, 0])
+            if char - before >= sums[node] and sums[node + 1]:
+                before += sums[node]
                 node += 1
         return min(node - self.width, max(0, len(self.leaves) - 1)), before
 
     def replace(self, first: int, last: int, chars: list[int], tokens: list[int]) -> None:
         """Put pre-tokens in place of leaves first..last, and update the sums above them."""
-        new = [(chars[i : i + LEAF], tokens[i : i + LEAF]) for i in range(0, len(chars), LEAF)]
-        same = len(new) == last - first + 1
+        count = last - first + 1
+        size = -(-len(chars) // count) if LEAF // 4 * count <= len(chars) <= 2 * LEAF * count else LEAF
+        new = [(chars[i : i + size], tokens[i : i + size]) for i in range(0, len(chars), size)]
         self.leaves[first : last + 1] = new
-        if not same:
-            self._grow()
+        if len(new) != count:
+            sums = list(zip(self._chars[self.width :], self._tokens[self.width :], strict=True))[: len(self.leaves) - len(new) + count]
+            sums[first : last + 1] = [(sum(c), sum(t)) for c, t in new]
+            self._grow(sums)
             return
         for i in range(first, last + 1):
-            node = self.width + i
-            self.sums[node] = sum(self.leaves[i][0]), sum(self.leaves[i][1])
-            node //= 2
-            while node:
-                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
-                node //= 2
+            for values, part in zip((self._chars, self._tokens), self.leaves[i], strict=True):
+                node = self.width + i
+                change = sum(part) - values[node]
+                while change and node:
+                    values[node] += change
+                    node //= 2
 
 
 class CountedText:
     """A text and the tree of its pre-tokens, kept in step through edits."""
 
-    def __init__(self, bpe: ByteBpe, text: str):
-        words = bpe.pretokens(text)
+    def __init__(self, bpe: ByteBpe, text: str, words: list[str] | None = None):
+        words = bpe.pretokens(text) if words is None else words
         known = bpe.learn(set(words))
         self.bpe, self.text = bpe, text
         self.tree = SegmentTree([len(w) for w in words], [len(known[w]) // 4 for w in words])
@@ -93,22 +94,22 @@ class CountedText:
         old, self.text = self.text, self.text[:start] + put + self.text[end:]
         if not old:
             again = CountedText(self.bpe, self.text)
-            self.tree, self.encoded = again.tree, self.encoded + len(again.tree.leaves)
+            self.tree, self.encoded = again.tree, self.encoded + sum(len(c) for c, _ in again.tree.leaves)
             return
         tree, shift = self.tree, len(put) - (end - start)
         first, at = tree.find(max(0, start - reach - 1))
         chars, tokens = tree.leaves[first]
-        ends = np.cumsum(chars) + at
-        keep = bisect_right(ends.tolist(), start - reach)
-        at = int(ends[keep - 1]) if keep else at
+        ends = list(accumulate(chars, initial=at))
+        keep = max(0, bisect_right(ends, start - reach) - 1)
+        at = ends[keep]
         head = (chars[:keep], tokens[:keep])
         last, before = tree.find(min(max(end, start), len(old) - 1))
-        bounds = np.concatenate([[before], np.cumsum(tree.leaves[last][0]) + before]).tolist()
+        bounds = list(accumulate(tree.leaves[last][0], initial=before))
         words = []
         while at < len(self.text):
             while bounds[-1] + shift < at and last + 1 < len(tree.leaves):
                 last += 1
-                bounds = np.concatenate([[bounds[-1]], bounds[-1] + np.cumsum(tree.leaves[last][0])]).tolist()
+                bounds = list(accumulate(tree.leaves[last][0], initial=bounds[-1]))
             i = bisect_right(bounds, at - shift) - 1
             if at - shift >= end and at >= start + len(put) and 0 <= i and bounds[i] == at - shift:
                 break
@@ -151,15 +152,16 @@ def edited_token_counts(df: DataFrame, path: str, edits: list[tuple[str, str]],
         finders = [(regex.compile(p), put) for p, put in edits]
         for batch in batches:
             for i, texts in text_runs(batch.column(1)):
-                out = []
-                for text in texts:
-                    counted = CountedText(bpe, text)
-                    before, words, n = counted.n_tokens, sum(len(c) for c, _ in counted.tree.leaves), 0
+                out, split = [], [bpe.pretokens(t) for t in texts]
+                bpe.learn(set().union(*split))
+                for text, words in zip(texts, split, strict=True):
+                    counted = CountedText(bpe, text, words)
+                    before, n = counted.n_tokens, 0
                     for finder, put in finders:
                         for start, end in reversed([m.span() for m in finder.finditer(counted.text)]):
                             counted.edit(start, end, put)
                             n += 1
-                    out.append((before, n, counted.n_tokens, words, counted.encoded))
+                    out.append((before, n, counted.n_tokens, len(words), counted.encoded))
                 columns = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *columns], ["id", "n_tokens", "n_edits", "n_tokens_edited", "n_pretokens", "n_reencoded"])
 
