@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytesets as B
-from .staging import labelled_sample
+from .staging import labelled_sample, staged
 
 #: Most labelled documents that lexicons, label model and classifier are fitted on: those of the least hashed ids.
 SAMPLE = 12_000
@@ -29,8 +30,8 @@ TERMS = 4_000
 #: A term enters a lexicon if it is in this many toxic rows and this many times likelier there.
 SUPPORT, LIFT = 4, 6.0
 GROUPS = 6
-#: From this many toxic rows on, a term needs no other evidence.
-MANY = 60
+#: Nats by which a term's split between toxic and other rows must differ from chance, unless its stem leans too.
+SURPRISE = 22.0
 #: Bytes of the word beginnings that are terms, besides whole words.
 PREFIXES = (4, 5, 6, 8)
 #: Seed words of the first voter; spelled-out forms of them make the pattern voter.
@@ -156,52 +157,74 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        b, at = B.text_buffers(_lower(batch.column(1)))
-        for i, j in B.runs(at):
-            h, rows, kinds, stems = terms(b[at[i] : at[j]], at[i : j + 1] - at[i])
-            order = np.lexsort((h, rows))
-            h, rows, kinds, stems = h[order], rows[order], kinds[order], stems[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]) if len(h) else np.zeros(0, bool)
-            h, rows, kinds, stems = h[new], rows[new], kinds[new], stems[new]
-            cut = np.searchsorted(rows, np.arange(j - i + 1))
-            pack = lambda v: pa.array([v[cut[r] : cut[r + 1]].tobytes() for r in range(j - i)], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pack(h), pack(kinds), pack(stems)], ["y", "h", "kind", "stem"])
-
-
-def _copies(h: list[np.ndarray]) -> np.ndarray:
-    """A weight for each document: one over the number that share its three least rehashed terms, as near copies do."""
-    keys: dict[tuple, int] = {}
-    signature = [tuple(int(B.mixed(x ^ np.uint64(s)).min()) for s in (11, 23, 47)) if len(x) else () for x in h]
-    for s in signature:
-        keys[s] = keys.get(s, 0) + 1
-    return np.array([1 / keys[s] for s in signature])
-
-
-def _induced(y: np.ndarray, h: list[np.ndarray], kinds: list[np.ndarray], stems: list[np.ndarray]) -> ToxicityModel:
-    """Lexicons of the terms that toxic rows have far more often than others. A term that few rows have
-    counts only if its stem, over all words, also leans to toxic rows."""
-    weight = _copies(h)
-    flat, kind = np.concatenate(h), np.concatenate(kinds)
-    counted = np.repeat(weight, [len(x) for x in h])
-    toxic = np.repeat(y == 1, [len(x) for x in h])
+def _distinct_terms(wanted: np.ndarray | None):
+    """Each text's distinct terms (all, or places in ``wanted``), with kinds and stems, and a signature that near
+    copies share: the three least rehashed terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b, at = B.text_buffers(_lower(batch.column(0)))
+            for i, j in B.runs(at):
+                h, rows, kinds, stems = terms(b[at[i] : at[j]], at[i : j + 1] - at[i])
+                order = np.lexsort((h, rows))
+                h, rows, kinds, stems = h[order], rows[order], kinds[order], stems[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]) if len(h) else np.zeros(0, bool)
+                h, rows, kinds, stems = h[new], rows[new], kinds[new], stems[new]
+                cut = np.searchsorted(rows, np.arange(j - i + 1))
+                sign = [b"".join(B.mixed(x ^ np.uint64(s)).min().tobytes() for s in (11, 23, 47)) if len(x) else b"" for x in (h[cut[r] : cut[r + 1]] for r in range(j - i))]
+                if wanted is not None:
+                    place = np.minimum(np.searchsorted(wanted, h), max(0, len(wanted) - 1))
+                    hit = wanted[place] == h if len(wanted) else np.zeros(len(h), bool)
+                    h, rows, kinds, stems = place[hit], rows[hit], kinds[hit], stems[hit]
+                    cut = np.searchsorted(rows, np.arange(j - i + 1))
+                pack = lambda v: pa.array([v[cut[r] : cut[r + 1]].tobytes() for r in range(j - i)], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([pa.array(sign, pa.binary()), pack(h), pack(kinds), pack(stems)], ["sign", "h", "kind", "stem"])
+
+    return run
+
+
+def _weights(signs: list[bytes]) -> np.ndarray:
+    """One over the number of documents that share a signature."""
+    counts = Counter(signs)
+    return np.array([1 / counts[s] for s in signs])
+
+
+def _induced(sample: DataFrame) -> ToxicityModel:
+    """Lexicons of the terms that toxic rows have far more often than others. A term whose split
+    could be chance counts only if its stem, over all words, also leans to toxic rows.
+
+    The driver gets the terms of the toxic rows, and of the others only which of those terms they have.
+    """
+    schema = "sign binary, h binary, kind binary, stem binary"
+    got = sample.where("y = 1").select("text").mapInArrow(_distinct_terms(None), schema).toArrow()
+    of = lambda c, kind: [np.frombuffer(x, kind) for x in got.column(c).to_pylist()]
+    weight, h = _weights(got.column("sign").to_pylist()), of("h", np.uint64)
+    flat, counted = np.concatenate(h), np.repeat(weight, [len(x) for x in h])
     names, at, back = np.unique(flat, return_index=True, return_inverse=True)
-    a, c = (np.bincount(back[m], counted[m], minlength=len(names)) for m in (toxic, ~toxic))
-    lift = ((a - np.sqrt(a)) / max(1, weight[y == 1].sum())) / ((c + 0.5) / max(1, weight[y != 1].sum()))
-    good = (a >= SUPPORT) & (lift >= LIFT) & (a >= 8 * c)
-    stem = np.concatenate(stems)[at]
-    where = np.minimum(np.searchsorted(names, stem), len(names) - 1)
-    leans = (names[where] == stem) & (a[where] / max(1, weight[y == 1].sum()) >= LIFT * (c[where] + 0.5) / max(1, weight[y != 1].sum()))
-    good &= leans | (a >= MANY)
-    names, of, strength, support = names[good], kind[at[good]].astype(int), np.log(lift[good] + 1), a[good]
+    a = np.bincount(back, counted, minlength=len(names))
+    kind, stem = np.concatenate(of("kind", np.int8))[at].astype(int), np.concatenate(of("stem", np.uint64))[at]
+    often = a >= SUPPORT
+    names, a, kind, stem = names[often], a[often], kind[often], stem[often]
+    rest = sample.where("y = 0").select("text").mapInArrow(_distinct_terms(names), schema).select("sign", "h").toArrow()
+    clean, c = _weights(rest.column("sign").to_pylist()), np.zeros(len(names))
+    for w, x in zip(clean, rest.column("h").to_pylist(), strict=True):
+        c[np.frombuffer(x, np.int64)] += w
+    toxic, others = max(1.0, weight.sum()), max(1.0, clean.sum())
+    lift = ((a - np.sqrt(a)) / toxic) / ((c + 0.5) / others)
+    where = np.minimum(np.searchsorted(names, stem), max(0, len(names) - 1))
+    leans = (names[where] == stem) & (a[where] / toxic >= LIFT * (c[where] + 0.5) / others) if len(names) else often[:0]
+    share, found = toxic / (toxic + others), a / np.maximum(1e-9, a + c)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        surprise = (a + c) * (found * np.log(found / share) + np.where(found < 1, (1 - found) * np.log((1 - found) / (1 - share)), 0))
+    good = (lift >= LIFT) & (a >= 8 * c) & (leans | (surprise >= SURPRISE))
+    names, kind, strength, support = names[good], kind[good], np.log(lift[good] + 1), a[good]
     keep = np.zeros(len(names), bool)
     for k in range(KINDS):
-        mine = np.flatnonzero(of == k)
+        mine = np.flatnonzero(kind == k)
         keep[mine[np.argsort(-strength[mine], kind="stable")[:TERMS]]] = True
-    names, of, strength, support = names[keep], of[keep], strength[keep], support[keep]
+    names, kind, strength, support = names[keep], kind[keep], strength[keep], support[keep]
     seeds = _seed_hashes()
-    voter = np.where(np.isin(names, seeds), 0, 1 + of * GROUPS + np.clip(np.log2(support / SUPPORT), 0, GROUPS - 1).astype(int))
+    voter = np.where(np.isin(names, seeds), 0, 1 + kind * GROUPS + np.clip(np.log2(support / SUPPORT), 0, GROUPS - 1).astype(int))
     extra = np.setdiff1d(seeds, names)
     return ToxicityModel(np.concatenate([names, extra]), np.concatenate([voter, np.zeros(len(extra), int)]), np.concatenate([strength, np.full(len(extra), np.log(4 * LIFT))]))
 
@@ -209,16 +232,15 @@ def _induced(y: np.ndarray, h: list[np.ndarray], kinds: list[np.ndarray], stems:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | None:
     """A model from the documents of at most 12,000 rows of ``labels`` with a 0/1 label, those of the least hashed
     ids; None unless both labels occur."""
-    sample = labelled_sample(docs, labels, SAMPLE, id_col, text_col, label_col)
-    got = sample.mapInArrow(_distinct_terms, "y double, h binary, kind binary, stem binary").toArrow()
-    y = got.column(0).to_numpy()
-    if len(np.unique(y)) < 2:
+    sample = staged(labelled_sample(docs, labels, SAMPLE, id_col, text_col, label_col))
+    share, kinds = sample.agg(F.avg("y"), F.count_distinct("y")).first()
+    if kinds < 2:
         return None
-    model = _induced(y, [np.frombuffer(x, np.uint64) for x in got.column(1).to_pylist()], [np.frombuffer(x, np.int8) for x in got.column(2).to_pylist()], [np.frombuffer(x, np.uint64) for x in got.column(3).to_pylist()])
+    model = _induced(sample)
     parts = sample.select("text").mapInArrow(_featured(model), "votes binary, x binary").toArrow()
     votes = np.stack([np.frombuffer(v, np.int64) for v in parts.column(0).to_pylist()])
     x = np.stack([np.frombuffer(v, np.float64) for v in parts.column(1).to_pylist()])
-    q, _, _ = label_model(votes, float(np.clip((y == 1).mean(), 0.005, 0.5)))
+    q, _, _ = label_model(votes, float(np.clip(share, 0.005, 0.5)))
     return model.fit(x, q)
 
 
