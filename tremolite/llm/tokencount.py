@@ -74,28 +74,32 @@ class SegmentTree:
 
 
 class CountedText:
-    """A text and the tree of its pre-tokens, kept in step through edits."""
+    """A text and the tree of its pre-tokens, kept in step through edits. The tree counts bytes of packed ids."""
 
-    def __init__(self, bpe: ByteBpe, text: str, words: list[str] | None = None):
+    def __init__(self, bpe: ByteBpe, text: str, words: list[str] | None = None, known: dict[str, bytes] | None = None):
         words = bpe.pretokens(text) if words is None else words
-        known = bpe.learn(set(words))
+        known = bpe.learn(set(words)) if known is None else known
         self.bpe, self.text = bpe, text
-        self.tree = SegmentTree([len(w) for w in words], [len(known[w]) // 4 for w in words])
+        self.tree = SegmentTree(list(map(len, words)), list(map(len, map(known.__getitem__, words))))
         self.encoded = 0
+        self._widest = max([0, *map(len, bpe.special)])
+        self._special = any(s in text for s in bpe.special)
 
     @property
     def n_tokens(self) -> int:
-        return self.tree.tokens
+        return self.tree.tokens // 4
 
     def edit(self, start: int, end: int, put: str) -> None:
         """Replace the characters start..end and recount: from the last pre-token boundary that
         cannot have looked at the edit, until new and old boundaries meet behind it."""
-        reach = CONTEXT + max([0, *map(len, self.bpe.special)])
         old, self.text = self.text, self.text[:start] + put + self.text[end:]
+        around = self.text[max(0, start - self._widest) : start + len(put) + self._widest]
+        self._special = self._special or any(s in around for s in self.bpe.special)
         if not old:
             again = CountedText(self.bpe, self.text)
             self.tree, self.encoded = again.tree, self.encoded + sum(len(c) for c, _ in again.tree.leaves)
             return
+        reach = CONTEXT + self._widest * self._special
         tree, shift = self.tree, len(put) - (end - start)
         first, at = tree.find(max(0, start - reach - 1))
         chars, tokens = tree.leaves[first]
@@ -105,31 +109,38 @@ class CountedText:
         head = (chars[:keep], tokens[:keep])
         last, before = tree.find(min(max(end, start), len(old) - 1))
         bounds = list(accumulate(tree.leaves[last][0], initial=before))
-        words = []
-        while at < len(self.text):
-            while bounds[-1] + shift < at and last + 1 < len(tree.leaves):
-                last += 1
-                bounds = list(accumulate(tree.leaves[last][0], initial=bounds[-1]))
-            i = bisect_right(bounds, at - shift) - 1
-            if at - shift >= end and at >= start + len(put) and 0 <= i and bounds[i] == at - shift:
-                break
-            m = self._match(at)
-            words.append(m)
-            at += len(m)
+        beyond = max(end + shift, start + len(put))
+        words, i = [], len(bounds) - 1
+        for word in self._from(at):
+            if at >= beyond:
+                while bounds[-1] + shift < at and last + 1 < len(tree.leaves):
+                    last += 1
+                    bounds = list(accumulate(tree.leaves[last][0], initial=bounds[-1]))
+                i = bisect_right(bounds, at - shift) - 1
+                if i >= 0 and bounds[i] == at - shift:
+                    break
+            words.append(word)
+            at += len(word)
         else:
             last, i = len(tree.leaves) - 1, len(tree.leaves[-1][0])
         known = self.bpe.learn(set(words))
         tail = (tree.leaves[last][0][i:], tree.leaves[last][1][i:])
         self.encoded += len(words)
-        tree.replace(first, last, head[0] + [len(w) for w in words] + tail[0], head[1] + [len(known[w]) // 4 for w in words] + tail[1])
+        tree.replace(first, last, head[0] + list(map(len, words)) + tail[0], head[1] + [len(known[w]) for w in words] + tail[1])
 
-    def _match(self, at: int) -> str:
-        """The pre-token that begins at a boundary; a special token ends what stands before it."""
-        for s in self.bpe.special:
-            if self.text.startswith(s, at):
-                return s
-        stop = min([len(self.text), *(x for s in self.bpe.special if (x := self.text.find(s, at)) >= 0)]) if self.bpe.special else len(self.text)
-        return _PRE.match(self.text, at, stop).group()
+    def _from(self, at: int) -> Iterator[str]:
+        """Pre-tokens from a boundary on; a special token ends what stands before it."""
+        if not self._special:
+            yield from (m.group() for m in _PRE.finditer(self.text, at))
+            return
+        special = self.bpe.special
+        while at < len(self.text):
+            word = next((s for s in special if self.text.startswith(s, at)), None)
+            if word is None:
+                stop = min([len(self.text), *(x for s in special if (x := self.text.find(s, at)) >= 0)])
+                word = _PRE.match(self.text, at, stop).group()
+            yield word
+            at += len(word)
 
 
 _PRE = regex.compile(PATTERN)
@@ -153,9 +164,9 @@ def edited_token_counts(df: DataFrame, path: str, edits: list[tuple[str, str]],
         for batch in batches:
             for i, texts in text_runs(batch.column(1)):
                 out, split = [], [bpe.pretokens(t) for t in texts]
-                bpe.learn(set().union(*split))
+                known = bpe.learn(set().union(*split))
                 for text, words in zip(texts, split, strict=True):
-                    counted = CountedText(bpe, text, words)
+                    counted = CountedText(bpe, text, words, known)
                     before, n = counted.n_tokens, 0
                     for finder, put in finders:
                         for start, end in reversed([m.span() for m in finder.finditer(counted.text)]):
