@@ -125,12 +125,13 @@ _SCHEMA = "base array<struct<start:int,kind:int,end:int>>, seen array<struct<sta
 def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         b, at = B.text_buffers(batch.column(2))
-        marks = np.concatenate([[0], np.cumsum(((b >= 48) & (b <= 57)) | (b == 64), dtype=np.int64)])
-        some = marks[at[1:]] > marks[at[:-1]]
-        base, seen = [[]] * batch.num_rows, [[]] * batch.num_rows
-        for r in np.flatnonzero(some).tolist():
-            base[r], seen[r] = read(batch.column(2)[r].as_py())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["id", "hash", "base", "seen"])
+        for i, j in B.runs(at):
+            part = b[at[i] : at[j]]
+            places = np.flatnonzero(((part >= 48) & (part <= 57)) | (part == 64)) + at[i]
+            base, seen = [[]] * (j - i), [[]] * (j - i)
+            for r in np.unique(np.searchsorted(at, places, side="right") - 1).tolist():
+                base[r - i], seen[r - i] = read(batch.column(2)[r].as_py())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["id", "hash", "base", "seen"])
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
