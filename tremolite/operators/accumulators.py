@@ -291,7 +291,7 @@ def adaptive_steps(trials: DataFrame, by: list[str], order: str, dt: float, dt_m
     """The step tried at every trial of a run: after a trial of k iterations (negative: failed, to be retried)
     the step becomes step * target / |k|, at most dt_max; under dt_min it goes just below it, and a failure
     there ends the run. Adds ``dt``, null once ended."""
-    schema = trials.withColumn("dt", F.lit(0.0)).schema
+    schema = trials.withColumn("dt", F.lit(None).cast("double")).schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)

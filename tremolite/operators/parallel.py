@@ -25,7 +25,7 @@ def process_count(df: DataFrame) -> int:
 
 def sent_to_all(df: DataFrame) -> DataFrame:
     """A table for a broadcast join, if the optimiser's estimate of its size is under 64 MB; else as it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= LIMIT else df
 
 
