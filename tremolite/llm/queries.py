@@ -96,6 +96,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = {
+    "op2_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
+        c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS cosine FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+        l AS (SELECT a, b FROM c WHERE isfinite(cosine) AND cosine >= 0.98),
+        r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.vec_id)
+        SELECT r.vec_id, any_value(coalesce(n.n, 0)) AS n_links, min(root) AS component_id, r.vec_id = min(root) AS kept
+        FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = r.vec_id GROUP BY r.vec_id""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
