@@ -29,6 +29,14 @@ def standard_normal(*keys: Column | str, seed: int = 1) -> Column:
     return normal.inverse(F.least(F.greatest(uniform(*keys, seed=seed), F.lit(1e-7)), F.lit(1 - 1e-7)))
 
 
+def with_standard_normals(rows: DataFrame, names: list[str], *keys: Column | str, seed: int = 1) -> DataFrame:
+    """Rows with independent standard normal columns, in two projections: the approximation looks at its
+    argument many times, so the uniforms are columns of their own."""
+    edge = lambda i: F.least(F.greatest(uniform(*keys, F.lit(i), seed=seed), F.lit(1e-7)), F.lit(1 - 1e-7))
+    rows = rows.withColumns({f"__u_{n}": edge(i) for i, n in enumerate(names)})
+    return rows.withColumns({n: normal.inverse(F.col(f"__u_{n}")) for n in names}).drop(*(f"__u_{n}" for n in names))
+
+
 def to_standard(x: Column, law: Distribution) -> Column:
     """u of an independent variable: the standard normal number of the same probability."""
     return (x - law.mean) / law.stdv if isinstance(law, Normal) else normal.inverse(law.cdf(x))
@@ -68,7 +76,9 @@ def limit_state(expression: str, variables: list[str]) -> Column:
 def draw(spark: SparkSession, n: int, laws: dict[str, Distribution], seed: int = 1, partitions: int | None = None) -> DataFrame:
     """n samples of independent variables; column ``sample`` from 0."""
     rows = spark.range(0, n, 1, partitions or spark.sparkContext.defaultParallelism).withColumnRenamed("id", "sample")
-    return rows.select("sample", *(from_standard(standard_normal("sample", F.lit(i), seed=seed), law).alias(name) for i, (name, law) in enumerate(laws.items())))
+    rows = with_standard_normals(rows, list(laws), "sample", seed=seed)
+    rows = rows.withColumns({n: normal.cdf(F.col(n)) for n, law in laws.items() if not isinstance(law, Normal)})
+    return rows.select("sample", *((law.mean + law.stdv * F.col(n) if isinstance(law, Normal) else law.inverse(F.col(n))).alias(n) for n, law in laws.items()))
 
 
 def monte_carlo(samples: DataFrame, g: Column) -> DataFrame:

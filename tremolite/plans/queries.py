@@ -588,8 +588,9 @@ def p25_stopped_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p26_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = [P.standard_normal("id", F.lit(i)) + c for i, c in enumerate((2.0, 1.5))]
-    rows = spark.range(100_000).select((F.when(F.lit(3.0) - 0.8 * u[0] - 0.6 * u[1] <= 0, P.importance_weight(u, [2.0, 1.5])).otherwise(0.0)).alias("q"))
+    drawn = P.with_standard_normals(spark.range(100_000), ["a", "b"], "id").withColumns({"a": F.col("a") + 2.0, "b": F.col("b") + 1.5})
+    u = [F.col("a"), F.col("b")]
+    rows = drawn.select((F.when(F.lit(3.0) - 0.8 * u[0] - 0.6 * u[1] <= 0, P.importance_weight(u, [2.0, 1.5])).otherwise(0.0)).alias("q"))
     return rows.agg(F.round(F.avg("q"), 6).alias("pf"), F.count("*").alias("n"))
 
 
