@@ -18,6 +18,8 @@ from .staging import matched, staged
 SAMPLE = 20_000
 CELLS = 512
 PER_CELL = 400
+#: Most cells that a vector is compared in, on average over the sample.
+VISITS = 6
 BLOCK = 1024
 
 
@@ -34,6 +36,21 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return np.unique(centres, axis=0)
 
 
+def fitted_cells(x: np.ndarray, total: int, reach: float) -> np.ndarray:
+    """Centres for ``total`` vectors like the sample x: as many as PER_CELL asks for, halved until a vector visits
+    VISITS cells at most on average. Where walls are near everywhere, more cells would only mean more copies."""
+    k = max(1, min(CELLS, math.ceil(total / PER_CELL)))
+    while True:
+        centres = spherical_kmeans(x, k)
+        some = x[:2048]
+        near = some @ centres.T
+        home = near.argmax(1)
+        wall = np.linalg.norm(centres[home][:, None] - centres[None], axis=2)
+        if len(centres) == 1 or (near.max(1)[:, None] - near <= reach * wall + 1e-9).sum(1).mean() <= VISITS:
+            return centres
+        k = len(centres) // 2
+
+
 def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which rows have one: finite, not zero, of this width."""
     column = column.cast(pa.large_list(pa.float64()))
@@ -131,7 +148,7 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
 
     Vectors are linked when their labels are equal and their cosine, in double precision, is at least
     ``cosine``. Spherical k-means, fitted on at most 20,000 vectors (those of the least hashed ids),
-    gives at most 512 cells. A vector is compared in its home cell and in every cell whose wall lies
+    gives at most 512 cells, and fewer if vectors would lie near the walls of too many. A vector is compared in its home cell and in every cell whose wall lies
     within the chord that ``cosine`` allows, so no pair is lost to a wall: the bound is exact and the
     fit of the cells only affects speed. In a cell, blocks of at most 1,024 rows meet blocks of at
     most 1,024 home rows, each pair of blocks in a task of its own; a block pair returns counts and a
@@ -151,8 +168,8 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
     width, total = widths
     sample = usable.where(F.size("vector") == width).select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
     y, _ = _unit(sample.column(0).combine_chunks(), width)
-    centres = spherical_kmeans(y, max(1, min(CELLS, math.ceil(total / PER_CELL))))
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
+    centres = fitted_cells(y, total, reach)
     placed = staged(usable.select("id", "label", "vector").mapInArrow(_placed(centres, width, reach), "id long, label string, cell int, home boolean, unit binary"))
 
     cells = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0").withColumnsRenamed({"label": "cl", "cell": "cc"})
