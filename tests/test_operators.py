@@ -182,6 +182,12 @@ def test_numbering(spark):
     assert graphs.remove_vertex(e, 9).count() == 3
 
 
+def test_levels_reach_the_end_of_a_long_chain(spark):
+    chain = spark.range(67).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.vertex: r.level for r in graphs.levels(chain, 0).collect()} == {i: i for i in range(68)}
+    assert {r.vertex for r in graphs.levels(chain, 30, 2).collect()} == {28, 29, 30, 31, 32}
+
+
 def test_rotations(spark):
     row = spark.range(1).select(vectors.rotation(F.array(F.lit(0.0), F.lit(0.0), F.lit(2.0)), F.lit(math.pi / 2)).alias("r"), vectors.versor_product(vectors.versor(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.lit(1.0)), vectors.versor(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.lit(0.5))).alias("q"), vectors.cross(F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0), F.lit(0.0))).alias("c"), vectors.transposed(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3), F.lit(4)))).alias("t")).first()
     assert np.allclose(row.r, [[0, -1, 0], [1, 0, 0], [0, 0, 1]], atol=1e-12) and row.q[0] == pytest.approx(math.cos(0.75)) and row.c == [0.0, 0.0, 1.0] and row.t == [[1, 3], [2, 4]]

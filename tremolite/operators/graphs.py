@@ -52,17 +52,26 @@ def simple_numbering(rows: DataFrame, vertex: str = "vertex") -> DataFrame:
     return placed.join(starts, "__p").select(vertex, (F.col("__before") + F.col("__k")).alias("number"))
 
 
-def levels(edges: DataFrame, root: int, rounds: int = 64) -> DataFrame:
-    """Breadth-first level of each vertex reached from ``root`` within ``rounds`` steps."""
+def levels(edges: DataFrame, root: int, rounds: int | None = None) -> DataFrame:
+    """Breadth-first level of each vertex reached from ``root``: of all, or of those within ``rounds`` steps.
+
+    A neighbour of a vertex is at most one level from it, so a round leaves out the last two levels only.
+    """
+    kept = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    cut = lambda df: df.checkpoint() if kept else df.persist()
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    found = edges.sparkSession.createDataFrame([(root, 0)], "vertex long, level int")
-    edge_of = found
-    for level in range(1, rounds + 1):
-        near = both.join(edge_of, both["a"] == edge_of["vertex"]).select(F.col("b").alias("vertex").cast("long")).distinct()
-        edge_of = near.join(found, "vertex", "left_anti").withColumn("level", F.lit(level)).checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else near.join(found, "vertex", "left_anti").withColumn("level", F.lit(level)).persist()
-        if edge_of.isEmpty():
+    found = last = before = edges.sparkSession.createDataFrame([(root, 0)], "vertex long, level int")
+    level = 0
+    while rounds is None or level < rounds:
+        level += 1
+        near = both.join(last, both["a"] == last["vertex"]).select(F.col("b").alias("vertex").cast("long")).distinct()
+        new = near.join(last.unionByName(before), "vertex", "left_anti").withColumn("level", F.lit(level))
+        before, last = last, cut(new)
+        if last.isEmpty():
             break
-        found = found.unionByName(edge_of)
+        found = found.unionByName(last)
+        if level % 32 == 0:
+            found = cut(found.coalesce(8))
     return found
 
 
