@@ -168,6 +168,16 @@ def test_patterns_discover(spark):
     assert personal_data(frame(spark, [])).count() == 0
 
 
+def test_patterns_discover_digit_runs(spark):
+    """Values with adjacent digits are discovered; what fails as a card is not."""
+    rng = random.Random(10)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"we saw id: {key(20)}a1b2 there", "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, f"an id: {v} again", "en", "s", 0) for i, v in enumerate(["EMP48213X", "abcd12", "12345678", "4111111111111112"])]
+    got = {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).collect()}
+    assert [got[100 + i] for i in range(4)] == ["secret:7:16", "secret:7:13", "secret:7:15", ""]
+
+
 def test_confidence_grows_in_rounds(spark):
     edges = [("p", i, 4) for i in range(9)] + [("p", 100, -1), ("q", 100, -1)] + [("q", i, 4) for i in range(20, 27)] + [("q", 30, -1), ("r", 30, -1)] + [("r", i, -1) for i in range(40, 50)]
     found = {r.pattern: r.kind for r in confident_patterns(spark.createDataFrame(edges, "pattern string, value long, seed int")).collect()}

@@ -9,7 +9,9 @@ with high confidence and enough different values discover the values that no see
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,20 +62,46 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
-    """(start, kind, end) of the base matches in order, and the spans of matches that failed their check."""
+    """(start, kind, end) of the base matches in order, and the spans of those that have a base kind's length but failed its check."""
     found = [(a, 0, b) for a, b in emails(text)]
     failed = []
     for m in _IP.finditer(text):
-        ok = all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))
-        found.append((m.start(), 1, m.end())) if ok else failed.append(m.span())
+        parts = m.group().split(".")
+        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+            found.append((m.start(), 1, m.end()))
+        elif all(len(p) <= 3 for p in parts):
+            failed.append(m.span())
     for m in _CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m.group())
-        found.append((m.start(), 2, m.end())) if 12 <= len(digits) <= 19 and luhn(digits) else failed.append(m.span())
+        if 12 <= len(digits) <= 19:
+            found.append((m.start(), 2, m.end())) if luhn(digits) else failed.append(m.span())
     for m in _PHONE.finditer(text):
-        found.append((m.start(), 3, m.end())) if 9 <= sum(c in "0123456789" for c in m.group()) <= 15 else failed.append(m.span())
+        if 9 <= sum(c in "0123456789" for c in m.group()) <= 15:
+            found.append((m.start(), 3, m.end()))
     return sorted(found), failed
 
 
+class Taken:
+    """Which spans of a text may not be added: those that overlap a base match, or lie wholly in a failed one."""
+
+    def __init__(self, base: list[tuple[int, int, int]], failed: list[tuple[int, int]]):
+        self.base = self._reach([(a, b) for a, _, b in base])
+        self.failed = self._reach(failed)
+
+    @staticmethod
+    def _reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+        spans = sorted(spans)
+        return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        i = bisect_left(self.base[0], end)
+        return i > 0 and self.base[1][i - 1] > start
+
+    def covers(self, start: int, end: int) -> bool:
+        i = bisect_right(self.failed[0], start)
+        return i > 0 and self.failed[1][i - 1] >= end
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns of a value: what stands before it, and its shape."""
     value = text[start:end]
@@ -95,17 +123,12 @@ def read(text: str) -> tuple[list[dict], list[dict]]:
     base, failed = base_spans(text)
     spans = [{"start": a, "kind": k, "end": b} for a, k, b in base]
     seen = [dict(s, value=hash_of(text[s["start"] : s["end"]]), seed=s["kind"], patterns=patterns(text, s["start"], s["end"])) for s in spans]
-    taken = sorted([(a, b) for a, _, b in base] + failed)
-    starts = [a for a, _ in taken]
-    longest = np.maximum.accumulate([b for _, b in taken]) if taken else []
+    taken = Taken(base, failed)
     for m in _VALUE.finditer(text):
         value = m.group()
         if not any(c.isdigit() for c in value):
             continue
-        i = int(np.searchsorted(starts, m.end()))
-        if i and longest[i - 1] > m.start() and not seed_secret(value):
-            continue
-        if any(a < m.end() and m.start() < b for a, _, b in base):
+        if taken.overlaps(*m.span()) or taken.covers(*m.span()):
             continue
         seen.append({"start": m.start(), "kind": 4, "end": m.end(), "value": hash_of(value), "seed": 4 if seed_secret(value) else -1, "patterns": patterns(text, m.start(), m.end())})
     return spans, seen
@@ -165,8 +188,8 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, end exclusive, by start, then
     kind, joined by commas: the base matches, and those with the values that confident patterns add
-    (of kind ``secret``). Values that overlap a base match are not added; what looks like a base kind
-    but fails its check is never evidence, nor added.
+    (of kind ``secret``). Values that overlap a base match are not added; what has the length of a base
+    kind but fails its check is never evidence, nor added, nor is a value that lies wholly inside it.
 
     The texts are read once; only documents with a digit or @ are looked at closer. Patterns and values
     are scored over all documents. Null and empty texts have no spans. Rows that repeat an id and text
