@@ -178,6 +178,19 @@ def test_patterns_discover_digit_runs(spark):
     assert [got[100 + i] for i in range(4)] == ["secret:7:16", "secret:7:13", "secret:7:15", ""]
 
 
+def test_patterns_of_all_kinds_add_tokens(spark):
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"password={key(20)}a1b2 phone: +49 30 {1000000 + i} mail user{i}@x.org", "en", "s", 0) for i in range(40)]
+    rows += [(100 + i, f"contact {w}", "en", "s", 0) for i, w in enumerate([f"me{i}@x.org" for i in range(8)] + [f"{a}{b}" for a in "abcd" for b in "efgh"])]
+    long = "A-z/" * 100
+    texts = ["phone: 030-1234567", "mail bob(at)x.org", "password=hunter", "password=a1-b2/c3+d4==", f"password={long}", "é phone: x"]
+    rows += [(200 + i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in personal_data(frame(spark, rows)).collect()}
+    assert [got[200 + i] for i in range(6)] == ["phone:7:18", "email:5:17", "secret:9:15", "secret:9:22", f"secret:9:{9 + len(long)}", "phone:9:10"]
+    assert all(got[108 + i] == "" for i in range(16))
+
+
 def test_confidence_grows_in_rounds(spark):
     edges = [("p", i, 4) for i in range(9)] + [("p", 100, -1), ("q", 100, -1)] + [("q", i, 4) for i in range(20, 27)] + [("q", 30, -1), ("r", 30, -1)] + [("r", i, -1) for i in range(40, 50)]
     found = {r.pattern: r.kind for r in confident_patterns(spark.createDataFrame(edges, "pattern string, value long, seed int")).collect()}

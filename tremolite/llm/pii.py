@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _VALUE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{6,256}(?![A-Za-z0-9_])")
 _BEFORE = re.compile(r"([^\W\d_]{1,24})([^\w\n]{1,4})\Z")
+#: A word and the signs behind it, from the word's first letter on so that a long run of letters costs one look.
+_KEY = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([^\w\n]{1,4}+)")
+_TOKEN = re.compile(r"\S+")
+#: Slots of the map of pattern hashes that the second reading gets, whatever the number of patterns.
+SLOTS = 1 << 20
 _TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 
 
@@ -134,6 +140,31 @@ def read(text: str) -> tuple[list[dict], list[dict]]:
     return spans, seen
 
 
+def behind(text: str, slots: np.ndarray) -> list[dict]:
+    """The tokens (non-space runs) behind each word and signs whose pattern is in ``slots``; ``vote`` unless a
+    value of ``read`` starts there and speaks for the pattern already."""
+    found, taken, starts, end = [], None, set(), 0
+    for m in _KEY.finditer(text):
+        word = m.group(1)[-24:].lower()
+        for n in range(1, len(m.group(2)) + 1):
+            start = m.start(2) + n
+            if start >= len(text) or text[start].isspace():
+                continue
+            pattern = f"before {word}{m.group(2)[:n]}"
+            if not slots[crc32(pattern.encode("utf-8", "replace")) % SLOTS]:
+                continue
+            if taken is None:
+                base, failed = base_spans(text)
+                taken, starts = Taken(base, failed), {a for a, _, _ in base} | {v.start() for v in _VALUE.finditer(text) if any(c.isdigit() for c in v.group())}
+            if end <= start:
+                end = _TOKEN.match(text, start).end()
+            if taken.overlaps(start, end) or taken.covers(start, end):
+                continue
+            # A long token is named by its beginning and length, so tokens inside one another cost no more.
+            found.append({"start": start, "end": end, "pattern": pattern, "value": hash_of(f"{text[start : min(end, start + 256)]} {end - start}"), "vote": start not in starts})
+    return found
+
+
 def hash_of(value: str) -> int:
     """A 64-bit name of a value."""
     b = np.frombuffer(value.encode("utf-8", "replace"), np.uint8)
@@ -157,6 +188,32 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["id", "hash", "base", "seen"])
 
 
+def _tokens(slots: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, at = B.text_buffers(batch.column(2))
+            for i, j in B.runs(at):
+                found, rows = [], []
+                for r in range(i, j):
+                    if text := batch.column(2)[r].as_py():
+                        mine = behind(text, slots)
+                        found += mine
+                        rows += [r] * len(mine)
+                pick, of = pa.array(rows, pa.int64()), lambda c, kind: pa.array([x[c] for x in found], kind)  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), of("start", pa.int32()), of("end", pa.int32()), of("pattern", pa.string()), of("value", pa.int64()), of("vote", pa.bool_())], ["id", "hash", "start", "end", "pattern", "value", "vote"])
+
+    return run
+
+
+def slots_of(patterns: DataFrame) -> np.ndarray:
+    """Which of SLOTS hashes the column ``pattern`` holds; the driver gets SLOTS / 64 numbers at most."""
+    slot = F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(SLOTS))
+    words = patterns.select(slot.alias("s")).distinct().groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).collect()
+    bits = np.zeros(SLOTS // 64, np.int64)
+    bits[[r.w for r in words]] = [r.bits for r in words]
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+
+
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind) of the patterns that end with high confidence, from distinct (pattern, value, seed) edges.
 
@@ -187,11 +244,15 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base matches), ``base`` and ``spans``.
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, end exclusive, by start, then
-    kind, joined by commas: the base matches, and those with the values that confident patterns add
-    (of kind ``secret``). Values that overlap a base match are not added; what has the length of a base
+    kind, joined by commas: the base matches, and those with what confident patterns add: the values of
+    6 to 256 letters and digits of kind ``secret``, and the token (any non-space run, of any length)
+    behind a confident word and signs, of the pattern's kind. For the latter a pattern is scored again
+    with all tokens behind it, so that a word that other words mostly follow adds none. Added spans may
+    overlap each other. Values that overlap a base match are not added; what has the length of a base
     kind but fails its check is never evidence, nor added, nor is a value that lies wholly inside it.
 
-    The texts are read once; only documents with a digit or @ are looked at closer. Patterns and values
+    The texts are read once, where only documents with a digit or @ are looked at closer, and once more for
+    the tokens if a pattern is confident; that reading gets a map of fixed size. Patterns and values
     are scored over all documents. Null and empty texts have no spans. Rows that repeat an id and text
     get equal results; a null id is kept. Empty table: empty result. Other columns are ignored.
     """
@@ -200,9 +261,19 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = staged(rows.mapInArrow(_reads, f"id {kind}, hash long, {_SCHEMA}"))
     seen = made.where("size(seen) > 0").select("id", "hash", F.explode("seen").alias("x")).select("id", "hash", "x.*")
     edges = seen.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
-    good = confident_patterns(edges).where(F.col("kind") == 4).select(F.col("pattern").alias("gp"))
+    edges = staged(edges)
+    good = staged(confident_patterns(edges))
     open_ = seen.where("kind = 4").select("id", "hash", "start", "kind", "end", F.explode("patterns").alias("pattern"))
-    added = open_.join(good, F.col("pattern") == F.col("gp"), "left_semi").groupBy("id", "hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).withColumnsRenamed({"id": "aid", "hash": "ahash"})
+    added = open_.join(good.where("kind = 4").select(F.col("pattern").alias("gp")), F.col("pattern") == F.col("gp"), "left_semi").select("id", "hash", "start", "kind", "end")
+    before = good.where("pattern like 'before %'").select(F.col("pattern").alias("bp"))
+    if not before.isEmpty():
+        slots = slots_of(before.withColumnRenamed("bp", "pattern"))
+        tokens = rows.mapInArrow(_tokens(slots), f"id {kind}, hash long, start int, end int, pattern string, value long, vote boolean")
+        tokens = staged(tokens.join(before, F.col("pattern") == F.col("bp"), "left_semi"))
+        all_edges = edges.join(before, F.col("pattern") == F.col("bp"), "left_semi").unionByName(tokens.where("vote").select("pattern", "value", F.lit(-1).alias("seed")).distinct())
+        sure = confident_patterns(all_edges).select(F.col("pattern").alias("gp"), F.col("kind").alias("kind"))
+        added = added.unionByName(tokens.join(sure, F.col("pattern") == F.col("gp")).select("id", "hash", "start", "kind", "end"))
+    added = added.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).withColumnsRenamed({"id": "aid", "hash": "ahash"})
     out = made.select("id", "hash", "base").join(added, F.col("id").eqNullSafe(F.col("aid")) & (F.col("hash") == F.col("ahash")), "left")
     name = F.array(*(F.lit(k) for k in KINDS))
     show = lambda a: F.array_join(F.transform(F.array_sort(a), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
