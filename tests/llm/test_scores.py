@@ -15,7 +15,7 @@ from tests.llm.helpers import WORDS, frame
 from tremolite.llm import bytesets, pii
 from tremolite.llm.pii import base_spans, confident_patterns, emails, luhn, personal_data
 from tremolite.llm.quality import FEATURES, AttentionModel, fit_quality, passages, quality_scores
-from tremolite.llm.toxicity import fit_toxicity, label_model, toxicity_scores
+from tremolite.llm.toxicity import SEEDS, disguised, fit_toxicity, label_model, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -111,6 +111,20 @@ def test_scores_awkward(spark):
     assert toxicity_scores(frame(spark, []), tox).count() == 0 and quality_scores(frame(spark, []), good).count() == 0
 
 
+def test_disguised_insults(spark):
+    texts = ["i d i o t", "a m.o.r.o.n!", "1d10t", "5cum", "$tup1d", "1oser", "idiooot", "m000ron", "worthlessss"]
+    plain = ["idiot", "looser worthless", "a b c d", "10 1 0 7 15", "s c u", "", "the house"]
+    rows, kinds, seeds = disguised(*bytesets.text_buffers(pa.array(texts + plain)))
+    got = {(r, k, SEEDS[s]) for r, k, s in zip(rows.tolist(), kinds.tolist(), seeds.tolist(), strict=True)}
+    want = {(0, 0, "idiot"), (1, 0, "moron"), (2, 1, "idiot"), (3, 1, "scum"), (4, 1, "stupid"), (5, 1, "loser"), (6, 2, "idiot"), (7, 2, "moron"), (8, 2, "worthless")}
+    assert got == want
+    tox = fit_toxicity(*small_labels(spark))
+    house = "the house river stone light dark green walk slow quick north "
+    score = lambda s: float(tox.score(pa.array([house + s]))[0])
+    for s in ("i d i o t", "i.d.i.o.t", "1d10t", "idiooot"):
+        assert score(s) > 0.3 > score("north")
+
+
 def test_label_model_weighs_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.15

@@ -2,7 +2,9 @@
 
 1. Voters. Lexicons of words and of word beginnings are induced from labelled rows (terms far more
    frequent in toxic ones, near copies counted once) and dealt by kind and support into voters; a seed lexicon of insults
-   and patterns (shouting, spelled-out insults) vote as well, and others vote for clean.
+   and patterns (shouting; insults with their letters apart, with digits or signs for letters, or with a
+   letter three times or more) vote as well, and others vote for clean. A disguised insult also counts as
+   the plain word.
 2. A generative label model, fitted by EM without labels, estimates how often each voter speaks in
    either class, starting from the known class balance. Voters that agree beyond what the classes
    explain are correlated; their evidence is divided by the number of voters it is shared with.
@@ -34,13 +36,20 @@ GROUPS = 6
 SURPRISE = 22.0
 #: Bytes of the word beginnings that are terms, besides whole words.
 PREFIXES = (4, 5, 6, 8)
-#: Seed words of the first voter; spelled-out forms of them make the pattern voter.
+#: Seed words of the first voter; disguised forms of them make pattern voters.
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown")
+#: Digits and signs that stand for letters; a 1 is read as i, then as l.
+STANDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
+DISGUISES = 3
 
 #: Bytes of words: letters, digits, and all bytes of letters beyond ASCII.
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 KINDS = 1 + len(PREFIXES)
+_READ = [np.arange(256, dtype=np.uint8) for _ in range(2)]
+for _map in _READ:
+    _map[[ord(c) for c in STANDS]] = [ord(c) for c in STANDS.values()]
+_READ[1][ord("1")] = ord("l")
 
 
 def terms(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,6 +74,68 @@ def _seed_hashes() -> np.ndarray:
     return terms(*B.text_buffers(column))[0][: len(SEEDS)]
 
 
+def _collapsed(b: np.ndarray) -> np.ndarray:
+    """Where a byte differs from the one before it."""
+    return np.concatenate([np.ones(min(1, len(b)), bool), b[1:] != b[:-1]])
+
+
+_SEED_COLUMN = B.text_buffers(pa.array(SEEDS))
+_SHORT = B.text_buffers(pa.array([bytes(b[_collapsed(b)]).decode() for b in (np.frombuffer(s.encode(), np.uint8) for s in SEEDS)]))
+
+
+def _words_of(column: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    b, at = column
+    return B.hashes(B.prefix_hashes(b), at[:-1], at[1:])
+
+
+def _found(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The place in ``names`` of each span's hash, -1 for none."""
+    order = np.argsort(names)
+    h = B.hashes(B.prefix_hashes(b), starts, ends)
+    i = order[np.minimum(np.searchsorted(names[order], h), len(names) - 1)]
+    return np.where(names[i] == h, i, -1)
+
+
+def disguised(b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, disguises, seeds) of the disguised seeds in a run of lower-cased texts, each once: 0 letters
+    apart by a sign or space, 1 digits or signs for letters, 2 a letter three times or more."""
+    out = set()
+    seeds, short = _words_of(_SEED_COLUMN), _words_of(_SHORT)
+    row_of = lambda places: np.searchsorted(at, places, side="right") - 1
+    plain_starts, plain_ends, plain_rows = B.spans(_APART[b], at)
+    for read in _READ:
+        m = read[b]
+        starts, ends, rows = B.spans(_APART[m], at)
+        changed = np.concatenate([[0], np.cumsum(m != b)])
+        seed = _found(m, starts, ends, seeds)
+        hit = (seed >= 0) & (changed[ends] > changed[starts])
+        out |= set(zip(rows[hit].tolist(), [1] * int(hit.sum()), seed[hit].tolist(), strict=True))
+
+        new = _collapsed(m)
+        new[at[:-1][at[:-1] < len(m)]] = True
+        thrice = np.concatenate([np.zeros(min(2, len(m)), bool), ~new[2:] & ~new[1:-1]])
+        left, often = np.concatenate([[0], np.cumsum(new)]), np.concatenate([[0], np.cumsum(thrice)])
+        seed = _found(m[new], left[starts], left[ends], short)
+        hit = (seed >= 0) & (often[ends] > often[starts])
+        out |= set(zip(rows[hit].tolist(), [2] * int(hit.sum()), seed[hit].tolist(), strict=True))
+
+        one = np.flatnonzero(plain_ends - plain_starts == 1)
+        if len(one):
+            place = plain_starts[one]
+            joined = np.concatenate([[False], (np.diff(place) == 2) & (np.diff(plain_rows[one]) == 0)])
+            spot = np.arange(len(one)) + np.cumsum(~joined)
+            apart = np.full(int(spot[-1]) + 1, 32, np.uint8)
+            apart[spot] = m[place]
+            text = apart.tobytes()
+            for k, word in enumerate(SEEDS):
+                found = text.find(word.encode())
+                while found >= 0:
+                    out.add((int(row_of(place[np.searchsorted(spot, found)])), 0, k))
+                    found = text.find(word.encode(), found + 1)
+    rows, kinds, seed = (np.array(x, np.int64) for x in zip(*sorted(out), strict=True)) if out else (np.zeros(0, np.int64),) * 3
+    return rows, kinds, seed
+
+
 def _lower(column: pa.Array) -> pa.Array:
     return pc.utf8_lower(pc.fill_null(column.cast(pa.large_string()), ""))
 
@@ -109,10 +180,16 @@ class ToxicityModel:
         self.voters = 1 + KINDS * GROUPS
         self.weights = np.zeros(0)
 
-    def _hits(self, b: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Term index and row of every lexicon hit of a run of lower-cased texts; words in each row."""
+    def _hits(self, b: np.ndarray, at: np.ndarray, disguise: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Term index and row of every lexicon hit of a run of lower-cased texts, disguised seeds read as
+        plain ones; words in each row."""
         h, rows, kinds, _ = terms(b, at)
         words = np.bincount(rows[kinds == 0], minlength=len(at) - 1)
+        hidden, _, seed = disguise
+        if len(hidden):
+            plain, of, _, _ = terms(*_SEED_COLUMN)
+            again = [plain[of == k] for k in seed.tolist()]
+            h, rows = np.concatenate([h, *again]), np.concatenate([rows, np.repeat(hidden, [len(x) for x in again])])
         if not len(self.hashes):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), words
         i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -123,14 +200,17 @@ class ToxicityModel:
         """(votes, features) of a run of texts."""
         b, at = lower
         n = len(at) - 1
-        term, rows, words = self._hits(b, at)
+        disguise = disguised(b, at)
+        spelled = np.zeros((n, DISGUISES))
+        spelled[disguise[0], disguise[1]] = 1
+        term, rows, words = self._hits(b, at, disguise)
         counts = np.bincount(rows * self.voters + self.voter[term], minlength=n * self.voters).reshape(n, self.voters)
         strength = np.zeros(n)
         np.maximum.at(strength, rows, self.strength[term])
         any_hit = counts.sum(1) > 0
-        votes = np.concatenate([(counts > 0).astype(int), np.where(shout > 0.6, 1, 0)[:, None], np.where(~any_hit, -1, 0)[:, None], np.where(strength < np.log(2 * LIFT), -1, 0)[:, None], np.where(counts.astype(bool).sum(1) <= 1, -1, 0)[:, None]], 1)
+        votes = np.concatenate([(counts > 0).astype(int), np.where(shout > 0.6, 1, 0)[:, None], spelled.astype(int), np.where(~any_hit, -1, 0)[:, None], np.where(strength < np.log(2 * LIFT), -1, 0)[:, None], np.where(counts.astype(bool).sum(1) + spelled.sum(1) <= 1, -1, 0)[:, None]], 1)
         rate = np.log1p(counts)
-        x = np.concatenate([(counts > 0).astype(float), rate, strength[:, None], np.log1p(counts.sum(1) / np.maximum(1, words) * 1000)[:, None], any_hit[:, None], shout[:, None], np.log1p(words)[:, None] / 10, np.ones((n, 1))], 1)
+        x = np.concatenate([(counts > 0).astype(float), rate, strength[:, None], np.log1p(counts.sum(1) / np.maximum(1, words) * 1000)[:, None], any_hit[:, None], shout[:, None], spelled, np.log1p(words)[:, None] / 10, np.ones((n, 1))], 1)
         return votes, x
 
     def fit(self, x: np.ndarray, q: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> ToxicityModel:
