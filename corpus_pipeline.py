@@ -37,7 +37,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as temperature mixing draws them: each at least once, none more than twice."""
+    """Documents as often as temperature mixing draws them: each at least once, none more than twice, copies in no order."""
     drawn = temperature_mix(docs, repetition=2.0).groupBy("doc_id").agg((F.max("epoch") + 1).alias("__times")).withColumnRenamed("doc_id", _OWN)
     times = F.explode(F.expr("sequence(1L, __times)")).alias("__time")
     return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(_OWN))).select(*docs.columns, times).select(*docs.columns)

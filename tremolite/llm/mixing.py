@@ -1,4 +1,4 @@
-"""Temperature mixing of sources, realised as budgeted block permutations."""
+"""Temperature mixing of sources, realised as whole epochs and a last one cut in a permutation of blocks."""
 
 from __future__ import annotations
 
@@ -54,9 +54,10 @@ def temperature_mix(df: DataFrame, entropy: float | None = None, repetition: flo
     texts have none). Weights are shares to the fitted exponent, normalised. The budget is
     ``budget_tokens``, or by default the least at which no source is taken less than once, so that
     no document is lost. A source whose part of the budget is q of its t tokens gives q div t whole
-    epochs and a last one cut at the rest: rows are dealt into blocks by a hash of the id, each
+    epochs and a last one cut at the rest: rows are dealt into blocks by a hash of the id, the last
     epoch permutes the blocks by a seed of its own, whole blocks are taken while they fit, and the
-    block at the cut gives its first rows, in hashed order, that fit.
+    block at the cut gives its first rows, in hashed order, that fit. Whole epochs take every block,
+    so they are given no order: the result says how often a row is drawn, not at which position.
 
     Sources are never gathered on the driver, nor is any source in one task: only sums per block
     are ordered. Null sources are one source. Sources without any token are taken once. Documents without
