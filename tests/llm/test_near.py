@@ -144,3 +144,18 @@ def test_embedding_awkward(spark):
     df = spark.createDataFrame(rows, schema).withColumns({c: F.lit(0) for c in ("id", "cell", "home", "unit", "vector")})
     got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_near_duplicates(df).collect()}
     assert got == {(1, 3, 1, True), (2, 3, 1, False), (5, 3, 1, False), (6, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)}
+
+
+def test_embeddings_of_mixed_lengths(spark):
+    rng = random.Random(4)
+    rows = [(i, v and v[: (8, 8, 8, 5, 3)[i % 5]], c) for i, v, c in vector_rows(rng, 150)]
+    rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], c) for i, v, c in rows]
+    links = {}
+    for n in (8, 5, 3):
+        some = [r for r in rows if r[1] and len(r[1]) == n]
+        count, group = plain_vectors(some, 0.98)
+        assert n == 8 or any(count.values())
+        links |= {i: (count[i], group[i], group[i] == i) for i in count}
+    links |= {i: (0, i, True) for i, v, _ in rows if not v}
+    got = embedding_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), 0.98).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == links

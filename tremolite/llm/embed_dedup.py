@@ -67,7 +67,8 @@ def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _placed(centres: np.ndarray, width: int, reach: float):
-    """Every vector's home cell, and the other cells that may be home to a vector within ``reach`` (a chord)."""
+    """Every vector's home cell, and the other cells that may be home to a vector within ``reach`` (a chord).
+    Vectors of another length than the cells' are all in one cell, apart by their labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) * len(centres) * width < 2e7 else None
@@ -85,17 +86,22 @@ def _placed(centres: np.ndarray, width: int, reach: float):
                 raw = pa.array([flat[r].tobytes() for r in row.tolist()], pa.binary())
                 pick = pa.array(rows[row])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(cell, pa.int32()), pa.array(home[row] == cell), raw], ["id", "label", "cell", "home", "unit"])
+            for other in pc.unique(pc.list_value_length(batch.column(2))).to_pylist():
+                if other and other != width:
+                    y, good = _unit(batch.column(2), other)
+                    pick, n = pa.array(np.flatnonzero(good)), len(y)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool)), pa.array([v.tobytes() for v in y], pa.binary())], ["id", "label", "cell", "home", "unit"])
 
     return run
 
 
-def _products(width: int, cosine: float):
+def _products(cosine: float):
     """Counts and links of every block pair: rows against the home rows of a cell."""
     names = ["label", "cell", "rows", "homes", "id", "as_row", "as_home", "unit"]
 
     def links(group: dict) -> pa.RecordBatch:
         ids, as_row, as_home = np.array(group["id"], np.int64), np.array(group["as_row"]), np.array(group["as_home"])
-        unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(ids), width)
+        unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(ids), -1)
         row, home = np.flatnonzero(as_row), np.flatnonzero(as_home)
         counts = np.zeros(len(row), np.int64)
         parent = np.arange(len(ids))
@@ -154,7 +160,8 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
     most 1,024 home rows, each pair of blocks in a task of its own; a block pair returns counts and a
     spanning set of links, never all pairs. Components are then found on those links.
 
-    Vectors that are null, zero, of another length than the commonest, or hold null or non-finite
+    The cells are of the commonest length; the vectors of a label and another length are all compared
+    with one another, block by block. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, as do rows whose label is null: n_links 0, kept. Repeated ids count
     as one vector and get equal rows. Ids are integers; a null id links with nothing, and its
     component is null. Empty table: empty result. Other columns are ignored.
@@ -170,7 +177,7 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
     y, _ = _unit(sample.column(0).combine_chunks(), width)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     centres = fitted_cells(y, total, reach)
-    placed = staged(usable.select("id", "label", "vector").mapInArrow(_placed(centres, width, reach), "id long, label string, cell int, home boolean, unit binary"))
+    placed = staged(usable.select("id", F.concat_ws(":", F.size("vector"), "label").alias("label"), "vector").mapInArrow(_placed(centres, width, reach), "id long, label string, cell int, home boolean, unit binary"))
 
     cells = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0").withColumnsRenamed({"label": "cl", "cell": "cc"})
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
@@ -181,7 +188,7 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
     as_home = both.where("home").select("label", "cell", F.explode(upto("n")).alias("rows"), F.col("home_block").alias("homes"), "id", *flags(False, True), "unit")
     by = ["label", "cell", "rows", "homes"]
     met = as_row.unionByName(as_home).repartition(*by).sortWithinPartitions(*by)
-    made = staged(met.mapInArrow(_products(width, cosine), "id long, other long, n long"))
+    made = staged(met.mapInArrow(_products(cosine), "id long, other long, n long"))
     counts = made.where("other = -1").groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "n_id")
     linked = components(made.where("other <> -1"), "id", "other")
     out = out.join(counts, F.col("id") == F.col("n_id"), "left").join(linked, F.col("id") == F.col("node"), "left")
