@@ -211,6 +211,49 @@ def test_confidence_grows_in_rounds(spark):
     assert found == {"p": 4, "q": 4}
 
 
+def plain_confident(edges, confidence=pii.CONFIDENCE, support=pii.SUPPORT):
+    """Scores of the pattern graph by plain loops, until they stand still."""
+    values = {}
+    for p, v, seed in set(edges):
+        values.setdefault(p, {})
+        values[p][v] = max(seed, values[p].get(v, -1))
+    values = {p: vs for p, vs in values.items() if len(vs) >= support}
+    known = {(v, s): 1.0 for vs in values.values() for v, s in vs.items() if s >= 0}
+    score, conf = dict(known), {}
+    for _ in range(200):
+        conf = {(p, k): sum(score.get((v, k), 0.0) for v in vs) / (len(vs) + 1) for p, vs in values.items() for k in range(5)}
+        conf = {x: c for x, c in conf.items() if c >= confidence}
+        score = dict(known)
+        for (p, k), c in conf.items():
+            for v, s in values[p].items():
+                if s < 0:
+                    score[v, k] = max(score.get((v, k), 0.0), pii.TRUST * c)
+    best = {}
+    for (p, k), c in conf.items():
+        best[p] = max(best.get(p, (0.0, 0)), (c, -k))
+    return {p: -k for p, (_, k) in best.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_confident_patterns_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    of = {v: rng.choice([-1, -1, 0, 4, 4]) for v in range(60)}
+    edges = [(f"p{p}", v, of[v]) for p in range(14) for v in rng.sample(range(60), rng.randint(3, 14)) if of[v] >= 0 or rng.random() < 0.6]
+    edges += [(f"chain{i}", 1000 * (i + j) + n, 4 if i + j == 0 else -1) for i in range(7) for j in (0, 1) for n in range(9 if j == 0 else 2)]
+    found = {r.pattern: r.kind for r in confident_patterns(spark.createDataFrame(edges, "pattern string, value long, seed int")).collect()}
+    assert found == plain_confident(edges) and found
+
+
+def test_values_of_any_length_and_long_parts(spark):
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    long = "a1" * 3000
+    rows = [(i, f"we saw password={key(20)}a1b2 there", "en", "s", 0) for i in range(40)] + [(100, f"password={long} x", "en", "s", 0), (101, "1." + "0" * 5000 + "7.2.3 and " + "1" * 5000 + ".1.1.1", "en", "s", 0)]
+    got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
+    assert got[100].spans == f"secret:9:{9 + len(long)}" and got[100].n_added == 1
+    assert got[101].base == f"ip:0:{2 + 5000 + 5}" and got[101].n_ip == 1
+
+
 def test_repeated_rows_and_long_text(spark):
     text = "id 10.0.0.1 " + "word " * 50_000 + "10.0.0.2"
     got = personal_data(frame(spark, [(1, text, None, None, 0), (1, text, None, None, 0)])).collect()

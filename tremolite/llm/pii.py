@@ -23,7 +23,8 @@ from . import bytesets as B
 from .staging import matched, staged
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-ROUNDS = 3
+#: What a value that only patterns vouch for keeps of its best pattern's confidence.
+TRUST = 0.9
 CONFIDENCE = 0.6
 SUPPORT = 5
 
@@ -34,7 +35,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{6,256}(?![A-Za-z0-9_])")
+#: Values of six letters and digits or more, however long; a run is taken whole, so it costs one look.
+_VALUE = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{6,}+")
+#: A pattern names the word before a value by its last letters (at most 24) and the signs between (at most 4).
 _BEFORE = re.compile(r"([^\W\d_]{1,24})([^\w\n]{1,4})\Z")
 #: A word and the signs behind it, from the word's first letter on so that a long run of letters costs one look.
 _KEY = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([^\w\n]{1,4}+)")
@@ -73,7 +76,7 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     failed = []
     for m in _IP.finditer(text):
         parts = m.group().split(".")
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in parts)):
             found.append((m.start(), 1, m.end()))
         elif all(len(p) <= 3 for p in parts):
             failed.append(m.span())
@@ -214,38 +217,40 @@ def slots_of(patterns: DataFrame) -> np.ndarray:
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
-def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
+def confident_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind) of the patterns that end with high confidence, from distinct (pattern, value, seed) edges.
 
     A pattern's confidence in a kind is the sum of its values' scores in it over one more than the
-    number of its values; a value's score is 1 if a seed rule knows it, else the best confidence of its
-    patterns, less a tenth a round. Sums are pre-aggregated, so neither a common pattern nor a common
-    value is gathered.
+    number of its values; a value's score is 1 if a seed rule knows it, else TRUST times the best
+    confidence of its confident patterns. Scores can only rise from round to round, so rounds go on until
+    no confidence changes by a hundredth. Sums are pre-aggregated, so neither a common pattern nor a
+    common value is gathered.
     """
     edges = staged(edges)
     size = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= support).withColumnRenamed("pattern", "sp")
     edges = staged(edges.join(size, matched(F.col("pattern"), F.col("sp"))).drop("sp"))
     known = edges.where("seed >= 0").select("value", F.col("seed").alias("kind")).distinct().withColumn("score", F.lit(1.0))
-    scores = known
-    conf = None
-    for turn in range(rounds):
-        s = scores.withColumnsRenamed({"value": "sv"})
+    scores, mark = known, None
+    while True:
+        s = scores.withColumnRenamed("value", "sv")
         conf = edges.join(s, F.col("value") == F.col("sv")).groupBy("pattern", "kind", "n").agg((F.sum("score") / (F.col("n") + 1)).alias("confidence"))
         conf = staged(conf.where(F.col("confidence") >= confidence))
-        if turn + 1 < rounds:
-            c = conf.select(F.col("pattern").alias("cp"), "kind", "confidence")
-            told = edges.where("seed < 0").join(c, F.col("pattern") == F.col("cp")).groupBy("value", "kind").agg((F.max("confidence") * (1 - 0.1 * (turn + 1))).alias("score"))
-            scores = staged(known.unionByName(told))
-    best = conf.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    return best
+        now = tuple(conf.agg(F.count("*"), F.sum(F.floor(F.col("confidence") * 100))).first())
+        if now == mark:
+            break
+        mark = now
+        c = conf.select(F.col("pattern").alias("cp"), "kind", "confidence")
+        told = edges.where("seed < 0").join(c, F.col("pattern") == F.col("cp")).groupBy("value", "kind").agg((F.max("confidence") * TRUST).alias("score"))
+        scores = staged(known.unionByName(told))
+    return conf.groupBy("pattern").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base matches), ``base`` and ``spans``.
+    """One row per row: id, ``n_email``, ``n_ip``, ``n_card``, ``n_phone`` (base matches), ``base``, ``spans`` and ``n_added``.
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, end exclusive, by start, then
-    kind, joined by commas: the base matches, and those with what confident patterns add: the values of
-    6 to 256 letters and digits of kind ``secret``, and the token (any non-space run, of any length)
+    kind, joined by commas: the base matches, and those with what confident patterns add (``n_added``
+    spans): the values of six letters and digits or more of kind ``secret``, and the token (any non-space run, of any length)
     behind a confident word and signs, of the pattern's kind. For the latter a pattern is scored again
     with all tokens behind it, so that a word that other words mostly follow adds none. Added spans may
     overlap each other. Values that overlap a base match are not added; what has the length of a base
@@ -279,4 +284,4 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     show = lambda a: F.array_join(F.transform(F.array_sort(a), lambda s: F.concat_ws(":", F.element_at(name, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     every = F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))
-    return out.select(F.col("id").alias(id_col), *(count(k) for k in range(4)), show(F.col("base")).alias("base"), show(every).alias("spans"))
+    return out.select(F.col("id").alias(id_col), *(count(k) for k in range(4)), show(F.col("base")).alias("base"), show(every).alias("spans"), F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"))

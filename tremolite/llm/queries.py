@@ -92,7 +92,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import personal_data
 
     found = personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
 SQL = {
