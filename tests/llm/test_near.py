@@ -46,6 +46,33 @@ def test_near_awkward(spark):
     assert got == sorted(want, key=str)
 
 
+def test_an_id_with_two_texts_stands_for_two_documents(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a, None, None, 0), (1, b, None, None, 0), (2, a + " end", None, None, 0), (3, b + " end", None, None, 0), (1, a, None, None, 0), (None, b + " fin", None, None, 0), (None, "x y z w", None, None, 0), (None, "x y z w", None, None, 0)]
+    got = near_duplicates(frame(spark, rows), 3, 85).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.component_id, r.kept) for r in got if r.doc_id is not None) == [(1, False), (1, False), (1, True), (1, True), (1, True)]
+    group = {}
+    for r in got:
+        group.setdefault(r.group, []).append((r.doc_id, r.component_id, r.kept))
+    assert sorted(map(len, group.values())) == [2, 3, 3]
+    assert sorted(group.values(), key=str)[-1] == [(None, None, True)] * 2
+
+
+def test_strangers_in_buckets_meet_all_members(spark, monkeypatch):
+    """With sketches that never tell groups apart before they meet, links across groups of one bucket are still found."""
+    monkeypatch.setattr(setsketch, "BLOCK", 4)
+    rng = random.Random(13)
+    common = [f"c{i}" for i in range(60)]
+    rows = []
+    for g in range(12):
+        own = [f"g{g}w{i}" for i in range(40)]
+        rows += [(100 * g + j, " ".join(common + own + [f"x{rng.random()}" for _ in range(3)]), None, None, 0) for j in range(6)]
+    sizes, want = near_groups(rows, 3, 80)
+    got = near_duplicates(frame(spark, rows), 3, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and {r.doc_id: r.n_shingles for r in got} == sizes
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     h = bytesets.mixed(rng.integers(0, 2**63, 4000).astype(np.uint64))

@@ -38,7 +38,7 @@ def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85).drop("group", "text_hash")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +103,18 @@ SQL = {
         r AS (SELECT vec_id, vec_id AS root FROM embeddings UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.vec_id)
         SELECT r.vec_id, any_value(coalesce(n.n, 0)) AS n_links, min(root) AS component_id, r.vec_id = min(root) AS kept
         FROM r LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = r.vec_id GROUP BY r.vec_id""",
+    "op3_setsketch_near_dedup": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END)) AS s FROM w),
+        c AS (SELECT s, min(doc_id) AS c FROM s WHERE len(s) > 0 GROUP BY s),
+        e AS (SELECT c, len(s) AS n, unnest(s) AS x FROM c),
+        i AS (SELECT a.c AS a, b.c AS b, a.n + b.n - count(*) AS together, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.c <> b.c GROUP BY a.c, b.c, a.n, b.n),
+        l AS (SELECT a, b FROM i WHERE 100 * common >= 85 * together),
+        r AS (SELECT c, c AS root FROM c UNION SELECT l.a, r.root FROM r JOIN l ON l.b = r.c),
+        g AS (SELECT c, min(root) AS component FROM r GROUP BY c)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component, s.doc_id) AS component_id, s.doc_id = coalesce(component, s.doc_id) AS kept
+        FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN g ON g.c = c.c""",
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -6,17 +6,22 @@ driver and all executors share, so a lost executor costs at most the running sta
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Bits of the map that ``maybe_in`` broadcasts: a megabyte, whatever the number of keys.
+SLOTS = 1 << 23
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only a session that names none (a test) gets a temporary one."""
+    """The session's checkpoint folder, which the driver and all executors share; a session must name one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tremolite-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -36,6 +41,23 @@ def matched(a, b):
     return (F.hash(a) == F.hash(b)) & (a == b)
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits that stand for a text (null: empty), as 32 hexadecimal digits."""
+    return F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` may be among ``keys`` (a column of that name): none that is goes missing, few others stay.
+
+    A bit map of fixed size (at most SLOTS / 64 rows of one long) is broadcast, so that rows which
+    no join would match aren't shuffled. With far more keys than slots it lets all rows through.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    bits = keys.select(slot.alias("__slot")).distinct().groupBy(F.expr("__slot div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 as int)))").alias("__bits"))
+    marked = rows.withColumn("__slot", slot).join(F.broadcast(bits), F.expr("__slot div 64") == F.col("__word"))
+    return marked.where("shiftrightunsigned(__bits, cast(__slot % 64 as int)) & 1 = 1").select(*rows.columns)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(y, text, h) of the documents whose 0/1 labels have the least hashed ids, at most ``size`` of them.
 
