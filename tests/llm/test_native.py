@@ -144,6 +144,28 @@ def test_mixing_entropy_and_budget(spark):
     assert 1990 <= 4 * len(got) <= 2000
 
 
+@pytest.mark.parametrize("supers", [2, 4096])
+def test_mixing_permutes_blocks(spark, monkeypatch, supers):
+    """Epochs have orders of their own, blocks stay together, and the last epoch is the beginning of its whole order."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 16)
+    monkeypatch.setattr(mixing, "SUPER", supers)
+    rng = random.Random(14)
+    rows = [(i, " ".join("w" for _ in range(rng.randint(0, 9))), "en", "x" if i % 3 else "y", 0) for i in range(600)]
+    total = sum(len(r[1].split()) for r in rows)
+    order = lambda got, s, e: [(r.turn, r.block, r.place, r.doc_id, r.n_tokens) for r in sorted(got, key=lambda r: (r.turn, r.block, r.place)) if (r.source, r.epoch) == (s, e)]
+    whole = temperature_mix(frame(spark, rows), entropy=0.5, budget_tokens=4 * total).collect()
+    cut = temperature_mix(frame(spark, rows), entropy=0.5, budget_tokens=int(1.6 * total)).collect()
+    for s in "xy":
+        first, second, part = order(whole, s, 0), order(whole, s, 1), order(cut, s, 1)
+        assert [r[3] for r in first] != [r[3] for r in second] and sorted(r[3] for r in first) == sorted(r[3] for r in second)
+        blocks = [r[1] for r in second]
+        assert len([1 for a, b in zip(blocks, blocks[1:]) if a != b]) + 1 == len(set(blocks)) > 3
+        assert 0 < len(part) < len(second) and part == second[: len(part)]
+        room = sum(r[4] for r in part)
+        quota = round(sum(r[4] for r in first) * 1.6)
+        assert sum(r[4] for r in first) + room <= quota + 1 and sum(r[4] for r in first) + room + 10 > quota - 10
+
+
 def test_mixing_awkward(spark):
     assert temperature_mix(frame(spark, []), repetition=2.0).count() == 0
     none = [(i, None, None, None, 0) for i in range(5)]

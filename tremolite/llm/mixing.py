@@ -1,4 +1,4 @@
-"""Temperature mixing of sources, realised as whole epochs and a last one cut in a permutation of blocks."""
+"""Temperature mixing of sources, realised as epochs that each permute blocks of rows, the last one cut at the budget."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import staged
+from .staging import matched, staged, text_hash
 
 ROWS_PER_BLOCK = 2048
+#: Most super-blocks of a source (a power of two); only the one at the cut has its blocks ordered.
+SUPER = 4096
 GRID = 16
 
 
@@ -48,23 +50,28 @@ def fitted_exponent(shares: DataFrame, entropy: float | None = None, repetition:
 
 
 def temperature_mix(df: DataFrame, entropy: float | None = None, repetition: float | None = None, budget_tokens: int | None = None, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per drawn copy: id, source, n_tokens, weight, epoch (from 0), block.
+    """One row per drawn copy: id, source, n_tokens, weight, epoch (from 0), block, ``turn``, ``place``, ``text_hash``.
 
     A source's share is its part of all tokens (runs of characters other than white space; null
     texts have none). Weights are shares to the fitted exponent, normalised. The budget is
     ``budget_tokens``, or by default the least at which no source is taken less than once, so that
     no document is lost. A source whose part of the budget is q of its t tokens gives q div t whole
-    epochs and a last one cut at the rest: rows are dealt into blocks by a hash of the id, the last
-    epoch permutes the blocks by a seed of its own, whole blocks are taken while they fit, and the
-    block at the cut gives its first rows, in hashed order, that fit. Whole epochs take every block,
-    so they are given no order: the result says how often a row is drawn, not at which position.
+    epochs and a last one cut at the rest: rows are dealt into blocks by a hash of id and text (and
+    blocks into at most 4,096 super-blocks), every epoch permutes super-blocks, the blocks in them and the
+    rows in these by hashes of its own, and of the last epoch whole blocks are taken while they fit, and of the
+    block at the cut the first rows that fit. ``turn`` says when a block's turn comes in its epoch and
+    ``place`` when a row's comes in its block: rows sorted by epoch,
+    turn, block and place are the mixture in order.
 
-    Sources are never gathered on the driver, nor is any source in one task: only sums per block
-    are ordered. Null sources are one source. Sources without any token are taken once. Documents without
-    tokens go with their block. Repeated rows are drawn separately. Empty table: empty result.
+    Sources are never gathered on the driver, nor is any source in one task: sums per super-block are
+    ordered, and sums per block only within the super-block at a source's cut. Null sources are one
+    source. Sources without any token are taken once. Documents without tokens go with their block.
+    Rows equal in id, source and text share block, turn and place, and are all drawn as often. Empty
+    table: empty result. Other columns are ignored.
     """
     tokens = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
-    rows = staged(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("s"), tokens.alias("t"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("k")))
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("s"), tokens.alias("t"), text_hash(F.col(text_col)).alias("h"))
+    rows = staged(rows.withColumn("k", F.xxhash64(F.lit(seed), "id", "h")))
     sums = staged(rows.groupBy("s").agg(F.sum("t").alias("st"), F.count("*").alias("sn")))
     total = sums.agg(F.sum("st")).first()[0] or 0
     shares = sums.where("st > 0").select((F.col("st") / F.lit(max(1, total))).alias("p"))
@@ -78,16 +85,29 @@ def temperature_mix(df: DataFrame, entropy: float | None = None, repetition: flo
         plan = plan.withColumn("q", F.least("q", F.floor(F.col("st") * F.lit(float(repetition))).cast("long")))
     plan = plan.withColumn("whole", F.when(F.col("st") > 0, F.expr("q div st")).otherwise(1)).withColumn("rest", F.when(F.col("st") > 0, F.col("q") - F.col("whole") * F.col("st")).otherwise(0))
     plan = plan.withColumn("blocks", F.ceil(F.col("sn") / F.lit(ROWS_PER_BLOCK)).cast("long")).select(F.col("s").alias("ps"), "weight", "whole", "rest", "blocks")
-    dealt = staged(rows.join(plan, F.col("s").eqNullSafe(F.col("ps"))).withColumn("block", F.pmod("k", "blocks")).select("id", "s", "t", "k", "weight", "whole", "rest", "block"))
-    per = dealt.groupBy("s", "block").agg(F.sum("t").alias("bt"), F.first("whole").alias("whole"), F.first("rest").alias("rest"))
-    turn = F.xxhash64(F.lit(seed), F.col("whole"), F.col("block"))
-    before = Window.partitionBy("s").orderBy(turn, "block").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.col("rest") - F.coalesce(F.sum("bt").over(before), F.lit(0))
-    per = per.withColumn("room", room).select(F.col("s").alias("bs"), F.col("block").alias("bb"), "bt", "room")
-    dealt = dealt.join(per, F.col("s").eqNullSafe(F.col("bs")) & (F.col("block") == F.col("bb"))).drop("bs", "bb")
+    supers = F.least(F.col("blocks"), F.lit(SUPER))
+    dealt = rows.join(plan, F.col("s").eqNullSafe(F.col("ps"))).withColumn("block", F.pmod("k", "blocks")).withColumn("super", F.pmod("block", supers))
+    dealt = staged(dealt.select("id", "s", "t", "h", "k", "weight", "whole", "rest", "block", "super"))
+    mixed = lambda *c: F.shiftright(F.xxhash64(F.lit(seed), *c), 32)
+    major = lambda epoch: mixed(epoch, F.col("super")).bitwiseAND(F.lit(-SUPER)) + F.col("super")
+    turn = lambda epoch: F.shiftleft(major(epoch), 32) + mixed(epoch, F.col("block"), F.lit(1)) + F.lit(1 << 31)
+    place = lambda epoch: F.xxhash64(epoch, "k")
+    last = F.col("whole")
+    per = staged(dealt.groupBy("s", "super", "block").agg(F.sum("t").alias("bt"), F.first("whole").alias("whole"), F.first("rest").alias("rest")))
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    great = per.groupBy("s", "super", "whole", "rest").agg(F.sum("bt").alias("gt"))
+    great = great.withColumn("left", F.col("rest") - F.coalesce(F.sum("gt").over(upto("s").orderBy(major(last))), F.lit(0)))
+    great = great.select(F.col("s").alias("gs"), F.col("super").alias("gg"), "gt", "left")
+    per = per.join(great, F.col("s").eqNullSafe(F.col("gs")) & (F.col("super") == F.col("gg"))).drop("gs", "gg")
+    at_cut = (F.col("left") > 0) & (F.col("left") < F.col("gt"))
+    inner = per.where(at_cut).withColumn("room", F.col("left") - F.coalesce(F.sum("bt").over(upto("s").orderBy(turn(last), "block")), F.lit(0)))
+    outer = per.where(~at_cut).withColumn("room", F.when(F.col("left") > 0, F.col("bt")).otherwise(F.lit(0)))
+    per = inner.unionByName(outer).select(F.col("s").alias("bs"), F.col("block").alias("bb"), "bt", "room")
+    dealt = dealt.join(per, F.col("s").eqNullSafe(F.col("bs")) & matched(F.col("block"), F.col("bb"))).drop("bs", "bb")
     cut = (F.col("room") > 0) & (F.col("room") < F.col("bt"))
-    upto = Window.partitionBy("s", "block").orderBy(F.xxhash64("k", "whole"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = dealt.where(cut).withColumn("extra", (F.sum("t").over(upto) <= F.col("room")).cast("long"))
+    first = Window.partitionBy("s", "block").orderBy(place(last), "k").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = dealt.where(cut).withColumn("extra", (F.sum("t").over(first) <= F.col("room")).cast("long"))
     outside = dealt.where(~cut).withColumn("extra", ((F.col("room") > 0) & (F.col("rest") > 0)).cast("long"))
     drawn = inside.unionByName(outside).withColumn("copies", F.col("whole") + F.col("extra")).where("copies > 0")
-    return drawn.select(F.col("id").alias(id_col), F.col("s").alias(source_col), F.col("t").alias("n_tokens"), "weight", F.explode(F.expr("sequence(0L, copies - 1)")).alias("epoch"), "block")
+    drawn = drawn.withColumn("epoch", F.explode(F.expr("sequence(0L, copies - 1)")))
+    return drawn.select(F.col("id").alias(id_col), F.col("s").alias(source_col), F.col("t").alias("n_tokens"), "weight", "epoch", "block", turn(F.col("epoch")).alias("turn"), place(F.col("epoch")).alias("place"), F.col("h").alias("text_hash"))

@@ -160,24 +160,26 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return AttentionModel().fit(np.concatenate(bags).astype(float), rows_of, y)
 
 
-def quality_scores(df: DataFrame, model: AttentionModel | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Every row's id, or the columns ``keep``, and ``score``, 0 to 1: how likely its whole text has label 1.
+def quality_scores(df: DataFrame, model: AttentionModel | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Every row's id and ``score``, 0 to 1: how likely its whole text has label 1. With ``carry`` all of the
+    row's columns come in one struct ``row`` instead of the id, so that no name can clash.
 
     The model is small and of fixed size. Without one (no labels of both kinds) every score is 0.5.
     Null and empty texts are one passage of zeros and get that bag's score. Long texts are bags of
     many passages; all count. Rows keep their ids, null or repeated. Nothing is shuffled. Empty
     table: empty result. Other columns are ignored.
     """
-    columns = keep or [id_col]
-    rows = df.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    schema = rows.select(*columns, F.lit(0.0).alias("score")).schema
+    kept = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row") if carry else F.col(id_col)
+    rows = df.select(kept, F.col(text_col).cast("string").alias("__text"))
+    name = "row" if carry else id_col
+    schema = rows.select(F.col(name), F.lit(0.0).alias("score")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b, at = B.text_buffers(batch.column(len(columns)))
+            b, at = B.text_buffers(batch.column(1))
             scores = [model.score(b[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in B.runs(at)] if model else []
             B.shrink_powers()
             p = np.concatenate(scores) if scores else np.full(batch.num_rows, 0.5)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(p)], [*columns, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], [name, "score"])
 
     return rows.mapInArrow(run, schema)

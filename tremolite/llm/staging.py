@@ -31,6 +31,12 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def matched(a, b):
     """That keys a and b are equal, said so that a hot key can be split.
 
