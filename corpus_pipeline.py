@@ -1,4 +1,10 @@
-"""A training corpus from raw documents in five stages, each on all that the one before it kept."""
+"""A training corpus from raw documents in five stages, each on all that the one before it kept.
+
+Decisions are carried by the document's id together with a hash of its text, never by the id alone, and a
+row's columns travel in one struct, so neither repeated or null ids nor any column name mislead a stage.
+Rows equal in id and text are one document. Every stage takes null and empty texts, texts of any length
+and empty tables; extra columns are passed on by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -13,38 +19,61 @@ from tremolite.llm.mixing import temperature_mix
 from tremolite.llm.quality import fit_quality, quality_scores
 from tremolite.llm.queries import learned_from, tokenizer_path
 from tremolite.llm.setsketch import near_duplicates
+from tremolite.llm.staging import matched, removed, shared_folder, staged, text_hash
+
+
+def _packed(docs: DataFrame, digest) -> DataFrame:
+    """Each document as (row, id, hash)."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("hash"))
 
-#: No column of documents is named like this.
-_OWN = "__kept_id"
+
+def _only(docs: DataFrame, decided: DataFrame, digest) -> DataFrame:
+    """The documents that ``decided`` (id, hash, stay; one row a document) lets stay, one of those equal in id and text.
+
+    Only the pairs of id and hash that go, or that several rows share, are joined to the documents.
+    """
+    marks = decided.groupBy("id", "hash").agg(F.max("stay").alias("stay"), F.count("*").alias("c")).where("not stay or c > 1")
+    marks = staged(marks.withColumnsRenamed({"id": "m_id", "hash": "m_hash"}))
+    same = matched(F.col("hash"), F.col("m_hash")) & F.col("id").eqNullSafe(F.col("m_id"))
+    joined = _packed(docs, digest).join(marks, same, "left")
+    if marks.where("stay").isEmpty():
+        return joined.where("c is null").select("row.*")
+    once = joined.where("stay").groupBy("id", "hash").agg(F.first("row").alias("row"))
+    return joined.where("c is null").select("row").unionByName(once.select("row")).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject (score at least 0.3)."""
+    """Documents that the quality classifier doesn't reject (score at least 0.3); repeated rows all stay or all go."""
     model = fit_quality(*learned_from(spark, sf_dir, "quality", 5, 0))
-    return quality_scores(docs, model, keep=docs.columns).where("score >= 0.3").select(*docs.columns)
+    return quality_scores(docs, model, carry=True).where("score >= 0.3").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest doc_id."""
-    dropped = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias(_OWN)).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col(_OWN), "left_anti")
+    """Of equal texts, the document with the smallest doc_id; null texts count as empty, null ids as largest."""
+    found = exact_dedup(docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("hash"), F.col("kept").alias("stay"))
+    return _only(docs, found, lambda text: F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id."""
-    dropped = near_duplicates(docs, k=5, percent=80).where("not kept").select(F.col("doc_id").alias(_OWN)).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col(_OWN), "left_anti")
+    """Of near-duplicates (five-word shingles, similarity 0.8), the document with the smallest doc_id; of several
+    texts with that id, the one of the least hash."""
+    found = staged(near_duplicates(docs, k=5, percent=80).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "group", "kept"))
+    least = found.where("kept").groupBy("group").agg(F.min("hash").alias("first"), F.max("hash").alias("last")).where("first < last").withColumnRenamed("group", "l_group")
+    decided = found.join(least, matched(F.col("group"), F.col("l_group")), "left").withColumn("stay", F.col("kept") & F.coalesce(F.col("hash") == F.col("first"), F.lit(True)))
+    return _only(docs, decided.select("id", "hash", "stay"), text_hash)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as temperature mixing draws them: each at least once, none more than twice, copies in no order."""
-    drawn = temperature_mix(docs, repetition=2.0).groupBy("doc_id").agg((F.max("epoch") + 1).alias("__times")).withColumnRenamed("doc_id", _OWN)
-    times = F.explode(F.expr("sequence(1L, __times)")).alias("__time")
-    return docs.join(drawn, F.col("doc_id").eqNullSafe(F.col(_OWN))).select(*docs.columns, times).select(*docs.columns)
+    """Documents as often as temperature mixing draws them (each at least once, none more than twice), written in the
+    order of the mixture: epoch by epoch, blocks and the rows in them permuted, sources interleaved."""
+    drawn = temperature_mix(docs, repetition=2.0).select(F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.col("text_hash").alias("d_hash"), "epoch", "turn", "block", "place").distinct()
+    same = matched(F.col("hash"), F.col("d_hash")) & F.col("id").eqNullSafe(F.col("d_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("d_source"))
+    return _packed(docs, text_hash).join(drawn, same).orderBy("epoch", "turn", "block", "place").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document."""
+    """The token ids of every document, packed as little-endian unsigned 32-bit integers; null and empty texts have none."""
     return bpe_encode(docs, tokenizer_path())
 
 
@@ -55,12 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, each stage written to the shared folder and read again."""
-    from tremolite.llm.staging import shared_folder
-
+    """The last stage's rows, each stage written to the shared folder and read again; a stage's folder goes once the next one stands."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            removed(spark, f"{folder}/{i - 1}")
     return docs
