@@ -173,6 +173,24 @@ def test_embedding_awkward(spark):
     assert got == {(1, 3, 1, True), (2, 3, 1, False), (5, 3, 1, False), (6, 3, 1, False), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)}
 
 
+def test_an_id_with_two_vectors(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.0], 1), (3, [0.01, 1.0], 1), (2, [1.0, 0.0], 1), (2, [1.0, 0.0], 2), (None, [0.0, 1.0], 1), (4, [0.0, 1.0], None)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (2, 1, 1, False), (2, 0, 2, True), (3, 1, 1, False), (None, 0, None, True), (4, 0, 4, True)], key=str)
+
+
+def test_cells_take_little_memory_on_the_driver():
+    import tracemalloc
+
+    x = np.random.default_rng(2).normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tracemalloc.start()
+    centres = embed_dedup.fitted_cells(x, 1_000_000, 0.2)
+    assert len(centres) >= 1 and tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_embeddings_of_mixed_lengths(spark):
     rng = random.Random(4)
     rows = [(i, v and v[: (8, 8, 8, 5, 3)[i % 5]], c) for i, v, c in vector_rows(rng, 150)]

@@ -16,7 +16,7 @@ from .staging import matched, staged
 
 #: Most vectors on which the cells are fitted, and most cells: both bound what the driver holds and broadcasts.
 SAMPLE = 20_000
-CELLS = 512
+CELLS = 2048
 PER_CELL = 400
 #: Most cells that a vector is compared in, on average over the sample.
 VISITS = 6
@@ -36,17 +36,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) ->
     return np.unique(centres, axis=0)
 
 
+def walls(centres: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """Distances of the home centres from all centres, never too small by rounding."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (centres[home] @ centres.T))) + 1e-6
+
+
+def visited(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Every unit vector's home cell, and which cells it is compared in: those that may be home to a vector within ``reach`` (a chord)."""
+    near = x @ centres.T
+    home = near.argmax(1)
+    return home, near[np.arange(len(x)), home][:, None] - near <= reach * walls(centres, home) + 1e-9
+
+
 def fitted_cells(x: np.ndarray, total: int, reach: float) -> np.ndarray:
     """Centres for ``total`` vectors like the sample x: as many as PER_CELL asks for, halved until a vector visits
     VISITS cells at most on average. Where walls are near everywhere, more cells would only mean more copies."""
     k = max(1, min(CELLS, math.ceil(total / PER_CELL)))
     while True:
         centres = spherical_kmeans(x, k)
-        some = x[:2048]
-        near = some @ centres.T
-        home = near.argmax(1)
-        wall = np.linalg.norm(centres[home][:, None] - centres[None], axis=2)
-        if len(centres) == 1 or (near.max(1)[:, None] - near <= reach * wall + 1e-9).sum(1).mean() <= VISITS:
+        some = [visited(x[i : i + 256], centres, reach)[1].sum() for i in range(0, min(len(x), 2048), 256)]
+        if len(centres) == 1 or sum(some) <= VISITS * min(len(x), 2048):
             return centres
         k = len(centres) // 2
 
@@ -67,42 +76,40 @@ def _unit(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _placed(centres: np.ndarray, width: int, reach: float):
-    """Every vector's home cell, and the other cells that may be home to a vector within ``reach`` (a chord).
-    Vectors of another length than the cells' are all in one cell, apart by their labels."""
+    """Every vector once for each cell that it is compared in, ``home`` in one of them. Vectors of another
+    length than the cells' are all in one cell, apart by their labels."""
+    names = ["node", "label", "w", "cell", "home", "unit"]
+
+    def out(batch: pa.RecordBatch, rows: np.ndarray, cell: np.ndarray, home: np.ndarray, unit: list[bytes]) -> pa.RecordBatch:
+        pick = pa.array(rows)
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(pick) for c in range(3)), pa.array(cell, pa.int32()), pa.array(home), pa.array(unit, pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart = np.linalg.norm(centres[:, None] - centres[None], axis=2) if len(centres) * len(centres) * width < 2e7 else None
         for batch in batches:
-            y, good = _unit(batch.column(2), width)
+            y, good = _unit(batch.column(3), width)
             at = np.flatnonzero(good)
-            for i in range(0, len(y), 2048):
-                part, rows = y[i : i + 2048], at[i : i + 2048]
-                near = part @ centres.T
-                home = near.argmax(1)
-                gap = near[np.arange(len(part)), home][:, None] - near
-                wall = apart[home] if apart is not None else np.stack([np.linalg.norm(centres - centres[c], axis=1) for c in home])
-                row, cell = np.nonzero(gap <= reach * wall + 1e-9)
-                flat = np.ascontiguousarray(part)
-                raw = pa.array([flat[r].tobytes() for r in row.tolist()], pa.binary())
-                pick = pa.array(rows[row])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(cell, pa.int32()), pa.array(home[row] == cell), raw], ["id", "label", "cell", "home", "unit"])
-            for other in pc.unique(pc.list_value_length(batch.column(2))).to_pylist():
+            for i in range(0, len(y), 1024):
+                part, rows = np.ascontiguousarray(y[i : i + 1024]), at[i : i + 1024]
+                home, near = visited(part, centres, reach)
+                row, cell = np.nonzero(near)
+                yield out(batch, rows[row], cell, home[row] == cell, [part[r].tobytes() for r in row.tolist()])
+            for other in pc.unique(pc.list_value_length(batch.column(3))).to_pylist():
                 if other and other != width:
-                    y, good = _unit(batch.column(2), other)
-                    pick, n = pa.array(np.flatnonzero(good)), len(y)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, bool)), pa.array([v.tobytes() for v in y], pa.binary())], ["id", "label", "cell", "home", "unit"])
+                    y, good = _unit(batch.column(3), other)
+                    yield out(batch, np.flatnonzero(good), np.zeros(len(y)), np.ones(len(y), bool), [v.tobytes() for v in y])
 
     return run
 
 
 def _products(cosine: float):
-    """Counts and links of every block pair: rows against the home rows of a cell."""
-    names = ["label", "cell", "rows", "homes", "id", "as_row", "as_home", "unit"]
+    """Counts and links of every block pair: rows against the home rows of a cell. A row counts for as many as it weighs."""
+    names = ["label", "cell", "rows", "homes", "id", "w", "as_row", "as_home", "unit"]
 
     def links(group: dict) -> pa.RecordBatch:
         ids, as_row, as_home = np.array(group["id"], np.int64), np.array(group["as_row"]), np.array(group["as_home"])
         unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(ids), -1)
         row, home = np.flatnonzero(as_row), np.flatnonzero(as_home)
+        weight = np.array(group["w"], np.int64)[home]
         counts = np.zeros(len(row), np.int64)
         parent = np.arange(len(ids))
 
@@ -117,8 +124,8 @@ def _products(cosine: float):
             part = row[i : i + 256]
             near = unit[part] @ unit[home].T >= cosine
             near &= ids[part][:, None] != ids[home][None]
-            counts[i : i + 256] = near.sum(1)
-            for r in np.flatnonzero(counts[i : i + 256]).tolist():
+            counts[i : i + 256] = near @ weight
+            for r in np.flatnonzero(near.any(1)).tolist():
                 mine = find(part[r])
                 for other in np.unique(parent[home[near[r]]]).tolist():
                     other = find(other)
@@ -153,48 +160,59 @@ def embedding_near_duplicates(df: DataFrame, cosine: float = 0.98, id_col: str =
     """One row per vector: id, ``n_links``, ``component_id``, ``kept`` (id = component_id).
 
     Vectors are linked when their labels are equal and their cosine, in double precision, is at least
-    ``cosine``. Spherical k-means, fitted on at most 20,000 vectors (those of the least hashed ids),
-    gives at most 512 cells, and fewer if vectors would lie near the walls of too many. A vector is compared in its home cell and in every cell whose wall lies
-    within the chord that ``cosine`` allows, so no pair is lost to a wall: the bound is exact and the
-    fit of the cells only affects speed. In a cell, blocks of at most 1,024 rows meet blocks of at
-    most 1,024 home rows, each pair of blocks in a task of its own; a block pair returns counts and a
-    spanning set of links, never all pairs. Components are then found on those links.
+    ``cosine``. Equal vectors of a label are one class, of which one is compared and counts for all ids.
+    Spherical k-means, fitted on at most 20,000 vectors (those of the least hashes), gives at most 2,048
+    cells, and fewer if vectors would lie near the walls of too many. A vector is compared in its home cell
+    and in every cell whose wall lies within the chord that ``cosine`` allows, so no pair is lost to a wall:
+    the bound is exact and the fit of the cells only affects speed. In a cell, blocks of at most 1,024 rows
+    meet blocks of at most 1,024 home rows, each pair of blocks in a task of its own; a block pair returns
+    counts and a spanning set of links, never all pairs. Components are then found on those links.
 
     The cells are of the commonest length; the vectors of a label and another length are all compared
     with one another, block by block. Vectors that are null, zero, or hold null or non-finite
-    components link with nothing, as do rows whose label is null: n_links 0, kept. Repeated ids count
-    as one vector and get equal rows. Ids are integers; a null id links with nothing, and its
-    component is null. Empty table: empty result. Other columns are ignored.
+    components link with nothing, as do rows whose label is null: n_links 0, kept. Rows that repeat an id,
+    label and vector count as one vector and get equal rows; an id with different vectors stands for
+    different vectors, each row with the links of its own. Ids are integers; a null id links with
+    nothing, and its component is null. Empty table: empty result. Other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    usable = rows.where("id is not null and label is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)").dropDuplicates(["id", "label"])
-    widths = usable.groupBy(F.size("vector").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    out = rows.select("id")
+    usable = F.expr("id is not null and label is not null and size(vector) > 0 and not exists(vector, x -> x is null or isnan(x) or abs(x) = double('infinity')) and exists(vector, x -> x <> 0)")
+    rows = staged(rows.withColumns({"usable": F.coalesce(usable, F.lit(False)), "d1": F.xxhash64("label", "vector"), "d2": F.xxhash64(F.lit(1), "label", "vector"), "row": F.monotonically_increasing_id()}))
+    ids = rows.where("usable").groupBy("d1", "d2", "id").agg(F.min("row").alias("row"))
+    classes = staged(ids.groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("id").alias("leader"), F.count("*").alias("w")).withColumnsRenamed({"d1": "c1", "d2": "c2"}))
+    out = rows.select("row", "id", F.when(F.col("usable"), F.col("d1")).alias("d1"), "d2").join(classes, matched(F.col("d1"), F.col("c1")) & (F.col("d2") == F.col("c2")), "left").select("row", "id", "node", "leader", "w")
+    first = rows.join(classes.select("node", "w"), matched(F.col("row"), F.col("node"))).select("node", "label", "w", "vector", "d1")
+    widths = first.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if widths is None:
-        return _result(out.withColumn("n", F.lit(0)).withColumn("component", F.col("id")), id_col)
+        return _result(out.withColumns({"n": F.lit(0), "least": F.lit(None).cast("long")}), id_col)
     width, total = widths
-    sample = usable.where(F.size("vector") == width).select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
+    sample = first.where(F.size("vector") == width).orderBy("d1").limit(SAMPLE).select("vector").toArrow()
     y, _ = _unit(sample.column(0).combine_chunks(), width)
     reach = math.sqrt(max(0.0, 2 - 2 * cosine))
     centres = fitted_cells(y, total, reach)
-    placed = staged(usable.select("id", F.concat_ws(":", F.size("vector"), "label").alias("label"), "vector").mapInArrow(_placed(centres, width, reach), "id long, label string, cell int, home boolean, unit binary"))
+    placed = first.select("node", F.concat_ws(":", F.size("vector"), "label").alias("label"), "w", "vector").mapInArrow(_placed(centres, width, reach), "node long, label string, w long, cell int, home boolean, unit binary")
+    placed = staged(placed)
 
     cells = placed.groupBy("label", "cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("m")).where("m > 0").withColumnsRenamed({"label": "cl", "cell": "cc"})
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    both = placed.join(cells, (F.col("label") == F.col("cl")) & matched(F.col("cell"), F.col("cc"))).withColumn("row_block", F.pmod(F.xxhash64("id"), blocks("n")).cast("int")).withColumn("home_block", F.pmod(F.xxhash64("id", F.lit(1)), blocks("m")).cast("int"))
+    both = placed.join(cells, (F.col("label") == F.col("cl")) & matched(F.col("cell"), F.col("cc"))).withColumn("row_block", F.pmod(F.xxhash64("node"), blocks("n")).cast("int")).withColumn("home_block", F.pmod(F.xxhash64("node", F.lit(1)), blocks("m")).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), blocks(c) - 1)
     flags = lambda a, b: (F.lit(a).alias("as_row"), F.lit(b).alias("as_home"))
-    as_row = both.select("label", "cell", F.col("row_block").alias("rows"), F.explode(upto("m")).alias("homes"), "id", *flags(True, False), "unit")
-    as_home = both.where("home").select("label", "cell", F.explode(upto("n")).alias("rows"), F.col("home_block").alias("homes"), "id", *flags(False, True), "unit")
+    as_row = both.select("label", "cell", F.col("row_block").alias("rows"), F.explode(upto("m")).alias("homes"), "node", "w", *flags(True, False), "unit")
+    as_home = both.where("home").select("label", "cell", F.explode(upto("n")).alias("rows"), F.col("home_block").alias("homes"), "node", "w", *flags(False, True), "unit")
     by = ["label", "cell", "rows", "homes"]
     met = as_row.unionByName(as_home).repartition(*by).sortWithinPartitions(*by)
     made = staged(met.mapInArrow(_products(cosine), "id long, other long, n long"))
-    counts = made.where("other = -1").groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "n_id")
-    linked = components(made.where("other <> -1"), "id", "other")
-    out = out.join(counts, F.col("id") == F.col("n_id"), "left").join(linked, F.col("id") == F.col("node"), "left")
+    counts = made.where("other = -1").groupBy("id").agg(F.sum("n").alias("n")).withColumnRenamed("id", "n_node")
+    linked = components(made.where("other <> -1"), "id", "other").withColumnsRenamed({"node": "f_node", "component": "f_group"})
+    linked = staged(linked.join(classes.select("node", "leader"), F.col("f_node") == F.col("node")).select("f_node", "f_group", "leader"))
+    leaders = linked.groupBy("f_group").agg(F.min("leader").alias("least")).withColumnRenamed("f_group", "l_group")
+    linked = linked.join(leaders, matched(F.col("f_group"), F.col("l_group"))).select("f_node", "least")
+    out = out.join(counts, matched(F.col("node"), F.col("n_node")), "left").join(linked, matched(F.col("node"), F.col("f_node")), "left")
     return _result(out, id_col)
 
 
 def _result(df: DataFrame, id_col: str) -> DataFrame:
-    component = F.coalesce("component", "id")
-    return df.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("least", "leader", "id").cast("long")
+    links = F.coalesce("n", F.lit(0)) + F.coalesce(F.col("w") - 1, F.lit(0))
+    return df.select(F.col("id").alias(id_col), links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
