@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import matched, staged
+from .staging import matched, maybe_in, staged
 
 #: Tasks among which the copies of one text are dealt when bytes are compared.
 SALTS = 16
@@ -26,7 +26,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     Only hashes are grouped and joined, pre-aggregated before the shuffle. For hashes seen more
     than once, the smallest and largest text are compared: the copies are dealt out by a salt, and
-    each task sends on one pair for a hash. Only where those differ (a collision) are the texts
+    each task sends on one pair for a hash (a bit map keeps texts of other hashes out of the shuffle). Only where those differ (a collision) are the texts
     themselves made part of the key.
 
     Empty table: empty result. Rows that repeat an id and text are all marked alike. A null id is
@@ -37,9 +37,10 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), (normalise(text) if normalise else text).alias("t"))
     thin = staged(rows.select("id", hashed(F.col("t")).alias("h"), F.sha2("t", 256).alias("sha")))
-    repeated = thin.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    repeated = staged(thin.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    again = rows.withColumn("h", hashed(F.col("t"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
+    again = maybe_in(rows.withColumn("h", hashed(F.col("t"))), repeated, "h")
+    again = again.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["h", "salt"], "left_semi")
     collided = staged(again.groupBy("h").agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a < b").select("h"))
     keyed = thin.withColumn("sub", F.lit(None).cast("string"))
     if not collided.isEmpty():
