@@ -6,6 +6,8 @@ driver and all executors share, so a lost executor costs at most the running sta
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,22 +17,17 @@ SLOTS = 1 << 23
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which the driver and all executors share; a session must name one."""
+    """The session's checkpoint folder, which the driver and all executors share. Only a session on one machine
+    (a test) may name none and gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
+        if not folder and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tremolite-"))
     return sc.getCheckpointDir()
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def removed(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate rows that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
