@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremolite.functions import special
+from tremolite.functions import normal, special
 from tremolite.functions.distributions import DISTRIBUTIONS, distribution
 from tremolite.functions.registry import build_model, drive_model, load_extension, register_function, register_model
 from tremolite.functions.series import factor
@@ -37,7 +37,7 @@ def test_gate_spacing(spark):
     times = [r.t for r in R.gate(rows, ["k"], 0.01).where("emitted").orderBy("t").collect()]
     assert all(abs(b - a - 0.01) < 1e-4 for a, b in zip(times, times[1:], strict=False))
     odd = spark.range(1100).select(F.lit(1).alias("k"), (F.col("id") * 0.0007).alias("t"))
-    got = [r.t for r in R.gate_long(odd, ["k"], 0.01).where("emitted").collect()]
+    got = [r.t for r in R.gate(odd, ["k"], 0.01).where("emitted").collect()]
     assert got == gate_by_hand([i * 0.0007 for i in range(1100)], 0.01) and len(got) == 74
     assert R.gate(rows, ["k"], 0).where("emitted").count() == 1100
 
@@ -131,12 +131,101 @@ def test_bivariate_and_bounds(spark):
     assert s(np.array([0.5, 2.0])) == pytest.approx(6.25)
 
 
+def oscillated(force, *settings):
+    step, result = A.oscillator(*settings)
+    for p in force:
+        step(float(p))
+    return result()
+
+
 def test_oscillator_is_elastic_below_yield():
     dt, k, m = 0.01, 100.0, 1.0
-    u_max, u_end, plastic, a_max, _ = A.oscillator(np.full(2000, 1.0), dt, m, 0.05, k, 1e9, 0.0)
+    u_max, u_end, plastic, a_max, _ = oscillated(np.full(2000, 1.0), dt, m, 0.05, k, 1e9, 0.0)
     assert plastic == 0 and u_end == pytest.approx(1 / k, rel=1e-2)
     assert u_max == pytest.approx(1 / k * (1 + math.exp(-math.pi * 0.05 / math.sqrt(1 - 0.0025))), rel=1e-2)
-    assert A.oscillator(np.full(500, 5.0), dt, m, 0.05, k, 3.0, 0.02)[2] > 0
+    assert oscillated(np.full(500, 5.0), dt, m, 0.05, k, 3.0, 0.02)[2] > 0
+
+
+@pytest.mark.parametrize("alpha", [0.0, 0.02, 0.3])
+@pytest.mark.parametrize("residual", [0.0, 0.01])
+def test_oscillator_keeps_equilibrium(alpha, residual):
+    """Every step satisfies the equation of motion, found here by bisection on the hysteretic spring."""
+    rng = np.random.default_rng(5)
+    dt, m, z, k, fy = 0.02, 1.3, 0.05, 90.0, 2.0
+    c, h = 2 * z * math.sqrt(k * m), alpha / (1 - alpha) * k
+    force = rng.normal(0, 3, 300)
+    u, v, a, up, most, fast = residual, 0.0, 0.0, residual, 0.0, 0.0
+
+    def spring(x, up):
+        trial = k * (x - up)
+        over = abs(trial - h * up) - fy
+        flow = math.copysign(max(over, 0.0) / (k + h), trial - h * up)
+        return trial - k * flow, up + flow
+
+    for p in force:
+        acc = lambda x, u=u, v=v, a=a: 4 / dt**2 * (x - u) - 4 / dt * v - a
+        vel = lambda x, u=u, v=v: 2 / dt * (x - u) - v
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if m * acc(mid) + c * vel(mid) + spring(mid, up)[0] < p else (low, mid)
+        u, v, a, up = mid, vel(mid), acc(mid), spring(mid, up)[1]
+        most, fast = max(most, abs(u)), max(fast, abs(a))
+    u_max, u_end, plastic, a_max, _ = oscillated(force, dt, m, z, k, fy, alpha, residual)
+    assert (u_max, u_end, plastic, a_max) == pytest.approx((most, u, up, fast), rel=1e-6)
+
+
+def test_normal_law_against_the_library(spark):
+    from statistics import NormalDist
+
+    law = NormalDist()
+    z = [x / 8 for x in range(-60, 61)]
+    rows = spark.createDataFrame([(x, min(max(law.cdf(x), 1e-9), 1 - 1e-9)) for x in z], "z double, p double")
+    for r in rows.select("z", "p", normal.cdf(F.col("z")).alias("cdf"), normal.pdf(F.col("z")).alias("pdf"), normal.inverse(F.col("p")).alias("x")).collect():
+        assert r.cdf == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), rel=1e-9, abs=1e-15)
+        assert r.pdf == pytest.approx(law.pdf(r.z), rel=1e-12)
+        assert r.x == pytest.approx(law.inv_cdf(r.p), rel=2e-9, abs=2e-9)
+
+
+def test_bivariate_columns_against_integration(spark):
+    rows = [(0.3, -0.2, rho) for rho in (-0.9, -0.4, 0.25, 0.7, 0.95)]
+    got = spark.createDataFrame(rows, "a double, b double, rho double").select("rho", P.bivariate_cdf("a", "b", "rho").alias("p")).collect()
+    x = np.linspace(-9, 0.3, 40_001)
+    for r in got:
+        inner = np.array([0.5 * math.erfc(-(-0.2 - r.rho * t) / math.sqrt(2 * (1 - r.rho**2))) for t in x])
+        f = np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * inner
+        assert r.p == pytest.approx(((f[1:] + f[:-1]) / 2 * np.diff(x)).sum(), abs=1e-7)
+
+
+def test_path_options(spark):
+    path = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 3.0, -2.0, 5.0])], "k string, i int, v double")
+    times = spark.createDataFrame([("a", t) for t in (-0.1, 0.0, 0.25, 0.5, 1.0, 1.5, 1.75, 2.0, 9.0)], "k string, t double")
+    value = lambda **o: [r.factor for r in S.interpolate(times, path, ["k"], 0.5, **o).orderBy("t").collect()]
+    assert value() == [0.0, 1.0, 2.0, 3.0, -2.0, 0.0, 0.0, 0.0, 0.0]
+    assert value(use_last=True, factor=2.0) == [0.0, 2.0, 4.0, 6.0, -4.0, 10.0, 10.0, 10.0, 10.0]
+    assert value(start=0.5) == [0.0, 0.0, 0.0, 1.0, 3.0, -2.0, 1.5, 0.0, 0.0]
+    assert value(prepend_zero=True, use_last=True) == [0.0, 0.0, 0.5, 1.0, 3.0, -2.0, 1.5, 5.0, 5.0]
+
+
+def test_long_path_in_one_series(spark):
+    n = 200_000
+    path = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 2.0).alias("t"), (F.col("id") % 7).cast("double").alias("v"))
+    asked = spark.range(n - 1).select(F.lit(1).alias("k"), (F.col("id") * 2.0 + 1.0).alias("t"))
+    out = S.interpolate_times(asked, path, ["k"])
+    want = sum(((i % 7) + ((i + 1) % 7)) / 2 for i in range(n - 1))
+    assert out.agg(F.sum("factor")).first()[0] == pytest.approx(want)
+
+
+def test_motions_given_in_any_form(spark):
+    rows = spark.range(1, 200).select(F.lit(1).alias("k"), "id", F.sin(F.col("id") * 0.05).alias("a"))
+    one = S.ground_motion(rows, ["k"], "id", "a", 0.05)
+    for given in ("velocity", "displacement"):
+        again = S.ground_motion(one.select("k", "id", F.col(given).alias("x")), ["k"], "id", "x", 0.05, given)
+        both = one.select("id", F.col("acceleration").alias("a0"), F.col("displacement").alias("d0")).join(again, "id")
+        assert both.agg(F.max(F.abs(F.col("a0") - F.col("acceleration")))).first()[0] < 1e-6
+        assert both.agg(F.max(F.abs(F.col("d0") - F.col("displacement")))).first()[0] < 1e-9
+    peak = S.motion_peaks(one, ["k"]).first()
+    assert peak.peak_acceleration == pytest.approx(1.0, abs=1e-3)
 
 
 def test_damage_never_falls(spark):

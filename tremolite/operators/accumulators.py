@@ -37,7 +37,7 @@ def normalized_peak(rows: DataFrame, by: list[str], order: str, largest: float,
     upto = _upto(by, order)
     d, f = F.col(defo), F.col(force)
     if kind == "plastic_energy":
-        return _folded(rows, by, order, [defo, force, stiffness], lambda: _plastic_peak(largest, least))
+        return folded(rows, by, order, [defo, force, stiffness], lambda: _plastic_peak(largest, least))
     if kind == "total_energy":
         rows = rows.withColumn("__de", _energy(by, order, force, defo))
         scalar = F.sum("__de").over(upto)
@@ -60,11 +60,11 @@ def _plastic_peak(largest: float, least: float) -> Callable[[float, float, float
     return step
 
 
-def _folded(rows: DataFrame, by: list[str], order: str, inputs: list[str], start: Callable[[], Callable]) -> DataFrame:
+def folded(rows: DataFrame, by: list[str], order: str, inputs: list[str], start: Callable[[], Callable], out_col: str = "damage") -> DataFrame:
     """A recurrence along each series: sorted partitions are read as a stream, one state at a time, so
-    a series may be of any length. Adds ``damage``."""
+    a series may be of any length. Adds a column of doubles, null where a step returns None."""
     rows = rows.repartition(*by).sortWithinPartitions(*by, order)
-    schema = rows.withColumn("damage", F.lit(0.0)).schema
+    schema = rows.withColumn(out_col, F.lit(None).cast("double")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, step = None, None
@@ -74,84 +74,109 @@ def _folded(rows: DataFrame, by: list[str], order: str, inputs: list[str], start
                 if k != key:
                     key, step = k, start()
                 out.append(step(*values))
-            yield batch.assign(damage=np.array(out, float))
+            yield batch.assign(**{out_col: pd.array(out, dtype="Float64")})
 
     return rows.mapInPandas(run, schema)
 
 
-def hysteretic_energy(rows: DataFrame, by: list[str], order: str, total: float, power: float, defo: str = "defo", force: str = "force", stiffness: str = "stiffness") -> DataFrame:
-    """Energy of excursions between zero forces, to a power, of what the capacity leaves; excursions combine as
-    a + b - ab, and the index never falls. The zero crossing is weighted by the forces as recorded, with
-    their signs; one without a real power counts as 0."""
-
-    def part(energy: float, left: float) -> float:
-        ratio = energy / left if left else math.inf
-        return ratio**power if ratio >= 0 and math.isfinite(ratio) else 0.0
-
-    def start() -> Callable[[float, float, float], float]:
-        d0 = f0 = cycle = spent = excursion = cyclic = worst = 0.0
-
-        def step(d: float, f: float, k: float) -> float:
-            nonlocal d0, f0, cycle, spent, excursion, cyclic, worst
-            if f == 0:
-                cyclic, cycle = cyclic + excursion - excursion * cyclic, 0.0
-            elif f0 * f < 0:
-                zero = (d + d0) / 2 if abs(f0 + f) < 1e-6 else (f0 * d + f * d0) / (f0 + f)
-                before = 0.5 * f0 * (zero - d0)
-                ended = part(cycle + before, total - spent - before)
-                cyclic = cyclic + ended - ended * cyclic
-                cycle = 0.5 * f * (d - zero)
-                spent += cycle  # the part up to the crossing isn't carried on
-            else:
-                gain = 0.5 * (f + f0) * (d - d0)
-                cycle, spent = cycle + gain, spent + gain
-            elastic = 0.5 * f * f / k if k else 0.0
-            if cycle < elastic or spent < elastic:
-                elastic = 0.0
-            excursion = part(cycle - elastic, total - spent)
-            d0, f0 = d, f
-            worst = max(worst, cyclic + excursion - excursion * cyclic)
-            return worst
+def reduced(rows: DataFrame, by: list[str], order: str, inputs: list[str], start: Callable[[], tuple[Callable, Callable]], outputs: str) -> DataFrame:
+    """One row per series: ``start`` gives a function for every sample and one for the series' results
+    (``outputs``, a schema). Partitions are read as a stream here too."""
+    rows = rows.select(*by, order, *(c for c in inputs if c not in (*by, order))).repartition(*by).sortWithinPartitions(*by, order)
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+    names = [*by, *(x.split()[0] for x in outputs.split(", "))]
 
-        return step
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, step, result = None, None, None
+        for batch in batches:
+            out = []
+            for k, *values in zip(zip(*(batch[c] for c in by), strict=True), *(batch[c] for c in inputs), strict=True):
+                if k != key:
+                    if key is not None:
+                        out.append((*key, *result()))
+                    key, (step, result) = k, start()
+                step(*values)
+            yield pd.DataFrame(out, columns=names)
+        if key is not None:
+            yield pd.DataFrame([(*key, *result())], columns=names)
 
-    return _folded(rows, by, order, [defo, force, stiffness], start)
+    return rows.mapInPandas(run, f"{keys}, {outputs}")
+
+
+def _share(energy: Column, left: Column, power: float) -> Column:
+    """Energy over what the capacity leaves, to a power; 0 where that isn't a real number."""
+    ratio = F.try_divide(energy, left)
+    return F.when(ratio >= 0, F.pow(ratio, F.lit(power))).otherwise(F.lit(0.0))
+
+
+def hysteretic_energy(rows: DataFrame, by: list[str], order: str, total: float, power: float, defo: str = "defo", force: str = "force", stiffness: str = "stiffness") -> DataFrame:
+    """Energy of excursions between zero forces, to a power, of what the capacity leaves; adds ``damage``, which never falls.
+
+    A sample of zero force, or of a force with the other sign, opens an excursion. Its energy is a sum
+    within the excursion, the energy spent so far a sum along the series (of the step that crosses zero only
+    the part behind the crossing is kept). Damages combine as a + b - ab, so 1 less the damage of all ended
+    excursions is a running product of 1 less each. The crossing is weighted by the forces as
+    recorded, with their signs.
+    """
+    series = Window.partitionBy(*by).orderBy(order)
+    upto = _upto(by, order)
+    d, f, d0, f0 = F.col(defo), F.col(force), F.col("__d0"), F.col("__f0")
+    closing, crossing = f == 0, f0 * f < 0
+    out = rows.withColumns({"__d0": F.lag(defo, 1, 0.0).over(series), "__f0": F.lag(force, 1, 0.0).over(series)})
+    zero = F.when(F.abs(f0 + f) < 1e-6, (d + d0) / 2).otherwise(F.try_divide(f0 * d + f * d0, f0 + f))
+    out = out.withColumn("__zero", F.when(crossing, zero))
+    gain = F.when(closing, F.lit(0.0)).when(crossing, 0.5 * f * (d - F.col("__zero"))).otherwise(0.5 * (f + f0) * (d - d0))
+    out = out.withColumns({"__gain": gain, "__opens": (closing | crossing).cast("int"), "__head": F.when(crossing, 0.5 * f0 * (F.col("__zero") - d0)).otherwise(F.lit(0.0))})
+    out = out.withColumns({"__spent": F.sum("__gain").over(upto), "__excursion": F.sum("__opens").over(upto)})
+    out = out.withColumn("__cycle", F.sum("__gain").over(_upto([*by, "__excursion"], order)))
+    elastic = F.when(F.col(stiffness) != 0, F.try_divide(0.5 * f * f, F.col(stiffness))).otherwise(F.lit(0.0))
+    out = out.withColumn("__elastic", F.when(F.least("__cycle", "__spent") < elastic, F.lit(0.0)).otherwise(elastic))
+    out = out.withColumn("__now", _share(F.col("__cycle") - F.col("__elastic"), total - F.col("__spent"), power))
+    before = lambda c: F.lag(c, 1, 0.0).over(series)
+    crossed = _share(F.col("__cycle0") + F.col("__head"), total - F.col("__spent0") - F.col("__head"), power)
+    out = out.withColumns({"__cycle0": before("__cycle"), "__spent0": before("__spent"), "__now0": before("__now")})
+    out = out.withColumn("__left", 1 - F.when(closing, F.col("__now0")).when(crossing, crossed).otherwise(F.lit(0.0)))
+    left = F.col("__left")
+    size = F.exp(F.sum(F.when(left != 0, F.log(F.abs(left)))).over(upto))
+    sign = 1 - 2 * (F.sum((left < 0).cast("int")).over(upto) % 2)
+    product = F.when(F.max((left == 0).cast("int")).over(upto) == 1, F.lit(0.0)).otherwise(F.coalesce(size, F.lit(1.0)) * sign)
+    out = out.withColumn("__damage", 1 - product * (1 - F.col("__now")))
+    return out.select(*rows.columns, F.greatest(F.max("__damage").over(upto), F.lit(0.0)).alias("damage"))
 
 
 def kratzig(rows: DataFrame, by: list[str], order: str, ultimate_positive: float, ultimate_negative: float, defo: str = "defo", force: str = "force") -> DataFrame:
     """Kratzig damage from the energies of primary half-cycles (beyond the largest deformation so far) and
-    followers, on either side. Trapezoids use forces throughout."""
-
-    def start() -> Callable[[float, float], float]:
-        d0 = f0 = worst = 0.0
-        primary, follower, furthest = [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]
-
-        def step(d: float, f: float) -> float:
-            nonlocal d0, f0, worst
-            if d * d0 < 0:
-                zero = f0 - (f - f0) * d0 / (d - d0) if abs(d - d0) > 1e-6 else (f + f0) / 2
-                old = 0 if d0 > 0 else 1
-                follower[old] += 0.5 * (zero + f0) * (0 - d0)
-                d0, f0 = 0.0, zero
-            side = 0 if d > 0 or (d == 0 and d0 > 0) else 1
-            size, size0 = abs(d), abs(d0)
-            if size <= furthest[side]:
-                follower[side] += 0.5 * (f + f0) * (d - d0)
-            else:
-                edge = max(size0, furthest[side]) if size0 <= furthest[side] else size0
-                at = f0 + (f - f0) * (edge - size0) / (size - size0) if size != size0 else f
-                sign = 1 if side == 0 else -1
-                follower[side] += 0.5 * (at + f0) * (sign * edge - d0)
-                primary[side] += 0.5 * (f + at) * (d - sign * edge)
-                furthest[side] = size
-            d0, f0 = d, f
-            p, n = ((primary[s] + follower[s]) / (u + follower[s]) for s, u in ((0, ultimate_positive), (1, ultimate_negative)))
-            worst = max(worst, p + n - p * n)
-            return worst
-
-        return step
+    followers, on either side; adds ``damage``, which never falls.
 
-    return _folded(rows, by, order, [defo, force], start)
+    All four energies are running sums of what each sample adds. Fixed by the model: a step that crosses
+    zero deformation and also passes the side's largest adds nothing to the primary part and all of its
+    trapezoid, from the old side on, to the follower; and a follower's step inside the largest deformation
+    takes the earlier *deformation* where its trapezoid would have the earlier force.
+    """
+    series = Window.partitionBy(*by).orderBy(order)
+    upto, before = _upto(by, order), series.rowsBetween(Window.unboundedPreceding, -1)
+    d, f, d0, f0 = F.col(defo), F.col(force), F.col("__d0"), F.col("__f0")
+    out = rows.withColumns({"__d0": F.lag(defo, 1, 0.0).over(series), "__f0": F.lag(force, 1, 0.0).over(series)})
+    most, least = F.max(F.greatest(d, F.lit(0.0))).over(before), F.min(F.least(d, F.lit(0.0))).over(before)
+    out = out.withColumn("__edge", F.coalesce(F.when(d > 0, most).otherwise(least), F.lit(0.0)))
+    slope = F.try_divide(f - f0, d - d0)
+    zero = F.when(F.abs(d - d0) > 1e-6, f0 - slope * d0).otherwise((f + f0) / 2)
+    beyond, crossed = F.abs(d) > F.abs(F.col("__edge")), d * d0 < 0
+    out = out.withColumns({"__zero": zero, "__at": f0 + slope * (F.col("__edge") - d0)})
+    edge, at, nil = F.col("__edge"), F.col("__at"), F.lit(0.0)
+    inside = F.when(crossed & beyond, 0.5 * (f + f0) * (d - d0)).when(crossed, 0.5 * (f + F.col("__zero")) * d)
+    follower = inside.when(beyond, 0.5 * (at + f0) * (edge - d0)).otherwise(0.5 * (f + d0) * (d - d0))
+    out = out.withColumns({"__follower": follower, "__primary": F.when(beyond & ~crossed, 0.5 * (f + at) * (d - edge)).otherwise(nil), "__back": -0.5 * (F.col("__zero") + f0) * d0, "__rest": -0.5 * (f + f0) * d0})
+
+    def side(sign: int, ultimate: float) -> Column:
+        here, there = sign * d > 0, sign * d0 > 0
+        gained = F.when(here, F.col("__follower")).when(there & (d == 0), F.col("__rest")).when(there & crossed, F.col("__back")).otherwise(nil)
+        spread = F.sum(gained).over(upto)
+        return F.try_divide(F.sum(F.when(here, F.col("__primary")).otherwise(nil)).over(upto) + spread, ultimate + spread)
+
+    out = out.withColumns({"__p": side(1, ultimate_positive), "__n": side(-1, ultimate_negative)})
+    out = out.withColumn("__damage", F.col("__p") + F.col("__n") - F.col("__p") * F.col("__n"))
+    return out.select(*rows.columns, F.greatest(F.max("__damage").over(upto), nil).alias("damage"))
 
 
 #: Damage models by name.
@@ -237,72 +262,62 @@ TESTS: dict[str, Callable] = {
 }
 
 
-def oscillator(force: np.ndarray, dt: float, mass: float, damping_ratio: float, stiffness: float, yield_force: float, alpha: float, residual: float = 0.0, before: float = 0.0) -> tuple[float, float, float, float, float]:
-    """Largest and last displacement, plastic displacement, largest acceleration and its time, of an
-    elastoplastic oscillator with kinematic hardening under a sampled force.
+def oscillator(dt: float, mass: float, damping_ratio: float, stiffness: float, yield_force: float, alpha: float, residual: float = 0.0, before: float = 0.0) -> tuple[Callable[[float], None], Callable[[], tuple]]:
+    """An elastoplastic oscillator with kinematic hardening, m a + c v + f(u) = p, at rest at its residual
+    displacement: a function that takes the next force sample, and one that gives the largest and last
+    displacement, the plastic one, the largest acceleration and its time.
 
-    Newmark's average acceleration; each step solves m a + c v + f(u) = p by Newton's method, at most
-    10 rounds to a residual of 1e-8 of the first.
+    Under constant average acceleration, with w = 2 / dt, the end of a step has v = w du - v0 and
+    a = w (v - v0) - a0, so equilibrium asks for stick * du + f(u0 + du) = push, with stick = w (w m + c). The spring
+    is elastic, f = k (u - up), up to the yield surface |f - h up| = fy, and beyond it linear with slope
+    k h / (k + h): each branch has one root, so a step needs no iteration.
     """
-    hardening = alpha / (1 - alpha) * stiffness
-    c = 2 * damping_ratio * math.sqrt(stiffness * mass)
-    a1, a2, a3 = 4 * mass / dt**2 + 2 * c / dt, 4 * mass / dt + c, mass
-    u = v = a = restoring = 0.0
-    plastic, tangent = residual, stiffness
-    most, fastest, when = abs(before), 0.0, 0.0
-    for n, p in enumerate(np.asarray(force, float).tolist(), 1):
-        target = p + a1 * u + a2 * v + a3 * a
-        new, held, spring, slope = u, plastic, restoring, tangent
-        gap = target - spring - a1 * new
-        scale = gap or 1.0
-        for _ in range(10):
-            if abs(gap / scale) <= 1e-8:
-                break
-            new += gap / (slope + a1)
-            spring = stiffness * (new - plastic)
-            over = abs(spring - hardening * plastic) - yield_force
-            held, slope = plastic, stiffness
-            if over > 0:
-                flow = math.copysign(over / (stiffness + hardening), spring)
-                spring, held, slope = spring - flow * stiffness, plastic + flow, stiffness * hardening / (stiffness + hardening)
-            gap = target - spring - a1 * new
-        speed = 2 / dt * (new - u) - v
-        a = 4 / dt**2 * (new - u) - 4 / dt * v - a
-        u, v, plastic, restoring, tangent = new, speed, held, spring, slope
-        most = max(most, abs(u))
+    k, h = stiffness, alpha / (1 - alpha) * stiffness
+    c, w = 2 * damping_ratio * math.sqrt(stiffness * mass), 2 / dt
+    stick, soft, surface = w * (w * mass + c), k * h / (k + h), k * yield_force / (k + h)
+    u, v, a, plastic, n = residual, 0.0, 0.0, residual, 0
+    peak, fastest, when = abs(before), 0.0, 0.0
+
+    def step(p: float) -> None:
+        nonlocal u, v, a, plastic, n, peak, fastest, when
+        push = p + mass * (2 * w * v + a) + c * v
+        du = (push - k * (u - plastic)) / (stick + k)
+        over = k * (u + du - plastic) - h * plastic
+        if abs(over) > yield_force:
+            at_yield = math.copysign(surface, over)
+            du = (push - at_yield - soft * u) / (stick + soft)
+            plastic = (u + du) - (soft * (u + du) + at_yield) / k
+        speed = w * du - v
+        u, v, a, n = u + du, speed, w * (speed - v) - a, n + 1
+        peak = max(peak, abs(u))
         if abs(a) > fastest:
             fastest, when = abs(a), n * dt
-    return most, u, plastic, fastest, when
-
 
-def oscillator_responses(samples: DataFrame, by: list[str], order: str, force: str, dt: float, mass: float, damping_ratio: float, stiffness: float, yield_force: float, alpha: float, residual: float = 0.0, before: float = 0.0) -> DataFrame:
-    """One oscillator analysis per record; a record is a sequence that one worker steps through."""
-    keys = [f for f in samples.schema.fields if f.name in by]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", u_max double, u_end double, u_plastic double, a_max double, t_a_max double"
+    return step, lambda: (peak, u, plastic, fastest, when)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = oscillator(pdf.sort_values(order)[force].to_numpy(), dt, mass, damping_ratio, stiffness, yield_force, alpha, residual, before)
-        return pd.DataFrame([(*key, *found)])
 
-    return samples.select(*[f.name for f in keys], order, force).groupBy(*[f.name for f in keys]).applyInPandas(run, schema)
+def oscillator_responses(samples: DataFrame, by: list[str], order: str, force: str, dt: float, mass: float, damping_ratio: float, stiffness: float, yield_force: float, alpha: float, residual: float = 0.0, before: float = 0.0) -> DataFrame:
+    """One oscillator analysis per record, read as a stream: a record may be of any length."""
+    start = lambda: oscillator(dt, mass, damping_ratio, stiffness, yield_force, alpha, residual, before)
+    return reduced(samples, by, order, [force], start, "u_max double, u_end double, u_plastic double, a_max double, t_a_max double")
 
 
 def adaptive_steps(trials: DataFrame, by: list[str], order: str, dt: float, dt_min: float, dt_max: float, target: int, iterations: str = "iterations") -> DataFrame:
     """The step tried at every trial of a run: after a trial of k iterations (negative: failed, to be retried)
     the step becomes step * target / |k|, at most dt_max; under dt_min it goes just below it, and a failure
     there ends the run. Adds ``dt``, null once ended."""
-    schema = trials.withColumn("dt", F.lit(None).cast("double")).schema
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, now, ended = [], dt, False
-        for k in pdf[iterations]:
-            out.append(None if ended else now)
-            if k < 0 and now < dt_min:
-                ended = True
+
+    def start() -> Callable[[int], float | None]:
+        now, ended = dt, False
+
+        def step(k: int) -> float | None:
+            nonlocal now, ended
+            tried = None if ended else now
+            ended = ended or (k < 0 and now < dt_min)
             now = min(now * target / max(1, abs(k)), dt_max)
-            if now < dt_min:
-                now = dt_min - np.finfo(float).eps
-        return pdf.assign(dt=pd.array(out, dtype="Float64"))
+            now = now if now >= dt_min else dt_min - float(np.finfo(float).eps)
+            return tried
+
+        return step
 
-    return trials.groupBy(*by).applyInPandas(run, schema)
+    return folded(trials, by, order, [iterations], start, "dt")

@@ -6,12 +6,13 @@ names the key columns of a series; every window is partitioned by them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .accumulators import folded
+
 GATE_TOLERANCE = 1e-5
 
 
@@ -80,42 +81,28 @@ def max_abs(entities: DataFrame, responses: DataFrame, entity: str, value: str =
 def gate(responses: DataFrame, by: list[str], dt: float, time: str = "t", tolerance: float = GATE_TOLERANCE) -> DataFrame:
     """Flag ``emitted``: the time has come to dT past the last emitted time, within a tolerance of dT.
 
-    The next threshold follows from the actual time last emitted, so this is a fold over each series in
-    time order, done with a higher-order function on its sorted times (a series is one group by
-    nature); a dT of 0 emits every row.
+    The next threshold follows from the actual time last emitted, so this is a recurrence along each series
+    in time order: sorted partitions are read as a stream with one state at a time, whatever the length
+    of a series. A dT of 0 emits every row; rows of equal time share their flag.
     """
     if dt == 0:
         return responses.withColumn("emitted", F.lit(True))
-    times = responses.groupBy(*by).agg(F.sort_array(F.collect_set(time)).alias("__times"))
-    start = F.struct(F.lit(0.0).alias("next"), F.array().cast("array<double>").alias("kept"))
-
-    def step(state: Column, t: Column) -> Column:
-        ready = t - state["next"] >= F.lit(-dt * tolerance)
-        return F.when(ready, F.struct((t + F.lit(dt)).alias("next"), F.concat(state["kept"], F.array(t)).alias("kept"))).otherwise(state)
-
-    kept = times.select(*by, F.explode(F.aggregate("__times", start, step)["kept"]).alias(time)).withColumn("emitted", F.lit(True))
-    return responses.join(kept, [*by, time], "left").withColumn("emitted", F.coalesce("emitted", F.lit(False)))
-
-
-def gate_long(responses: DataFrame, by: list[str], dt: float, time: str = "t", tolerance: float = GATE_TOLERANCE) -> DataFrame:
-    """The same gate for series too long for one array: sorted partitions are read as a stream, a state per series."""
-    rows = responses.repartition(*by).sortWithinPartitions(*by, time)
-    schema = rows.withColumn("emitted", F.lit(True)).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, due = None, 0.0
-        for batch in batches:
-            flags = []
-            for k, t in zip(zip(*(batch[c] for c in by), strict=True), batch[time], strict=True):
-                if k != key:
-                    key, due = k, 0.0
-                ready = dt == 0 or t - due >= -dt * tolerance
-                if ready:
-                    due = t + dt
-                flags.append(ready)
-            yield batch.assign(emitted=flags)
-
-    return rows.mapInPandas(run, schema)
+
+    def start() -> Callable[[float], float]:
+        due, last = 0.0, None
+
+        def step(t: float) -> float:
+            nonlocal due, last
+            if t == last:
+                return 1.0
+            ready = t - due >= -dt * tolerance
+            if ready:
+                due, last = t + dt, t
+            return float(ready)
+
+        return step
+
+    return folded(responses, by, time, [time], start, "emitted").withColumn("emitted", F.col("emitted") == 1.0)
 
 
 def pattern_factor(responses: DataFrame, by: list[str], dt: float, time: str = "t", value: str = "value") -> DataFrame:

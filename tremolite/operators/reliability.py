@@ -16,12 +16,14 @@ from pyspark.sql.types import DoubleType
 from ..functions import normal
 from ..functions.distributions import Distribution, Normal
 
-_TWO_53 = float(1 << 53)
+_TWO_52 = float(1 << 52)
 
 
 def uniform(*keys: Column | str, seed: int = 1) -> Column:
-    """A uniform number in [0, 1) fixed by the keys and the seed: the same on any partitioning and after any retry."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / F.lit(_TWO_53)
+    """A uniform number in [0, 1) fixed by the keys and the seed: the same on any partitioning, after any retry
+    and in any database. It is the first 52 bits of the MD5 of seed and keys, joined by colons."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(_TWO_52)
 
 
 def standard_normal(*keys: Column | str, seed: int = 1) -> Column:
@@ -99,7 +101,7 @@ def run_per_sample(samples: DataFrame, run: Callable[[pd.DataFrame], pd.DataFram
 
 def stopped_sampling(draws: DataFrame, target: float, limit: int, order: str = "k", q: str = "q", by: list[str] | None = None) -> DataFrame:
     """Importance sampling with its stop rule: running mean and variance of q, and the first draw at which
-    (k > limit or cov <= target) and k > 2. Variance is floored at 0; cov counts from the first failure on.
+    (k >= limit or cov <= target) and k > 2. Variance is floored at 0; cov counts from the first failure on.
 
     ``by`` names independent runs; each is one ordered series.
     """

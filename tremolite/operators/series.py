@@ -3,39 +3,56 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .accumulators import folded
+
 
 def _ordered(by: list[str], order: str):
     return Window.partitionBy(*by).orderBy(order)
 
 
-def interpolate(times: DataFrame, path: DataFrame, by: list[str], dt: float, time: str = "t", index: str = "i", value: str = "v", factor: float = 1.0) -> DataFrame:
-    """Linear values at ``times`` of a record sampled every dt from 0: 0 before it and from its last sample on.
+def interpolate(
+    times: DataFrame, path: DataFrame, by: list[str], dt: float, time: str = "t", index: str = "i", value: str = "v",
+    factor: float = 1.0, start: float = 0.0, use_last: bool = False, prepend_zero: bool = False,
+) -> DataFrame:
+    """Linear values at ``times`` of a record sampled every dt from ``start`` on (after a zero sample, if one is
+    prepended): 0 before it; from its last sample on 0, or that sample's value with ``use_last``.
 
-    The interval is an equality on floor(t / dt), so this is one equi join, never a range join.
+    The interval is an equality on floor((t - start) / dt), so this is one equi join, never a range join.
     """
+    shift = int(prepend_zero)
     right = F.lead(value).over(_ordered(by, index))
-    pieces = path.select(*by, F.col(index).cast("long").alias("__i"), F.col(value).alias("__a"), right.alias("__b"))
-    at = F.floor(F.col(time) / dt)
-    joined = times.withColumn("__i", F.when(F.col(time) >= 0, at).cast("long")).join(pieces, [*by, "__i"], "left")
-    share = F.col(time) / dt - F.col("__i")
-    return joined.withColumn("factor", F.coalesce(factor * (F.col("__a") + share * (F.col("__b") - F.col("__a"))), F.lit(0.0))).drop("__i", "__a", "__b")
+    held = F.when(F.lit(use_last), F.col(value))
+    pieces = path.select(*by, (F.col(index).cast("long") + shift).alias("__i"), F.col(value).alias("__a"), right.alias("__b"))
+    if prepend_zero:
+        first = path.where(F.col(index) == 0).select(*by, F.lit(0).cast("long").alias("__i"), F.lit(0.0).alias("__a"), F.col(value).alias("__b"))
+        pieces = pieces.unionByName(first)
+    at = (F.col(time) - start) / dt
+    joined = times.withColumn("__at", at).withColumn("__i", F.when(F.col("__at") >= 0, F.floor("__at")).cast("long")).join(pieces, [*by, "__i"], "left")
+    found = factor * (F.col("__a") + (F.col("__at") - F.col("__i")) * (F.col("__b") - F.col("__a")))
+    after = F.lit(0.0)
+    if use_last:
+        ends = path.groupBy(*by).agg(F.max(F.col(index).cast("long") + shift).alias("__n"), F.max_by(held, index).alias("__last"))
+        joined = joined.join(ends, by, "left")
+        after = F.when(F.col("__i") >= F.col("__n"), factor * F.col("__last")).otherwise(F.lit(0.0))
+    return joined.withColumn("factor", F.coalesce(found, after, F.lit(0.0))).drop("__at", "__i", "__a", "__b", "__n", "__last")
 
 
 def interpolate_times(times: DataFrame, path: DataFrame, by: list[str], time: str = "t", value: str = "v", use_last: bool = False) -> DataFrame:
     """Linear values at ``times`` of a record with times of its own: points and questions are merged in
-    order, and each question looks to the last point before and the first after it."""
+    order, and each question looks to the last point before and the first after it (the last one in
+    descending order, so both frames grow row by row)."""
     points = path.select(*by, F.col(time), F.col(value).alias("__v"), F.lit(0).alias("__q"))
     asked = times.select(*by, F.col(time), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__q")).distinct()
-    w = Window.partitionBy(*by).orderBy(time, "__q")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    point_time = F.when(F.col("__q") == 0, F.col(time))
-    look = lambda f, c, over: f(c, ignorenulls=True).over(over)
-    merged = points.unionByName(asked).select("*", look(F.last, point_time, back).alias("__t0"), look(F.last, F.col("__v"), back).alias("__v0"), look(F.first, point_time, ahead).alias("__t1"), look(F.first, F.col("__v"), ahead).alias("__v1"))
+    grown = lambda *order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    back, ahead = grown(time, "__q"), grown(F.desc(time), F.desc("__q"))
+    point = F.when(F.col("__q") == 0, F.struct(F.col(time).alias("t"), F.col("__v").alias("v")))
+    merged = points.unionByName(asked).withColumn("__0", F.last(point, ignorenulls=True).over(back)).withColumn("__1", F.last(point, ignorenulls=True).over(ahead))
+    merged = merged.select("*", F.col("__0.t").alias("__t0"), F.col("__0.v").alias("__v0"), F.col("__1.t").alias("__t1"), F.col("__1.v").alias("__v1"))
     inside = F.col("__v0") + F.when(F.col("__t1") > F.col("__t0"), (F.col(time) - F.col("__t0")) / (F.col("__t1") - F.col("__t0")) * (F.col("__v1") - F.col("__v0")))
     after = F.when(F.col("__t1").isNull() & F.lit(use_last), F.col("__v0"))
     exact = F.when(F.col("__t0") == F.col(time), F.col("__v0"))
@@ -79,19 +96,30 @@ def integrate_simpson(rows: DataFrame, by: list[str], order: str, value: str, dt
 
 def differentiate_simpson(rows: DataFrame, by: list[str], order: str, value: str, dt: float) -> DataFrame:
     """f_k = 3 (F_k - F_(k-2)) / dt - f_(k-2) - 4 f_(k-1), from zeros. The recurrence is unstable and has two
-    terms, so each series runs in one grouped function."""
-    schema = rows.withColumn("derivative", F.lit(0.0)).schema
+    terms, so each series is stepped through as a stream."""
+
+    def start() -> Callable[[float], float]:
+        made, seen = (0.0, 0.0), (0.0, 0.0)
+
+        def step(now: float) -> float:
+            nonlocal made, seen
+            made, seen = (made[1], 3 * (now - seen[0]) / dt - made[0] - 4 * made[1]), (seen[1], now)
+            return made[1]
+
+        return step
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, f1, f2, old1, old2 = [], 0.0, 0.0, 0.0, 0.0
-        for now in pdf[value]:
-            f = 3 * (now - old2) / dt - f2 - 4 * f1
-            out.append(f)
-            f1, f2, old1, old2 = f, f1, now, old1
-        return pdf.assign(derivative=out)
+    return folded(rows, by, order, [value], start, "derivative")
 
-    return rows.groupBy(*by).applyInPandas(run, schema)
+
+def resampled(rows: DataFrame, by: list[str], order: str, value: str, dt: float, delta: float) -> DataFrame:
+    """A record sampled every dt, read every delta: (by, i, t, v) at n = duration / delta + 1 points, i from 0; what
+    integration runs on when its step is not the record's. The last sample holds at its own time."""
+    numbered = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(_ordered(by, order)) - 1).alias("i"))
+    points = numbered.groupBy(*by).agg(F.floor((F.max("i") * F.lit(dt)) / delta + 1e-9).cast("long").alias("__n"))
+    points = points.select(*by, F.explode(F.expr("sequence(0L, __n)")).alias("k"))
+    asked = points.withColumn("t", F.col("k") * F.lit(delta))
+    near = asked.withColumn("t", F.when(F.abs(F.col("t") / dt - F.round(F.col("t") / dt)) < 1e-9, F.round(F.col("t") / dt) * dt).otherwise(F.col("t")))
+    return interpolate(near, numbered, by, dt, use_last=True).select(*by, F.col("k").alias("i"), (F.col("k") * F.lit(delta)).alias("t"), F.col("factor").alias("v"))
 
 
 def peak_factor(rows: DataFrame, by: list[str], value: str, dt: float, factor: float = 1.0) -> DataFrame:
@@ -99,10 +127,21 @@ def peak_factor(rows: DataFrame, by: list[str], value: str, dt: float, factor: f
     return rows.groupBy(*by).agg((factor * F.max(F.abs(F.col(value)))).alias("peak"), (F.count(value) * F.lit(dt)).alias("duration"))
 
 
-def ground_motion(acceleration: DataFrame, by: list[str], order: str, value: str, dt: float) -> DataFrame:
-    """Acceleration with the velocity and displacement that integration derives."""
-    v = integrate_trapezoid(acceleration, by, order, value, dt).withColumnRenamed("integral", "velocity")
-    return integrate_trapezoid(v, by, order, "velocity", dt).withColumnRenamed("integral", "displacement")
+def ground_motion(motion: DataFrame, by: list[str], order: str, value: str, dt: float, given: str = "acceleration") -> DataFrame:
+    """A motion given as acceleration, velocity or displacement, with the others derived: velocity and
+    displacement by integration, acceleration (and velocity) by differentiation, all by the trapezoid rule."""
+    names = ["displacement", "velocity", "acceleration"]
+    out, at = motion.withColumn(given, F.col(value)), names.index(given)
+    for here, there in zip(names[at:0:-1], names[at - 1 :: -1] if at else [], strict=False):
+        out = integrate_trapezoid(out, by, order, here, dt).withColumnRenamed("integral", there)
+    for here, there in zip(names[at:], names[at + 1 :], strict=False):
+        out = differentiate_trapezoid(out, by, order, here, dt).withColumnRenamed("derivative", there)
+    return out
+
+
+def motion_peaks(motion: DataFrame, by: list[str]) -> DataFrame:
+    """Largest absolute acceleration, velocity and displacement of each motion."""
+    return motion.groupBy(*by).agg(*(F.max(F.abs(F.col(n))).alias(f"peak_{n}") for n in ("acceleration", "velocity", "displacement")))
 
 
 def combined_motion(motions: DataFrame, weights: DataFrame, by: list[str], motion: str = "motion", time: str = "t", value: str = "v") -> DataFrame:

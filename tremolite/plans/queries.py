@@ -295,7 +295,10 @@ def t15_integrate_simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("user_id", "event_id", "integral"), "integral")
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0e0 AS f2, 0e0 AS f1, 0e0 AS v2, 0e0 AS v1 FROM events
+    UNION ALL SELECT s.user_id, s.event_id, s.i, r.f1, 3 * (s.value - r.v2) / 0.5e0 - r.f2 - 4 * r.f1, r.v1, s.value FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    SELECT user_id, event_id, f1 AS derivative FROM r WHERE i > 0""")
 def t16_differentiate_simpson(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return S.differentiate_simpson(rows, ["user_id"], "event_id", "value", 0.5).select("user_id", "event_id", "derivative")
@@ -553,9 +556,18 @@ _law("p10_from_python", D.FromPython(lambda x: 0.0 * x + 0.02, lambda x: x / 51,
 # reliability
 
 
-@query()
+def _uniform_sql(*keys: str) -> str:
+    return "(CAST('0x' || substr(md5('1:' || " + " || ':' || ".join(keys) + "), 1, 13) AS BIGINT) / 4503599627370496e0)"
+
+
+def _edge_sql(*keys: str) -> str:
+    return f"least(greatest({_uniform_sql(*keys)}, 1e-7), 0.9999999e0)"
+
+
+@query(f"SELECT event_id, round(u, 9) AS u, round({normal.inverse_sql('least(greatest(u, 1e-7), 0.9999999e0)')}, 6) + 0.0 AS z FROM (SELECT event_id, {_uniform_sql('event_id')} AS u FROM events)")
 def p21_random_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", P.uniform("event_id").alias("u"), P.standard_normal("event_id").alias("z"))
+    out = table(spark, sf_dir, "events").select("event_id", P.uniform("event_id").alias("u"), P.standard_normal("event_id").alias("z"))
+    return rounded(rounded(out, "u", digits=9), "z")
 
 
 @query(f"""SELECT x, round({normal.inverse_sql('(1 - exp(-0.05e0 * x))')}, 5) + 0.0 AS u, round(-ln(1 - {normal.cdf_sql('(x / 51e0)')}) / 0.05e0, 5) AS back FROM {SAMPLES}""")
@@ -572,10 +584,11 @@ def p23_bivariate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("x", r6(at(0.0)).alias("independent"), r6(at(1.0)).alias("dependent"))
 
 
-@query()
+@query(f"""SELECT n, failures, round(pf, 6) AS pf, round(sqrt((1 - pf) / (pf * n)), 6) AS cov FROM (SELECT count(*) AS n, CAST(sum(CASE WHEN -ln(1 - a) - 5 * b <= 0 THEN 1 ELSE 0 END) AS BIGINT) AS failures, avg(CASE WHEN -ln(1 - a) - 5 * b <= 0 THEN 1e0 ELSE 0e0 END) AS pf
+    FROM (SELECT {normal.cdf_sql('a')} AS a, {normal.cdf_sql('b')} AS b FROM (SELECT {normal.inverse_sql('a')} AS a, {normal.inverse_sql('b')} AS b FROM (SELECT {_edge_sql('range', "'0'")} AS a, {_edge_sql('range', "'1'")} AS b FROM range(200000)))))""")
 def p24_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = P.draw(spark, 200_000, {"x1": D.Exponential(1.0), "x2": D.Uniform(0.0, 5.0)})
-    return P.monte_carlo(samples, P.limit_state("x1 - x2", ["x1", "x2"]))
+    return rounded(P.monte_carlo(samples, P.limit_state("x1 - x2", ["x1", "x2"])), "pf", "cov")
 
 
 @query("""WITH d AS (SELECT user_id, event_id, CASE WHEN value > 60 THEN value / 490e0 ELSE 0 END AS q FROM events), r AS (SELECT user_id, count(*) OVER o AS k, sum(q) OVER o AS s, sum(q * q) OVER o AS s2 FROM d WINDOW o AS (PARTITION BY user_id ORDER BY event_id)),
@@ -586,7 +599,8 @@ def p25_stopped_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(P.stopped_sampling(draws, 0.3, 40, "event_id", "q", ["user_id"]), "pf", "cov")
 
 
-@query()
+@query(f"""SELECT round(avg(CASE WHEN 3 - 0.8e0 * (a + 2) - 0.6e0 * (b + 1.5e0) <= 0 THEN exp(0.5e0 * a * a + 0.5e0 * b * b - 0.5e0 * (a + 2) * (a + 2) - 0.5e0 * (b + 1.5e0) * (b + 1.5e0)) ELSE 0 END), 6) AS pf, count(*) AS n
+    FROM (SELECT {normal.inverse_sql('a')} AS a, {normal.inverse_sql('b')} AS b FROM (SELECT {_edge_sql('range', "'0'")} AS a, {_edge_sql('range', "'1'")} AS b FROM range(100000)))""")
 def p26_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = P.with_standard_normals(spark.range(100_000), ["a", "b"], "id").withColumns({"a": F.col("a") + 2.0, "b": F.col("b") + 1.5})
     u = [F.col("a"), F.col("b")]
@@ -671,7 +685,23 @@ def c01_park_ang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("user_id", "event_id", "damage"), "damage", digits=5)
 
 
-@query()
+SERIES = "WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM "
+
+
+@query(SERIES + CYCLES + """),
+    r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0e0 AS d, 0e0 AS f, 0e0 AS cycle, 0e0 AS spent, 0e0 AS fresh, 0e0 AS cyclic, 0e0 AS damage FROM events
+    UNION ALL SELECT user_id, event_id, i, d, f, cycle, spent, fresh, cyclic, greatest(damage, cyclic + fresh - fresh * cyclic) FROM (
+        SELECT *, CASE WHEN (cycle - el) / (1e6 - spent) >= 0 THEN power((cycle - el) / (1e6 - spent), 1.2e0) ELSE 0e0 END AS fresh FROM (
+            SELECT *, CASE WHEN least(cycle, spent) < f * f / 4 THEN 0e0 ELSE f * f / 4 END AS el FROM (
+                SELECT user_id, event_id, i, d, f, damage, CASE WHEN f = 0 THEN 0e0 WHEN x THEN 0.5e0 * f * (d - zero) ELSE cycle0 + 0.5e0 * (f + f0) * (d - d0) END AS cycle,
+                    CASE WHEN f = 0 THEN spent0 WHEN x THEN spent0 + 0.5e0 * f * (d - zero) ELSE spent0 + 0.5e0 * (f + f0) * (d - d0) END AS spent,
+                    CASE WHEN f = 0 THEN cyclic0 + fresh0 - fresh0 * cyclic0 WHEN x THEN cyclic0 + ended - ended * cyclic0 ELSE cyclic0 END AS cyclic FROM (
+                    SELECT *, CASE WHEN x AND (cycle0 + head) / (1e6 - spent0 - head) >= 0 THEN power((cycle0 + head) / (1e6 - spent0 - head), 1.2e0) ELSE 0e0 END AS ended FROM (
+                        SELECT *, 0.5e0 * f0 * (zero - d0) AS head FROM (
+                            SELECT *, f0 * f < 0 AS x, CASE WHEN abs(f0 + f) < 1e-6 THEN (d + d0) / 2 ELSE (f0 * d + f * d0) / (f0 + f) END AS zero FROM (
+                                SELECT s.user_id, s.event_id, s.i, s.defo AS d, s.force AS f, r.d AS d0, r.f AS f0, r.cycle AS cycle0, r.spent AS spent0, r.fresh AS fresh0, r.cyclic AS cyclic0, r.damage
+                                FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1))))))))
+    SELECT user_id, event_id, round(damage, 5) AS damage FROM r WHERE i > 0""")
 def c02_hysteretic_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.hysteretic_energy(_cycles(spark, sf_dir), ["user_id"], "event_id", 1e6, 1.2)
     return rounded(out.select("user_id", "event_id", "damage"), "damage", digits=5)
@@ -683,16 +713,38 @@ def c03_normalized_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("user_id", "event_id", "damage"), "damage")
 
 
-@query()
+@query(SERIES + CYCLES + """),
+    r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, 0e0 AS d, 0e0 AS f, 0e0 AS most, 0e0 AS least, 0e0 AS fp, 0e0 AS pp, 0e0 AS fn, 0e0 AS pn, 0e0 AS damage FROM events
+    UNION ALL SELECT user_id, event_id, i, d, f, greatest(most, d), least(least, d), fp, pp, fn, pn, greatest(damage, (pp + fp) / (1e5 + fp) + (pn + fn) / (1e5 + fn) - (pp + fp) / (1e5 + fp) * ((pn + fn) / (1e5 + fn))) FROM (
+        SELECT user_id, event_id, i, d, f, most, least, damage,
+            fp + CASE WHEN d > 0 THEN own WHEN d < 0 AND d0 > 0 THEN 0.5e0 * (zero + f0) * (0 - d0) WHEN d = 0 AND d0 > 0 THEN 0.5e0 * (f + f0) * (d - d0) ELSE 0 END AS fp, pp + CASE WHEN d > 0 THEN main ELSE 0 END AS pp,
+            fn + CASE WHEN d < 0 THEN own WHEN d > 0 AND d0 < 0 THEN 0.5e0 * (zero + f0) * (0 - d0) WHEN d = 0 AND d0 < 0 THEN 0.5e0 * (f + f0) * (d - d0) ELSE 0 END AS fn, pn + CASE WHEN d < 0 THEN main ELSE 0 END AS pn FROM (
+            SELECT *, CASE WHEN d * d0 < 0 AND NOT beyond THEN 0.5e0 * (f + zero) * d WHEN d * d0 < 0 THEN 0.5e0 * (f + f0) * (d - d0) WHEN NOT beyond THEN 0.5e0 * (f + d0) * (d - d0)
+                    ELSE 0.5e0 * (f0 + (f - f0) * (edge - d0) / (d - d0) + f0) * (edge - d0) END AS own,
+                CASE WHEN beyond AND d * d0 >= 0 THEN 0.5e0 * (f + f0 + (f - f0) * (edge - d0) / (d - d0)) * (d - edge) ELSE 0 END AS main FROM (
+                SELECT *, abs(d) > abs(edge) AS beyond, CASE WHEN abs(d - d0) > 1e-6 THEN f0 - (f - f0) * d0 / (d - d0) ELSE 0.5e0 * (f + f0) END AS zero FROM (
+                    SELECT s.user_id, s.event_id, s.i, s.defo AS d, s.force AS f, r.d AS d0, r.f AS f0, r.most, r.least, r.fp, r.pp, r.fn, r.pn, r.damage, CASE WHEN s.defo > 0 THEN r.most ELSE r.least END AS edge
+                    FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)))))
+    SELECT user_id, event_id, round(damage, 5) AS damage FROM r WHERE i > 0""")
 def c04_kratzig(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = A.kratzig(_cycles(spark, sf_dir), ["user_id"], "event_id", 1e5, 1e5)
     return rounded(out.select("user_id", "event_id", "damage"), "damage", digits=5)
 
 
-@query()
+@query(SERIES + """(SELECT user_id, event_id, value - 245 AS p FROM events)), q AS (SELECT 1e0 / 0.02e0 * 2 * (2e0 / 0.02e0 + 1e0) AS k1, 100e0 AS k, 0.02e0 / 0.98e0 * 100 AS h),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 0e0 AS u, 0e0 AS v, 0e0 AS a, 0e0 AS up, 0e0 AS u_max, 0e0 AS a_max, 0e0 AS t_a_max FROM events
+    UNION ALL SELECT user_id, i, u, v, a, CASE WHEN sgn = 0 THEN up ELSE (k * u - sgn * 50) / (k + h) END, greatest(u_max, abs(u)), greatest(a_max, abs(a)), CASE WHEN abs(a) > a_max THEN i * 0.02e0 ELSE t_a_max END FROM (
+        SELECT user_id, i, k, h, sgn, u, 100 * (u - u0) - v0 AS v, 10000 * (u - u0) - 200 * v0 - a0 AS a, up, u_max, a_max, t_a_max FROM (
+            SELECT *, CASE WHEN sgn = 0 THEN trial ELSE (target - sgn * 50 * k / (k + h)) / (k1 + k * h / (k + h)) END AS u FROM (
+                SELECT *, CASE WHEN abs(k * (trial - up) - h * up) > 50 THEN sign(k * (trial - up) - h * up) ELSE 0 END AS sgn FROM (
+                    SELECT *, (target + k * up) / (k1 + k) AS trial FROM (
+                        SELECT s.user_id, s.i, r.u AS u0, r.v AS v0, r.a AS a0, r.up, r.u_max, r.a_max, r.t_a_max, q.*, s.p + k1 * r.u + (200 + 1e0) * r.v + r.a AS target
+                        FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1, q))))))
+    SELECT user_id, round(u_max, 6) AS u_max, round(u, 6) + 0.0 AS u_end, round(up, 6) + 0.0 AS u_plastic, round(a_max, 5) AS a_max, round(t_a_max, 6) AS t_a_max FROM r QUALIFY i = max(i) OVER (PARTITION BY user_id)""")
 def c08_oscillator(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") - 245).alias("force"))
-    return A.oscillator_responses(rows, ["user_id"], "event_id", "force", 0.02, 1.0, 0.05, 100.0, 50.0, 0.02)
+    out = A.oscillator_responses(rows, ["user_id"], "event_id", "force", 0.02, 1.0, 0.05, 100.0, 50.0, 0.02)
+    return rounded(rounded(out, "u_max", "u_end", "u_plastic", "t_a_max"), "a_max", digits=5)
 
 
 ITER = "(SELECT user_id, value, lag(value) OVER o AS before, row_number() OVER o AS i, first_value(value) OVER o AS first, sum(value) OVER o AS total, 500 - value AS other, 500 - lag(value) OVER o AS other_before FROM events WINDOW o AS (PARTITION BY user_id ORDER BY event_id))"
@@ -730,7 +782,12 @@ _test("v09_disp_and_unbalance", _code("value <= 200 AND other <= 320", "inc > 8"
 _test("v10_disp_or_unbalance", _code("value <= 3 OR other <= 15", "inc > 0", 40).replace("FROM x", "FROM " + _counted.format("value > before AND other > other_before")), lambda d: A.converge_either(d, *_keys, "value", "other", 3.0, 15.0, 40, 0))
 
 
-@query()
+@query(SERIES + """(SELECT user_id, event_id, CAST(CASE WHEN value > 480 THEN -1 ELSE CAST(floor(value % 9 + 2) AS INTEGER) END AS INTEGER) AS iterations FROM events)),
+    r AS (SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, NULL::INTEGER AS iterations, NULL::DOUBLE AS dt, 0.01e0 AS step, false AS ended FROM events
+    UNION ALL SELECT s.user_id, s.event_id, s.i, s.iterations, CASE WHEN r.ended THEN NULL ELSE r.step END,
+        CASE WHEN least(r.step * 5 / greatest(1, abs(s.iterations)), 0.05e0) < 1e-4 THEN 1e-4 - 2.220446049250313e-16 ELSE least(r.step * 5 / greatest(1, abs(s.iterations)), 0.05e0) END,
+        r.ended OR (s.iterations < 0 AND r.step < 1e-4) FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.i + 1)
+    SELECT user_id, event_id, iterations, dt FROM r WHERE i > 0""")
 def v13_adaptive_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("value") > 480, -1).otherwise((F.col("value") % 9 + 2).cast("int")).alias("iterations"))
     return A.adaptive_steps(rows, ["user_id"], "event_id", 0.01, 1e-4, 0.05, 5)
