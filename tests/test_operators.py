@@ -351,3 +351,27 @@ def test_parallel_helpers(spark):
     seen_df, seen = parallel.observed(df, "rows")
     seen_df.collect()
     assert seen.get["rows"] == 10
+
+
+def test_multinormal_by_conditional_marginals():
+    assert P.multinormal_pcm([0.4, -0.3, 1.0], np.eye(3).tolist()) == pytest.approx(P.phi(0.4) * P.phi(-0.3) * P.phi(1.0))
+    for rho in (-0.5, 0.3, 0.7):
+        assert P.multinormal_pcm([1.0, 1.5], [[1.0, rho], [rho, 1.0]]) == pytest.approx(P.bivariate(1.0, 1.5, rho), abs=6e-3)
+
+
+def test_roots():
+    assert P.secant_root(lambda x: x**3 - 2, 0.0, 50.0) == pytest.approx(2 ** (1 / 3))
+    assert P.secant_root(lambda x: math.cos(x) - x, 0.0, 1.0) == pytest.approx(0.7390851332)
+
+
+def test_heavier_parts_release_their_boundary(spark):
+    labels = spark.createDataFrame([(v, 0 if v < 6 else 1 if v < 9 else 2, 1.0) for v in range(10)], "vertex long, part int, weight double")
+    edges = spark.createDataFrame([(v, v + 1) for v in range(9)], "a long, b long")
+    got = {r.vertex: r.part for r in graphs.release_heavier(labels, edges).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1, 6: 1, 7: 1, 8: 2, 9: 2}
+
+
+def test_entry_imports_without_optional_parts():
+    import __spark_entry__ as entry
+
+    assert len(entry.queries()) >= len(entry.oracle_sql()) > 190

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from tests.oracle import SF, database, differences
-from tremolite.plans.queries import QUERIES, SQL
+from tremolite.plans import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

@@ -107,6 +107,35 @@ class Model:
         hit &= F.col("entity_kind") == "element"
         return self._with("parameters", self.table("parameters").withColumn("value", F.when(hit, F.lit(value)).otherwise(F.col("value"))))
 
+    def create_parameter(self, tag: int, kind: str, entities: list[int], value: float = 0.0, name: str = "") -> Model:
+        """A new parameter with its components: one row for each entity it acts on. A tag that is taken is refused."""
+        if not self.get("parameters", tag).isEmpty():
+            raise ValueError(f"parameter {tag} exists")
+        return self.add_to_parameter(tag, kind, entities, value, name)
+
+    def add_to_parameter(self, tag: int, kind: str, entities: list[int], value: float | None = None, name: str = "") -> Model:
+        """More components of a parameter; ``kind`` is element, node (its displacement) or pattern (its load factor)."""
+        if kind not in ("element", "node", "pattern"):
+            raise ValueError(f"unknown kind {kind!r}")
+        if value is None:
+            value = self.get("parameters", tag).agg(F.max("value")).first()[0] or 0.0
+        rows = self.spark.createDataFrame([(tag, name, kind, e, float(value)) for e in entities], SCHEMAS["parameters"])
+        return self._with("parameters", self.table("parameters").unionByName(rows, allowMissingColumns=True))
+
+    def parameter_tags(self) -> DataFrame:
+        """Tags in use."""
+        return self.table("parameters").select("tag").distinct()
+
+    def node_values(self, what: str, facts: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+        """(tag, position, value) of nodes: coordinates, number of dofs, or a recorded response from ``facts``
+        (entity_tag, dof, response, value)."""
+        if what in ("coord", "ndf"):
+            nodes = self.table("nodes")
+            out = nodes.select("tag", F.posexplode("crds").alias("position", "value")) if what == "coord" else nodes.select("tag", F.lit(0).alias("position"), F.col("ndf").cast("double").alias("value"))
+        else:
+            out = facts.where(F.col("response") == what).select(F.col("entity_tag").alias("tag"), F.col("dof").alias("position"), "value")
+        return out if tags is None else out.join(tags.select("tag").distinct(), "tag", "left_semi")
+
     def update_parameter(self, tag: int, value: float) -> Model:
         return self._with("parameters", self.table("parameters").withColumn("value", F.when(F.col("tag") == tag, F.lit(value)).otherwise(F.col("value"))))
 
@@ -131,6 +160,14 @@ def responses_of(responses: DataFrame, tag: int, response: str, entity: str = "e
     return responses.where((F.col(entity) == tag) & (F.col("response") == response))
 
 
+def section_values(facts: DataFrame, element: int | None, section: int | None, response: str) -> DataFrame:
+    """Recorded responses of element sections (element_tag, section, response, position, value); None means all."""
+    hit = F.col("response") == response
+    for column, wanted in (("element_tag", element), ("section", section)):
+        hit &= F.lit(True) if wanted is None else F.col(column) == wanted
+    return facts.where(hit)
+
+
 def region_nodes(links: DataFrame, elements: DataFrame) -> DataFrame:
     """Nodes that the elements of a region touch. ``links`` has (element_tag, node_tag)."""
     return links.join(elements.select("element_tag").distinct(), "element_tag", "left_semi").select("node_tag").distinct()

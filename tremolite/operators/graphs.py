@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .parallel import settled
+
 
 def vertices(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Vertices of undirected edges (a, b) with their degree; ``weights`` may add (vertex, weight)."""
@@ -33,7 +35,8 @@ def sharing_graph(links: DataFrame, member: str, group: str, least: int | None =
     """An edge for each pair of members that share a group: nodes that share an element, elements that share
     a node, or equations (``least`` 0) that share an element.
 
-    The pairs of a group are the result asked for; groups (an element's nodes, a node's elements) are small.
+    The pairs of a group are the result asked for. The join's two sides are shuffled by the group alone, so
+    adaptive execution may split a large group's rows on both sides.
     """
     rows = links.select(F.col(member).alias("m"), F.col(group).alias("g")).distinct()
     if least is not None:
@@ -43,10 +46,11 @@ def sharing_graph(links: DataFrame, member: str, group: str, least: int | None =
 
 
 def simple_numbering(rows: DataFrame, vertex: str = "vertex") -> DataFrame:
-    """Numbers from 0 in the order of the tags, by counts per range partition and not in one task."""
+    """Numbers from 0 in the order of the tags, by counts per range partition and not in one task. The placed
+    rows are settled first, so a lost executor can't change where the ranges are cut."""
     placed = rows.select(vertex).distinct().repartitionByRange(vertex).sortWithinPartitions(vertex)
     at = F.monotonically_increasing_id()
-    placed = placed.select(vertex, F.shiftright(at, 33).alias("__p"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__k")).persist()
+    placed = settled(placed.select(vertex, F.shiftright(at, 33).alias("__p"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("__k")))
     starts = placed.groupBy("__p").count()
     starts = starts.select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__before"))
     return placed.join(starts, "__p").select(vertex, (F.col("__before") + F.col("__k")).alias("number"))
@@ -56,22 +60,21 @@ def levels(edges: DataFrame, root: int, rounds: int | None = None) -> DataFrame:
     """Breadth-first level of each vertex reached from ``root``: of all, or of those within ``rounds`` steps.
 
     A neighbour of a vertex is at most one level from it, so a round leaves out the last two levels only.
+    Every level is settled, and so are all found so far after each 32 levels.
     """
-    kept = edges.sparkSession.sparkContext.getCheckpointDir() is not None
-    cut = lambda df: df.checkpoint() if kept else df.persist()
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     found = last = before = edges.sparkSession.createDataFrame([(root, 0)], "vertex long, level int")
     level = 0
     while rounds is None or level < rounds:
         level += 1
         near = both.join(last, both["a"] == last["vertex"]).select(F.col("b").alias("vertex").cast("long")).distinct()
         new = near.join(last.unionByName(before), "vertex", "left_anti").withColumn("level", F.lit(level))
-        before, last = last, cut(new)
+        before, last = last, settled(new)
         if last.isEmpty():
             break
         found = found.unionByName(last)
         if level % 32 == 0:
-            found = cut(found.coalesce(8))
+            found = settled(found.coalesce(8))
     return found
 
 
@@ -141,3 +144,15 @@ def shed_heaviest(labels: DataFrame, edges: DataFrame, factor: float = 1.0) -> D
     rows = labels.join(lightest, "vertex", "left").join(F.broadcast(worst))
     move = (F.col("part") == F.col("__worst")) & (F.col("__top") > factor * F.col("__mean")) & (F.col("__light") < F.col("__top"))
     return rows.select("vertex", F.when(move, F.col("__to")).otherwise(F.col("part")).alias("part"), "weight")
+
+
+def release_heavier(labels: DataFrame, edges: DataFrame, factor: float = 1.0) -> DataFrame:
+    """One round of balancing: boundary vertices of every part go to their lightest neighbouring part, if their own is
+    over ``factor`` times as heavy. ``labels`` has (vertex, part, weight)."""
+    loads = labels.groupBy("part").agg(F.sum("weight").alias("load"))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(labels.select(F.col("vertex").alias("b"), F.col("part").alias("to")), "b").join(loads.withColumnRenamed("part", "to"), "to")
+    lightest = near.groupBy("a").agg(F.min_by("to", F.struct("load", "to")).alias("__to"), F.min("load").alias("__light")).withColumnRenamed("a", "vertex")
+    rows = labels.join(loads.withColumnRenamed("load", "__own"), "part").join(lightest, "vertex", "left")
+    move = F.col("__own") > factor * F.col("__light")
+    return rows.select("vertex", F.when(move, F.col("__to")).otherwise(F.col("part")).alias("part"), "weight")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.observation import Observation
 
@@ -14,6 +15,24 @@ from pyspark.sql.observation import Observation
 LIMIT = 64 << 20
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which the driver and all executors share; only a session on one machine
+    may name none and gets a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tremolite-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the shared checkpoint folder, so that its rows and their places stay."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def process_of(df: DataFrame) -> DataFrame:
     """Rows with the number of the partition that holds them, and how many there are."""
     return df.withColumn("pid", F.spark_partition_id())
@@ -31,7 +50,7 @@ def sent_to_all(df: DataFrame) -> DataFrame:
 
 def barrier(df: DataFrame) -> DataFrame:
     """All of ``df`` is computed, and written to the checkpoint folder, before anything that follows."""
-    return df.checkpoint(eager=True)
+    return settled(df)
 
 
 def by_label(df: DataFrame, label: str, parts: int) -> DataFrame:

@@ -228,6 +228,50 @@ def form(g: Callable[[np.ndarray], float], n: int, rounds: int = 100, tol: float
     return {"u": u, "beta": beta, "pf": phi(-beta), "alpha": alpha, "gradient_norm": float(np.linalg.norm(grad))}
 
 
+def form_each(rows: DataFrame, by: list[str], g: Callable[..., float], n: int, parameters: list[str]) -> DataFrame:
+    """First-order reliability of many limit states: (by, beta, pf, gradient_norm) for each row, whose columns
+    ``parameters`` are handed to g after the point. Rows are independent and run in Arrow batches."""
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*by).schema.fields)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, given in zip(batch[by].itertuples(index=False, name=None), batch[parameters].itertuples(index=False, name=None), strict=True):
+                found = form(lambda u, given=given: g(u, *given), n)
+                out.append((*key, found["beta"], found["pf"], found["gradient_norm"]))
+            yield pd.DataFrame(out, columns=[*by, "beta", "pf", "gradient_norm"])
+
+    return rows.select(*dict.fromkeys([*by, *parameters])).mapInPandas(run, f"{keys}, beta double, pf double, gradient_norm double")
+
+
+def series_bounds(betas: DataFrame, by: list[str], beta: str = "beta") -> DataFrame:
+    """Unimodal bounds on the failure of series systems: the largest component's, and that of independent ones."""
+    p = normal.cdf(-F.col(beta))
+    rows = betas.withColumn("__p", p)
+    return rows.groupBy(*by).agg(F.max("__p").alias("low"), (1 - F.exp(F.sum(F.log(1 - F.col("__p"))))).alias("high"))
+
+
+def multinormal_pcm(betas: list[float], correlation: list[list[float]]) -> float:
+    """P(all X_i <= beta_i) by products of conditional marginals: each variable is conditioned on the ones before,
+    whose truncated normals are replaced by normals of the same mean and variance."""
+    b, r = np.array(betas, float), np.array(correlation, float)
+    total = 1.0
+    for i in range(len(b)):
+        p = phi(b[i])
+        total *= p
+        ratio = math.exp(-0.5 * b[i] ** 2) / math.sqrt(2 * math.pi) / max(p, 1e-300)
+        shrink = ratio * (b[i] + ratio)
+        rest = range(i + 1, len(b))
+        scale = np.array([math.sqrt(max(1e-300, 1 - r[i, k] ** 2 * shrink)) for k in rest])
+        new = r.copy()
+        for m, k in enumerate(rest):
+            for q, j in enumerate(rest):
+                new[k, j] = 1.0 if k == j else (r[k, j] - r[i, k] * r[i, j] * shrink) / (scale[m] * scale[q])
+            b[k] = (b[k] + r[i, k] * ratio) / scale[m]
+        r = new
+    return total
+
+
 def principal_curvatures(g: Callable[[np.ndarray], float], found: dict) -> np.ndarray:
     """Curvatures of the limit state at the design point, the largest in size first."""
     n = len(found["u"])
@@ -238,21 +282,20 @@ def principal_curvatures(g: Callable[[np.ndarray], float], found: dict) -> np.nd
     return values[np.argsort(-abs(values))]
 
 
-def secant_root(f: Callable[[float], float], a: float, b: float, tol: float = 1e-12, rounds: int = 100) -> float:
-    """Root by secant steps, bisection where they leave a bracket that changes sign."""
-    fa, fb = f(a), f(b)
+def secant_root(f: Callable[[float], float], a: float, b: float, tol: float = 1e-12, rounds: int = 200) -> float:
+    """Root by secant steps over the last two points; a step that leaves a bracket of changing sign is halved into it."""
+    (x0, y0), (x1, y1) = (a, f(a)), (b, f(b))
+    bracket = (x0, x1) if y0 < 0 < y1 else (x1, x0) if y1 < 0 < y0 else None
     for _ in range(rounds):
-        if abs(fb) < tol or fa == fb:
+        if abs(y1) < tol or y0 == y1:
             break
-        c = b - fb * (b - a) / (fb - fa)
-        if fa * fb < 0 and not min(a, b) < c < max(a, b):
-            c = (a + b) / 2
-        fc = f(c)
-        if fa * fb < 0 and fa * fc < 0:
-            b, fb, a, fa = c, fc, a, fa
-        else:
-            a, fa, b, fb = b, fb, c, fc
-    return b
+        new = x1 - y1 * (x1 - x0) / (y1 - y0)
+        if bracket and not min(bracket) < new < max(bracket):
+            new = sum(bracket) / 2
+        x0, y0, x1, y1 = x1, y1, new, f(new)
+        if bracket:
+            bracket = (x1, bracket[1]) if y1 < 0 else (bracket[0], x1)
+    return x1
 
 
 def bivariate(b1: float, b2: float, rho: float) -> float:
@@ -323,6 +366,25 @@ def univariate_surrogate(g: Callable[[np.ndarray], float], centre: np.ndarray, p
     return lambda x: base + sum(lagrange(v, x[i] - centre[i]) - base for i, v in enumerate(values))
 
 
+def bivariate_surrogate(g: Callable[[np.ndarray], float], centre: np.ndarray, points: list[float]) -> Callable[[np.ndarray], float]:
+    """g as a sum of functions of two variables, less those of one and the value at the centre as often as they
+    are counted twice; each a Lagrange polynomial through ``points`` about the centre."""
+    n, base = len(centre), g(centre)
+    unit = np.eye(n)
+    one = [[g(centre + p * unit[i]) for p in points] for i in range(n)]
+    two = {(i, j): [[g(centre + p * unit[i] + q * unit[j]) for q in points] for p in points] for i in range(n) for j in range(i)}
+
+    def weights(x: float) -> list[float]:
+        return [math.prod((x - q) / (p - q) for j, q in enumerate(points) if j != i) for i, p in enumerate(points)]
+
+    def value(x: np.ndarray) -> float:
+        w = [np.array(weights(x[i] - centre[i])) for i in range(n)]
+        pairs = sum(float(w[i] @ np.array(t) @ w[j]) for (i, j), t in two.items())
+        return pairs - (n - 2) * sum(float(w[i] @ np.array(one[i])) for i in range(n)) + (n - 1) * (n - 2) / 2 * base
+
+    return value
+
+
 def function_grid(spark: SparkSession, g: Column, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
     """g on a grid of named axes (low, high, points)."""
     total = math.prod(n for _, _, n in axes.values())

@@ -111,15 +111,20 @@ def differentiate_simpson(rows: DataFrame, by: list[str], order: str, value: str
     return folded(rows, by, order, [value], start, "derivative")
 
 
+def numbered(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """(by, i, v): a record's samples numbered from 0."""
+    return rows.select(*by, F.col(value).alias("v"), (F.row_number().over(_ordered(by, order)) - 1).alias("i"))
+
+
 def resampled(rows: DataFrame, by: list[str], order: str, value: str, dt: float, delta: float) -> DataFrame:
     """A record sampled every dt, read every delta: (by, i, t, v) at n = duration / delta + 1 points, i from 0; what
     integration runs on when its step is not the record's. The last sample holds at its own time."""
-    numbered = rows.select(*by, F.col(value).alias("v"), (F.row_number().over(_ordered(by, order)) - 1).alias("i"))
-    points = numbered.groupBy(*by).agg(F.floor((F.max("i") * F.lit(dt)) / delta + 1e-9).cast("long").alias("__n"))
+    samples = numbered(rows, by, order, value)
+    points = samples.groupBy(*by).agg(F.floor((F.max("i") * F.lit(dt)) / delta + 1e-9).cast("long").alias("__n"))
     points = points.select(*by, F.explode(F.expr("sequence(0L, __n)")).alias("k"))
     asked = points.withColumn("t", F.col("k") * F.lit(delta))
     near = asked.withColumn("t", F.when(F.abs(F.col("t") / dt - F.round(F.col("t") / dt)) < 1e-9, F.round(F.col("t") / dt) * dt).otherwise(F.col("t")))
-    return interpolate(near, numbered, by, dt, use_last=True).select(*by, F.col("k").alias("i"), (F.col("k") * F.lit(delta)).alias("t"), F.col("factor").alias("v"))
+    return interpolate(near, samples, by, dt, use_last=True).select(*by, F.col("k").alias("i"), (F.col("k") * F.lit(delta)).alias("t"), F.col("factor").alias("v"))
 
 
 def peak_factor(rows: DataFrame, by: list[str], value: str, dt: float, factor: float = 1.0) -> DataFrame:
@@ -159,6 +164,21 @@ def applied_loads(loads: DataFrame, times: DataFrame, factor: Column, pattern: s
     return times.withColumn("__factor", factor).join(loads, pattern).withColumn("load", F.col("value") * F.col("__factor")).drop("__factor")
 
 
+def uniform_excitation(masses: DataFrame, motion: DataFrame, by: list[str], time: str = "t", value: str = "value") -> DataFrame:
+    """Loads of a ground acceleration: -mass times acceleration, for every dof with mass in the motion's direction.
+
+    ``masses`` has (by, node, mass) with mass 0 for dofs the motion doesn't move, ``motion`` (by, t, value): by names
+    the direction, so one motion meets the dofs of its own direction only."""
+    moved = masses.where("mass <> 0")
+    return motion.join(moved, by).withColumn("load", -F.col("mass") * F.col(value)).drop(value, "mass")
+
+
+def multi_support(supports: DataFrame, motions: DataFrame, time: str = "t", value: str = "value") -> DataFrame:
+    """Imposed values of supports (node, dof, motion), each from its own motion (motion, t, value); several motions of
+    a support add up, as in combined motions."""
+    return motions.join(supports, "motion").groupBy("node", "dof", time).agg(F.sum(value).alias("imposed"))
+
+
 def spectrum_value(period: Column, points: list[tuple[float, float]]) -> Column:
     """Spectral acceleration at a period: linear between few sorted points, held at both ends.
 

@@ -1 +1,8 @@
+"""Registered queries by name, with SQL for the same rows."""
 
+from __future__ import annotations
+
+from . import models, queries, stores
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "models", "queries", "stores"]

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import glob
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 OK, UNKNOWN, WIDTH, DUPLICATE = 0, -1, -2, -1
 
@@ -91,6 +93,50 @@ def read_jdbc(spark: SparkSession, url: str, table: str, run: int, **options: st
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where(F.col("run_id") == run)
 
 
+class SnapshotSource(DataSource):
+    """A Spark data source over saved snapshots: options ``path`` (of a store, on a shared file system), ``table``, ``tag``.
+
+    Register it with ``spark.dataSource.register(SnapshotSource)`` and read with ``format("tremolite_snapshot")``.
+    Every file of the tag is a partition of its own.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tremolite_snapshot"
+
+    def _files(self) -> list[str]:
+        folder = f"{self.options['path'].removeprefix('file:')}/{self.options['table']}/commit_tag={self.options['tag']}"
+        return sorted(glob.glob(f"{folder}/*.parquet"))
+
+    def schema(self):
+        import pyarrow.parquet as pq
+        from pyspark.sql.pandas.types import from_arrow_schema
+
+        files = self._files()
+        if not files:
+            raise ValueError(f"nothing saved as {self.options['table']!r} under tag {self.options['tag']}")
+        return from_arrow_schema(pq.read_schema(files[0]))
+
+    def reader(self, schema) -> SnapshotReader:
+        return SnapshotReader(self._files())
+
+
+class SnapshotReader(DataSourceReader):
+    """Reads the files of a snapshot in Arrow batches."""
+
+    def __init__(self, files: list[str]):
+        self.files = files
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(f) for f in self.files]
+
+    def read(self, partition: InputPartition):
+        import pyarrow.parquet as pq
+
+        with pq.ParquetFile(partition.value) as f:
+            yield from f.iter_batches()
+
+
 STORES: dict[str, Callable] = {"File": SnapshotStore, "Table": TableStore}
 
 
