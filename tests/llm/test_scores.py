@@ -131,9 +131,24 @@ def test_label_model_weighs_voters():
     vote = lambda right, wrong: np.where(y, rng.random(4000) < right, rng.random(4000) < wrong).astype(int)
     strong, weak = [vote(0.8, 0.01) for _ in range(3)], vote(0.3, 0.2)
     votes = np.stack([*strong, weak, weak, weak, -vote(0.05, 0.7)], 1)
-    q, chance, shared = label_model(votes, 0.15)
+    q, chance, parent = label_model(votes, 0.15)
     assert ((q > 0.5) == y).mean() > 0.97
-    assert shared[3] > 2 > shared[0] and chance[1, 0, 2] > 0.7
+    assert chance[1, 0, 2] > 0.7
+    copies = [(i, int(p)) for i, p in enumerate(parent) if p >= 0]
+    assert len(copies) == 2 and all({i, p} <= {3, 4, 5} for i, p in copies)
+    alone, _, _ = label_model(votes[:, [0, 1, 2, 3, 6]], 0.15)
+    assert np.abs(alone - q).max() < 0.02
+
+
+def test_aimed_and_loud_voters():
+    from tremolite.llm import toxicity
+
+    model = toxicity.ToxicityModel(toxicity._seed_hashes(), np.zeros(len(toxicity.SEEDS), int), np.ones(len(toxicity.SEEDS)))
+    texts = ["you are a moron", "a moron sat far away from the place where you live", "well done!!", "well done! yes!", "", "moron"]
+    b, at = bytesets.text_buffers(pa.array(texts))
+    votes, _ = model.features((b, at), np.zeros(len(texts)))
+    loud, aimed = votes[:, model.voters + 1], votes[:, model.voters + 2]
+    assert loud.tolist() == [0, 0, 1, 0, 0, 0] and aimed.tolist() == [1, 0, 0, 0, 0, 0]
 
 
 PLAIN = (

@@ -2,12 +2,12 @@
 
 1. Voters. Lexicons of words and of word beginnings are induced from labelled rows (terms far more
    frequent in toxic ones, near copies counted once) and dealt by kind and support into voters; a seed lexicon of insults
-   and patterns (shouting; insults with their letters apart, with digits or signs for letters, or with a
-   letter three times or more) vote as well, and others vote for clean. A disguised insult also counts as
-   the plain word.
+   and patterns (shouting; exclamation marks in a row; a lexicon word aimed at the reader; insults with
+   their letters apart, with digits or signs for letters, or with a letter three times or more) vote as well,
+   and others vote for clean. A disguised insult also counts as the plain word.
 2. A generative label model, fitted by EM without labels, estimates how often each voter speaks in
-   either class, starting from the known class balance. Voters that agree beyond what the classes
-   explain are correlated; their evidence is divided by the number of voters it is shared with.
+   either class, starting from the known class balance, and which pairs of voters are correlated within the
+   classes: a vote depends on the class and on the one voter it shares most with, found anew in every round.
 3. A linear classifier over lexicon hits is trained on the model's posterior labels.
 """
 
@@ -41,6 +41,10 @@ SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "wort
 #: Digits and signs that stand for letters; a 1 is read as i, then as l.
 STANDS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 DISGUISES = 3
+#: Fixed words: the reader addressed, in the languages of the corpus.
+ADDRESS = ("you", "your", "youre", "u", "ur", "du", "dich", "dir", "dein", "deine", "tu", "toi", "te", "vous", "votre", "ti", "usted", "tus")
+#: Words between a lexicon hit and an address that it is aimed at.
+AIM = 3
 
 #: Bytes of words: letters, digits, and all bytes of letters beyond ASCII.
 _APART = np.ones(256, bool)
@@ -74,6 +78,9 @@ def _seed_hashes() -> np.ndarray:
     return terms(*B.text_buffers(column))[0][: len(SEEDS)]
 
 
+_ADDRESS = terms(*B.text_buffers(pa.array(ADDRESS)))[0][: len(ADDRESS)]
+
+
 def _collapsed(b: np.ndarray) -> np.ndarray:
     """Where a byte differs from the one before it."""
     return np.concatenate([np.ones(min(1, len(b)), bool), b[1:] != b[:-1]])
@@ -148,27 +155,70 @@ def _shout(b: np.ndarray, at: np.ndarray) -> np.ndarray:
     return up / np.maximum(1, all_)
 
 
+def _exclaimed(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows have two exclamation marks in a row."""
+    marks = b == 33
+    both = np.flatnonzero(marks[:-1] & marks[1:]) if len(b) > 1 else np.zeros(0, np.int64)
+    rows = np.searchsorted(at, both, side="right") - 1
+    out = np.zeros(len(at) - 1)
+    out[rows[both + 1 < at[rows + 1]]] = 1
+    return out
+
+
+def dependence(joint: np.ndarray, share: np.ndarray, least: float) -> np.ndarray:
+    """The voter that each voter's vote depends on besides the class, -1 for none: a maximum spanning forest of the
+    class-conditional mutual information of pairs, without pairs under ``least`` nats. ``joint`` has
+    (class, voter, vote, voter, vote) chances, ``share`` the classes' shares."""
+    m = joint.shape[1]
+    at = np.arange(m)
+    single = joint.sum(4)[:, at, :, at].transpose(1, 0, 2)
+    outer = single[:, :, :, None, None] * single[:, None, None, :, :]
+    info = np.einsum("c,cij->ij", share, (joint * np.log(joint / outer)).sum((2, 4)))
+    np.fill_diagonal(info, -1)
+    parent = np.full(m, -1)
+    best, source, left = np.full(m, -1.0), np.full(m, -1), set(range(m))
+    while left:
+        i = max(left, key=lambda k: (best[k], -k))
+        left.remove(i)
+        parent[i] = source[i] if best[i] >= least else -1
+        for k in left:
+            if info[i, k] > best[k]:
+                best[k], source[k] = info[i, k], i
+    return parent
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for every row of ``votes`` (rows x voters, -1 clean, 0 silent, 1 toxic), the
-    voters' chances of each vote by class, and how many voters each voter's evidence is shared with."""
+    voters' chances of each vote by class, and the voter that each one depends on (-1: none).
+
+    The model generates a class by ``prior`` and each vote from the class and the vote of one other voter. EM
+    estimates both the chances and, anew in every round, which pairs are correlated within the classes.
+    """
     n, m = votes.shape
-    seen = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
+    seen = np.stack([votes == v for v in (-1, 0, 1)], 2).reshape(n, 3 * m).astype(np.float32)
     score = (votes == 1).sum(1) - 0.5 * (votes == -1).sum(1)
     toxic = max(1, round(prior * n))
     cut = np.sort(score)[::-1][min(n - 1, toxic - 1)]
     q = np.where(score >= max(cut, 1), 0.9, 0.02)
-    shared = np.ones(m)
-    for step in range(rounds):
-        chance = np.stack([(np.einsum("n,nmv->mv", w, seen) + 0.5) / (w.sum() + 1.5) for w in (1 - q, q)])
-        if step == rounds // 2:
-            left = votes - np.einsum("cm,nc->nm", chance[:, :, 2] - chance[:, :, 0], np.stack([1 - q, q], 1))
-            std = left.std(0)
-            corr = (left.T @ left) / n / np.maximum(1e-9, np.outer(std, std))
-            shared = 1 + np.clip(np.abs(corr) - np.eye(m) - 0.1, 0, 1).sum(1)
-        weight = np.log(chance[1]) - np.log(chance[0])
-        odds = np.log(prior / (1 - prior)) + np.einsum("nmv,mv->n", seen, weight / shared[:, None])
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    return q, chance, shared
+    at = np.arange(m)
+    for _ in range(rounds):
+        counts = np.stack([(seen * w[:, None].astype(np.float32)).T @ seen for w in (1 - q, q)]).reshape(2, m, 3, m, 3).astype(float)
+        joint = (counts + 1 / 9) / np.array([(1 - q).sum() + 1, q.sum() + 1])[:, None, None, None, None]
+        single = joint.sum(4)[:, at, :, at].transpose(1, 0, 2)
+        chance = single / single.sum(2, keepdims=True)
+        parent = dependence(joint, np.array([1 - q.mean(), q.mean()]), 4 * np.log(max(2, n)) / n)
+        weight = (np.log(chance[1]) - np.log(chance[0])).reshape(-1)
+        odds = np.log(prior / (1 - prior)) + seen[:, np.repeat(parent < 0, 3)] @ weight[np.repeat(parent < 0, 3)]
+        for i in np.flatnonzero(parent >= 0).tolist():
+            pair = joint[:, parent[i], :, i, :]
+            ratio = np.log(pair / pair.sum(2, keepdims=True))
+            odds += (ratio[1] - ratio[0])[votes[:, parent[i]] + 1, votes[:, i] + 1]
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        done = np.abs(new - q).max() < 1e-4
+        q = new
+        if done:
+            break
+    return q, chance, parent
 
 
 class ToxicityModel:
@@ -180,21 +230,33 @@ class ToxicityModel:
         self.voters = 1 + KINDS * GROUPS
         self.weights = np.zeros(0)
 
-    def _hits(self, b: np.ndarray, at: np.ndarray, disguise: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _hits(self, b: np.ndarray, at: np.ndarray, disguise: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Term index and row of every lexicon hit of a run of lower-cased texts, disguised seeds read as
-        plain ones; words in each row."""
+        plain ones; words in each row; rows where a word of the lexicon is aimed at the reader."""
         h, rows, kinds, _ = terms(b, at)
-        words = np.bincount(rows[kinds == 0], minlength=len(at) - 1)
+        whole = int((kinds == 0).sum())
+        words = np.bincount(rows[:whole], minlength=len(at) - 1)
+        aimed = self._aimed(h[:whole], rows[:whole])
         hidden, _, seed = disguise
         if len(hidden):
             plain, of, _, _ = terms(*_SEED_COLUMN)
             again = [plain[of == k] for k in seed.tolist()]
             h, rows = np.concatenate([h, *again]), np.concatenate([rows, np.repeat(hidden, [len(x) for x in again])])
         if not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), words
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), words, aimed
         i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         hit = self.hashes[i] == h
-        return i[hit], rows[hit], words
+        return i[hit], rows[hit], words, aimed
+
+    def _aimed(self, h: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rows where an address stands within AIM words of a whole word of the lexicon."""
+        address = np.flatnonzero(np.isin(h, _ADDRESS))
+        found = [rows[:0]]
+        for step in (*range(-AIM, 0), *range(1, AIM + 1)):
+            near = address[(address + step >= 0) & (address + step < len(h))]
+            near = near[rows[near] == rows[near + step]]
+            found.append(rows[near[np.isin(h[near + step], self.hashes)]])
+        return np.unique(np.concatenate(found))
 
     def features(self, lower: tuple[np.ndarray, np.ndarray], shout: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(votes, features) of a run of texts."""
@@ -203,14 +265,17 @@ class ToxicityModel:
         disguise = disguised(b, at)
         spelled = np.zeros((n, DISGUISES))
         spelled[disguise[0], disguise[1]] = 1
-        term, rows, words = self._hits(b, at, disguise)
+        term, rows, words, aim = self._hits(b, at, disguise)
+        aimed = np.zeros(n)
+        aimed[aim] = 1
+        loud = _exclaimed(b, at)
         counts = np.bincount(rows * self.voters + self.voter[term], minlength=n * self.voters).reshape(n, self.voters)
         strength = np.zeros(n)
         np.maximum.at(strength, rows, self.strength[term])
         any_hit = counts.sum(1) > 0
-        votes = np.concatenate([(counts > 0).astype(int), np.where(shout > 0.6, 1, 0)[:, None], spelled.astype(int), np.where(~any_hit, -1, 0)[:, None], np.where(strength < np.log(2 * LIFT), -1, 0)[:, None], np.where(counts.astype(bool).sum(1) + spelled.sum(1) <= 1, -1, 0)[:, None]], 1)
+        votes = np.concatenate([(counts > 0).astype(int), np.where(shout > 0.6, 1, 0)[:, None], loud[:, None].astype(int), aimed[:, None].astype(int), spelled.astype(int), np.where(~any_hit, -1, 0)[:, None], np.where(strength < np.log(2 * LIFT), -1, 0)[:, None], np.where(counts.astype(bool).sum(1) + spelled.sum(1) <= 1, -1, 0)[:, None]], 1)
         rate = np.log1p(counts)
-        x = np.concatenate([(counts > 0).astype(float), rate, strength[:, None], np.log1p(counts.sum(1) / np.maximum(1, words) * 1000)[:, None], any_hit[:, None], shout[:, None], spelled, np.log1p(words)[:, None] / 10, np.ones((n, 1))], 1)
+        x = np.concatenate([(counts > 0).astype(float), rate, strength[:, None], np.log1p(counts.sum(1) / np.maximum(1, words) * 1000)[:, None], any_hit[:, None], shout[:, None], loud[:, None], aimed[:, None], spelled, np.log1p(words)[:, None] / 10, np.ones((n, 1))], 1)
         return votes, x
 
     def fit(self, x: np.ndarray, q: np.ndarray, rounds: int = 30, ridge: float = 1e-3) -> ToxicityModel:
@@ -320,7 +385,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     parts = sample.select("text").mapInArrow(_featured(model), "votes binary, x binary").toArrow()
     votes = np.stack([np.frombuffer(v, np.int64) for v in parts.column(0).to_pylist()])
     x = np.stack([np.frombuffer(v, np.float64) for v in parts.column(1).to_pylist()])
-    q, _, _ = label_model(votes, float(np.clip(share, 0.005, 0.5)))
+    q, _, _ = label_model(votes.astype(np.int64), float(np.clip(share, 0.005, 0.5)))
     return model.fit(x, q)
 
 
