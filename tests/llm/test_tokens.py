@@ -109,7 +109,61 @@ def test_edits_follow_a_full_count(bpe):
             b = min(len(counted.text), a + rng.choice([0, 0, 1, 2, 5, 60, 400]))
             counted.edit(a, b, "".join(rng.choice(POOL) for _ in range(rng.choice([0, 1, 2, 30, 200]))))
             assert counted.n_tokens == len(ids(bpe, counted.text))
-            assert [c for part, _ in counted.tree.leaves for c in part] == [len(w) for w in bpe.pretokens(counted.text)]
+            assert [c for _, part, _ in counted.tree.leaves for c in part] == [len(w) for w in bpe.pretokens(counted.text)]
+
+
+def test_trees_are_kept_as_tables(spark, reference):
+    from tremolite.llm.tokencount import edit_trees, token_trees, with_edits
+
+    rng = random.Random(7)
+    texts = {i: "".join(rng.choice(POOL) + rng.choice(["", " word"]) for _ in range(rng.choice([0, 3, 300]))) for i in range(30)} | {90: None}
+    trees = token_trees(frame(spark, [(i, t, None, None, 0) for i, t in texts.items()]), PATH)
+    n = lambda t: len(reference.encode(t, add_special_tokens=False).ids)
+    assert {r.doc_id: r.n_tokens for r in trees.collect()} == {i: n(t or "") for i, t in texts.items()}
+    now = {i: t or "" for i, t in texts.items()}
+    for _ in range(2):
+        log = []
+        for i in rng.sample(sorted(now), 20):
+            for seq in range(rng.randint(1, 6)):
+                a = rng.randint(0, len(now[i]) + 3)
+                b, put = a + rng.choice([0, 1, 9, 100]), rng.choice(POOL) * rng.randint(0, 3)
+                log.append((i, seq, a, b, put or None))
+                now[i] = now[i][: min(a, len(now[i]))] + put + now[i][max(a, b) :]
+        rng.shuffle(log)
+        trees = edit_trees(with_edits(trees.select("doc_id", "tree"), spark.createDataFrame([*log, (999, 0, 0, 0, "x")], "doc_id long, seq int, start int, end int, put string")), PATH)
+        assert {r.doc_id: r.n_tokens_edited for r in trees.collect()} == {i: n(t) for i, t in now.items()}
+        assert {r.doc_id: "".join(r.tree.texts) for r in trees.collect()} == now
+
+
+def test_many_edits_of_a_long_text_take_linear_time(bpe):
+    import time
+
+    def took(n):
+        counted = CountedText(bpe, "word 7 and\n" * n)
+        began = time.perf_counter()
+        for k in range(n - 1, -1, -1):
+            counted.edit(11 * k + 5, 11 * k + 6, "12")
+        assert counted.text == "word 12 and\n" * n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 16 * took(2_000)
+
+
+def test_query_recounted_by_the_library(spark, reference):
+    import re
+
+    from tremolite.llm.queries import QUERIES
+
+    got = {r.doc_id: r for r in QUERIES["op7_token_counts"](spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(docs)
+    n = lambda t: len(reference.encode(t, add_special_tokens=False).ids)
+    for r in docs:
+        text = r.text or ""
+        edited = re.sub("[0-9]+", "0", text).replace("\n", "\n\n")
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].n_tokens_edited) == (n(text), n(edited))
+        assert got[r.doc_id].n_edits == len(re.findall("[0-9]+", text)) + text.count("\n")
 
 
 def test_only_the_edit_is_encoded_again(bpe):
