@@ -61,6 +61,15 @@ def test_speculation_is_checked(bpe):
     assert any(g != bpe.merge(w) for g, w in zip(greedy, words, strict=False))
 
 
+def test_words_alone_and_in_lockstep_agree(bpe):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aehinorst the9é-") for _ in range(rng.choice([1, 5, 40, 95, 97, 400]))).encode() for _ in range(200)] + [b"a" * 5000, b" " * 3000]
+    assert [[int(t) for t in bpe.greedy(words)[1][bpe.greedy(words)[0] == i]] for i in range(20)] == [bpe.greedy_one(w) for w in words[:20]]
+    want = [np.array(bpe.merge(w), "<u4").tobytes() for w in words]
+    assert bpe.encode_words(words) == want
+    assert [bpe.encode_words([w])[0] for w in words] == want
+
+
 def test_short_and_long_merges_agree(bpe):
     from tremolite.llm import bpe as module
 

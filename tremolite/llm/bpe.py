@@ -21,13 +21,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bounds of what a worker remembers; past them it forgets and goes on.
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 500_000
-#: Fewer new words than this are merged one by one: there is nothing to do in lockstep.
-FEW = 24
+#: Fewer words than this, and words of more bytes than LONG, propose their tokens one at a time, not in lockstep.
+FEW, LONG = 24, 96
 #: Words of at most so many bytes are merged by looking through a list, longer ones with a heap.
 SHORT = 32
 _NONE = (1 << 60, -1)
-#: Words of more bytes are merged exactly at once.
-LONG = 96
 #: Characters of text handled at a time, one text at least.
 RUN = 1 << 19
 
@@ -81,6 +79,7 @@ class ByteBpe:
                     token.append(-1)
                 node = child[at]
             token[node] = i
+        self._walk, self._ends = child, token
         self._bits = max(10, (4 * len(child)).bit_length())
         self._keys = np.full(1 << self._bits, -1, np.int64)
         self._child = np.full(1 << self._bits, -1, np.int32)
@@ -171,6 +170,19 @@ class ByteBpe:
         order = np.argsort(of, kind="stable")
         return of[order], tokens[order]
 
+    def greedy_one(self, word: bytes) -> list[int]:
+        """Longest-match tokens of one word, byte by byte."""
+        walk, ends, out, at, n = self._walk, self._ends, [], 0, len(word)
+        while at < n:
+            node, p, best, reach = 0, at, -1, at
+            while p < n and (node := walk.get(node << 8 | word[p])) is not None:
+                p += 1
+                if ends[node] >= 0:
+                    best, reach = ends[node], p
+            out.append(best)
+            at = reach
+        return out
+
     def _fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether merging the bytes of left and right gives just them (right -1: just left). All adjacent
         pairs fit exactly when the tokens are those that merging the whole word would give."""
@@ -185,24 +197,26 @@ class ByteBpe:
         return np.fromiter(map(known.__getitem__, key.tolist()), bool, len(key))[back]
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word (not empty), as little-endian unsigned 32-bit integers."""
+        """The ids of each word (not empty), as little-endian unsigned 32-bit integers: proposed greedily, checked
+        pair by pair, and merged exactly where a check fails."""
         out: list[bytes] = [b""] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= LONG]
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = np.array(self.merge(w), "<u4").tobytes()
-        if short:
-            of, tokens = self.greedy([words[i] for i in short])
-            last = np.concatenate([of[1:] != of[:-1], [True]])
-            fit = self._fits(tokens, np.full(len(tokens), -1))
-            inner = np.flatnonzero(~last)
-            fit[inner] &= self._fits(tokens[inner], tokens[inner + 1])
-            cut = np.searchsorted(of, np.arange(len(short) + 1))
-            failed = np.zeros(len(short), bool)
-            failed[of[~fit]] = True
-            packed = tokens.astype("<u4").tobytes()
-            for n, i in enumerate(short):
-                out[i] = np.array(self.merge(words[i]), "<u4").tobytes() if failed[n] else packed[4 * cut[n] : 4 * cut[n + 1]]
+        together = [i for i, w in enumerate(words) if len(w) <= LONG]
+        together = together if len(together) >= FEW else []
+        of, tokens = self.greedy([words[i] for i in together]) if together else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        alone = sorted(set(range(len(words))) - set(together))
+        own = [self.greedy_one(words[i]) for i in alone]
+        of = np.concatenate([of, np.repeat(np.arange(len(own)) + len(together), [len(t) for t in own])]).astype(np.int64)
+        tokens = np.concatenate([tokens, np.array([t for part in own for t in part], np.int32)])
+        last = np.concatenate([of[1:] != of[:-1], [True]])
+        fit = self._fits(tokens, np.full(len(tokens), -1))
+        inner = np.flatnonzero(~last)
+        fit[inner] &= self._fits(tokens[inner], tokens[inner + 1])
+        cut = np.searchsorted(of, np.arange(len(words) + 1))
+        failed = np.zeros(len(words), bool)
+        failed[of[~fit]] = True
+        packed = tokens.astype("<u4").tobytes()
+        for n, i in enumerate([*together, *alone]):
+            out[i] = np.array(self.merge(words[i]), "<u4").tobytes() if failed[n] else packed[4 * cut[n] : 4 * cut[n + 1]]
         return out
 
     def pretokens(self, text: str) -> list[str]:
@@ -222,7 +236,7 @@ class ByteBpe:
             self._known.update((w, np.array([self.special[w]], "<u4").tobytes()) for w in special)
             plain = [w for w in new if w not in self.special]
             words = [w.encode() for w in plain]
-            self._known.update(zip(plain, self.encode_words(words) if len(words) >= FEW else [np.array(self.merge(w), "<u4").tobytes() for w in words], strict=True))
+            self._known.update(zip(plain, self.encode_words(words) if words else [], strict=True))
         return self._known
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
