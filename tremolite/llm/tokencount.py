@@ -215,6 +215,17 @@ class CountedText:
 _PRE = regex.compile(PATTERN)
 
 
+def packed_tree(text: str, words: list[str], ids: list[bytes]) -> tuple[int, dict]:
+    """Tokens of a text, and the tree column's value of its pre-tokens, leaf by leaf, without building the tree."""
+    chars = np.fromiter(map(len, words), "<u4", len(words))
+    tokens = np.fromiter(map(len, ids), "<u4", len(ids)) // np.uint32(4)
+    cuts = [0, *np.cumsum(chars, dtype=np.int64)[LEAF - 1 : -1 : LEAF].tolist(), len(text)] if words else []
+    sizes = np.full(len(cuts[1:]), LEAF, "<u4")
+    sizes[-1:] = len(words) - LEAF * (len(sizes) - 1)
+    texts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return int(tokens.sum()), {"texts": texts, "sizes": sizes.tobytes(), "chars": chars.tobytes(), "tokens": tokens.tobytes()}
+
+
 def pattern_edits(text: str, finders: list[tuple[regex.Pattern, str]]) -> list[dict]:
     """Every match of each pattern in the text as it then is, from the last to the first, as edits to apply in order."""
     out = []
@@ -242,9 +253,9 @@ def token_trees(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for i, texts in text_runs(batch.column(1)):
                 split = [bpe.pretokens(t) for t in texts]
-                known = bpe.learn(set().union(*split))
-                trees = [CountedText(bpe, t, words, known) for t, words in zip(texts, split, strict=True)]
-                columns = [batch.column(0).slice(i, len(texts)), pa.array([t.n_tokens for t in trees], pa.int64()), pa.array([t.packed() for t in trees], _TREE)]
+                known = bpe.learn(set().union(*split)).__getitem__
+                trees = [packed_tree(t, words, list(map(known, words))) for t, words in zip(texts, split, strict=True)]
+                columns = [batch.column(0).slice(i, len(texts)), pa.array([n for n, _ in trees], pa.int64()), pa.array([t for _, t in trees], _TREE)]
                 if patterns is not None:
                     columns.append(pa.array([pattern_edits(t, finders) for t in texts], _EDITS))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "tree", "edits"][: len(columns)])
@@ -280,13 +291,17 @@ def edit_trees(trees: DataFrame, path: str, id_col: str = "doc_id", keep: bool =
                 part = batch.slice(i, 256)
                 counts, after = [], []
                 for tree, edits in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    if tree and not edits:
+                        n = int(np.frombuffer(tree["tokens"], "<u4").sum())
+                        counts.append((n, 0, n, len(tree["tokens"]) // 4, 0))
+                        after.append(tree)
+                        continue
                     counted = CountedText.of(bpe, tree) if tree else CountedText(bpe, "")
                     before, n = counted.n_tokens, sum(len(x[1]) for x in counted.tree.leaves)
                     for e in edits or []:
                         counted.edit(e["start"], e["end"], e["put"] or "")
                     counts.append((before, len(edits or []), counted.n_tokens, n, counted.encoded))
-                    if keep:
-                        after.append(counted.packed())
+                    after.append(counted.packed() if keep else None)
                 columns = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*counts, strict=True))]
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(after, _TREE)] if keep else [])], names[: len(columns) + keep])
 
