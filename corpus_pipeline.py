@@ -65,11 +65,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as temperature mixing draws them (each at least once, none more than twice), written in the
-    order of the mixture: epoch by epoch, blocks and the rows in them permuted, sources interleaved."""
+    """Documents as often as temperature mixing draws them (each at least once, none more than twice). Every part of
+    the output holds rows drawn at random, in the order of the mixture: epoch by epoch, blocks and rows permuted."""
     drawn = temperature_mix(docs, repetition=2.0).select(F.col("doc_id").alias("d_id"), F.col("source").alias("d_source"), F.col("text_hash").alias("d_hash"), "epoch", "turn", "block", "place").distinct()
     same = matched(F.col("hash"), F.col("d_hash")) & F.col("id").eqNullSafe(F.col("d_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("d_source"))
-    return _packed(docs, text_hash).join(drawn, same).orderBy("epoch", "turn", "block", "place").select("row.*")
+    return _packed(docs, text_hash).join(drawn, same).sortWithinPartitions("epoch", "turn", "block", "place").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
