@@ -40,6 +40,13 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forgotten(df: DataFrame) -> None:
+    """Delete the rows of a ``staged`` table that a later one has replaced."""
+    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        removed(df.sparkSession, kept.get())
+
+
 def matched(a, b):
     """That keys a and b are equal, said so that a hot key can be split.
 
