@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the map that ``maybe_in`` broadcasts: a megabyte, whatever the number of keys.
 SLOTS = 1 << 23
+#: Plans made while this is set have their shuffle files deleted as soon as they have run.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,9 +31,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df``, computed once and written to the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df``, computed once and written to the shared checkpoint folder. Its shuffles, which nothing reads again, are deleted."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEANED, None)
+    spark.conf.set(CLEANED, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.unset(CLEANED) if before is None else spark.conf.set(CLEANED, before)
 
 
 def removed(spark: SparkSession, folder: str) -> None:
