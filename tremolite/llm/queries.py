@@ -95,6 +95,34 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import fit_whitening, identity_error, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    model = fit_whitening(vectors)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    made = whiten(vectors, model, 8)
+    explained = F.array(*(F.lit(float(e / model.trace) if model.trace else 0.0) for e in model.values[:8]))
+    each = made.select("vec_id", F.expr("try_cast(deviation AS long)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "at").alias("explained"), F.lit(identity_error(made, model)).alias("identity_error"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_pieces, token_pieces
+
+    pieces = token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return pack_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 2048)
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .audit import filter_interactions
+
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 SQL = {
     "op2_embedding_near_dedup": """
         WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label IS NOT NULL),
@@ -119,9 +147,28 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op13_filter_interactions": """
+        WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+        m AS (SELECT doc_id, part, CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS INT)
+            + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS fails FROM t),
+        k AS (SELECT part, fails, doc_id IN (SELECT doc_id FROM good) AS good, doc_id IN (SELECT doc_id FROM toxic) AS toxic, count(*) AS n FROM m GROUP BY ALL),
+        f AS (SELECT unnest(range(5)) AS f),
+        o AS (SELECT '' AS filter_order, 0 AS applied, 0 AS step, CAST(NULL AS BIGINT) AS f, [] AS path
+            UNION ALL SELECT filter_order || chr(CAST(65 + f.f AS INT)), applied | CAST(1 << f.f AS INT), step + 1, f.f, list_append(path, {'step': step + 1, 'applied': applied, 'f': f.f}) FROM o JOIN f ON (applied >> f.f) & 1 = 0),
+        p AS (SELECT filter_order, unnest(path, recursive := true) FROM o WHERE step = 5),
+        r AS (SELECT part, filter_order, CAST(step AS INT) AS step, p.f AS f,
+            CAST(sum(CASE WHEN fails & (applied | (1 << p.f)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+            CAST(sum(CASE WHEN (fails >> p.f) & 1 = 1 AND fails & applied = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+            CAST(sum(CASE WHEN (fails >> p.f) & 1 = 1 AND fails & applied <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+            CAST(sum(CASE WHEN fails = 1 << p.f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+            CAST(sum(CASE WHEN (fails >> p.f) & 1 = 1 AND fails & applied = 0 AND good THEN n ELSE 0 END) AS BIGINT) AS good_lost,
+            CAST(sum(CASE WHEN (fails >> p.f) & 1 = 1 AND fails & applied = 0 AND toxic THEN n ELSE 0 END) AS BIGINT) AS toxic_lost
+            FROM p CROSS JOIN k GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
 }
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_embedding_near_dedup, op3_setsketch_near_dedup, op4_toxicity, op5_temperature_mixing, op6_bpe_round_trip, op7_token_counts, op8_stratified_shards, op9_exact_dedup, op10_personal_data)
+    for f in (op1_quality, op2_embedding_near_dedup, op3_setsketch_near_dedup, op4_toxicity, op5_temperature_mixing, op6_bpe_round_trip, op7_token_counts, op8_stratified_shards, op9_exact_dedup, op10_personal_data, op11_whitening, op12_best_fit_packing, op13_filter_interactions)
 }
