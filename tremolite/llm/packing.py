@@ -93,34 +93,38 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
-def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
+#: Which lengths a selection prefers among those that are equally full, by length and number left: those that hold the
+#: most tokens, the longest, the most frequent.
+PREFERENCES = (lambda length, n: (-length * n, -length), lambda length, n: (-length,), lambda length, n: (-n, -length))
+
+
+def fullest(counts: dict[int, int], room: int, preference=PREFERENCES[1]) -> list[tuple[int, int]]:
     """(length, copies) of a selection from ``counts`` with the largest sum that ``room`` allows.
 
-    Bit s of a bit set says that sum s can be made. Longer lengths come first, and the sums are traced back so that
-    shorter ones are used as little as they can be: they fit more easily later.
+    Bit s of a bit set says that sum s can be made. Sums are made from the least preferred lengths to the most
+    preferred ones and traced back, each length taking as many copies as the sum still allows.
     """
     sums, mask, stages = 1, (1 << (room + 1)) - 1, []
-    for length in sorted((x for x in counts if x <= room), reverse=True):
+    for length in sorted((x for x, n in counts.items() if n and x <= room), key=lambda x: preference(x, counts[x]), reverse=True):
         copies, step = min(counts[length], room // length), 1
-        stages.append((length, sums))
+        stages.append((length, copies, sums))
         while copies:
             step = min(step, copies)
             sums |= (sums << (step * length)) & mask
             copies, step = copies - step, 2 * step
-        if sums >> room & 1:
-            break
     target, taken = sums.bit_length() - 1, []
-    for length, before in reversed(stages):
-        copies = 0
-        while not before >> target & 1:
-            target, copies = target - length, copies + 1
+    for length, most, before in reversed(stages):
+        copies = min(most, target // length)
+        while not before >> (target - copies * length) & 1:
+            copies -= 1
         if copies:
             taken.append((length, copies))
+            target -= copies * length
     return taken
 
 
-def bin_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """(bins, [(length, copies in each)]) that hold every piece of a histogram of lengths from 1 to ``capacity``.
+def patterns_by(counts: dict[int, int], capacity: int, preference) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``bin_patterns`` by one preference.
 
     Every bin starts with the longest length left and is filled up by the ``fullest`` of the others. As a selection
     stays the fullest while it can be made at all, it is repeated until one of its lengths runs out, so the
@@ -130,7 +134,7 @@ def bin_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
     while left:
         longest = max(left)
         left[longest] -= 1
-        taken = dict(fullest({length: n for length, n in left.items() if n}, capacity - longest))
+        taken = dict(fullest(left, capacity - longest, preference))
         left[longest] += 1
         taken[longest] = taken.get(longest, 0) + 1
         bins = min(left[length] // copies for length, copies in taken.items())
@@ -142,6 +146,12 @@ def bin_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[
     return out
 
 
+def bin_patterns(counts: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(bins, [(length, copies in each)]) that hold every piece of a histogram of lengths from 1 to ``capacity``: of the
+    plans by each preference, the one of the fewest bins."""
+    return min((patterns_by(counts, capacity, p) for p in PREFERENCES), key=lambda plan: sum(bins for bins, _ in plan))
+
+
 def _places(patterns: list[tuple[int, list[tuple[int, int]]]]) -> tuple[np.ndarray, ...]:
     """Where the pieces of a length go, by rank: runs of (length, first rank, first bin, copies a bin, offset), sorted."""
     runs, used, first = [], {}, 0

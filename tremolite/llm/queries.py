@@ -154,9 +154,9 @@ SQL = {
             + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS INT) AS fails FROM t),
         k AS (SELECT part, fails, doc_id IN (SELECT doc_id FROM good) AS good, doc_id IN (SELECT doc_id FROM toxic) AS toxic, count(*) AS n FROM m GROUP BY ALL),
         f AS (SELECT unnest(range(5)) AS f),
-        o AS (SELECT '' AS filter_order, 0 AS applied, 0 AS step, CAST(NULL AS BIGINT) AS f, [] AS path
-            UNION ALL SELECT filter_order || chr(CAST(65 + f.f AS INT)), applied | CAST(1 << f.f AS INT), step + 1, f.f, list_append(path, {'step': step + 1, 'applied': applied, 'f': f.f}) FROM o JOIN f ON (applied >> f.f) & 1 = 0),
-        p AS (SELECT filter_order, unnest(path, recursive := true) FROM o WHERE step = 5),
+        o AS (SELECT '' AS letters, 0 AS done, 0 AS n, CAST([] AS STRUCT(step INTEGER, applied INTEGER, f BIGINT)[]) AS path
+            UNION ALL SELECT letters || chr(CAST(65 + f.f AS INT)), done | CAST(1 << f.f AS INT), n + 1, list_append(path, {'step': n + 1, 'applied': done, 'f': f.f}) FROM o JOIN f ON (done >> f.f) & 1 = 0),
+        p AS (SELECT letters AS filter_order, u.step, u.applied, u.f FROM (SELECT letters, unnest(path) AS u FROM o WHERE n = 5)),
         r AS (SELECT part, filter_order, CAST(step AS INT) AS step, p.f AS f,
             CAST(sum(CASE WHEN fails & (applied | (1 << p.f)) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
             CAST(sum(CASE WHEN (fails >> p.f) & 1 = 1 AND fails & applied = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
