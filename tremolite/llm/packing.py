@@ -8,27 +8,36 @@ places by their rank among those of the same length.
 from __future__ import annotations
 
 import os
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_runs
 from .staging import ranked, staged
 
-#: Bounds of what a worker remembers of words and their ids; past them it forgets and goes on.
-WORDS_KEPT, CHARS_KEPT = 300_000, 16_000_000
+#: Bounds of what a worker remembers of words and their ids. Past them it forgets what it hasn't met since the last time.
+WORDS_KEPT, CHARS_KEPT = 200_000, 8_000_000
+#: Words that the tokenizer is given at a time.
+TOGETHER = 4096
 #: ASCII white space but the blank itself: the tokenizer always parts words there, whatever stands around it.
 WHITE = "\t\n\v\f\r"
+#: The tokenizer's pattern of a word in lower case, and what ends the last token of each.
+WORD, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 
 
 class WordIds:
-    """Ids of whole texts by a public tokenizer whose words never reach across white space; each word between
-    blanks is encoded once and remembered."""
+    """Ids of whole texts by a public tokenizer that lowers case and whose words never reach across white space.
+
+    What stands between blanks is parted into words, and each word is encoded once and remembered; the tokenizer gets
+    many new words in one text, whose tokens are told apart by the mark of a word's end. Where lower case and
+    normal form might not commute, or a special token's string appears, the piece goes to the tokenizer as it is.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,27 +46,77 @@ class WordIds:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.no_truncation()
         self._tokenizer.no_padding()
-        self._known: dict[str, bytes] = {}
-        self._chars = 0
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab()
+        self._ends = np.zeros(1 + max(vocabulary.values()), bool)
+        self._ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self._find = regex.compile(WORD).findall
+        self._pieces, self._words = _Memory(), _Memory()
+
+    def _lower(self, text: str) -> str:
+        """The text in lower case if its ids are surely the same."""
+        low = text.lower()
+        if not text.isascii() and ("Σ" in text or not is_normalized("NFC", text) or not is_normalized("NFC", low)):
+            return text
+        return text if any(s in low for s in self._special) else low
+
+    def _plain(self, piece: str) -> bool:
+        """Whether a piece is in lower case and normal form and holds no special token."""
+        return piece == piece.lower() and (piece.isascii() or is_normalized("NFC", piece)) and not any(s in piece for s in self._special)
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, many in one text; one by one if the tokens' ends don't tell them apart."""
+        for i in range(0, len(words), TOGETHER):
+            part = words[i : i + TOGETHER]
+            ids = np.array(self._tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (np.flatnonzero(self._ends[ids]) + 1)
+            packed = ids.tobytes()
+            if len(cuts) == len(part) and (not len(cuts) or cuts[-1] == len(packed)):
+                cuts = cuts.tolist()
+                self._words.now.update(zip(part, (packed[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self._words.now.update(zip(part, self._whole(part), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
         split = []
-        for text in texts:
+        for text in map(self._lower, texts):
             for c in WHITE:
                 text = text.replace(c, " ")
             split.append(text.split(" "))
-        new = [w for w in set().union(*split) if w not in self._known]
-        if len(self._known) + len(new) > WORDS_KEPT or self._chars > CHARS_KEPT:
-            self._known, self._chars = {}, 0
-            new = list(set().union(*split))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            found = self._tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self._known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-        self._chars += sum(map(len, new))
-        ids = self._known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+        plain, odd = [], []
+        for piece in self._pieces.unknown(set().union(*split)):
+            (plain if self._plain(piece) else odd).append(piece)
+        self._pieces.now.update(zip(odd, self._whole(odd), strict=True))
+        parted = list(map(self._find, plain))
+        self._learn(self._words.unknown(set().union(*parted)))
+        ids = self._words.now.__getitem__
+        self._pieces.now.update([(p, ids(w[0]) if len(w) == 1 else b"".join(map(ids, w))) for p, w in zip(plain, parted, strict=True)])
+        ids = self._pieces.now.__getitem__
+        return [b"".join(map(ids, pieces)) for pieces in split]
+
+
+class _Memory:
+    """Ids by word: those met lately (``now``) and, until enough others have come, those met before."""
+
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
+        self._chars = 0
+
+    def unknown(self, words: set[str]) -> list[str]:
+        """The words to be learnt; the others are in ``now`` until the next call."""
+        if len(self.now) > WORDS_KEPT or self._chars > CHARS_KEPT:
+            self.now, self._before, self._chars = {}, self.now, 0
+        now, before = self.now, self._before
+        missing = [w for w in words if w not in now]
+        now.update([(w, before[w]) for w in missing if w in before])
+        new = [w for w in missing if w not in before]
+        self._chars += sum(map(len, missing))
+        return new
 
 
 @lru_cache(maxsize=2)
