@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,10 +59,11 @@ def test_query(spark):
 def test_words_between_blanks_give_the_same_ids(texts):
     from tremolite.llm.packing import WordIds
 
-    texts = [*texts, "x<|endoftext|>y <|startoftext|>", "it's We'LL a\x1cb ΑΣ ΑΣ. é ́"]
+    texts = [*texts, "x<|endoftext|>y <|startoftext|>", "<|EndOfText|> X", "H\u0331 T\u0308x İ ǅ ẞ ''s 's't 12a3 ａB Ⅳ", "it's We'LL a\x1cb ΑΣ ΑΣ. é ́"]
     words = WordIds(PATH)
-    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in words.encode(texts)] == encoded(texts)
-    assert [np.frombuffer(x, "<u4").tolist() + [0] for x in words.encode(texts)] == encoded(texts)
+    for some in (texts, texts, texts[1:], [None, *texts]):
+        assert [np.frombuffer(x, "<u4").tolist() + [0] for x in words.encode(pa.array(some, pa.string()))] == encoded(some)
+    assert words.encode(pa.array([], pa.string())) == [] and words.encode(pa.array(["zz", *texts]).slice(1)) == words.encode(pa.array(texts))
 
 
 @settings(max_examples=150, deadline=None)

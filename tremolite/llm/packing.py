@@ -14,19 +14,17 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import text_runs
 from .staging import ranked, staged
 
 #: Bounds of what a worker remembers of words and their ids. Past them it forgets what it hasn't met since the last time.
-WORDS_KEPT, CHARS_KEPT = 200_000, 8_000_000
-#: Words that the tokenizer is given at a time.
-TOGETHER = 4096
-#: ASCII white space but the blank itself: the tokenizer always parts words there, whatever stands around it.
-WHITE = "\t\n\v\f\r"
+WORDS_KEPT, CHARS_KEPT = 300_000, 8_000_000
+#: Words that the tokenizer is given at a time, and characters of text that are worked on together, one text at least.
+TOGETHER, RUN = 4096, 1 << 22
 #: The tokenizer's pattern of a word in lower case, and what ends the last token of each.
 WORD, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 
@@ -34,8 +32,9 @@ WORD, END = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", "</w>"
 class WordIds:
     """Ids of whole texts by a public tokenizer that lowers case and whose words never reach across white space.
 
-    What stands between blanks is parted into words, and each word is encoded once and remembered; the tokenizer gets
-    many new words in one text, whose tokens are told apart by the mark of a word's end. Where lower case and
+    A run of texts is split at ASCII white space, where the tokenizer always parts words. Each different piece is
+    parted into words, and each word is encoded once and remembered; the tokenizer gets many new words in one text,
+    whose tokens are told apart by the mark of a word's end. The pieces' ids are then laid out for all texts at once. Where lower case and
     normal form might not commute, or a special token's string appears, the piece goes to the tokenizer as it is.
     """
 
@@ -80,23 +79,57 @@ class WordIds:
             else:
                 self._words.now.update(zip(part, self._whole(part), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        split = []
-        for text in map(self._lower, texts):
-            for c in WHITE:
-                text = text.replace(c, " ")
-            split.append(text.split(" "))
-        plain, odd = [], []
-        for piece in self._pieces.unknown(set().union(*split)):
-            (plain if self._plain(piece) else odd).append(piece)
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (null: empty), as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # a slice's own copy
+        ascii_ = pc.string_is_ascii(texts)
+        simple = pc.and_(ascii_, pc.invert(pc.match_substring(texts, "<")))
+        other = pa.array([self._lower(t) for t in texts.filter(pc.invert(simple)).to_pylist()], pa.large_string())
+        texts = pc.replace_with_mask(pc.ascii_lower(texts), pc.invert(simple), other)
+        split = pc.ascii_split_whitespace(texts)
+        pieces = split.flatten().dictionary_encode()
+        ids = self._pieces_of(pieces.dictionary)
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        start, at = np.cumsum(length) - length, pieces.indices.to_numpy()
+        count = length[at]
+        end = np.cumsum(count)
+        every = np.frombuffer(b"".join(ids), "<u4")
+        packed = every[np.repeat(start[at] - (end - count), count) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        cuts = np.concatenate([[0], end])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        cuts = (4 * cuts).tolist()
+        return [packed[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+    def _pieces_of(self, different: pa.Array) -> list[bytes]:
+        """The ids of different pieces."""
+        every = different.to_numpy(zero_copy_only=False).tolist()
+        new = self._pieces.unknown(every)
+        array = pa.array(new, pa.large_string())
+        words = pc.and_(pc.ascii_is_alpha(array), pc.and_(pc.string_is_ascii(array), pc.ascii_is_lower(array))).to_numpy(zero_copy_only=False).tolist()
+        plain, parted, odd = [], [], []
+        for piece, word in zip(new, words, strict=True):
+            if word:
+                plain.append(piece)
+                parted.append((piece,))
+            elif self._plain(piece):
+                plain.append(piece)
+                parted.append(self._find(piece))
+            else:
+                odd.append(piece)
         self._pieces.now.update(zip(odd, self._whole(odd), strict=True))
-        parted = list(map(self._find, plain))
-        self._learn(self._words.unknown(set().union(*parted)))
+        self._learn(self._words.unknown(list(set().union(*parted))))
         ids = self._words.now.__getitem__
         self._pieces.now.update([(p, ids(w[0]) if len(w) == 1 else b"".join(map(ids, w))) for p, w in zip(plain, parted, strict=True)])
-        ids = self._pieces.now.__getitem__
-        return [b"".join(map(ids, pieces)) for pieces in split]
+        return list(map(self._pieces.now.__getitem__, every))
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about RUN bytes at a time."""
+    at = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(at, (at[i - 1] if i else 0) + RUN, side="right")))
+        yield i, column.slice(i, j - i)
+        i = j
 
 
 class _Memory:
@@ -107,8 +140,8 @@ class _Memory:
         self._before: dict[str, bytes] = {}
         self._chars = 0
 
-    def unknown(self, words: set[str]) -> list[str]:
-        """The words to be learnt; the others are in ``now`` until the next call."""
+    def unknown(self, words: list[str]) -> list[str]:
+        """The words (all different) to be learnt; the others are in ``now`` until the next call."""
         if len(self.now) > WORDS_KEPT or self._chars > CHARS_KEPT:
             self.now, self._before, self._chars = {}, self.now, 0
         now, before = self.now, self._before
@@ -140,7 +173,7 @@ def token_pieces(df: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _word_ids(path)
         for batch in batches:
-            for i, texts in text_runs(batch.column(1)):
+            for i, texts in text_slices(batch.column(1)):
                 cut = [[ids[a : a + size] for a in range(0, len(ids), size)] for ids in (x + end for x in words.encode(texts))]
                 row = np.repeat(np.arange(i, i + len(cut)), [len(c) for c in cut])
                 piece = np.concatenate([np.arange(len(c)) for c in cut]).astype(np.int32)
