@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .parallel import settled
+
 #: Schemas of the tables that a model knows; others may be added.
 SCHEMAS = {
     "nodes": "tag int, crds array<double>, ndf int, active boolean",
@@ -219,6 +221,49 @@ def tied_values(mp: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "constrained", "constrained_dof").agg(F.sum(F.col("coefficient") * F.col("value")).alias("value"))
 
 
+def resolved(ties: DataFrame) -> DataFrame:
+    """Linear relations (constrained, constrained_dof, retained, retained_dof, coefficient) with every retained dof that is
+    itself constrained replaced by what it is tied to, to the end of every chain, and terms of equal dofs summed.
+
+    Each round puts the relations as they stand into themselves, so chains shorten by half: as many rounds as the
+    logarithm of the longest one. Relations that are still not at an end after the rounds that the number of
+    constrained dofs allows lie on or behind a cycle: their rows, with ``open`` true, are those given, and the
+    others have ``open`` false. A null coefficient counts as 0, and relations that name no dof as none.
+    """
+    key = lambda a: [f"{a}", f"{a}_dof"]
+    named = "constrained is not null and constrained_dof is not null and retained is not null and retained_dof is not null"
+    given = ties.where(named).select(*key("constrained"), *key("retained"), F.coalesce(F.col("coefficient").cast("double"), F.lit(0.0)).alias("coefficient"))
+    total = lambda t: t.groupBy(*key("constrained"), *key("retained")).agg(F.sum("coefficient").alias("coefficient"))
+    given = settled(total(given))
+    bound = given.select(*key("constrained")).distinct()
+    tied = settled(bound.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof")))
+    stuck = settled(_behind_cycles(given, bound))
+    rows = given.join(stuck, key("constrained"), "left_anti")
+    while True:
+        rows = settled(rows)
+        inner = rows.join(tied, key("retained"), "left_semi")
+        if inner.isEmpty():
+            break
+        inner_terms = rows.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof"), F.col("retained").alias("next"), F.col("retained_dof").alias("next_dof"), F.col("coefficient").alias("c"))
+        put = inner.join(inner_terms, key("retained")).select(*key("constrained"), F.col("next").alias("retained"), F.col("next_dof").alias("retained_dof"), (F.col("coefficient") * F.col("c")).alias("coefficient"))
+        rows = total(rows.join(tied, key("retained"), "left_anti").select(*key("constrained"), *key("retained"), "coefficient").unionByName(put))
+    left = given.join(stuck, key("constrained"), "left_semi")
+    return rows.withColumn("open", F.lit(False)).unionByName(left.withColumn("open", F.lit(True)))
+
+
+def _behind_cycles(given: DataFrame, bound: DataFrame) -> DataFrame:
+    """Constrained dofs whose chains don't all end: paths between constrained dofs are doubled until none is left, or are
+    longer than there are constrained dofs."""
+    paths = given.select(F.struct("constrained", "constrained_dof").alias("a"), F.struct(F.col("retained").alias("constrained"), F.col("retained_dof").alias("constrained_dof")).alias("b"))
+    ends = bound.select(F.struct("constrained", "constrained_dof").alias("b"))
+    paths = settled(paths.join(ends, "b", "left_semi").select("a", "b").distinct())
+    length, longest = 1, bound.count()
+    while length <= longest and not paths.isEmpty():
+        paths = settled(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+        length *= 2
+    return paths.select("a.*").distinct()
+
+
 def rigid_links(nodes: DataFrame, retained: int, constrained_nodes: list[int], plane: tuple[int, int] = (0, 1), kind: str = "diaphragm") -> DataFrame:
     """Relations of rigid links in a plane: translations follow the retained node's, plus its rotation (dof 3 of a
     plane, counted from 1) times the distance; a ``rod`` ties translations alone, a ``beam`` the rotation too."""

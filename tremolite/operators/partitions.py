@@ -6,7 +6,7 @@ cells are cut at once. Loads are sums of vertex weights.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
@@ -16,7 +16,7 @@ from .ranks import ranked
 #: How far the load of a part may lie from the mean of its cell.
 SLACK = 0.05
 #: Vertices for each part at which coarsening ends, and proposals in one step of it.
-COARSE, PROPOSALS = 48, 3
+COARSE, PROPOSALS = 32, 2
 #: Rounds without a move that end an exchange.
 STILL = 3
 
@@ -57,7 +57,7 @@ def heavy_matching(edges: DataFrame, nodes: DataFrame, limits: DataFrame, seed:
         mutual = choice.join(choice.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b")
         pairs = mutual if pairs is None else pairs.unionByName(mutual)
         if i + 1 < PROPOSALS:
-            taken = settled(mutual.select(F.explode(F.array("a", "b")).alias("t")))
+            taken = mutual.select(F.explode(F.array("a", "b")).alias("t"))
             open_ = open_.join(taken, F.col("a") == F.col("t"), "left_anti").join(taken, F.col("b") == F.col("t"), "left_anti")
     mates = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("a").alias("coarse")), F.struct(F.col("b").alias("vertex"), F.col("a").alias("coarse")))).alias("m")).select("m.*")
     return settled(nodes.select("vertex").join(mates, "vertex", "left").select("vertex", F.coalesce("coarse", "vertex").alias("coarse")))
@@ -72,13 +72,10 @@ def contracted(edges: DataFrame, nodes: DataFrame, mates: DataFrame) -> tuple[Da
 
 
 def by_levels(edges: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
-    """(vertex, part): every cell's vertices in the order of their components and of levels from an outer vertex, cut into
+    """(vertex, part): every cell's vertices in the order of their components and of levels from the least vertex, cut into
     runs of equal load."""
     members = settled(components(edges))
-    roots = members.groupBy("component").agg(F.min("vertex").alias("vertex"))
-    for _ in range(2):
-        levels = settled(level_structure(edges, roots.select("vertex")))
-        roots = levels.groupBy("root").agg(F.max_by("vertex", F.struct("level", "vertex")).alias("vertex"))
+    levels = level_structure(edges, members.groupBy("component").agg(F.min("vertex").alias("vertex")))
     order = nodes.join(members, "vertex", "left").join(levels.select("vertex", "level"), "vertex", "left")
     order = order.select("vertex", "cell", "weight", F.coalesce("component", "vertex").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
     order = ranked(order, ["component", "level", "vertex"], ["cell"], "weight", "before")
@@ -103,7 +100,14 @@ def independent(edges: DataFrame, wishes: DataFrame, seed: int) -> DataFrame:
     wish = settled(wishes.withColumn("rank", rank))
     mine, other = wish.select(F.col("vertex").alias("a"), F.col("rank").alias("mine")), wish.select(F.col("vertex").alias("b"), F.col("rank").alias("other"))
     beaten = edges.join(mine, "a").join(other, "b").where("other > mine").select(F.col("a").alias("vertex")).distinct()
-    return settled(wish.join(beaten, "vertex", "left_anti").drop("rank"))
+    return wish.join(beaten, "vertex", "left_anti").drop("rank")
+
+
+def _running(by: list[str], weight: str = "weight"):
+    """The weight of those who gain more, and one's own, among the movers of a part: fewer than its vertices, whose load
+    is bounded, sorted and summed as a stream."""
+    w = Window.partitionBy(*by).orderBy(F.desc("gain"), "vertex").rowsBetween(Window.unboundedPreceding, 0)
+    return F.sum(weight).over(w)
 
 
 def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, slack: float = SLACK, rounds: int | None = None) -> DataFrame:
@@ -119,28 +123,23 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
     turn = 0
     while rounds is None or turn < rounds:
         turn += 1
-        loads = settled(full.join(_loads(rows), ["cell", "part"], "left").join(means, "cell").select("cell", "part", F.coalesce("load", F.lit(0.0)).alias("load"), "mean"))
+        loads = full.join(_loads(rows), ["cell", "part"], "left").join(means, "cell").select("cell", "part", F.coalesce("load", F.lit(0.0)).alias("load"), "mean")
         pulls = _pulls(edges, rows).join(rows, "vertex")
         own = F.coalesce(F.max(F.when(F.col("to") == F.col("part"), F.col("pull"))), F.lit(0.0))
         best = F.max(F.when(F.col("to") != F.col("part"), F.struct("pull", F.xxhash64(F.lit(turn), "vertex", "to").alias("h"), "to")))
         wish = pulls.groupBy("vertex", "cell", "part", "weight").agg(own.alias("own"), best.alias("best"))
         wish = wish.where("best.pull > own").select("vertex", "cell", "part", "weight", F.col("best.to").alias("to"), (F.col("best.pull") - F.col("own")).alias("gain"))
-        wish = independent(edges, wish, turn)
-        if wish.isEmpty():
-            break
-        wish = wish.withColumn("__loss", -F.col("gain"))
-        wish = ranked(wish, ["__loss", "vertex"], ["cell", "to"], "weight", "into")
-        wish = ranked(wish, ["__loss", "vertex"], ["cell", "part"], "weight", "outof")
+        wish = independent(edges, wish, turn).withColumns({"into": _running(["cell", "to"]), "outof": _running(["cell", "part"])})
         at = lambda c, load: loads.select("cell", F.col("part").alias(c), F.col("load").alias(load), *(["mean"] if c == "to" else []))
         wish = wish.join(at("to", "there"), ["cell", "to"]).join(at("part", "here"), ["cell", "part"])
-        moved = settled(wish.where((F.col("there") + F.col("into") + F.col("weight") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") - F.col("weight") >= (1 - slack) * F.col("mean"))).select("vertex", "to"))
-        if moved.isEmpty():
+        moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "to")
+        rows = settled(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        if rows.where("moved").isEmpty():
             break
-        rows = settled(rows.join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part")))
     return rows.select("vertex", "cell", "weight", "part")
 
 
-def multilevel_parts(edges: DataFrame, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 6) -> DataFrame:
+def multilevel_parts(edges: DataFrame, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 4) -> DataFrame:
     """(vertex, cell, weight, part): every cell of the graph in ``parts`` parts of near equal load and a small cut.
 
     Matching merges pairs over heavy edges until a part has some COARSE vertices left or no tenth of them merges
@@ -191,7 +190,7 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
     turn = still = 0
     while rounds is None or turn < rounds:
         turn += 1
-        loads = settled(rows.groupBy("part").agg(F.sum("weight").alias("load")))
+        loads = rows.groupBy("part").agg(F.sum("weight").alias("load"))
         pulls = _pulls(e, rows).join(rows, "vertex")
         own = F.coalesce(F.max(F.when(F.col("to") == F.col("part"), F.col("pull"))), F.lit(0.0)).alias("own")
         others = F.collect_list(F.when(F.col("to") != F.col("part"), F.struct("to", "pull"))).alias("others")
@@ -207,16 +206,16 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
             break
         ends = worth.select("p", "q", "best", F.explode(F.array("p", "q")).alias("part"))
         choice = ends.groupBy("part").agg(F.max_by(F.struct("p", "q"), F.struct("best", "p", "q")).alias("c")).select("c.*")
-        paired = settled(choice.groupBy("p", "q").agg(F.count("*").alias("n")).where("n = 2").select("p", "q"))
+        paired = choice.groupBy("p", "q").agg(F.count("*").alias("n")).where("n = 2").select("p", "q")
         live = wish.withColumns({"p": F.least("part", "to"), "q": F.greatest("part", "to")}).join(paired, ["p", "q"])
-        live = independent(e, live.select("vertex", "part", "weight", "to", "gain", "here", "there", "p", "q"), turn).withColumn("__loss", -F.col("gain"))
-        live = settled(ranked(live, ["__loss", "vertex"], ["part", "to", "weight"], name="k"))
+        live = independent(e, live.select("vertex", "part", "weight", "to", "gain", "here", "there", "p", "q"), turn)
+        turns = Window.partitionBy("part", "to", "weight").orderBy(F.desc("gain"), "vertex")
+        live = settled(live.withColumn("k", F.row_number().over(turns)))
         lower = live.where("part = p").select("p", "q", "weight", "k", F.col("vertex").alias("u"), F.col("gain").alias("gu"))
         upper = live.where("part = q").select("p", "q", "weight", "k", F.col("vertex").alias("v"), F.col("gain").alias("gv"))
-        swaps = settled(lower.join(upper, ["p", "q", "weight", "k"]).where("gu + gv > 0").select(F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.col("q").alias("to")), F.struct(F.col("v").alias("vertex"), F.col("p").alias("to")))).alias("s")).select("s.*"))
+        swaps = lower.join(upper, ["p", "q", "weight", "k"]).where("gu + gv > 0").select(F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.col("q").alias("to")), F.struct(F.col("v").alias("vertex"), F.col("p").alias("to")))).alias("s")).select("s.*")
         single = live.join(swaps.select("vertex"), "vertex", "left_anti").where("gain >= 0 and here > there").drop("k")
-        single = ranked(single, ["__loss", "vertex"], ["part"], "weight", "gone")
-        single = single.where("2 * (gone + weight) <= here - there").select("vertex", "to")
+        single = single.withColumn("gone", _running(["part"])).where("2 * gone <= here - there").select("vertex", "to")
         moved = settled(swaps.unionByName(single))
         if moved.isEmpty():
             still += 1

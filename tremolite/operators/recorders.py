@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .accumulators import folded
+from .parallel import settled
 
 GATE_TOLERANCE = 1e-5
 
@@ -116,12 +117,34 @@ def held_when_closed(rows: DataFrame, by: list[str], value: str, time: str = "t"
     return rows.withColumn(value, F.last(F.when(F.col("emitted"), F.col(value)), ignorenulls=True).over(w))
 
 
-def removed(entities: DataFrame, links: DataFrame, responses: DataFrame, limit: float, tag: str = "tag", value: str = "value") -> DataFrame:
+def removed(entities: DataFrame, links: DataFrame, responses: DataFrame, limit: float, tag: str = "tag", value: str = "value", chained: bool = False) -> DataFrame:
     """Entities left after those whose absolute response passed ``limit``, and what hangs on them by ``links``
-    (tag, dependant), are gone."""
+    (tag, dependant), are gone; with ``chained`` also what hangs on that, to the end of every chain."""
     gone = responses.where(F.abs(F.col(value)) > limit).select(F.col("entity_tag").alias(tag)).distinct()
-    hanging = links.join(gone, tag, "left_semi").select(F.col("dependant").alias(tag))
-    return entities.join(gone.unionByName(hanging).distinct(), tag, "left_anti")
+    if chained:
+        gone = reached(links.select(F.col(tag).alias("tag"), "dependant"), gone.withColumnRenamed(tag, "tag")).withColumnRenamed("tag", tag)
+    else:
+        gone = gone.unionByName(links.join(gone, tag, "left_semi").select(F.col("dependant").alias(tag))).distinct()
+    return entities.join(gone, tag, "left_anti")
+
+
+def reached(links: DataFrame, start: DataFrame) -> DataFrame:
+    """All tags reachable from ``start`` (tag) by ``links`` (tag, dependant), itself included; cycles end.
+
+    A round follows links only from tags that the round before found, and leaves out those found earlier; the number
+    of rounds is the length of the longest shortest chain.
+    """
+    links = settled(links.where("dependant is not null").distinct())
+    found = last = settled(start.where("tag is not null").distinct())
+    rounds = 0
+    while True:
+        rounds += 1
+        last = settled(links.join(last, "tag", "left_semi").select(F.col("dependant").alias("tag")).distinct().join(found, "tag", "left_anti"))
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last)
+        if rounds % 32 == 0:
+            found = settled(found)
 
 
 def increments(iterations: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

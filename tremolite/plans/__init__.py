@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import models, queries, stores
+from . import meshes, models, queries, stores
 from .queries import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "models", "queries", "stores"]
+__all__ = ["QUERIES", "SQL", "meshes", "models", "queries", "stores"]
