@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tremolite.operators import numbering, partitions
 from tremolite.operators.graphs import bandwidth
-from tremolite.operators.parallel import settled
+from tremolite.operators.parallel import written
 from tremolite.operators.ranks import ranked
 
 
@@ -103,7 +103,7 @@ def grid(w, h):
 
 def test_parts_of_a_grid(spark):
     edges = frame(spark, grid(14, 14))
-    rows = settled(partitions.multilevel_parts(edges, 2))
+    rows = written(partitions.multilevel_parts(edges, 2))
     loads = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("weight").alias("n")).collect()}
     assert sorted(loads) == [0, 1] and sum(loads.values()) == 196
     assert all(abs(n / 98 - 1) <= 0.05 for n in loads.values())
@@ -142,7 +142,7 @@ def test_dissection(spark):
     rng = random.Random(1)
     edges = grid(7, 7) + [(a + 200, b + 200) for a, b in random_edges(rng, 30, 40)]
     rows = numbering.nested_dissection(frame(spark, edges), 2, spark.createDataFrame([(999,)], "vertex long"))
-    rows = settled(rows)
+    rows = written(rows)
     got = rows.collect()
     every = {v for e in edges if e[0] != e[1] for v in e} | {999}
     assert {r.vertex for r in got} == every and sorted(r.number for r in got) == list(range(len(every)))
@@ -175,7 +175,7 @@ def test_exchange(spark):
 
     before, labels = state(rows), spark.createDataFrame(rows, "vertex long, part int, weight double")
     for rounds in (1, None):
-        after = settled(partitions.exchanged(e, labels, rounds))
+        after = written(partitions.exchanged(e, labels, rounds))
         got = [(r.vertex, r.part, r.weight) for r in after.collect()]
         assert sorted((v, w) for v, _, w in got) == sorted((v, w) for v, _, w in rows)
         now = state(got)

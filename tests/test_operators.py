@@ -375,3 +375,38 @@ def test_entry_imports_without_optional_parts():
     import __spark_entry__ as entry
 
     assert len(entry.queries()) >= len(entry.oracle_sql()) > 190
+
+
+def test_chains_of_removal_and_relations(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(100, 101), (101, 100), (101, None), (None, 5)]
+    start = [(3,), (17,), (100,), (None,), (3,)]
+    found = {3, 17, 100}
+    while more := {b for a, b in links if a in found and b is not None} - found:
+        found |= more
+    got = [r.tag for r in R.reached(spark.createDataFrame(links, "tag long, dependant long"), spark.createDataFrame(start, "tag long")).collect()]
+    assert sorted(got) == sorted(found)
+
+    # relations among 40 dofs: each is tied to smaller ones, so chains end; 50, 51 and 52 don't
+    ties = [(c, 1, r, rng.choice([1, 2]), rng.choice([0.5, -1.0, 2.0])) for c in range(8, 40) for r in rng.sample(range(c), 2)]
+    ties += [(50, 1, 51, 1, 1.0), (51, 1, 50, 1, 1.0), (52, 1, 50, 1, 1.0), (52, 1, 2, 1, 1.0), (53, 1, 1, 1, None), (None, 1, 2, 1, 1.0)]
+    rows = spark.createDataFrame(ties, "constrained long, constrained_dof int, retained long, retained_dof int, coefficient double")
+    value = {}
+
+    def solve(key):
+        if key not in value:
+            value[key] = {}
+            terms = [t for t in ties if (t[0], t[1]) == key]
+            if not terms:
+                return {key: 1.0}
+            for t in terms:
+                for k, v in solve((t[2], t[3])).items():
+                    value[key][k] = value[key].get(k, 0.0) + (t[4] or 0.0) * v
+        return value[key]
+
+    want = {(c, k): v for c in [*range(8, 40), 53] for k, v in solve((c, 1)).items()}
+    got = entities.resolved(rows).collect()
+    assert {((r.constrained), (r.retained, r.retained_dof)): pytest.approx(r.coefficient) for r in got if not r.open} == want
+    assert sorted((r.constrained, r.retained) for r in got if r.open) == [(50, 51), (51, 50), (52, 2), (52, 50)]
+    long = spark.range(1, 700).select(F.col("id").alias("constrained"), F.lit(1).alias("constrained_dof"), (F.col("id") - 1).alias("retained"), F.lit(1).alias("retained_dof"), F.lit(1.0).alias("coefficient"))
+    assert entities.resolved(long).where("retained = 0 and coefficient = 1 and not open").count() == 699

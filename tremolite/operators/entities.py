@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .parallel import settled
+from .parallel import written
 
 #: Schemas of the tables that a model knows; others may be added.
 SCHEMAS = {
@@ -234,13 +234,13 @@ def resolved(ties: DataFrame) -> DataFrame:
     named = "constrained is not null and constrained_dof is not null and retained is not null and retained_dof is not null"
     given = ties.where(named).select(*key("constrained"), *key("retained"), F.coalesce(F.col("coefficient").cast("double"), F.lit(0.0)).alias("coefficient"))
     total = lambda t: t.groupBy(*key("constrained"), *key("retained")).agg(F.sum("coefficient").alias("coefficient"))
-    given = settled(total(given))
+    given = written(total(given))
     bound = given.select(*key("constrained")).distinct()
-    tied = settled(bound.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof")))
-    stuck = settled(_behind_cycles(given, bound))
+    tied = written(bound.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof")))
+    stuck = written(_behind_cycles(given, bound))
     rows = given.join(stuck, key("constrained"), "left_anti")
     while True:
-        rows = settled(rows)
+        rows = written(rows)
         inner = rows.join(tied, key("retained"), "left_semi")
         if inner.isEmpty():
             break
@@ -256,10 +256,10 @@ def _behind_cycles(given: DataFrame, bound: DataFrame) -> DataFrame:
     longer than there are constrained dofs."""
     paths = given.select(F.struct("constrained", "constrained_dof").alias("a"), F.struct(F.col("retained").alias("constrained"), F.col("retained_dof").alias("constrained_dof")).alias("b"))
     ends = bound.select(F.struct("constrained", "constrained_dof").alias("b"))
-    paths = settled(paths.join(ends, "b", "left_semi").select("a", "b").distinct())
+    paths = written(paths.join(ends, "b", "left_semi").select("a", "b").distinct())
     length, longest = 1, bound.count()
     while length <= longest and not paths.isEmpty():
-        paths = settled(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+        paths = written(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
         length *= 2
     return paths.select("a.*").distinct()
 

@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parallel import settled
+from .parallel import written
 from .ranks import ranked
 
-#: Levels that are found before all so far are settled together.
+#: Levels that are found before all so far are written together.
 SETTLE = 32
 
 
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round links the neighbours of a vertex to the least of them, larger ones and then smaller ones, so that
     distances shrink by half; it ends when nothing changes.
     """
-    links = settled(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
+    links = written(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct())
     mark = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -37,28 +37,28 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
         near = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = settled(near.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = written(near.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         small = large.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        links = settled(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        links = written(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
     return links.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
 
 
 def level_structure(near: DataFrame, roots: DataFrame) -> DataFrame:
     """(vertex, root, level): breadth-first levels from ``roots`` (vertex), one in a component, over edges that ``near`` has
     both ways. A neighbour lies one level away at most, so only the last two levels are left out of the next."""
-    found = last = settled(roots.select("vertex", F.col("vertex").alias("root"), F.lit(0).alias("level")))
+    found = last = written(roots.select("vertex", F.col("vertex").alias("root"), F.lit(0).alias("level")))
     before = last.limit(0)
     level = 0
     while True:
         level += 1
         step = near.join(last, near["a"] == last["vertex"]).select(F.col("b").alias("vertex"), "root").distinct()
-        new = settled(step.join(last.select("vertex").unionByName(before.select("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)))
+        new = written(step.join(last.select("vertex").unionByName(before.select("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)))
         if new.isEmpty():
             return found
         found, before, last = found.unionByName(new), last, new
         if level % SETTLE == 0:
-            found = settled(found.repartition("vertex"))
+            found = written(found.repartition("vertex"))
 
 
 def peripheral_levels(near: DataFrame, degrees: DataFrame, members: DataFrame) -> DataFrame:
@@ -67,26 +67,26 @@ def peripheral_levels(near: DataFrame, degrees: DataFrame, members: DataFrame) -
     facts = members.join(degrees, "vertex")
     first = lambda by: F.min_by("vertex", F.struct("degree", "vertex")).alias(by)
     roots = facts.groupBy("component").agg(first("vertex")).select("vertex")
-    best, tried = None, settled(level_structure(near, roots))
+    best, tried = None, written(level_structure(near, roots))
     while True:
         tall = tried.groupBy("root").agg(F.max("level").alias("height"))
         if best is not None:
             of = lambda t, root, height: t.join(members, "vertex").where("level = 0").select("component", F.col("vertex").alias(root)).join(t.groupBy("root").agg(F.max("level").alias(height)).withColumnRenamed("root", root), root)
-            won = settled(of(tried, "new", "more").join(of(best, "old", "less"), "component").where("more > less").select("new", "old"))
+            won = written(of(tried, "new", "more").join(of(best, "old", "less"), "component").where("more > less").select("new", "old"))
             if won.isEmpty():
                 return best
             kept = best.join(won.select(F.col("old").alias("root")), "root", "left_anti").select("vertex", "root", "level")
             tried = tried.join(won.select(F.col("new").alias("root")), "root", "left_semi").select("vertex", "root", "level")
-            best = settled(kept.unionByName(tried))
+            best = written(kept.unionByName(tried))
             tall = tried.groupBy("root").agg(F.max("level").alias("height"))
         else:
             best = tried
         last = tried.join(tall, "root").where("level = height")
         roots = last.join(degrees, "vertex").groupBy("root").agg(first("start")).where("start <> root").select(F.col("start").alias("vertex"))
-        roots = settled(roots)
+        roots = written(roots)
         if roots.isEmpty():
             return best
-        tried = settled(level_structure(near, roots))
+        tried = written(level_structure(near, roots))
 
 
 def cuthill_mckee(edges: DataFrame, vertices: DataFrame | None = None, reverse: bool = True) -> DataFrame:
@@ -97,22 +97,22 @@ def cuthill_mckee(edges: DataFrame, vertices: DataFrame | None = None, reverse:
     in which a queue would take them. ``vertices`` may add some without edges, each a component. Every level is
     numbered by ranks over ranges. The order depends on the graph alone. No edges and no vertices: no rows.
     """
-    near = settled(both_ways(edges))
-    degrees = settled(near.groupBy(F.col("a").alias("vertex")).agg(F.count("*").alias("degree")))
-    members = settled(components(near))
-    levels = settled(peripheral_levels(near, degrees, members).join(degrees, "vertex"))
+    near = written(both_ways(edges))
+    degrees = written(near.groupBy(F.col("a").alias("vertex")).agg(F.count("*").alias("degree")))
+    members = written(components(near))
+    levels = written(peripheral_levels(near, degrees, members).join(degrees, "vertex"))
     last = levels.where("level = 0").select("vertex", "root", F.lit(0).cast("long").alias("place"))
     placed, level = last.withColumn("level", F.lit(0)), 0
     while True:
         level += 1
         next_ = levels.where(F.col("level") == level).select(F.col("vertex").alias("b"), "root", "degree")
         parents = near.join(last.select(F.col("vertex").alias("a"), "place"), "a").join(next_, "b").groupBy(F.col("b").alias("vertex"), "root", "degree").agg(F.min("place").alias("parent"))
-        last = settled(ranked(parents, ["parent", "degree", "vertex"], ["root"], name="place").select("vertex", "root", "place"))
+        last = written(ranked(parents, ["parent", "degree", "vertex"], ["root"], name="place").select("vertex", "root", "place"))
         if last.isEmpty():
             break
         placed = placed.unionByName(last.withColumn("level", F.lit(level)))
         if level % SETTLE == 0:
-            placed = settled(placed.repartition("vertex"))
+            placed = written(placed.repartition("vertex"))
     sizes = levels.join(members, "vertex").groupBy("component", "root", "level").agg(F.count("*").alias("n"))
     if vertices is not None:
         alone = vertices.select(F.col("vertex").cast("long").alias("vertex")).distinct().join(members, "vertex", "left_anti")
@@ -122,7 +122,7 @@ def cuthill_mckee(edges: DataFrame, vertices: DataFrame | None = None, reverse:
     numbers = placed.join(starts, ["root", "level"]).select("vertex", (F.col("start") + F.col("place")).alias("number"))
     if not reverse:
         return numbers
-    numbers = settled(numbers)
+    numbers = written(numbers)
     return numbers.select("vertex", (F.lit(numbers.count() - 1) - F.col("number")).alias("number"))
 
 
@@ -137,27 +137,27 @@ def nested_dissection(edges: DataFrame, depth: int, vertices: DataFrame | None =
     """
     from .partitions import multilevel_parts
 
-    near = settled(both_ways(edges))
+    near = written(both_ways(edges))
     every = near.select(F.col("a").alias("vertex"))
     if vertices is not None:
         every = every.unionByName(vertices.select(F.col("vertex").cast("long").alias("vertex")))
-    open_ = settled(every.distinct().withColumn("block", F.lit(1).cast("long")))
+    open_ = written(every.distinct().withColumn("block", F.lit(1).cast("long")))
     done = open_.limit(0).withColumn("separator", F.lit(True))
     for _ in range(min(depth, 16)):
         of = lambda c: open_.select(F.col("vertex").alias(c), F.col("block").alias(f"block_{c}"))
-        inside = settled(near.where("a < b").join(of("a"), "a").join(of("b"), "b").where("block_a = block_b").select("a", "b", F.col("block_a").alias("block")))
+        inside = written(near.where("a < b").join(of("a"), "a").join(of("b"), "b").where("block_a = block_b").select("a", "b", F.col("block_a").alias("block")))
         if inside.isEmpty():
             break
-        halves = settled(multilevel_parts(inside.select("a", "b"), 2, open_.select("vertex", F.col("block").alias("cell"))))
+        halves = written(multilevel_parts(inside.select("a", "b"), 2, open_.select("vertex", F.col("block").alias("cell"))))
         side = lambda c: halves.select(F.col("vertex").alias(c), F.col("part").alias(f"part_{c}"))
         cut = inside.join(side("a"), "a").join(side("b"), "b").where("part_a <> part_b")
-        ends = settled(cut.select("block", F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("part_a").alias("part")), F.struct(F.col("b").alias("vertex"), F.col("part_b").alias("part")))).alias("e")).select("block", "e.*").distinct())
+        ends = written(cut.select("block", F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("part_a").alias("part")), F.struct(F.col("b").alias("vertex"), F.col("part_b").alias("part")))).alias("e")).select("block", "e.*").distinct())
         fewer = ends.groupBy("block", "part").agg(F.count("*").alias("n")).groupBy("block").agg(F.min_by("part", F.struct("n", "part")).alias("part"))
         between = ends.join(fewer, ["block", "part"], "left_semi").select("vertex", "block")
-        done = settled(done.unionByName(between.withColumn("separator", F.lit(True))))
+        done = written(done.unionByName(between.withColumn("separator", F.lit(True))))
         left = halves.join(between.select("vertex"), "vertex", "left_anti")
-        open_ = settled(left.select("vertex", (2 * F.col("cell") + F.col("part")).alias("block")))
-    rows = settled(done.unionByName(open_.withColumn("separator", F.lit(False))))
+        open_ = written(left.select("vertex", (2 * F.col("cell") + F.col("part")).alias("block")))
+    rows = written(done.unionByName(open_.withColumn("separator", F.lit(False))))
     sizes = {r["block"]: r["n"] for r in rows.groupBy("block").agg(F.count("*").alias("n")).collect()}
     total: dict[int, int] = {}
     for c in sorted({b >> k for b in sizes for k in range(b.bit_length())}, reverse=True):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -33,6 +34,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once, as a table of its own in the shared folder: for rounds of a loop.
+
+    A checkpoint hands the constraints that the optimiser knows of its rows on to the next plan, and over many rounds
+    of renamed columns these grow faster than the rounds. A table that is read again brings none.
+    """
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def process_of(df: DataFrame) -> DataFrame:
     """Rows with the number of the partition that holds them, and how many there are."""
     return df.withColumn("pid", F.spark_partition_id())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
-from .parallel import settled
+from .parallel import written
 from .ranks import ranked
 
 #: How far the load of a part may lie from the mean of its cell.
@@ -22,7 +22,7 @@ STILL = 3
 
 
 def graph(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Edges (a, b, w) both ways, with the weights of repeated ones summed, and vertices (vertex, cell, weight), settled.
+    """Edges (a, b, w) both ways, with the weights of repeated ones summed, and vertices (vertex, cell, weight), as written tables.
 
     ``edges`` may have ``w`` (else 1), ``vertices`` may have ``cell`` (else 0) and ``weight`` (else 1); vertices that only
     edges name get those defaults. Repeated vertices count once, with their largest weight.
@@ -35,11 +35,11 @@ def graph(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFram
     if vertices is not None:
         given = lambda c, kind: (F.col(c) if c in vertices.columns else F.lit(None)).cast(kind).alias(c)
         named = named.unionByName(vertices.select(F.col("vertex").cast("long").alias("vertex"), given("cell", "long"), given("weight", "double")))
-    nodes = settled(named.groupBy("vertex").agg(F.coalesce(F.max("cell"), F.lit(0).cast("long")).alias("cell"), F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight")))
+    nodes = written(named.groupBy("vertex").agg(F.coalesce(F.max("cell"), F.lit(0).cast("long")).alias("cell"), F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight")))
     if vertices is not None and "cell" in vertices.columns:
         of = lambda c: nodes.select(F.col("vertex").alias(c), F.col("cell").alias(f"cell_{c}"))
         rows = rows.join(of("a"), "a").join(of("b"), "b").where("cell_a = cell_b").select("a", "b", "w")
-    return settled(rows), nodes
+    return written(rows), nodes
 
 
 def heavy_matching(edges: DataFrame, nodes: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
@@ -50,17 +50,17 @@ def heavy_matching(edges: DataFrame, nodes: DataFrame, limits: DataFrame, seed:
     """
     far = lambda c, to: nodes.select(F.col("vertex").alias(c), F.col("weight").alias(to), *(["cell"] if c == "a" else []))
     fit = edges.join(far("a", "wa"), "a").join(far("b", "wb"), "b").join(limits, "cell").where("wa + wb <= limit").select("a", "b", "w")
-    open_, pairs = settled(fit), None
+    open_, pairs = written(fit), None
     for i in range(PROPOSALS):
         tie = F.xxhash64(F.lit(seed * PROPOSALS + i), F.least("a", "b"), F.greatest("a", "b"))
-        choice = settled(open_.groupBy("a").agg(F.max_by("b", F.struct("w", tie, "b")).alias("b")))
+        choice = written(open_.groupBy("a").agg(F.max_by("b", F.struct("w", tie, "b")).alias("b")))
         mutual = choice.join(choice.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_semi").where("a < b")
         pairs = mutual if pairs is None else pairs.unionByName(mutual)
         if i + 1 < PROPOSALS:
             taken = mutual.select(F.explode(F.array("a", "b")).alias("t"))
             open_ = open_.join(taken, F.col("a") == F.col("t"), "left_anti").join(taken, F.col("b") == F.col("t"), "left_anti")
     mates = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("vertex"), F.col("a").alias("coarse")), F.struct(F.col("b").alias("vertex"), F.col("a").alias("coarse")))).alias("m")).select("m.*")
-    return settled(nodes.select("vertex").join(mates, "vertex", "left").select("vertex", F.coalesce("coarse", "vertex").alias("coarse")))
+    return written(nodes.select("vertex").join(mates, "vertex", "left").select("vertex", F.coalesce("coarse", "vertex").alias("coarse")))
 
 
 def contracted(edges: DataFrame, nodes: DataFrame, mates: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,13 +68,13 @@ def contracted(edges: DataFrame, nodes: DataFrame, mates: DataFrame) -> tuple[Da
     of = lambda c: mates.select(F.col("vertex").alias(c), F.col("coarse").alias(f"coarse_{c}"))
     rows = edges.join(of("a"), "a").join(of("b"), "b").where("coarse_a <> coarse_b")
     rows = rows.groupBy(F.col("coarse_a").alias("a"), F.col("coarse_b").alias("b")).agg(F.sum("w").alias("w"))
-    return settled(rows), settled(nodes.join(mates, "vertex").groupBy(F.col("coarse").alias("vertex")).agg(F.first("cell").alias("cell"), F.sum("weight").alias("weight")))
+    return written(rows), written(nodes.join(mates, "vertex").groupBy(F.col("coarse").alias("vertex")).agg(F.first("cell").alias("cell"), F.sum("weight").alias("weight")))
 
 
 def by_levels(edges: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(vertex, part): every cell's vertices in the order of their components and of levels from the least vertex, cut into
     runs of equal load."""
-    members = settled(components(edges))
+    members = written(components(edges))
     levels = level_structure(edges, members.groupBy("component").agg(F.min("vertex").alias("vertex")))
     order = nodes.join(members, "vertex", "left").join(levels.select("vertex", "level"), "vertex", "left")
     order = order.select("vertex", "cell", "weight", F.coalesce("component", "vertex").alias("component"), F.coalesce("level", F.lit(0)).alias("level"))
@@ -97,7 +97,7 @@ def _pulls(edges: DataFrame, rows: DataFrame) -> DataFrame:
 def independent(edges: DataFrame, wishes: DataFrame, seed: int) -> DataFrame:
     """The ``wishes`` (vertex, gain, ...) of vertices none of whose neighbours wishes more; their gains add up exactly."""
     rank = F.struct("gain", F.xxhash64(F.lit(seed), "vertex").alias("h"), "vertex")
-    wish = settled(wishes.withColumn("rank", rank))
+    wish = written(wishes.withColumn("rank", rank))
     mine, other = wish.select(F.col("vertex").alias("a"), F.col("rank").alias("mine")), wish.select(F.col("vertex").alias("b"), F.col("rank").alias("other"))
     beaten = edges.join(mine, "a").join(other, "b").where("other > mine").select(F.col("a").alias("vertex")).distinct()
     return wish.join(beaten, "vertex", "left_anti").drop("rank")
@@ -117,7 +117,7 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
     gains. Movers into a part are admitted by gain while its load stays under the mean by 1 + ``slack``, those out of
     one while it stays over the mean by 1 - ``slack``. Ends when nobody moves, or after ``rounds``.
     """
-    rows = settled(nodes.join(labels, "vertex"))
+    rows = written(nodes.join(labels, "vertex"))
     means = nodes.groupBy("cell").agg((F.sum("weight") / parts).alias("mean"))
     full = nodes.select("cell").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     turn = 0
@@ -133,7 +133,7 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
         at = lambda c, load: loads.select("cell", F.col("part").alias(c), F.col("load").alias(load), *(["mean"] if c == "to" else []))
         wish = wish.join(at("to", "there"), ["cell", "to"]).join(at("part", "here"), ["cell", "part"])
         moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "to")
-        rows = settled(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        rows = written(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
         if rows.where("moved").isEmpty():
             break
     return rows.select("vertex", "cell", "weight", "part")
@@ -142,27 +142,28 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
 def multilevel_parts(edges: DataFrame, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 4) -> DataFrame:
     """(vertex, cell, weight, part): every cell of the graph in ``parts`` parts of near equal load and a small cut.
 
-    Matching merges pairs over heavy edges until a part has some COARSE vertices left or no tenth of them merges
-    (no merged vertex outweighs half of ``slack``); the coarsest graph is cut along its levels; then the labels go
-    back, graph by graph, each ``refined`` in at most ``rounds``. Loads stay within ``slack`` of the mean as far as
+    Matching merges pairs over heavy edges until a part has some COARSE vertices left or less than a quarter of them
+    merges (no merged vertex outweighs half of ``slack``); the coarsest graph is cut along its levels; then the labels go
+    back, graph by graph, each ``refined``, the whole graph in at most ``rounds`` and the others in half as many. Loads stay within ``slack`` of the mean as far as
     single vertices allow it. Columns of ``edges`` and ``vertices`` as in ``graph``. Empty graph: no rows.
     """
     e, v = graph(edges, vertices)
     cells = v.groupBy("cell").agg(F.sum("weight").alias("total"))
-    limits = settled(cells.select("cell", (F.col("total") / parts * slack / 2).alias("limit")))
+    limits = written(cells.select("cell", (F.col("total") / parts * slack / 2).alias("limit")))
     enough, n, down = COARSE * parts * limits.count(), v.count(), []
     while n > enough:
         mates = heavy_matching(e, v, limits, len(down))
         coarser = contracted(e, v, mates)
         left = coarser[1].count()
-        if left > 0.9 * n:
+        if left > 0.75 * n:
             break
         down.append((e, v, mates))
         (e, v), n = coarser, left
     rows = refined(e, v, by_levels(e, v, parts), parts, slack, rounds)
-    for e, v, mates in reversed(down):
+    while down:
+        e, v, mates = down.pop()
         labels = mates.join(rows.select(F.col("vertex").alias("coarse"), "part"), "coarse").select("vertex", "part")
-        rows = refined(e, v, labels, parts, slack, rounds)
+        rows = refined(e, v, labels, parts, slack, max(1, rounds // 2) if down else rounds)
     return rows
 
 
@@ -186,7 +187,7 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
     succession, or when no candidate is left.
     """
     e, _ = graph(edges)
-    rows = settled(labels.select(F.col("vertex").cast("long").alias("vertex"), "part", F.col("weight").cast("double").alias("weight")))
+    rows = written(labels.select(F.col("vertex").cast("long").alias("vertex"), "part", F.col("weight").cast("double").alias("weight")))
     turn = still = 0
     while rounds is None or turn < rounds:
         turn += 1
@@ -196,12 +197,12 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
         others = F.collect_list(F.when(F.col("to") != F.col("part"), F.struct("to", "pull"))).alias("others")
         wish = pulls.groupBy("vertex", "part", "weight").agg(own, others).select("vertex", "part", "weight", "own", F.explode("others").alias("o")).select("vertex", "part", "weight", F.col("o.to").alias("to"), (F.col("o.pull") - F.col("own")).alias("gain"))
         at = lambda c, load: loads.select(F.col("part").alias(c), F.col("load").alias(load))
-        wish = settled(wish.join(at("part", "here"), "part").join(at("to", "there"), "to"))
+        wish = written(wish.join(at("part", "here"), "part").join(at("to", "there"), "to"))
         useful = (F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("here") >= F.col("there") + 2 * F.col("weight")))
         pair = F.struct(F.least("part", "to").alias("p"), F.greatest("part", "to").alias("q"))
         worthy = ["gain", (F.col("here") - F.col("there")).alias("d"), F.xxhash64(F.lit(turn), F.least("part", "to"), F.greatest("part", "to")).alias("h")]
         worth = wish.where(useful).select(pair.alias("pair"), F.struct(*(worthy if not still else worthy[::-1])).alias("best"))
-        worth = settled(worth.groupBy("pair").agg(F.max("best").alias("best")).select("pair.*", "best"))
+        worth = written(worth.groupBy("pair").agg(F.max("best").alias("best")).select("pair.*", "best"))
         if worth.isEmpty():
             break
         ends = worth.select("p", "q", "best", F.explode(F.array("p", "q")).alias("part"))
@@ -210,18 +211,18 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
         live = wish.withColumns({"p": F.least("part", "to"), "q": F.greatest("part", "to")}).join(paired, ["p", "q"])
         live = independent(e, live.select("vertex", "part", "weight", "to", "gain", "here", "there", "p", "q"), turn)
         turns = Window.partitionBy("part", "to", "weight").orderBy(F.desc("gain"), "vertex")
-        live = settled(live.withColumn("k", F.row_number().over(turns)))
+        live = written(live.withColumn("k", F.row_number().over(turns)))
         lower = live.where("part = p").select("p", "q", "weight", "k", F.col("vertex").alias("u"), F.col("gain").alias("gu"))
         upper = live.where("part = q").select("p", "q", "weight", "k", F.col("vertex").alias("v"), F.col("gain").alias("gv"))
         swaps = lower.join(upper, ["p", "q", "weight", "k"]).where("gu + gv > 0").select(F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.col("q").alias("to")), F.struct(F.col("v").alias("vertex"), F.col("p").alias("to")))).alias("s")).select("s.*")
         single = live.join(swaps.select("vertex"), "vertex", "left_anti").where("gain >= 0 and here > there").drop("k")
         single = single.withColumn("gone", _running(["part"])).where("2 * gone <= here - there").select("vertex", "to")
-        moved = settled(swaps.unionByName(single))
+        moved = written(swaps.unionByName(single))
         if moved.isEmpty():
             still += 1
             if still > STILL:
                 break
             continue
         still = 0
-        rows = settled(rows.join(moved, "vertex", "left").select("vertex", F.coalesce("to", "part").alias("part"), "weight"))
+        rows = written(rows.join(moved, "vertex", "left").select("vertex", F.coalesce("to", "part").alias("part"), "weight"))
     return rows

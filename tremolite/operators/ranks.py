@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .parallel import settled
+from .parallel import written
 
 
 def ranked(df: DataFrame, order: list[str], group: list[str] | None = None, weight: str | None = None, name: str = "rank") -> DataFrame:
     """Add to each row the number of rows before it in ``order`` within its ``group``, or the sum of their ``weight``.
 
-    Rows are placed by ranges of (group, order) and settled there, so that a lost executor can't change the ranges;
+    Rows are placed by ranges of (group, order) and written with their range, so that a lost executor can't change the ranges;
     sums run inside a range, and one total per range and group is carried on to the next. Neither a large group
     nor a frequent value of a leading column lies in one task, as long as ``order`` ends in something distinct.
     """
     group = group or []
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    placed = settled(df.repartitionByRange(n, *group, *order).withColumn("__p", F.spark_partition_id()))
+    placed = written(df.repartitionByRange(n, *group, *order).withColumn("__p", F.spark_partition_id()))
     one = F.col(weight) if weight else F.lit(1).cast("long")
     inside = Window.partitionBy("__p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0.0) if weight else F.lit(0).cast("long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .accumulators import folded
-from .parallel import settled
+from .parallel import written
 
 GATE_TOLERANCE = 1e-5
 
@@ -134,17 +134,17 @@ def reached(links: DataFrame, start: DataFrame) -> DataFrame:
     A round follows links only from tags that the round before found, and leaves out those found earlier; the number
     of rounds is the length of the longest shortest chain.
     """
-    links = settled(links.where("dependant is not null").distinct())
-    found = last = settled(start.where("tag is not null").distinct())
+    links = written(links.where("dependant is not null").distinct())
+    found = last = written(start.where("tag is not null").distinct())
     rounds = 0
     while True:
         rounds += 1
-        last = settled(links.join(last, "tag", "left_semi").select(F.col("dependant").alias("tag")).distinct().join(found, "tag", "left_anti"))
+        last = written(links.join(last, "tag", "left_semi").select(F.col("dependant").alias("tag")).distinct().join(found, "tag", "left_anti"))
         if last.isEmpty():
             return found
         found = found.unionByName(last)
         if rounds % 32 == 0:
-            found = settled(found)
+            found = written(found)
 
 
 def increments(iterations: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import entities, graphs, numbering, partitions
 from ..operators import recorders as R
-from ..operators.parallel import settled
+from ..operators.parallel import written
 from .queries import CHAIN, EDGES, LINKS, _edges, query, table
 
 
@@ -43,8 +43,8 @@ def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH e AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM " + CHAIN + " WHERE a <> b), v AS (SELECT a FROM e UNION SELECT b FROM e) SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e) AS edges, 0 AS edges_across, (SELECT count(*) FROM v) AS numbers, (SELECT count(*) - 1 FROM v) AS last_number, 3 AS separators")
 def g08_nested_dissection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two depths of separators on the graph of parts: no edge joins what a separator parts, and numbers are gapless."""
-    edges = settled(numbering.both_ways(_chain(spark, sf_dir)).where("a < b"))
-    blocks = settled(numbering.nested_dissection(edges, 2))
+    edges = written(numbering.both_ways(_chain(spark, sf_dir)).where("a < b"))
+    blocks = written(numbering.nested_dissection(edges, 2))
     facts = blocks.agg(F.count("*").alias("vertices"), F.countDistinct("number").alias("numbers"), F.max("number").alias("last_number"), F.countDistinct(F.when(F.col("separator"), F.col("block"))).alias("separators"))
     across = numbering.crossing(edges, blocks).agg(F.count("*").alias("edges_across"))
     return facts.join(across).join(edges.agg(F.count("*").alias("edges")))
@@ -53,8 +53,8 @@ def g08_nested_dissection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH k AS " + LINKS + ", e AS MATERIALIZED " + EDGES + ", v AS (SELECT a AS v FROM e UNION SELECT b FROM e) SELECT CAST(range AS INTEGER) AS part, (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e WHERE a % 4 <> b % 4) AS cut_by_tag, true AS within, true AS cuts_fewer FROM range(4)")
 def g09_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts of the graph of parts: each within 5 % of the mean (or one vertex), the cut under that of parts by tag."""
-    edges = settled(_edges(spark, sf_dir))
-    rows = settled(partitions.multilevel_parts(edges, 4))
+    edges = written(_edges(spark, sf_dir))
+    rows = written(partitions.multilevel_parts(edges, 4))
     sizes = rows.groupBy("part").agg(F.sum("weight").alias("load"))
     by_tag = edges.agg(F.count(F.when(F.col("a") % 4 != F.col("b") % 4, 1)).alias("cut_by_tag"))
     cut = graphs.boundary(edges, rows).agg(F.count("*").alias("cut"))
@@ -67,9 +67,9 @@ def g09_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT (SELECT count(*) FROM e JOIN v x ON x.v = a JOIN v y ON y.v = b WHERE x.part <> y.part) AS cut_before, (SELECT CAST(max(load) - min(load) AS DOUBLE) FROM l) AS spread_before, true AS cut_lower, true AS spread_not_higher, (SELECT CAST(count(*) AS DOUBLE) FROM v) AS load""")
 def g10_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchange between four parts by tag, one of them twice as heavy, for at most six rounds."""
-    edges = settled(numbering.both_ways(_chain(spark, sf_dir)).where("a < b"))
-    labels = settled(graphs.vertices(edges).select("vertex", F.least(F.col("vertex") % 5, F.lit(3)).cast("int").alias("part"), F.lit(1.0).alias("weight")))
-    after = settled(partitions.exchanged(edges, labels, 6))
+    edges = written(numbering.both_ways(_chain(spark, sf_dir)).where("a < b"))
+    labels = written(graphs.vertices(edges).select("vertex", F.least(F.col("vertex") % 5, F.lit(3)).cast("int").alias("part"), F.lit(1.0).alias("weight")))
+    after = written(partitions.exchanged(edges, labels, 6))
 
     def facts(rows: DataFrame, name: str) -> DataFrame:
         loads = rows.groupBy("part").agg(F.sum("weight").alias("load")).agg((F.max("load") - F.min("load")).alias(f"spread_{name}"), F.sum("load").alias(f"load_{name}"))
