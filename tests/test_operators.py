@@ -395,10 +395,8 @@ def test_chains_of_removal_and_relations(spark):
 
     def solve(key):
         if key not in value:
-            value[key] = {}
             terms = [t for t in ties if (t[0], t[1]) == key]
-            if not terms:
-                return {key: 1.0}
+            value[key] = {} if terms else {key: 1.0}
             for t in terms:
                 for k, v in solve((t[2], t[3])).items():
                     value[key][k] = value[key].get(k, 0.0) + (t[4] or 0.0) * v
@@ -410,3 +408,57 @@ def test_chains_of_removal_and_relations(spark):
     assert sorted((r.constrained, r.retained) for r in got if r.open) == [(50, 51), (51, 50), (52, 2), (52, 50)]
     long = spark.range(1, 700).select(F.col("id").alias("constrained"), F.lit(1).alias("constrained_dof"), (F.col("id") - 1).alias("retained"), F.lit(1).alias("retained_dof"), F.lit(1.0).alias("coefficient"))
     assert entities.resolved(long).where("retained = 0 and coefficient = 1 and not open").count() == 699
+
+
+def test_random_process_keeps_repeated_times(spark):
+    times = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (2.5, "b"), (0.0, "c"), (9.0, None)], "t double, name string")
+    pulses = spark.createDataFrame([(0.5, 1.0), (2.0, -3.0), (4.0, 2.0)], "ti double, u double")
+    got = S.random_process(times, pulses, 0.5 * F.col("t"), lambda lag: F.exp(-F.abs(lag)), 0.1, 2.0).collect()
+
+    def plain(t):
+        before, total = None, 0.0
+        for ti, u in [(0.5, 1.0), (2.0, -3.0), (4.0, 2.0)]:
+            if before is None or t >= before:
+                total += u * math.exp(-abs(t - ti))
+            before = ti
+        return 0.0 if t == 0 else 0.1 + 2 * 0.5 * t * total
+
+    assert sorted((r.t, str(r.name)) for r in got) == sorted((r.t, str(r.name)) for r in times.collect())
+    assert all(r.factor == pytest.approx(plain(r.t)) for r in got)
+
+
+def test_gamma_and_beta_integrals_of_any_shape():
+    for a in (3, 50, 100, 1000):
+        x = a * np.array([0.5, 0.9, 1.0, 1.1, 1.5])
+        exact = [1 - math.fsum(math.exp(-v + k * math.log(v) - math.lgamma(k + 1)) for k in range(a)) for v in x]
+        assert np.allclose(special.gamma_integral(a, x), exact, atol=1e-12)
+    # the median of a large shape lies a third below it; both forms meet where they change
+    for a in (1e4, 1e5, 1e6, 1e8):
+        assert special.gamma_integral(a, np.array([a - 1 / 3 + 8 / (405 * a)]))[0] == pytest.approx(0.5, abs=1e-9)
+    z = np.linspace(-5, 5, 41)
+    a = special.LARGE
+    x = a + z * math.sqrt(a)
+    assert np.allclose(special.gamma_integral(a * (1 - 1e-12), x), special.gamma_integral(a, x), atol=1e-9)
+    assert special.gamma_integral(2.0, np.array([0.0, 1e308, np.inf])).tolist() == [0.0, 1.0, 1.0]
+    for n, k in ((5, 2), (200, 70), (3000, 1500)):
+        p = np.array([0.2, 0.35, 0.5, 0.62])
+        exact = [math.fsum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(v) + (n - j) * math.log1p(-v)) for j in range(k, n + 1)) for v in p]
+        assert np.allclose(special.beta_integral(k, n - k + 1, p), exact, atol=1e-10)
+    assert special.beta_integral(1e6, 1e6, np.array([0.0, 0.5, 1.0])).tolist() == pytest.approx([0.0, 0.5, 1.0], abs=1e-8)
+
+
+def test_tags_of_fixed_dofs_beyond_an_int(spark):
+    nodes = spark.createDataFrame([(t, [7.0, 0.0], 2, True) for t in (1, 21_474_837, 2_147_483_647)], entities.SCHEMAS["nodes"])
+    rows = entities.Model(spark, {"nodes": nodes}).fix([1, 0, 1], axis=0, at=7.0).table("sp").collect()
+    assert sorted((r.node_tag, r.dof) for r in rows) == [(t, d) for t in (1, 21_474_837, 2_147_483_647) for d in (1, 3)]
+    assert len({r.tag for r in rows}) == 6
+
+
+def test_modes_are_summed_over_ranges(spark):
+    vectors = spark.range(200).select(F.col("id").alias("mode"), F.lit(1).alias("node"), F.lit(1).alias("dof"), (1.0 + F.col("id") % 7).alias("v"))
+    masses = spark.createDataFrame([(1, 1, 2.0, 1.0)], "node int, dof int, mass double, r double")
+    df = S.modal_properties(vectors, masses)
+    total = 0.0
+    for r in df.orderBy("mode").collect():
+        total += r.ratio
+        assert r.cumulative == pytest.approx(total)

@@ -13,7 +13,7 @@ from .parallel import written
 SCHEMAS = {
     "nodes": "tag int, crds array<double>, ndf int, active boolean",
     "elements": "tag int, class_tag int, class_type string, node_tags array<int>, active boolean",
-    "sp": "tag int, node_tag int, dof int, value double, pattern int",
+    "sp": "tag long, node_tag int, dof int, value double, pattern int",
     "mp": "tag int, retained int, constrained int, retained_dof int, constrained_dof int, coefficient double",
     "patterns": "tag int, series int, kind string",
     "node_loads": "tag int, pattern int, node_tag int, dof int, value double",
@@ -99,7 +99,7 @@ class Model:
         rows = rows.join(self.table("sp").select("node_tag", "dof"), ["node_tag", "dof"], "left_anti")
         top = self.table("sp").agg(F.coalesce(F.max("tag"), F.lit(0)).alias("__top"))
         # a tag made of node and dof is unique without numbering all rows in one place
-        rows = rows.join(F.broadcast(top)).select((F.col("__top") + F.col("node_tag") * 100 + F.col("dof")).cast("int").alias("tag"), "node_tag", "dof", F.lit(0.0).alias("value"), F.lit(None).cast("int").alias("pattern"))
+        rows = rows.join(F.broadcast(top)).select((F.col("__top") + F.col("node_tag").cast("long") * 100 + F.col("dof")).alias("tag"), "node_tag", "dof", F.lit(0.0).alias("value"), F.lit(None).cast("int").alias("pattern"))
         return self._with("sp", self.table("sp").unionByName(rows))
 
     def set_parameter(self, value: float, elements: list[int] | None = None, low: int | None = None, high: int | None = None) -> Model:

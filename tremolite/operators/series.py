@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .accumulators import folded
+from .ranks import ranked
+
+#: Most rows of a list that is sent to all tasks as one value.
+SHORT = 100_000
 
 
 def _ordered(by: list[str], order: str):
@@ -220,31 +224,40 @@ def modal_properties(vectors: DataFrame, masses: DataFrame, direction: str = "r"
     modes = joined.groupBy("mode").agg(F.sum(v * m * v).alias("generalised_mass"), F.sum(v * m * r).alias("__l"))
     total = masses.agg(F.sum(m * r * r).alias("__total"))
     modes = modes.withColumn("participation", F.col("__l") / F.col("generalised_mass")).withColumn("effective_mass", F.col("__l") * F.col("__l") / F.col("generalised_mass"))
-    modes = modes.join(F.broadcast(total)).withColumn("ratio", F.col("effective_mass") / F.col("__total"))
-    return modes.withColumn("cumulative", F.sum("ratio").over(Window.orderBy("mode").rowsBetween(Window.unboundedPreceding, 0))).drop("__l", "__total")
+    modes = modes.join(F.broadcast(total)).withColumn("ratio", F.col("effective_mass") / F.col("__total")).drop("__l", "__total")
+    before = ranked(modes, ["mode"], weight="ratio", name="__before")
+    return before.withColumn("cumulative", F.col("__before") + F.col("ratio")).drop("__before")
+
+
+def _short(df: DataFrame, what: str) -> DataFrame:
+    """``df`` if it has no more rows than a task may hold and the driver may send to all."""
+    if df.limit(SHORT + 1).count() > SHORT:
+        raise ValueError(f"more than {SHORT} {what}")
+    return df
 
 
-def random_process(times: DataFrame, pulses: DataFrame, modulation: Column, response: Column, mean: float = 0.0, factor: float = 1.0, time: str = "t") -> DataFrame:
+def random_process(times: DataFrame, pulses: DataFrame, modulation: Column, response: Callable[[Column], Column], mean: float = 0.0, factor: float = 1.0, time: str = "t") -> DataFrame:
     """Discretised random process: mean + factor * modulation(t) * sum of u_i * response(t - t_i) over pulses
-    up to the first later than t; 0 at t = 0. ``pulses`` has (ti, u), a short list that every time meets.
+    up to the first later than t; 0 at t = 0. ``pulses`` has (ti, u), at most SHORT rows, that every time meets.
 
-    ``response`` is an expression of a column named ``lag``, ``modulation`` of the time.
+    ``response`` gives the expression of a lag, ``modulation`` is one of the time. Every row of ``times`` gives a row;
+    nothing but the pulses moves.
     """
     w = Window.orderBy("ti")
-    listed = pulses.withColumn("__before", F.lag("ti").over(w)).agg(F.collect_list(F.struct("ti", "u", "__before")).alias("__pulses"))
-    rows = times.join(F.broadcast(listed)).withColumn("__p", F.explode("__pulses")).withColumn("lag", F.col(time) - F.col("__p.ti"))
-    counted = F.col("__p.__before").isNull() | (F.col(time) >= F.col("__p.__before"))
-    keys = times.columns
-    total = rows.withColumn("__x", F.when(counted, F.col("__p.u") * response).otherwise(F.lit(0.0))).groupBy(*keys).agg(F.sum("__x").alias("__x"))
-    return total.withColumn("factor", F.when(F.col(time) == 0, F.lit(0.0)).otherwise(mean + factor * modulation * F.col("__x"))).drop("__x")
+    listed = _short(pulses, "pulses").withColumn("before", F.lag("ti").over(w)).agg(F.collect_list(F.struct("ti", "u", "before")).alias("__pulses"))
+    t = F.col(time)
+    counted = lambda p: p["before"].isNull() | (t >= p["before"])
+    total = F.aggregate("__pulses", F.lit(0.0), lambda s, p: s + F.when(counted(p), p["u"] * response(t - p["ti"])).otherwise(0.0))
+    rows = times.join(F.broadcast(listed))
+    return rows.withColumn("factor", F.when(t == 0, F.lit(0.0)).otherwise(mean + factor * modulation * total)).drop("__pulses")
 
 
 def spectral_process(times: DataFrame, waves: DataFrame, density: Column, low: float, dw: float, mean: float = 0.0, time: str = "t") -> DataFrame:
     """Simulated random process: mean + sum of sqrt(2 S(w_i) dw) a_i cos(w_i t + phase_i), w_i = (i + 1/2) dw + low; 0 at 0.
 
-    ``waves`` has (i, a, phase), a short list; ``density`` is an expression of a column named ``w``.
+    ``waves`` has (i, a, phase), at most SHORT rows; ``density`` is an expression of a column named ``w``.
     """
-    listed = waves.withColumn("w", (F.col("i") + 0.5) * dw + low).withColumn("__s", F.sqrt(2 * density * dw) * F.col("a"))
+    listed = _short(waves, "waves").withColumn("w", (F.col("i") + 0.5) * dw + low).withColumn("__s", F.sqrt(2 * density * dw) * F.col("a"))
     listed = listed.agg(F.collect_list(F.struct("w", "__s", "phase")).alias("__waves"))
     total = F.aggregate("__waves", F.lit(0.0), lambda s, x: s + x["__s"] * F.cos(x["w"] * F.col(time) + x["phase"]))
     return times.join(F.broadcast(listed)).withColumn("factor", F.when(F.col(time) == 0, F.lit(0.0)).otherwise(mean + total)).drop("__waves")

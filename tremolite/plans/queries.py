@@ -238,7 +238,7 @@ PULSES = [(0.0, 1.0), (7.5, -0.5), (20.0, 2.0), (44.0, -1.0), (70.0, 0.75)]
     FROM (VALUES (0e0, 1e0), (7.5e0, -0.5e0), (20e0, 2e0), (44e0, -1e0), (70e0, 0.75e0)) p(ti, u)), 6) END + 0.0 AS factor FROM """ + T)
 def t09_random_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     pulses = spark.createDataFrame(PULSES, "ti double, u double")
-    out = S.random_process(steps(spark, sf_dir), pulses, F.lit(0.8), series.oscillator_filter(F.col("lag"), 2.0, 0.05), 0.1, 2.0)
+    out = S.random_process(steps(spark, sf_dir), pulses, F.lit(0.8), lambda lag: series.oscillator_filter(lag, 2.0, 0.05), 0.1, 2.0)
     return rounded(out.select("event_id", "factor"), "factor")
 
 
