@@ -292,3 +292,67 @@ def test_queries_cover_all_documents(spark, name):
 
     ids = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert {r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()} == ids
+
+
+def test_added_spans_have_the_bounds_of_their_value(spark):
+    """Whatever closes a value behind a confident word is not part of it, and every value is added once."""
+    rng = random.Random(13)
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    forms = ['token = "{}"', "password='{}',", "(secret: {})", "api_key={};", "é password={}.", 'id: {}"}}', "token = \"{}\".\n", "secret: <{}>"]
+    values = lambda: [key(20) + "a1b2", "hunter", "x-y", f"{key(8)}-{key(4)}-{key(12)}", f"{key(10)}b1/{key(6)}+c2==", "Zoë", "e7", key(300)]
+    rows, want = [], {}
+    for i in range(480):
+        form = forms[i % 8]
+        value = rng.choice(values()) if i >= 320 else key(20) + "a1b2"
+        text = f"we saw {form.format(value)} there"
+        rows.append((i, text, "en", "s", 0))
+        want[i] = (text.index(value), text.index(value) + len(value))
+    got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
+    for i, text, *_ in rows:
+        spans = [s.split(":") for s in got[i].spans.split(",") if s.startswith("secret")]
+        assert len({s[1] for s in spans}) == len(spans) == 1, (text, spans)
+        assert (int(spans[0][1]), int(spans[0][2])) == want[i], (text, spans)
+
+
+def plain_behind(text, chosen):
+    """Tokens behind chosen patterns, by trying every place."""
+    found = set()
+    base, failed = base_spans(text)
+    values = {m.start() for m in re.finditer(r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{6,}", text) if any(c.isdigit() for c in m.group())}
+    for start in range(len(text)):
+        for n in range(1, 5):
+            signs = text[start - n : start]
+            if start - n < 1 or any(c.isalnum() or c in "_\n" for c in signs) or not text[start - n - 1].isalpha() or text[start].isspace():
+                continue
+            a = start - n
+            while a and text[a - 1].isalpha():
+                a -= 1
+            pattern = f"before {text[a : start - n][-24:].lower()}|{signs}"
+            if pattern not in chosen:
+                continue
+            end = start
+            if start in values:
+                end = re.match(r"[A-Za-z0-9_]+([-./+~:][A-Za-z0-9_]+)*=*", text[start:]).end() + start
+            else:
+                while end < len(text) and not text[end].isspace():
+                    end += 1
+                end = start + len(text[start:end].rstrip("\"'`.,;:!?)]}>»”’"))
+            inside = any(a <= start and end <= b for a, b in failed)
+            if end > start and not any(a < end and start < b for a, _, b in base) and not inside:
+                found.add((start, end, pattern))
+    return found
+
+
+def test_tokens_against_every_place():
+    rng = random.Random(14)
+    chosen = {"before id|: ", "before id|:", "before key|=", 'before key|="', "before é|-", "before tel| ", "before k|\t"}
+    slots = bytearray(pii.SLOTS)
+    for p in chosen:
+        for part in (p, p.split("|")[0]):
+            slots[pii.crc32(part.encode()) % pii.SLOTS] = 1
+    bits = ["id", "ID", "key", "é", "tel", "k", ": ", ":", "=", '="', "-", " ", "\t", "\n", "x9y8z7", "123456", "a.b-c1", '"', ",", "me@x.org", "日本", "_", "a" * 30]
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(25)))
+        got = pii.behind(text, bytes(slots), {})
+        assert {(f["start"], f["end"], f["pattern"]) for f in got} == plain_behind(text, chosen), text
+        assert all(f["value"] == pii.hash_of(text[f["start"] : f["end"]]) for f in got)

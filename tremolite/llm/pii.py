@@ -42,6 +42,11 @@ _BEFORE = re.compile(r"([^\W\d_]{1,24})([^\w\n]{1,4})\Z")
 #: A word and the signs behind it, from the word's first letter on so that a long run of letters costs one look.
 _KEY = re.compile(r"(?<![^\W\d_])([^\W\d_]++)([^\w\n]{1,4}+)")
 _TOKEN = re.compile(r"\S+")
+#: Letters and digits joined by single signs, as in keys of several parts; what closes a quotation or a sentence.
+_JOINED = re.compile(r"[A-Za-z0-9_]++(?:[-./+~:][A-Za-z0-9_]++)*+=*+")
+CLOSING = "\"'`.,;:!?)]}>»”’"
+#: Words that a task of the second reading remembers; past them it forgets and goes on.
+WORDS_KEPT = 200_000
 #: Slots of the map of pattern hashes that the second reading gets, whatever the number of patterns.
 SLOTS = 1 << 20
 _TURN = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
@@ -118,7 +123,7 @@ def patterns(text: str, start: int, end: int) -> list[str]:
     signs = "".join(sorted({"9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in value}))[:8]
     found = [f"shape {letters[:4] if len(letters) >= 3 else ''} {signs} {len(value)}"]
     if m := _BEFORE.search(text, max(0, start - 28), start):
-        found.append(f"before {m.group(1).lower()}{m.group(2)}")
+        found.append(f"before {m.group(1).lower()}|{m.group(2)}")
     return found
 
 
@@ -143,28 +148,63 @@ def read(text: str) -> tuple[list[dict], list[dict]]:
     return spans, seen
 
 
-def behind(text: str, slots: np.ndarray) -> list[dict]:
-    """The tokens (non-space runs) behind each word and signs whose pattern is in ``slots``; ``vote`` unless a
-    value of ``read`` starts there and speaks for the pattern already."""
-    found, taken, starts, end = [], None, set(), 0
+class Names:
+    """Hashes of any stretch of a text, each in a fixed number of steps."""
+
+    def __init__(self, text: str):
+        self._sums = B.prefix_hashes(np.frombuffer(text.encode("utf-8", "replace"), np.uint8))
+        self._at = None
+        if not text.isascii():
+            c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+            self._at = np.concatenate([[0], np.cumsum(1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000), dtype=np.int64)])
+
+    def __call__(self, start: int, end: int) -> int:
+        """``hash_of`` the characters from start to end."""
+        if self._at is not None:
+            start, end = self._at[start], self._at[end]
+        return int(B.hashes(self._sums, np.array([start]), np.array([end]))[0].view(np.int64))
+
+
+def behind(text: str, slots: bytes, words: dict[str, bool]) -> list[dict]:
+    """The tokens behind each word and signs whose pattern is in ``slots``; ``vote`` unless a value of ``read`` starts
+    there and speaks for the pattern already.
+
+    Such a token has the bounds of the value and of the parts that single signs join to it; any other is the
+    non-space run without what closes a quotation or sentence at its end. ``words`` remembers which are in ``slots``.
+    """
+    found, taken, starts, end, name = [], None, {}, 0, None
     for m in _KEY.finditer(text):
-        word = m.group(1)[-24:].lower()
+        word = m.group(1)
+        known = words.get(word)
+        if known is None:
+            if len(words) > WORDS_KEPT:
+                words.clear()
+            known = words[word] = bool(slots[crc32(f"before {word[-24:].lower()}".encode("utf-8", "replace")) % SLOTS])
+        if not known:
+            continue
+        word = word[-24:].lower()
         for n in range(1, len(m.group(2)) + 1):
             start = m.start(2) + n
             if start >= len(text) or text[start].isspace():
                 continue
-            pattern = f"before {word}{m.group(2)[:n]}"
+            pattern = f"before {word}|{m.group(2)[:n]}"
             if not slots[crc32(pattern.encode("utf-8", "replace")) % SLOTS]:
                 continue
             if taken is None:
                 base, failed = base_spans(text)
-                taken, starts = Taken(base, failed), {a for a, _, _ in base} | {v.start() for v in _VALUE.finditer(text) if any(c.isdigit() for c in v.group())}
+                taken, name = Taken(base, failed), Names(text)
+                starts = {a: None for a, _, _ in base} | {v.start(): None for v in _VALUE.finditer(text) if any(c.isdigit() for c in v.group())}
             if end <= start:
                 end = _TOKEN.match(text, start).end()
-            if taken.overlaps(start, end) or taken.covers(start, end):
+            if start in starts and (joined := _JOINED.match(text, start)):
+                stop = joined.end()
+            else:
+                stop = end
+                while stop > start and text[stop - 1] in CLOSING:
+                    stop -= 1
+            if stop == start or taken.overlaps(start, stop) or taken.covers(start, stop):
                 continue
-            # A long token is named by its beginning and length, so tokens inside one another cost no more.
-            found.append({"start": start, "end": end, "pattern": pattern, "value": hash_of(f"{text[start : min(end, start + 256)]} {end - start}"), "vote": start not in starts})
+            found.append({"start": start, "end": stop, "pattern": pattern, "value": name(start, stop), "vote": start not in starts})
     return found
 
 
@@ -191,15 +231,16 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(base, pa.list_(_SPAN)), pa.array(seen, pa.list_(_SEEN))], ["id", "hash", "base", "seen"])
 
 
-def _tokens(slots: np.ndarray):
+def _tokens(slots: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[str, bool] = {}
         for batch in batches:
             _, at = B.text_buffers(batch.column(2))
             for i, j in B.runs(at):
                 found, rows = [], []
                 for r in range(i, j):
                     if text := batch.column(2)[r].as_py():
-                        mine = behind(text, slots)
+                        mine = behind(text, slots, words)
                         found += mine
                         rows += [r] * len(mine)
                 pick, of = pa.array(rows, pa.int64()), lambda c, kind: pa.array([x[c] for x in found], kind)  # noqa: B023, E731
@@ -208,13 +249,15 @@ def _tokens(slots: np.ndarray):
     return run
 
 
-def slots_of(patterns: DataFrame) -> np.ndarray:
-    """Which of SLOTS hashes the column ``pattern`` holds; the driver gets SLOTS / 64 numbers at most."""
+def slots_of(patterns: DataFrame) -> bytes:
+    """Which of SLOTS hashes the column ``pattern`` holds, and those of its words alone (what stands before the first |): a
+    byte each; the driver gets SLOTS / 64 numbers at most."""
+    patterns = patterns.select(F.explode(F.array("pattern", F.substring_index("pattern", "|", 1))).alias("pattern"))
     slot = F.pmod(F.crc32(F.col("pattern").cast("binary")), F.lit(SLOTS))
     words = patterns.select(slot.alias("s")).distinct().groupBy(F.expr("s div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits")).collect()
     bits = np.zeros(SLOTS // 64, np.int64)
     bits[[r.w for r in words]] = [r.bits for r in words]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little").tobytes()
 
 
 def confident_patterns(edges: DataFrame, confidence: float = CONFIDENCE, support: int = SUPPORT) -> DataFrame:
@@ -250,11 +293,12 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``base`` and ``spans`` are strings of kind:start:end in code points, end exclusive, by start, then
     kind, joined by commas: the base matches, and those with what confident patterns add (``n_added``
-    spans): the values of six letters and digits or more of kind ``secret``, and the token (any non-space run, of any length)
-    behind a confident word and signs, of the pattern's kind. For the latter a pattern is scored again
-    with all tokens behind it, so that a word that other words mostly follow adds none. Added spans may
-    overlap each other. Values that overlap a base match are not added; what has the length of a base
-    kind but fails its check is never evidence, nor added, nor is a value that lies wholly inside it.
+    spans): the values of six letters and digits or more of kind ``secret``, and the token behind a confident word
+    and signs, of the pattern's kind: a value with the parts that single signs join to it if one starts there, else any
+    non-space run, of any length, without closing quotes, brackets and stops. For the latter a pattern is scored again
+    with all tokens behind it, so that a word that other words mostly follow adds none. Of added spans of a kind that
+    start together the longest counts; others may overlap. Values that overlap a base match are not added; what
+    has the length of a base kind but fails its check is never evidence, nor added, nor is a value that lies wholly inside it.
 
     The texts are read once, where only documents with a digit or @ are looked at closer, and once more for
     the tokens if a pattern is confident; that reading gets a map of fixed size. Patterns and values
@@ -278,6 +322,7 @@ def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         all_edges = edges.join(before, F.col("pattern") == F.col("bp"), "left_semi").unionByName(tokens.where("vote").select("pattern", "value", F.lit(-1).alias("seed")).distinct())
         sure = confident_patterns(all_edges).select(F.col("pattern").alias("gp"), F.col("kind").alias("kind"))
         added = added.unionByName(tokens.join(sure, F.col("pattern") == F.col("gp")).select("id", "hash", "start", "kind", "end"))
+    added = added.groupBy("id", "hash", "start", "kind").agg(F.max("end").alias("end"))
     added = added.groupBy("id", "hash").agg(F.collect_set(F.struct("start", "kind", "end")).alias("added")).withColumnsRenamed({"id": "aid", "hash": "ahash"})
     out = made.select("id", "hash", "base").join(added, F.col("id").eqNullSafe(F.col("aid")) & (F.col("hash") == F.col("ahash")), "left")
     name = F.array(*(F.lit(k) for k in KINDS))

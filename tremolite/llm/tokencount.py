@@ -310,5 +310,34 @@ def edit_trees(trees: DataFrame, path: str, id_col: str = "doc_id", keep: bool =
 
 def edited_token_counts(df: DataFrame, path: str, edits: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``n_edits``, ``n_tokens_edited``, ``n_pretokens``, ``n_reencoded`` of every row: the counts of
-    ``edit_trees`` on the trees of ``token_trees`` with the edits of its ``patterns``."""
-    return edit_trees(token_trees(df, path, id_col, text_col, edits), path, id_col, keep=False)
+    ``edit_trees`` on the trees of ``token_trees`` with the edits of its ``patterns``.
+
+    Each text is encoded once, and a text with edits has its tree made, edited and counted where it is read, so
+    no tree leaves its task. Null and empty texts have no tokens and no edits. Nothing is shuffled. Other columns are ignored.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "n_tokens", "n_edits", "n_tokens_edited", "n_pretokens", "n_reencoded"]
+
+    def counts(bpe: ByteBpe, text: str, words: list[str], known: dict[str, bytes], finders: list) -> tuple[int, ...]:
+        todo = pattern_edits(text, finders)
+        if not todo:
+            n = sum(map(len, map(known.__getitem__, words))) // 4
+            return n, 0, n, len(words), 0
+        counted = CountedText(bpe, text, words, known)
+        before = counted.n_tokens
+        for e in todo:
+            counted.edit(e["start"], e["end"], e["put"])
+        return before, len(todo), counted.n_tokens, len(words), counted.encoded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        finders = [(regex.compile(p), put) for p, put in edits]
+        for batch in batches:
+            for i, texts in text_runs(batch.column(1)):
+                split = [bpe.pretokens(t) for t in texts]
+                known = bpe.learn(set().union(*split))
+                found = [counts(bpe, t, words, known, finders) for t, words in zip(texts, split, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), *(pa.array(c, pa.int64()) for c in zip(*found, strict=True))], names)
+
+    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:])).withColumnRenamed("id", id_col)
