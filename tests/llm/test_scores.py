@@ -298,7 +298,7 @@ def test_added_spans_have_the_bounds_of_their_value(spark):
     """Whatever closes a value behind a confident word is not part of it, and every value is added once."""
     rng = random.Random(13)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    forms = ['token = "{}"', "password='{}',", "(secret: {})", "api_key={};", "é password={}.", 'id: {}"}}', "token = \"{}\".\n", "secret: <{}>"]
+    forms = ['token = "{}"', "password='{}',", "(secret: {})", "api_key={};", "é password={}.", 'id: {}"}}', "token = \"{}\".\n", "pass: <{}>"]
     values = lambda: [key(20) + "a1b2", "hunter", "x-y", f"{key(8)}-{key(4)}-{key(12)}", f"{key(10)}b1/{key(6)}+c2==", "Zoë", "e7", key(300)]
     rows, want = [], {}
     for i in range(480):
@@ -309,6 +309,8 @@ def test_added_spans_have_the_bounds_of_their_value(spark):
         want[i] = (text.index(value), text.index(value) + len(value))
     got = {r.doc_id: r for r in personal_data(frame(spark, rows)).collect()}
     for i, text, *_ in rows:
+        if base_spans(text)[0]:
+            continue  # a card number by chance
         spans = [s.split(":") for s in got[i].spans.split(",") if s.startswith("secret")]
         assert len({s[1] for s in spans}) == len(spans) == 1, (text, spans)
         assert (int(spans[0][1]), int(spans[0][2])) == want[i], (text, spans)
