@@ -298,7 +298,7 @@ def test_added_spans_have_the_bounds_of_their_value(spark):
     """Whatever closes a value behind a confident word is not part of it, and every value is added once."""
     rng = random.Random(13)
     key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    forms = ['token = "{}"', "password='{}',", "(secret: {})", "api_key={};", "é password={}.", 'id: {}"}}', "token = \"{}\".\n", "pass: <{}>"]
+    forms = ['token = "{}"', "password='{}',", "(secret: {})", "api_key={};", "é passwd={}.", 'id: {}"}}', "token = \"{}\".\n", "pass: <{}>"]
     values = lambda: [key(20) + "a1b2", "hunter", "x-y", f"{key(8)}-{key(4)}-{key(12)}", f"{key(10)}b1/{key(6)}+c2==", "Zoë", "e7", key(300)]
     rows, want = [], {}
     for i in range(480):
@@ -358,3 +358,16 @@ def test_tokens_against_every_place():
         got = pii.behind(text, bytes(slots), {})
         assert {(f["start"], f["end"], f["pattern"]) for f in got} == plain_behind(text, chosen), text
         assert all(f["value"] == pii.hash_of(text[f["start"] : f["end"]]) for f in got)
+
+
+def test_sample_is_bounded_whatever_repeats(spark):
+    from tremolite.llm.staging import labelled_sample
+
+    docs = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("copy "), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = docs.unionByName(frame(spark, [(i, f"text {i}", None, None, 0) for i in range(10)]).select("doc_id", "text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10)] * 3 + [(3, 0), (None, 1), (4, None), (5, 7)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, 40, "doc_id", "text", "quality").collect()
+    assert len(got) == 40
+    few = labelled_sample(docs.where("doc_id <> 5"), labels, 40, "doc_id", "text", "quality").collect()
+    assert sorted((r.text, r.y) for r in few) == sorted((f"text {i}", 0.0 if i == 3 else float(i % 2)) for i in range(10) if i != 5)
+    assert len(labelled_sample(docs.where("doc_id <> 5"), labels, 4, "doc_id", "text", "quality").collect()) == 4

@@ -85,11 +85,14 @@ def maybe_in(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
     """(y, text, h) of the documents whose 0/1 labels have the least hashed ids, at most ``size`` of them.
 
-    The labels are cut to size by id first; so few ids are broadcast, and no text is shuffled.
+    The labels are cut to size by id first; so few ids are broadcast, and no text is shuffled. Labels repeated for an
+    id count once, by the smallest. Of documents that repeat an id all count, but of the rows that are found, too,
+    only ``size`` are kept, by hashes of id and text.
     """
-    few = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("l_id"), F.col(label_col).cast("double").alias("y"), F.xxhash64(id_col).alias("h"))
-    few = few.where("l_id is not null").orderBy("h", "l_id", "y").limit(size)
-    return docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), F.col("d_id") == F.col("l_id")).select("y", "text", "h")
+    few = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("l_id")).agg(F.min(label_col).cast("double").alias("y")).withColumn("h", F.xxhash64("l_id"))
+    few = few.where("l_id is not null").orderBy("h", "l_id").limit(size)
+    found = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(few), F.col("d_id") == F.col("l_id"))
+    return found.withColumn("h2", F.xxhash64("text")).orderBy("h", "h2").limit(size).select("y", "text", "h")
 
 
 def ranked(df: DataFrame, order: list, group: str | None = None, rank: str = "rank", total: str | None = None) -> DataFrame:
