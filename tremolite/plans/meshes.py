@@ -108,3 +108,32 @@ def d22_chained_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda k, c: orders.select(F.col("o_orderkey").alias("constrained"), F.lag("o_orderkey", k).over(w).alias("retained"), F.lit(c).alias("coefficient"))
     ties = one(1, 0.5).unionByName(one(2, 0.25)).where("retained is not null").withColumns({"constrained_dof": F.lit(1), "retained_dof": F.lit(1)})
     return entities.resolved(ties).where("not open").select("constrained", "retained", F.round("coefficient", 9).alias("coefficient"))
+
+
+STANDARD = "(l_quantity - 25.5) / 14.43 AS x, (l_discount - 0.05) / 0.0316 AS z"
+
+
+@query("SELECT l_returnflag, count(*) AS n, count(CASE WHEN abs(3 - 0.6e0 * x - 0.8e0 * z) <= 6 THEN 1 END) AS n_plane, round(avg(CASE WHEN abs(3 - 0.6e0 * x - 0.8e0 * z) <= 6 THEN 3 - 0.6e0 * x - 0.8e0 * z END), 6) AS plane, round(avg(-1 + sqrt(1 + 2 * (2.5e0 + 0.1e0 * z * z))), 6) AS curved FROM (SELECT l_returnflag, " + STANDARD + " FROM lineitem) GROUP BY 1")
+def p34_plane_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances from a plane of samples to two limit states, by root finding: one linear, one quadratic in the distance."""
+    from ..operators.surfaces import line_root
+
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", ((F.col("l_quantity") - 25.5) / 14.43).alias("x"), ((F.col("l_discount") - 0.05) / 0.0316).alias("z"))
+    plane = line_root(lambda r: 3 - 0.6 * F.col("x") - 0.8 * F.col("z") - r, -6.0, 6.0)
+    curved = line_root(lambda r: 2.5 + 0.1 * F.col("z") * F.col("z") - r - 0.5 * r * r, 0.0, 8.0)
+    rows = rows.select("l_returnflag", plane.alias("plane"), curved.alias("curved"))
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count("plane").alias("n_plane"), F.round(F.avg("plane"), 6).alias("plane"), F.round(F.avg("curved"), 6).alias("curved"))
+
+
+@query("""WITH s AS (SELECT l_returnflag, count(*) AS n, count(*)::DOUBLE AS a, sum(x) AS b, sum(x * x) AS c, sum(x * x * x) AS d, sum(x * x * x * x) AS e, sum(y) AS p, sum(x * y) AS q, sum(x * x * y) AS r
+        FROM (SELECT l_returnflag, (l_quantity - 25.5) / 14.43 AS x, l_extendedprice / 1000 AS y FROM lineitem) GROUP BY 1),
+    t AS (SELECT *, a * (c * e - d * d) - b * (b * e - c * d) + c * (b * d - c * c) AS det FROM s)
+    SELECT l_returnflag, n, round((p * (c * e - d * d) - b * (q * e - d * r) + c * (q * d - c * r)) / det, 5) AS c0, round((a * (q * e - d * r) - p * (b * e - c * d) + c * (b * r - q * c)) / det, 5) AS c1,
+        round((a * (c * r - q * d) - b * (b * r - q * c) + p * (b * d - c * c)) / det, 5) AS c2 FROM t""")
+def p25_response_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price as a quadratic of quantity in every return flag: least squares by sums over all line items."""
+    from ..operators.surfaces import least_squares
+
+    x = (F.col("l_quantity") - 25.5) / 14.43
+    fit = least_squares(table(spark, sf_dir, "lineitem"), ["l_returnflag"], [F.lit(1.0), x, x * x], F.col("l_extendedprice") / 1000)
+    return fit.select("l_returnflag", "n", *(F.round(F.get("coefficients", F.lit(i)), 5).alias(f"c{i}") for i in range(3)))
