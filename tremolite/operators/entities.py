@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .parallel import written
+from .parallel import forgotten, written
 
 #: Schemas of the tables that a model knows; others may be added.
 SCHEMAS = {
@@ -259,7 +259,8 @@ def _behind_cycles(given: DataFrame, bound: DataFrame) -> DataFrame:
     paths = written(paths.join(ends, "b", "left_semi").select("a", "b").distinct())
     length, longest = 1, bound.count()
     while length <= longest and not paths.isEmpty():
-        paths = written(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+        before, paths = paths, written(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+        forgotten(before)
         length *= 2
     return paths.select("a.*").distinct()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parallel import written
+from .parallel import forgotten, written
 from .ranks import ranked
 
 #: Levels that are found before all so far are written together.
@@ -40,7 +40,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = written(near.where("v > u").join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
         small = large.join(least, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        links = written(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        before, links = links, written(small.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
+        forgotten(before, large)
     return links.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
 
 

@@ -42,7 +42,18 @@ def written(df: DataFrame) -> DataFrame:
     """
     folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table._folder = folder
+    return table
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete the rows of ``written`` tables that later ones have replaced; other tables are left alone."""
+    for table in tables:
+        if folder := table.__dict__.get("_folder"):
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def process_of(df: DataFrame) -> DataFrame:

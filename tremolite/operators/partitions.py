@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
-from .parallel import written
+from .parallel import forgotten, written
 from .ranks import ranked
 
 #: How far the load of a part may lie from the mean of its cell.
@@ -133,7 +133,8 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
         at = lambda c, load: loads.select("cell", F.col("part").alias(c), F.col("load").alias(load), *(["mean"] if c == "to" else []))
         wish = wish.join(at("to", "there"), ["cell", "to"]).join(at("part", "here"), ["cell", "part"])
         moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "to")
-        rows = written(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        before, rows = rows, written(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        forgotten(before)
         if rows.where("moved").isEmpty():
             break
     return rows.select("vertex", "cell", "weight", "part")
@@ -224,5 +225,6 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
                 break
             continue
         still = 0
-        rows = written(rows.join(moved, "vertex", "left").select("vertex", F.coalesce("to", "part").alias("part"), "weight"))
+        before, rows = rows, written(rows.join(moved, "vertex", "left").select("vertex", F.coalesce("to", "part").alias("part"), "weight"))
+        forgotten(before, wish, live)
     return rows
