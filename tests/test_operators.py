@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 
 import numpy as np
@@ -488,3 +489,35 @@ def test_relative_norm_without_a_base(spark):
 def test_relative_total_without_a_base(spark):
     got, want = odd_norms(spark, "v07_relative_total")
     assert got == want and dict(got) == {1: 3, 2: -1, 3: 2, 4: -1}
+
+
+def test_rows_in_a_database(spark, tmp_path):
+    """Parts written again replace themselves, nulls stay, and a run that was never written has no rows."""
+    connect, schema = snapshots.in_file(f"file:{tmp_path}/runs.db"), "a long, b double, c string, d boolean"
+    rows = spark.range(0, 25000, 1, 3).select(F.col("id").alias("a"), F.when(F.col("id") % 7 != 0, F.col("id") / 3).alias("b"), F.col("id").cast("string").alias("c"), (F.col("id") % 2 == 0).alias("d"))
+    for run in (1, 2, 2):
+        snapshots.write_rows(rows.withColumn("b", F.col("b") * run), connect, "t", run)
+    got = {tuple(r) for r in snapshots.read_rows(spark, connect, "t", 2, schema).collect()}
+    assert got == {(i, i / 3 * 2 if i % 7 else None, str(i), i % 2 == 0, 2) for i in range(25000)}
+    assert snapshots.read_rows(spark, connect, "t", 1, schema).count() == 25000 and snapshots.read_rows(spark, connect, "t", 3, schema).count() == 0
+
+
+APART = """
+import sys
+from pyspark.sql import SparkSession
+from tests.oracle import SF, database, differences
+from tremolite.plans import QUERIES, SQL
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "512m").config("spark.checkpoint.dir", sys.argv[1]).config("spark.ui.enabled", "false").getOrCreate()
+print("differences:", differences(spark, QUERIES["s05_database_run"], SQL["s05_database_run"], database()))
+"""
+
+
+def test_database_run_with_executors_apart(tmp_path):
+    """Executors are processes of their own here: a database in the driver's memory isn't theirs."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parent.parent)
+    out = subprocess.run([sys.executable, "-c", APART, str(tmp_path)], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
+    assert "differences: []" in out.stdout, out.stderr[-2000:]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import glob
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -93,6 +94,78 @@ def read_jdbc(spark: SparkSession, url: str, table: str, run: int, **options: st
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where(F.col("run_id") == run)
 
 
+def in_file(path: str) -> Callable:
+    """What opens the SQLite database in a file that the driver and all executors share. SQLite keeps a NaN as a null."""
+    local = path.removeprefix("file:")
+
+    def connect():
+        import sqlite3
+
+        return sqlite3.connect(local, timeout=3600)
+
+    return connect
+
+
+#: Column types of a database for those of Spark.
+KINDS = {"string": "TEXT", "float": "DOUBLE PRECISION", "double": "DOUBLE PRECISION", "binary": "BLOB", "boolean": "SMALLINT", "tinyint": "SMALLINT", "smallint": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT"}
+#: Rows that one call brings to or from a database.
+FETCHED = 10000
+
+
+def write_rows(df: DataFrame, connect: Callable, table: str, run: int) -> None:
+    """Append a run's rows to a database table over DB-API connections (with ? marks), which ``connect`` opens anywhere.
+
+    Every task writes its rows in one transaction, under its number as ``part``, and first takes back what an earlier
+    attempt at it left, so a repeated task adds no row twice.
+    """
+    columns = ", ".join(f'"{c}" {KINDS[t]}' for c, t in df.dtypes)
+    names = ", ".join(f'"{c}"' for c in df.columns)
+    marks = ", ".join("?" * len(df.columns))
+    db = connect()
+    db.execute(f'CREATE TABLE IF NOT EXISTS "{table}" (run_id INTEGER, part INTEGER, {columns})')
+    db.execute(f'CREATE INDEX IF NOT EXISTS "{table}_part" ON "{table}" (run_id, part)')
+    db.commit()
+    db.close()
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, db, n = TaskContext.get().partitionId(), connect(), 0
+        db.execute(f'DELETE FROM "{table}" WHERE run_id = ? AND part = ?', (run, part))
+        for batch in batches:
+            db.executemany(f'INSERT INTO "{table}" (run_id, part, {names}) VALUES ({run}, {part}, {marks})', zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            n += batch.num_rows
+        db.commit()
+        db.close()
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    df.mapInArrow(put, "n long").write.format("noop").mode("overwrite").save()
+
+
+def read_rows(spark: SparkSession, connect: Callable, table: str, run: int, schema: str) -> DataFrame:
+    """A run's rows with ``run_id``, as ``schema`` names and types them; run and part are selected in the database, a task for each part."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    db = connect()
+    parts = db.execute(f'SELECT max(part) FROM "{table}" WHERE run_id = ?', (run,)).fetchone()[0]
+    db.close()
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    names = ", ".join(f'"{c}"' for c in kinds.names)
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        db = connect()
+        for part in (p for batch in batches for p in batch.column(0).to_pylist()):
+            found = db.execute(f'SELECT {names} FROM "{table}" WHERE run_id = ? AND part = ?', (run, part))
+            while rows := found.fetchmany(FETCHED):
+                values = [pa.array(v).cast(t) for v, t in zip(zip(*rows, strict=True), kinds.types, strict=True)]
+                yield pa.RecordBatch.from_arrays(values, schema=kinds)
+        db.close()
+
+    n = 0 if parts is None else parts + 1
+    return spark.range(0, n, 1, max(1, n)).mapInArrow(get, schema).withColumn("run_id", F.lit(run))
+
+
 class SnapshotSource(DataSource):
     """A Spark data source over saved snapshots: options ``path`` (of a store, on a shared file system), ``table``, ``tag``.
 
