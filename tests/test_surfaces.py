@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tremolite.operators.surfaces import least_squares, line_root, response_surface
+from tremolite.operators.surfaces import least_squares, line_root, line_roots, response_surface, roots
 
 
 def test_line_roots(spark):
@@ -47,3 +47,22 @@ def test_surface_finds_its_design_point(spark):
     assert got["line"].beta == pytest.approx(3.0, abs=1e-6) and got["line"].point == pytest.approx([1.8, 2.4], abs=1e-6) and got["line"].rounds == 2
     assert got["curve"].point == pytest.approx([1.0, 1.0], abs=0.05) and got["curve"].rounds > 2
     assert got["line"].n == 1500 and got["flat"].n == 50
+
+
+def test_roots_in_lockstep(spark):
+    """A few calls of g find simple roots, as many as halving needs find any; a row without one stays null."""
+    calls = []
+
+    def g(r, v):
+        calls.append(len(r))
+        return np.exp(r) - 2 - np.abs(v)
+
+    v = np.linspace(-5, 5, 1000)
+    got = roots(lambda r: g(r, v), np.zeros(1000), np.full(1000, 10.0))
+    assert got == pytest.approx(np.log(2 + np.abs(v)), abs=1e-12) and len(calls) < 30
+    assert roots(lambda r: (r - v) ** 3, np.full(1000, -30.0), np.full(1000, 40.0)) == pytest.approx(v, abs=1e-4)
+    steep = roots(lambda r: np.where(r < v, -1e-9, 1e9), np.full(1000, 40.0), np.full(1000, -30.0))
+    assert steep == pytest.approx(v, abs=1e-12)
+    rows = spark.range(200).select("id", ((F.col("id") - 100) / 20.0).alias("v"), F.when(F.col("id") % 50 == 7, None).otherwise(1.0).alias("w"))
+    pair = rows.select("v", "w", line_roots(lambda r, v, w: w * (v - r), -3.0, 4.0, "v", "w").alias("fast"), line_root(lambda r: F.col("w") * (F.col("v") - r), -3.0, 4.0).alias("slow")).collect()
+    assert sum(r.fast is None for r in pair) == sum(r.slow is None for r in pair) > 50 and all((r.fast is None) == (r.slow is None) and (r.fast is None or r.fast == pytest.approx(r.v, abs=1e-12)) for r in pair)

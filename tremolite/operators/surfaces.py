@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,50 @@ def line_root(g: Callable[[Column], Column], low: float | Column, high: float |
     return F.when(crosses & ~F.isnan(g(low)) & ~F.isnan(g(high)), found)
 
 
+def roots(g: Callable[..., np.ndarray], low: np.ndarray, high: np.ndarray, steps: int = 55) -> np.ndarray:
+    """Where ``g`` changes its sign between ``low`` and ``high``, for many rows in lockstep; NaN where it has one sign at both
+    ends, or is not a number there.
+
+    ITP steps: a false position, pushed a little towards the middle so that the root gets between it and the nearer end, and held so
+    near the middle that the bracket shrinks by 2^-52 at least in the default number of steps, as by halving; near a
+    simple root a few do. Ends when every bracket is that narrow or has met its root.
+    """
+    a, b = np.array(low, float), np.array(high, float)
+    fa, fb = g(a), g(b)
+    with np.errstate(all="ignore"):
+        wide = np.abs(b - a)
+        unit = wide * 2.0**-52
+        ok = np.sign(fa) * np.sign(fb) <= 0
+        for k in range(steps):
+            width = b - a
+            if not np.any(ok & (np.abs(width) > unit)):
+                break
+            middle = a + width / 2
+            secant = a - fa * width / (fb - fa)
+            secant = np.where(np.isfinite(secant), secant, middle)
+            aside = np.maximum(0.2 * width * width / wide, unit / 2)
+            pushed = np.where(np.abs(middle - secant) <= aside, middle, secant + np.sign(middle - secant) * aside)
+            spare = np.maximum(unit / 2 * 2.0 ** (steps - 1 - k) - np.abs(width) / 2, 0.0)
+            m = np.where(np.abs(pushed - middle) <= spare, pushed, middle + np.sign(pushed - middle) * spare)
+            fm = g(m)
+            left, met = np.sign(fm) * np.sign(fa) <= 0, fm == 0
+            a, fa, b, fb = (np.where(met, x, np.where(left, y, z)) for x, y, z in ((m, a, m), (fm, fa, fm), (m, m, b), (fm, fm, fb)))
+        return np.where(ok, (a + b) / 2, np.nan)
+
+
+def line_roots(g: Callable[..., np.ndarray], low: float, high: float, *columns: str | Column) -> Column:
+    """``roots`` of g(distances, *values of the columns) for every row, a batch of rows at a time; null where there is none or a value
+    is null. For millions of rows: ``line_root`` takes any expression, but evaluates it row by row."""
+
+    def each(*values: pd.Series) -> pd.Series:
+        at = [v.to_numpy(float, na_value=np.nan) for v in values]
+        n = len(values[0])
+        found = roots(lambda r: g(r, *at), np.full(n, float(low)), np.full(n, float(high)))
+        return pd.Series(found)
+
+    return F.pandas_udf(each, "double")(*columns)
+
+
 def _products(terms: list[Column], y: Column, weight: Column | None) -> list[Column]:
     """Sums of the products of terms with one another and with y."""
     w = F.lit(1.0) if weight is None else weight
