@@ -521,3 +521,20 @@ def test_database_run_with_executors_apart(tmp_path):
     root = str(Path(__file__).resolve().parent.parent)
     out = subprocess.run([sys.executable, "-c", APART, str(tmp_path)], cwd=root, env={**os.environ, "PYTHONPATH": root}, capture_output=True, text=True, timeout=300)
     assert "differences: []" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("wide", [0, 3, 40])
+def test_sharing_graph_by_pairs(spark, wide):
+    """Every pair once, whether its members are in few groups, in many, or one of each; far pairs are dealt to more tasks."""
+    rng = random.Random(wide)
+    links = {(m, rng.randrange(60)) for m in range(90) for _ in range(3)} | {(m, g) for m in range(wide) for g in range(25)} | {(5, 0), (6, 0), (5, 1), (6, 1)}
+    rows = spark.createDataFrame([*links, *links, (None, 0), (7, None)], "m long, g long")
+    got = [tuple(r) for r in graphs.sharing_graph(rows, "m", "g").collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, g in links for b, h in links if g == h and a < b}
+
+
+def test_sharing_graph_spreads_pairs(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "TASK", 100)
+    rows = spark.range(40).crossJoin(spark.range(20).select(F.col("id").alias("g")))
+    edges = graphs.sharing_graph(rows, "id", "g")
+    assert edges.count() == 780 and edges.rdd.getNumPartitions() == 157

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .parallel import settled
+from .parallel import settled, written
+
+#: Groups that a member carries along at most, and pairs that a task tells apart.
+CARRIED, TASK = 16, 1 << 19
 
 
 def vertices(edges: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -35,14 +38,36 @@ def sharing_graph(links: DataFrame, member: str, group: str, least: int | None =
     """An edge for each pair of members that share a group: nodes that share an element, elements that share
     a node, or equations (``least`` 0) that share an element.
 
-    The pairs of a group are the result asked for. The join's two sides are shuffled by the group alone, so
-    adaptive execution may split a large group's rows on both sides.
+    The pairs of a group are the result asked for. Members of at most CARRIED groups bring those below the one that they meet
+    in along; a pair of them counts in the least group that they share, so its rows need no shuffle to be told apart.
+    Other pairs are dealt by both ends, about TASK to a task, and repeated ones dropped. Sides of a join
+    are shuffled by the group alone, so adaptive execution may split a large group's rows.
     """
-    rows = links.select(F.col(member).alias("m"), F.col(group).alias("g")).distinct()
+    rows = links.select(F.col(member).alias("m"), F.col(group).alias("g")).where("m is not null and g is not null")
     if least is not None:
         rows = rows.where(F.col("m") >= least)
-    a, b = rows.withColumnRenamed("m", "a"), rows.withColumnRenamed("m", "b")
-    return a.join(b, "g").where("a < b").select("a", "b").distinct()
+    rows = written(rows.distinct())
+    wide = written(rows.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > CARRIED))
+    total, held = rows.count(), wide.agg(F.sum("n")).first()[0] or 0
+    side = lambda t, c: t.select(F.col("m").alias(c), "g", *(F.col(x).alias(f"{x}_{c}") for x in t.columns if x not in ("m", "g")))
+    if 2 * held > total:
+        return _once(side(rows, "a").join(side(rows, "b"), "g").where("a < b"), rows)
+    few = rows if not held else rows.join(wide, "m", "left_anti")
+    few = few.groupBy("m").agg(F.array_sort(F.collect_list("g")).alias("gs")).select("m", "gs", F.posexplode("gs").alias("k", "g"))
+    few = few.select("m", "g", F.slice("gs", 1, F.col("k")).alias("less"))
+    pairs = side(few, "a").join(side(few, "b"), "g").where((F.col("a") < F.col("b")) & ~F.arrays_overlap("less_a", "less_b")).select("a", "b")
+    if not held:
+        return pairs
+    many = written(rows.join(wide, "m", "left_semi"))
+    ends = side(many, "x").join(side(rows.join(wide.select("m", F.lit(True).alias("wide")), "m", "left"), "y"), "g")
+    ends = ends.where("x <> y and (wide_y is null or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return pairs.unionByName(_once(ends, rows))
+
+
+def _once(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct ``pairs`` of members (m) of a group (g), in as many tasks as all pairs need."""
+    n = rows.groupBy("g").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    return pairs.select("a", "b").repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(n // TASK) + 1), "a", "b").distinct()
 
 
 def simple_numbering(rows: DataFrame, vertex: str = "vertex") -> DataFrame:
