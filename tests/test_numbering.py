@@ -193,3 +193,15 @@ def test_ranks(spark):
     for i, g, k, _ in rows:
         earlier = [r for r in rows if r[1] == g and (r[2], r[0]) < (k, i)]
         assert got[i] == (len(earlier), sum(r[3] for r in earlier))
+
+
+def test_levels_join_by_shuffles(spark, monkeypatch):
+    """No level goes through the driver: what is computed for one is computed without broadcasts, and the setting comes back."""
+    from tremolite.operators import graphs, numbering, parallel
+
+    seen, plain = [], parallel.written
+    monkeypatch.setattr(numbering, "written", lambda df: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or plain(df))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    chain = spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r.vertex: r.level for r in graphs.levels(chain, 3).collect()} == {i: abs(i - 3) for i in range(11)}
+    assert len(seen) > 5 and set(seen) == {"-1"} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before

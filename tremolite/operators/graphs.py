@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import level_structure
 from .parallel import settled, written
 
 #: Groups that a member carries along at most, and pairs that a task tells apart.
@@ -82,25 +83,10 @@ def simple_numbering(rows: DataFrame, vertex: str = "vertex") -> DataFrame:
 
 
 def levels(edges: DataFrame, root: int, rounds: int | None = None) -> DataFrame:
-    """Breadth-first level of each vertex reached from ``root``: of all, or of those within ``rounds`` steps.
-
-    A neighbour of a vertex is at most one level from it, so a round leaves out the last two levels only.
-    Every level is settled, and so are all found so far after each 32 levels.
-    """
-    both = settled(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    found = last = before = edges.sparkSession.createDataFrame([(root, 0)], "vertex long, level int")
-    level = 0
-    while rounds is None or level < rounds:
-        level += 1
-        near = both.join(last, both["a"] == last["vertex"]).select(F.col("b").alias("vertex").cast("long")).distinct()
-        new = near.join(last.unionByName(before), "vertex", "left_anti").withColumn("level", F.lit(level))
-        before, last = last, settled(new)
-        if last.isEmpty():
-            break
-        found = found.unionByName(last)
-        if level % 32 == 0:
-            found = settled(found.coalesce(8))
-    return found
+    """Breadth-first level of each vertex reached from ``root``: of all, or of those within ``rounds`` steps."""
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    start = edges.sparkSession.createDataFrame([(root,)], "vertex long")
+    return level_structure(both, start, rounds).select(F.col("vertex").cast("long").alias("vertex"), "level")
 
 
 def reverse_cuthill_mckee(edges: list[tuple[int, int]]) -> list[int]:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parallel import forgotten, written
+from .parallel import forgotten, shuffled, written
 from .ranks import ranked
 
 #: Levels that are found before all so far are written together.
@@ -45,21 +45,24 @@ def components(edges: DataFrame) -> DataFrame:
     return links.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct())
 
 
-def level_structure(near: DataFrame, roots: DataFrame) -> DataFrame:
+def level_structure(near: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
     """(vertex, root, level): breadth-first levels from ``roots`` (vertex), one in a component, over edges that ``near`` has
-    both ways. A neighbour lies one level away at most, so only the last two levels are left out of the next."""
-    found = last = written(roots.select("vertex", F.col("vertex").alias("root"), F.lit(0).alias("level")))
-    before = last.limit(0)
-    level = 0
-    while True:
-        level += 1
-        step = near.join(last, near["a"] == last["vertex"]).select(F.col("b").alias("vertex"), "root").distinct()
-        new = written(step.join(last.select("vertex").unionByName(before.select("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            return found
-        found, before, last = found.unionByName(new), last, new
-        if level % SETTLE == 0:
-            found = written(found.repartition("vertex"))
+    both ways; of all vertices, or of those within ``rounds`` steps. A neighbour lies one level away at most, so only
+    the last two levels are left out of the next. Levels are joined by shuffles: none goes through the driver."""
+    with shuffled(near.sparkSession):
+        found = last = written(roots.select("vertex", F.col("vertex").alias("root"), F.lit(0).alias("level")))
+        before = last.limit(0)
+        level = 0
+        while rounds is None or level < rounds:
+            level += 1
+            step = near.join(last, near["a"] == last["vertex"]).select(F.col("b").alias("vertex"), "root").distinct()
+            new = written(step.join(last.select("vertex").unionByName(before.select("vertex")), "vertex", "left_anti").withColumn("level", F.lit(level)))
+            if new.isEmpty():
+                break
+            found, before, last = found.unionByName(new), last, new
+            if level % SETTLE == 0:
+                found = written(found.repartition("vertex"))
+    return found
 
 
 def peripheral_levels(near: DataFrame, degrees: DataFrame, members: DataFrame) -> DataFrame:

@@ -56,6 +56,21 @@ def forgotten(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def shuffled(spark: SparkSession) -> Iterator[None]:
+    """What is computed in a block joins by shuffles, but for tables that are named for a broadcast: a broadcast goes through
+    the driver, and over the rounds of a loop many tables that are each small enough add up there."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def process_of(df: DataFrame) -> DataFrame:
     """Rows with the number of the partition that holds them, and how many there are."""
     return df.withColumn("pid", F.spark_partition_id())
