@@ -205,3 +205,15 @@ def test_levels_join_by_shuffles(spark, monkeypatch):
     chain = spark.range(10).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.vertex: r.level for r in graphs.levels(chain, 3).collect()} == {i: abs(i - 3) for i in range(11)}
     assert len(seen) > 5 and set(seen) == {"-1"} and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_exchange_joins_by_shuffles(spark, monkeypatch):
+    """Vertices and edges of an exchange never go through the driver; loads and pairs of parts are named for a broadcast."""
+    from tremolite.operators import parallel
+
+    seen, plain = [], parallel.written
+    monkeypatch.setattr(partitions, "written", lambda df: seen.append(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")) or plain(df))
+    ring = spark.range(12).select(F.col("id").alias("a"), ((F.col("id") + 1) % 12).alias("b"))
+    labels = spark.range(12).select(F.col("id").alias("vertex"), (F.col("id") % 2).cast("int").alias("part"), F.lit(1.0).alias("weight"))
+    after = partitions.exchanged(ring, labels, 2)
+    assert set(seen) == {"-1"} and after.count() == 12 and partitions.cut_weight(ring, after) <= 12

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +72,17 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def in_shuffles(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` of a table first, computed ``shuffled``; its last step may still be open, and is planned as the session has it."""
+
+    @wraps(f)
+    def run(df: DataFrame, *args, **named) -> DataFrame:
+        with shuffled(df.sparkSession):
+            return f(df, *args, **named)
+
+    return run
+
+
 def process_of(df: DataFrame) -> DataFrame:
     """Rows with the number of the partition that holds them, and how many there are."""
     return df.withColumn("pid", F.spark_partition_id())

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
-from .parallel import forgotten, written
+from .parallel import forgotten, in_shuffles, sent_to_all, written
 from .ranks import ranked
 
 #: How far the load of a part may lie from the mean of its cell.
@@ -175,6 +175,7 @@ def cut_weight(edges: DataFrame, labels: DataFrame, w: Column | None = None) ->
     return rows.agg(F.sum(F.lit(1.0) if w is None else w)).first()[0] or 0.0
 
 
+@in_shuffles
 def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) -> DataFrame:
     """Labels (vertex, part, weight) after exchange between parts, to a standstill (or for ``rounds``).
 
@@ -192,12 +193,12 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
     turn = still = 0
     while rounds is None or turn < rounds:
         turn += 1
-        loads = rows.groupBy("part").agg(F.sum("weight").alias("load"))
+        loads = written(rows.groupBy("part").agg(F.sum("weight").alias("load")))
         pulls = _pulls(e, rows).join(rows, "vertex")
         own = F.coalesce(F.max(F.when(F.col("to") == F.col("part"), F.col("pull"))), F.lit(0.0)).alias("own")
         others = F.collect_list(F.when(F.col("to") != F.col("part"), F.struct("to", "pull"))).alias("others")
         wish = pulls.groupBy("vertex", "part", "weight").agg(own, others).select("vertex", "part", "weight", "own", F.explode("others").alias("o")).select("vertex", "part", "weight", F.col("o.to").alias("to"), (F.col("o.pull") - F.col("own")).alias("gain"))
-        at = lambda c, load: loads.select(F.col("part").alias(c), F.col("load").alias(load))
+        at = lambda c, load: sent_to_all(loads.select(F.col("part").alias(c), F.col("load").alias(load)))  # noqa: E731, B023
         wish = written(wish.join(at("part", "here"), "part").join(at("to", "there"), "to"))
         useful = (F.col("gain") > 0) | ((F.col("gain") == 0) & (F.col("here") >= F.col("there") + 2 * F.col("weight")))
         pair = F.struct(F.least("part", "to").alias("p"), F.greatest("part", "to").alias("q"))
@@ -208,7 +209,7 @@ def exchanged(edges: DataFrame, labels: DataFrame, rounds: int | None = None) ->
             break
         ends = worth.select("p", "q", "best", F.explode(F.array("p", "q")).alias("part"))
         choice = ends.groupBy("part").agg(F.max_by(F.struct("p", "q"), F.struct("best", "p", "q")).alias("c")).select("c.*")
-        paired = choice.groupBy("p", "q").agg(F.count("*").alias("n")).where("n = 2").select("p", "q")
+        paired = sent_to_all(written(choice.groupBy("p", "q").agg(F.count("*").alias("n")).where("n = 2").select("p", "q")))
         live = wish.withColumns({"p": F.least("part", "to"), "q": F.greatest("part", "to")}).join(paired, ["p", "q"])
         live = independent(e, live.select("vertex", "part", "weight", "to", "gain", "here", "there", "p", "q"), turn)
         turns = Window.partitionBy("part", "to", "weight").orderBy(F.desc("gain"), "vertex")
