@@ -411,6 +411,19 @@ def test_chains_of_removal_and_relations(spark):
     assert entities.resolved(long).where("retained = 0 and coefficient = 1 and not open").count() == 699
 
 
+def test_records_share_files(spark, tmp_path):
+    records = spark.createDataFrame([(i, f"head {i}\n 2 0.5 NPTS, DT\n {i}.5\r\n\n -1.0 ") for i in range(300)] + [(300, ""), (301, None)], "file long, value string")
+    text.write_records(records.repartition(3), f"{tmp_path}/all")
+    assert len(list(tmp_path.glob("all/part-*"))) <= 3
+    lines = text.bundled_lines(spark, f"{tmp_path}/all")
+    assert [(r.line, r.text) for r in lines.where("file = '7'").orderBy("line").collect()] == [(0, "head 7"), (1, " 2 0.5 NPTS, DT"), (2, " 7.5"), (3, ""), (4, " -1.0 ")]
+    assert {r.file: r.text for r in lines.where("file >= 300").collect()} == {"300": "", "301": ""}
+    assert {(r.file, r.i, r.t, r.v) for r in text.read_record(lines).collect()} == {x for i in range(300) for x in ((str(i), 0, 0.0, i + 0.5), (str(i), 1, 0.5, -1.0))}
+    for name, value in (("1", f"a{text.RECORD_END}b"), ("1\n2", "a"), (None, "a")):
+        with pytest.raises(Exception, match="not a record for a bundle"):
+            text.write_records(spark.createDataFrame([(name, value)], "file string, value string"), f"{tmp_path}/bad-{hash((name, value))}")
+
+
 def test_random_process_keeps_repeated_times(spark):
     times = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (2.5, "b"), (0.0, "c"), (9.0, None)], "t double, name string")
     pulses = spark.createDataFrame([(0.5, 1.0), (2.0, -3.0), (4.0, 2.0)], "ti double, u double")

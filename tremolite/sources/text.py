@@ -51,6 +51,27 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
 
 
+#: Ends a record in a bundle: the record separator of ASCII, which no line of a record may hold.
+RECORD_END = "\x1e"
+
+
+def write_records(records: DataFrame, path: str, name: str = "file", value: str = "value") -> None:
+    """Whole records as text, many to a file, each after a line with its name: there are as many files as tasks, not as many
+    as records, whose making and listing would be most of the work. Names of several lines and records that hold
+    RECORD_END fail."""
+    named, body = F.col(name).cast("string"), F.coalesce(F.col(value).cast("string"), F.lit(""))
+    whole = F.concat(named, F.lit("\n"), body)
+    bad = named.isNull() | named.contains("\n") | whole.contains(RECORD_END)
+    records.select(F.when(bad, F.raise_error(F.concat(F.lit("not a record for a bundle: "), F.coalesce(named, F.lit("no name"))))).otherwise(whole).alias("value")).write.option("lineSep", RECORD_END).text(path)
+
+
+def bundled_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of the records that ``write_records`` wrote, as ``numbered_lines`` gives them of files of their own."""
+    whole = spark.read.option("lineSep", RECORD_END).text(path)
+    cut = F.instr("value", "\n")
+    return whole.select(F.substr("value", F.lit(1), cut - 1).alias("file"), F.posexplode(F.split(F.substr("value", cut + 1), r"\r?\n")).alias("line", "text"))
+
+
 def strip_data(lines: DataFrame, file: str = "file", line: str = "line", text: str = "text") -> DataFrame:
     """Lines between <Data> and </Data>, by a running flag in each file."""
     w = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
