@@ -411,6 +411,17 @@ def test_chains_of_removal_and_relations(spark):
     assert entities.resolved(long).where("retained = 0 and coefficient = 1 and not open").count() == 699
 
 
+def test_chains_are_followed_once(spark, monkeypatch):
+    made, write = [], entities.written
+    monkeypatch.setattr(entities, "written", lambda df: made.append(1) or write(df))
+    tie = lambda n: spark.range(1, n).select(F.col("id").alias("constrained"), F.lit(1).alias("constrained_dof"), (F.col("id") - 1).alias("retained"), F.lit(1).alias("retained_dof"), F.lit(0.5).alias("coefficient"))
+    got = {r.constrained: (r.retained, r.coefficient, r.open) for r in entities.resolved(tie(33)).collect()}
+    assert got == {i: (0, 0.5**i, False) for i in range(1, 33)}
+    assert len(made) <= 8  # the relations twice, and one table a round
+    ring = tie(33).unionByName(tie(2).withColumns({"constrained": F.lit(0).cast("long"), "retained": F.lit(32).cast("long")}))
+    assert all(r.open and r.coefficient == 0.5 for r in entities.resolved(ring).collect())
+
+
 def test_records_share_files(spark, tmp_path):
     records = spark.createDataFrame([(i, f"head {i}\n 2 0.5 NPTS, DT\n {i}.5\r\n\n -1.0 ") for i in range(300)] + [(300, ""), (301, None)], "file long, value string")
     text.write_records(records.repartition(3), f"{tmp_path}/all")

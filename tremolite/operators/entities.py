@@ -226,43 +226,33 @@ def resolved(ties: DataFrame) -> DataFrame:
     itself constrained replaced by what it is tied to, to the end of every chain, and terms of equal dofs summed.
 
     Each round puts the relations as they stand into themselves, so chains shorten by half: as many rounds as the
-    logarithm of the longest one. Relations that are still not at an end after the rounds that the number of
-    constrained dofs allows lie on or behind a cycle: their rows, with ``open`` true, are those given, and the
+    logarithm of the longest one. A term is known to be ``inner`` (its retained dof is constrained) from the relation that
+    brings it. What is inner after n rounds stands for paths of 2^n steps; relations that have such terms when that is
+    more than there are constrained dofs lie on or behind a cycle: their rows, with ``open`` true, are those given, and the
     others have ``open`` false. A null coefficient counts as 0, and relations that name no dof as none.
     """
     key = lambda a: [f"{a}", f"{a}_dof"]
     named = "constrained is not null and constrained_dof is not null and retained is not null and retained_dof is not null"
     given = ties.where(named).select(*key("constrained"), *key("retained"), F.coalesce(F.col("coefficient").cast("double"), F.lit(0.0)).alias("coefficient"))
-    total = lambda t: t.groupBy(*key("constrained"), *key("retained")).agg(F.sum("coefficient").alias("coefficient"))
+    total = lambda t, *more: t.groupBy(*key("constrained"), *key("retained"), *more).agg(F.sum("coefficient").alias("coefficient"))
     given = written(total(given))
-    bound = given.select(*key("constrained")).distinct()
-    tied = written(bound.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof")))
-    stuck = written(_behind_cycles(given, bound))
-    rows = given.join(stuck, key("constrained"), "left_anti")
-    while True:
-        rows = written(rows)
-        inner = rows.join(tied, key("retained"), "left_semi")
-        if inner.isEmpty():
-            break
-        inner_terms = rows.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof"), F.col("retained").alias("next"), F.col("retained_dof").alias("next_dof"), F.col("coefficient").alias("c"))
-        put = inner.join(inner_terms, key("retained")).select(*key("constrained"), F.col("next").alias("retained"), F.col("next_dof").alias("retained_dof"), (F.col("coefficient") * F.col("c")).alias("coefficient"))
-        rows = total(rows.join(tied, key("retained"), "left_anti").select(*key("constrained"), *key("retained"), "coefficient").unionByName(put))
-    left = given.join(stuck, key("constrained"), "left_semi")
-    return rows.withColumn("open", F.lit(False)).unionByName(left.withColumn("open", F.lit(True)))
-
-
-def _behind_cycles(given: DataFrame, bound: DataFrame) -> DataFrame:
-    """Constrained dofs whose chains don't all end: paths between constrained dofs are doubled until none is left, or are
-    longer than there are constrained dofs."""
-    paths = given.select(F.struct("constrained", "constrained_dof").alias("a"), F.struct(F.col("retained").alias("constrained"), F.col("retained_dof").alias("constrained_dof")).alias("b"))
-    ends = bound.select(F.struct("constrained", "constrained_dof").alias("b"))
-    paths = written(paths.join(ends, "b", "left_semi").select("a", "b").distinct())
+    bound = given.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof")).distinct()
+    rows = written(given.join(bound.withColumn("__inner", F.lit(True)), key("retained"), "left").select(*given.columns, F.coalesce("__inner", F.lit(False)).alias("inner")))
     length, longest = 1, bound.count()
-    while length <= longest and not paths.isEmpty():
-        before, paths = paths, written(paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct())
+    while going := not rows.where("inner").isEmpty():
+        if length > longest:
+            break
+        terms = rows.select(F.col("constrained").alias("retained"), F.col("constrained_dof").alias("retained_dof"), F.col("retained").alias("next"), F.col("retained_dof").alias("next_dof"), F.col("coefficient").alias("c"), F.col("inner").alias("more"))
+        put = rows.where("inner").drop("inner").join(terms, key("retained")).select(*key("constrained"), F.col("next").alias("retained"), F.col("next_dof").alias("retained_dof"), (F.col("coefficient") * F.col("c")).alias("coefficient"), F.col("more").alias("inner"))
+        before, rows = rows, written(total(rows.where("not inner").unionByName(put), "inner"))
         forgotten(before)
         length *= 2
-    return paths.select("a.*").distinct()
+    ended = rows.drop("inner").withColumn("open", F.lit(False))
+    if not going:
+        return ended
+    stuck = written(rows.where("inner").select(*key("constrained")).distinct())
+    left = given.join(stuck, key("constrained"), "left_semi")
+    return ended.join(stuck, key("constrained"), "left_anti").unionByName(left.withColumn("open", F.lit(True)))
 
 
 def rigid_links(nodes: DataFrame, retained: int, constrained_nodes: list[int], plane: tuple[int, int] = (0, 1), kind: str = "diaphragm") -> DataFrame:

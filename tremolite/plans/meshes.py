@@ -105,8 +105,9 @@ def d22_chained_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     orders = table(spark, sf_dir, "orders").where("o_orderkey is not null")
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    one = lambda k, c: orders.select(F.col("o_orderkey").alias("constrained"), F.lag("o_orderkey", k).over(w).alias("retained"), F.lit(c).alias("coefficient"))
-    ties = one(1, 0.5).unionByName(one(2, 0.25)).where("retained is not null").withColumns({"constrained_dof": F.lit(1), "retained_dof": F.lit(1)})
+    one = lambda k, c: F.struct(F.lag("o_orderkey", k).over(w).alias("retained"), F.lit(c).alias("coefficient"))
+    ties = orders.select(F.col("o_orderkey").alias("constrained"), F.array(one(1, 0.5), one(2, 0.25)).alias("to")).select("constrained", F.inline("to"))
+    ties = ties.where("retained is not null").withColumns({"constrained_dof": F.lit(1), "retained_dof": F.lit(1)})
     return entities.resolved(ties).where("not open").select("constrained", "retained", F.round("coefficient", 9).alias("coefficient"))
 
 
