@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, frame
+from tremolite.llm import bytesets as B
 from tremolite.llm.bpe import ByteBpe, bpe_decode, bpe_encode
 from tremolite.llm.tokencount import CountedText, edited_token_counts
 
@@ -191,3 +192,17 @@ def test_edited_counts_table(spark, reference):
     assert (got[2].n_tokens, got[3].n_tokens_edited, got[2].n_edits) == (0, 0, 0)
     assert got[4].n_tokens_edited == n("a b " * 30_000 + "\n\n0") and got[4].n_reencoded < 30
     assert edited_token_counts(frame(spark, []), PATH, []).count() == 0
+
+
+def test_workers_give_back_what_they_freed():
+    resident = lambda: 4096 * int(open("/proc/self/statm").read().split()[1])  # noqa: E731, SIM115
+    made, kept, before = [bytes(4000) for _ in range(50_000)], [], []
+
+    def run(batches):
+        yield from batches
+        kept.extend(made[::100])  # pieces in use all over the heap
+        made.clear()
+        before.append(resident())
+
+    assert list(B.tidied(run)(iter([1, 2]))) == [1, 2]
+    assert before[0] - resident() > 50e6

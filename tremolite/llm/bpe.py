@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bytesets as B
+
 #: Fixed value: the pre-token pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -292,7 +294,7 @@ def bpe_encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                     columns.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"][: len(columns)])
 
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decode).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(B.tidied(run), f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decode).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -307,4 +309,4 @@ def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([bpe.decode(x or b"") for x in part.column(1).to_pylist()], pa.string())], ["id", "decoded"])
 
-    return rows.mapInArrow(run, f"id {kind}, decoded string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(B.tidied(run), f"id {kind}, decoded string").withColumnRenamed("id", id_col)

@@ -151,7 +151,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """A model from the documents of at most 4,000 rows of ``labels`` with a 0/1 label, those of the least hashed
     ids; None unless both labels occur."""
     rows = labelled_sample(docs, labels, SAMPLE, id_col, text_col, label_col)
-    got = rows.select("y", "text", "h").mapInArrow(_bags, "y double, bag binary, h long").toArrow().sort_by("h")
+    got = rows.select("y", "text", "h").mapInArrow(B.tidied(_bags), "y double, bag binary, h long").toArrow().sort_by("h")
     y = got.column(0).to_numpy()
     if len(np.unique(y)) < 2:
         return None
@@ -182,4 +182,4 @@ def quality_scores(df: DataFrame, model: AttentionModel | None, id_col: str = "d
             p = np.concatenate(scores) if scores else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], [name, "score"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(B.tidied(run), schema)

@@ -247,7 +247,7 @@ def candidate_groups(leaders: DataFrame, threshold: float) -> DataFrame:
     one = leaders.select(F.col("node").alias("x"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = leaders.select(F.col("node").alias("y"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     known = meet.join(one, matched(F.col("a"), F.col("x"))).join(two, matched(F.col("b"), F.col("y"))).select("a", "b", "na", "nb", "sa", "sb")
-    group = staged(components(known.mapInArrow(_likely(threshold), "a long, b long")))
+    group = staged(components(known.mapInArrow(B.tidied(_likely(threshold)), "a long, b long")))
 
     of = bucket.join(group.withColumnRenamed("node", "g_node"), matched(F.col("node"), F.col("g_node")), "left").select("key", "node", "first", F.coalesce("component", "node").alias("g"))
     own = F.max(F.when(F.col("node") == F.col("first"), F.col("g")))
@@ -260,7 +260,7 @@ def candidate_groups(leaders: DataFrame, threshold: float) -> DataFrame:
     strange = met.where("strange").select("key", block("s", 0).alias("left"), each("c").alias("right"), F.lit(0).alias("side"), "g", "n", "sketch")
     members = met.select("key", each("s").alias("left"), block("c", 1).alias("right"), F.lit(1).alias("side"), "g", "n", "sketch")
     by = ["key", "left", "right"]
-    more = components(strange.unionByName(members).repartition(*by).sortWithinPartitions(*by).mapInArrow(_met(threshold), "a long, b long"))
+    more = components(strange.unionByName(members).repartition(*by).sortWithinPartitions(*by).mapInArrow(B.tidied(_met(threshold)), "a long, b long"))
     more = staged(more).withColumnsRenamed({"node": "m_node", "component": "m_component"})
     every = group.select("node", "component").unionByName(more.join(group, F.col("m_node") == F.col("node"), "left_anti").select(F.col("m_node").alias("node"), F.col("m_node").alias("component")))
     return every.join(more, matched(F.col("component"), F.col("m_node")), "left").select("node", F.coalesce("m_component", "component").alias("component"))
@@ -291,7 +291,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     Ids are integers; other columns are ignored.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("hash"), F.col(text_col).cast("string").alias("text"))
-    made = rows.mapInArrow(_sketches(k), "id long, hash string, n long, d1 long, d2 long, sketch binary")
+    made = rows.mapInArrow(B.tidied(_sketches(k)), "id long, hash string, n long, d1 long, d2 long, sketch binary")
     made = staged(made.withColumn("row", F.monotonically_increasing_id()))
     known = ["n", "d1", "d2"]
     classes = made.where("n > 0").groupBy(*known).agg(F.min("row").alias("node"), F.min("id").alias("leader")).withColumnsRenamed({c: f"c_{c}" for c in known})
@@ -308,7 +308,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     paired = texts.select("component", "own", "node", "sketch", "text", other).select("component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), F.col("own").alias("side"), "node", "sketch", "text")
     by = ["component", "left", "right"]
-    links = staged(paired.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(_verified(k, percent), "a long, b long"))
+    links = staged(paired.repartition(*by).sortWithinPartitions(*by, "node").mapInArrow(B.tidied(_verified(k, percent)), "a long, b long"))
 
     found = components(links).withColumnsRenamed({"node": "f_node", "component": "f_group"})
     out = member.drop("sketch").join(found, matched(F.col("node"), F.col("f_node")), "left").withColumn("group", F.coalesce("f_group", "node", "row"))
