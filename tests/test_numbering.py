@@ -217,3 +217,25 @@ def test_exchange_joins_by_shuffles(spark, monkeypatch):
     labels = spark.range(12).select(F.col("id").alias("vertex"), (F.col("id") % 2).cast("int").alias("part"), F.lit(1.0).alias("weight"))
     after = partitions.exchanged(ring, labels, 2)
     assert set(seen) == {"-1"} and after.count() == 12 and partitions.cut_weight(ring, after) <= 12
+
+
+def test_components_of_dense_graphs_follow_few_links(spark, monkeypatch):
+    seen, linked = [], numbering._linked
+    monkeypatch.setattr(numbering, "_linked", lambda links: seen.append(links.distinct().count()) or linked(links))
+    rng = random.Random(11)
+    edges = [(100 * k + a, 100 * k + b) for k in range(3) for a in range(60) for b in range(a) if rng.random() < 0.7] + [(900, 901), (901, 902), (902, 903), (950, 950)]
+    got = {r.vertex: r.component for r in numbering.components(frame(spark, edges)).collect()}
+    assert got == {100 * k + a: 100 * k for k in range(3) for a in range(60)} | {i: 900 for i in range(900, 904)}
+    assert seen[0] < len(edges) / 10
+
+
+def test_buckets_are_not_shuffled(spark):
+    from tremolite.operators.parallel import bucketed, forgotten, shuffled
+
+    near = bucketed(numbering.both_ways(frame(spark, [(i, (7 * i + 1) % 50) for i in range(50)])), "a")
+    assert spark.catalog.listTables() == []
+    with shuffled(spark):
+        joined = near.join(spark.range(10).withColumnRenamed("id", "a"), "a")
+        assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
+        assert joined.count() == near.where("a < 10").count() > 0
+    forgotten(near)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parallel import forgotten, shuffled, written
+from .parallel import bucketed, forgotten, shuffled, written
 from .ranks import ranked
 
 #: Levels that are found before all so far are written together.
@@ -18,13 +18,29 @@ SETTLE = 32
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Every edge in both directions, once each, without loops."""
-    rows = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    return rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    one = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).distinct()
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+    return one.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(vertex, component) of every vertex with an edge; a component is named by its least vertex.
 
+    ``near``, if given, has the edges ``both_ways`` in buckets of ``a``. First every vertex joins the least of itself and its
+    neighbours, and only edges between those are followed on: in a dense graph they are few.
+    """
+    near = bucketed(both_ways(edges), "a") if near is None else near
+    with shuffled(near.sparkSession):
+        joined = written(near.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        of = lambda c: joined.select(F.col("a").alias(c), F.col("m").alias(f"m_{c}"))
+        links = near.where("a < b").join(of("a"), "a").join(of("b"), "b").where("m_a <> m_b").select(F.col("m_a").alias("a"), F.col("m_b").alias("b"))
+        named = written(_linked(links)).select(F.col("vertex").alias("m"), "component")
+        return written(joined.join(named, "m", "left").select(F.col("a").alias("vertex"), F.coalesce("component", "m").alias("component")))
+
+
+def _linked(edges: DataFrame) -> DataFrame:
+    """``components`` by rounds over all edges.
+
     Each round links the neighbours of a vertex to the least of them, larger ones and then smaller ones, so that
     distances shrink by half; it ends when nothing changes.
     """
@@ -101,9 +117,9 @@ def cuthill_mckee(edges: DataFrame, vertices: DataFrame | None = None, reverse:
     in which a queue would take them. ``vertices`` may add some without edges, each a component. Every level is
     numbered by ranks over ranges. The order depends on the graph alone. No edges and no vertices: no rows.
     """
-    near = written(both_ways(edges))
+    near = bucketed(both_ways(edges), "a")
     degrees = written(near.groupBy(F.col("a").alias("vertex")).agg(F.count("*").alias("degree")))
-    members = written(components(near))
+    members = components(edges, near)
     levels = written(peripheral_levels(near, degrees, members).join(degrees, "vertex"))
     last = levels.where("level = 0").select("vertex", "root", F.lit(0).cast("long").alias("place"))
     placed, level = last.withColumn("level", F.lit(0)), 0

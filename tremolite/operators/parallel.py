@@ -48,6 +48,20 @@ def written(df: DataFrame) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a ``written`` table in as many buckets of ``key`` as a shuffle has partitions: joins and sums by ``key`` take
+    its rows as they lie. For large tables that a loop joins again and again."""
+    spark = df.sparkSession
+    folder, name = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", f"table_{uuid.uuid4().hex}"
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", folder).saveAsTable(name)
+    table = spark.table(name)
+    table.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")  # the name; its rows lie in ``folder``
+    table._folder = folder
+    return table
+
+
 def forgotten(*tables: DataFrame) -> None:
     """Delete the rows of ``written`` tables that later ones have replaced; other tables are left alone."""
     for table in tables:
