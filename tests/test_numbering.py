@@ -219,6 +219,18 @@ def test_exchange_joins_by_shuffles(spark, monkeypatch):
     assert set(seen) == {"-1"} and after.count() == 12 and partitions.cut_weight(ring, after) <= 12
 
 
+def test_partition_and_dissection_broadcast_small_tables_only(spark, monkeypatch):
+    """What a partition's or a dissection's levels send through the driver is bounded: no table over SMALL is broadcast there."""
+    from tremolite.operators import parallel
+
+    seen, plain = [], parallel.written
+    monkeypatch.setattr(partitions, "written", lambda df: seen.append(int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))) or plain(df))
+    monkeypatch.setattr(numbering, "written", lambda df: seen.append(int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))) or plain(df))
+    assert numbering.nested_dissection(frame(spark, grid(4, 4)), 1).count() == 16
+    assert partitions.multilevel_parts(frame(spark, grid(4, 4)), 2).count() == 16
+    assert len(seen) > 5 and max(seen) <= parallel.SMALL
+
+
 def test_components_of_dense_graphs_follow_few_links(spark, monkeypatch):
     seen, linked = [], numbering._linked
     monkeypatch.setattr(numbering, "_linked", lambda links: seen.append(links.distinct().count()) or linked(links))

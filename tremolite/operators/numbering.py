@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .parallel import bucketed, forgotten, shuffled, written
+from .parallel import SMALL, bucketed, forgotten, in_shuffles, shuffled, written
 from .ranks import ranked
 
 #: Levels that are found before all so far are written together.
@@ -146,6 +146,7 @@ def cuthill_mckee(edges: DataFrame, vertices: DataFrame | None = None, reverse:
     return numbers.select("vertex", (F.lit(numbers.count() - 1) - F.col("number")).alias("number"))
 
 
+@in_shuffles(most=SMALL)
 def nested_dissection(edges: DataFrame, depth: int, vertices: DataFrame | None = None) -> DataFrame:
     """(vertex, block, separator, number): an elimination order by recursive vertex separators.
 

@@ -7,7 +7,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import wraps
+from functools import partial, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,8 @@ from pyspark.sql.observation import Observation
 
 #: Most bytes that ``sent_to_all`` broadcasts.
 LIMIT = 64 << 20
+#: Most bytes of a table that ``in_shuffles`` lets the optimiser broadcast, where rounds grow with the logarithm of the input.
+SMALL = 256 << 10
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -72,13 +74,13 @@ def forgotten(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def shuffled(spark: SparkSession) -> Iterator[None]:
-    """What is computed in a block joins by shuffles, but for tables that are named for a broadcast: a broadcast goes through
-    the driver, and over the rounds of a loop many tables that are each small enough add up there."""
+def shuffled(spark: SparkSession, most: int = -1) -> Iterator[None]:
+    """What is computed in a block joins by shuffles, but for tables that are named for a broadcast or hold ``most`` bytes: a
+    broadcast goes through the driver, and over the rounds of a loop many tables that are each small enough add up there."""
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
     before = {k: spark.conf.get(k, None) for k in keys}
     for k in keys:
-        spark.conf.set(k, "-1")
+        spark.conf.set(k, str(most))
     try:
         yield
     finally:
@@ -86,12 +88,14 @@ def shuffled(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def in_shuffles(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+def in_shuffles(f: Callable[..., DataFrame] | None = None, most: int = -1) -> Callable[..., DataFrame]:
     """``f`` of a table first, computed ``shuffled``; its last step may still be open, and is planned as the session has it."""
+    if f is None:
+        return partial(in_shuffles, most=most)
 
     @wraps(f)
     def run(df: DataFrame, *args, **named) -> DataFrame:
-        with shuffled(df.sparkSession):
+        with shuffled(df.sparkSession, most):
             return f(df, *args, **named)
 
     return run

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
-from .parallel import forgotten, in_shuffles, sent_to_all, written
+from .parallel import SMALL, forgotten, in_shuffles, sent_to_all, written
 from .ranks import ranked
 
 #: How far the load of a part may lie from the mean of its cell.
@@ -140,6 +140,7 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
     return rows.select("vertex", "cell", "weight", "part")
 
 
+@in_shuffles(most=SMALL)
 def multilevel_parts(edges: DataFrame, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 4) -> DataFrame:
     """(vertex, cell, weight, part): every cell of the graph in ``parts`` parts of near equal load and a small cut.
 
