@@ -231,6 +231,35 @@ def test_partition_and_dissection_broadcast_small_tables_only(spark, monkeypatch
     assert len(seen) > 5 and max(seen) <= parallel.SMALL
 
 
+def test_edges_in_squares_stay_there(spark):
+    """Pulls, differences of pulls, independent wishes and merged edges are those of edges both ways, and no edge is shuffled for its ends."""
+    from tremolite.operators.parallel import SMALL, shuffled
+
+    rng = random.Random(4)
+    once = frame(spark, sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(900)})).withColumn("w", 1.0 + F.col("a") % 3)
+    once = written(once)
+    squares, both = partitions.Squares(once), written(partitions._flipped(once))
+    rows = written(spark.range(60).select(F.col("id").alias("vertex"), (F.col("id") % 3).cast("int").alias("part")))
+    wishes = written(rows.select("vertex", (1.0 + F.col("vertex") * 7 % 5).alias("gain")))
+    mates = rows.select("vertex", F.col("vertex").bitwiseAND(56).alias("coarse"))
+    moved = rows.where("vertex % 11 = 0").withColumn("to", (F.col("part") + 1) % 3)
+    after = rows.select("vertex", F.when(F.col("vertex") % 11 == 0, (F.col("part") + 1) % 3).otherwise(F.col("part")).alias("part"))
+    same = lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.select(*x.columns).collect()))
+    with shuffled(spark, most=SMALL, lie=True):
+        assert same(partitions._pulls(squares, rows), partitions._pulls(both, rows))
+        assert same(partitions._pulls_after(partitions._pulls(squares, rows), squares, moved), partitions._pulls(both, after))
+        got = partitions.independent(squares, wishes, 1)
+        assert 0 < got.count() < 60 and same(got, partitions.independent(both, wishes, 1))
+        assert partitions.independent(squares, wishes.limit(0), 1).count() == 0
+        nodes = rows.select("vertex", F.lit(0).alias("cell"), F.lit(1.0).alias("weight"))
+        assert same(squares.merged(mates), partitions.contracted(both, nodes, mates)[0].where("a < b"))
+        strong = squares.strongest(0).groupBy("a").agg(F.max("w").alias("m"), F.count("*").alias("n"))
+        assert strong.where(F.col("n") < partitions.STRONGEST).isEmpty() and same(strong.select("a", "m"), both.groupBy("a").agg(F.max("w").alias("m")))
+    with shuffled(spark, lie=True):
+        plan = squares.labelled(rows, "part").select("part_a", "part_b")._jdf.queryExecution().executedPlan().toString()
+    assert squares.whole and plan.count("Exchange ") == 2
+
+
 def test_components_of_dense_graphs_follow_few_links(spark, monkeypatch):
     seen, linked = [], numbering._linked
     monkeypatch.setattr(numbering, "_linked", lambda links: seen.append(links.distinct().count()) or linked(links))

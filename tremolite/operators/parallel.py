@@ -74,13 +74,16 @@ def forgotten(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def shuffled(spark: SparkSession, most: int = -1) -> Iterator[None]:
+def shuffled(spark: SparkSession, most: int = -1, lie: bool = False) -> Iterator[None]:
     """What is computed in a block joins by shuffles, but for tables that are named for a broadcast or hold ``most`` bytes: a
-    broadcast goes through the driver, and over the rounds of a loop many tables that are each small enough add up there."""
-    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    broadcast goes through the driver, and over the rounds of a loop many tables that are each small enough add up there.
+    With ``lie``, rows that are dealt by one of the columns that they are joined by stay where they lie."""
+    keys = dict.fromkeys(("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"), str(most))
+    if lie:
+        keys["spark.sql.requireAllClusterKeysForCoPartition"] = "false"
     before = {k: spark.conf.get(k, None) for k in keys}
-    for k in keys:
-        spark.conf.set(k, str(most))
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
@@ -88,14 +91,14 @@ def shuffled(spark: SparkSession, most: int = -1) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def in_shuffles(f: Callable[..., DataFrame] | None = None, most: int = -1) -> Callable[..., DataFrame]:
+def in_shuffles(f: Callable[..., DataFrame] | None = None, most: int = -1, lie: bool = False) -> Callable[..., DataFrame]:
     """``f`` of a table first, computed ``shuffled``; its last step may still be open, and is planned as the session has it."""
     if f is None:
-        return partial(in_shuffles, most=most)
+        return partial(in_shuffles, most=most, lie=lie)
 
     @wraps(f)
     def run(df: DataFrame, *args, **named) -> DataFrame:
-        with shuffled(df.sparkSession, most):
+        with shuffled(df.sparkSession, most, lie):
             return f(df, *args, **named)
 
     return run

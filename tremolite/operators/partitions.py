@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import components, level_structure
-from .parallel import SMALL, forgotten, in_shuffles, sent_to_all, written
+from .parallel import SMALL, bucketed, forgotten, in_shuffles, sent_to_all, written
 from .ranks import ranked
 
 #: How far the load of a part may lie from the mean of its cell.
@@ -19,6 +19,74 @@ SLACK = 0.05
 COARSE, PROPOSALS = 32, 2
 #: Rounds without a move that end an exchange.
 STILL = 3
+#: Edges, and edges for each vertex, over which a graph is laid in squares; edges of a square from which there are more squares.
+MANY, DENSE, SQUARE = 1 << 16, 16, 1 << 23
+#: Heaviest edges of a vertex that dense graphs are matched over, and how far vertices shrink before all edges are merged.
+STRONGEST, SHRINK = 3, 32
+
+
+class Squares:
+    """Edges (a, b, w), each once with a < b, of a dense graph: in buckets of the squares that a hash of each end gives.
+
+    A table of vertices goes to the squares of a row or column, so joins with either end leave the edges where they lie,
+    and sums over the edges of a vertex shrink in a square before they are shuffled: if computed ``shuffled`` with ``lie``.
+    """
+
+    def __init__(self, edges: DataFrame):
+        self.sparkSession = edges.sparkSession
+        self.count = edges.count()
+        self.side = max(8, int((self.count / SQUARE) ** 0.5) + 1)
+        w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
+        self.rows = bucketed(edges.select((self._line("a") * self.side + self._line("b")).alias("square"), "a", "b", w.alias("w")), "square")
+        self.buckets = max(1, int(self.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        #: Sums of whole numbers are the same in any order, so they may be kept up to date by differences.
+        self.whole = self.rows.where("w <> floor(w)").isEmpty()
+
+    def _line(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(self.side)).cast("int")
+
+    def _at(self, table: DataFrame, end: str) -> DataFrame:
+        table = table.withColumnRenamed("vertex", end).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(self.side - 1))))
+        line, other = self._line(end), F.col("other")
+        square = line * self.side + other if end == "a" else other * self.side + line
+        return table.withColumn("square", square).drop("other").repartition(self.buckets, "square")
+
+    def touching(self, table: DataFrame) -> DataFrame:
+        """Edges with an end in ``table`` (vertex, ...), once for each such end: that end as ``near``, the other as ``vertex``, w, ..."""
+        one = self.rows.join(self._at(table, "a"), ["square", "a"]).withColumnsRenamed({"a": "near", "b": "vertex"})
+        two = self.rows.join(self._at(table, "b"), ["square", "b"]).withColumnsRenamed({"b": "near", "a": "vertex"})
+        return one.unionByName(two).drop("square")
+
+    def labelled(self, table: DataFrame, label: str) -> DataFrame:
+        """Edges (a, b, w) with the ``label`` of both ends, from ``table`` (vertex, label)."""
+        of = lambda c: self._at(table.select("vertex", F.col(label).alias(f"{label}_{c}")), c)
+        return self.rows.join(of("a"), ["square", "a"]).join(of("b"), ["square", "b"]).drop("square")
+
+    def both(self) -> DataFrame:
+        return written(_flipped(self.rows.select("a", "b", "w")))
+
+    def strongest(self, seed: int) -> DataFrame:
+        """The STRONGEST heaviest edges of every vertex, both ways; ties go by a hash that both ends share."""
+        order = Window.partitionBy("a").orderBy(F.desc("w"), F.xxhash64(F.lit(seed), F.least("a", "b"), F.greatest("a", "b")), "b")
+        rows = _flipped(self.rows.select("a", "b", "w")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= STRONGEST)
+        return written(_flipped(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w").distinct()))
+
+    def merged(self, mates: DataFrame) -> DataFrame:
+        """Edges (a, b, w), each once with a < b, between the vertices that ``mates`` (vertex, coarse) merge into."""
+        rows = self.labelled(mates, "coarse").where("coarse_a <> coarse_b")
+        return written(rows.groupBy(F.least("coarse_a", "coarse_b").alias("a"), F.greatest("coarse_a", "coarse_b").alias("b")).agg(F.sum("w").alias("w")))
+
+
+def _flipped(rows: DataFrame) -> DataFrame:
+    """Edges (a, b, w) and the same from b to a."""
+    pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "w")
+    return rows.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
+
+
+def _laid(rows: DataFrame, n: int) -> DataFrame | Squares:
+    """Edges, each once, of ``n`` vertices: in squares if there are many for each, else both ways."""
+    count = rows.count()
+    return Squares(rows) if count > max(MANY, DENSE * n) else written(_flipped(rows))
 
 
 def graph(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -27,19 +95,27 @@ def graph(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFram
     ``edges`` may have ``w`` (else 1), ``vertices`` may have ``cell`` (else 0) and ``weight`` (else 1); vertices that only
     edges name get those defaults. Repeated vertices count once, with their largest weight.
     """
-    w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
-    rows = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), w.alias("w"))
-    rows = rows.groupBy("a", "b").agg(F.sum("w").alias("w"))
-    rows = rows.unionByName(rows.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
-    named = rows.select(F.col("a").alias("vertex")).distinct().select("vertex", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("weight"))
+    rows, nodes = _once(edges, vertices)
+    return written(_flipped(rows)), nodes
+
+
+def _once(edges: DataFrame | Squares, vertices: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """``graph`` with edges once each, the smaller end as a."""
+    if isinstance(edges, Squares):
+        rows = edges.rows.select("a", "b", "w")
+    else:
+        w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
+        rows = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), w.alias("w"))
+        rows = written(rows.groupBy("a", "b").agg(F.sum("w").alias("w")))
+    named = rows.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().select("vertex", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("weight"))
     if vertices is not None:
         given = lambda c, kind: (F.col(c) if c in vertices.columns else F.lit(None)).cast(kind).alias(c)
         named = named.unionByName(vertices.select(F.col("vertex").cast("long").alias("vertex"), given("cell", "long"), given("weight", "double")))
     nodes = written(named.groupBy("vertex").agg(F.coalesce(F.max("cell"), F.lit(0).cast("long")).alias("cell"), F.coalesce(F.max("weight"), F.lit(1.0)).alias("weight")))
     if vertices is not None and "cell" in vertices.columns:
         of = lambda c: nodes.select(F.col("vertex").alias(c), F.col("cell").alias(f"cell_{c}"))
-        rows = rows.join(of("a"), "a").join(of("b"), "b").where("cell_a = cell_b").select("a", "b", "w")
-    return written(rows), nodes
+        rows = written(rows.join(of("a"), "a").join(of("b"), "b").where("cell_a = cell_b").select("a", "b", "w"))
+    return rows, nodes
 
 
 def heavy_matching(edges: DataFrame, nodes: DataFrame, limits: DataFrame, seed: int) -> DataFrame:
@@ -71,6 +147,21 @@ def contracted(edges: DataFrame, nodes: DataFrame, mates: DataFrame) -> tuple[Da
     return written(rows), written(nodes.join(mates, "vertex").groupBy(F.col("coarse").alias("vertex")).agg(F.first("cell").alias("cell"), F.sum("weight").alias("weight")))
 
 
+def shrunk(edges: Squares, nodes: DataFrame, limits: DataFrame, seed: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(vertex, coarse) and the coarse vertices: matchings over the heaviest edges of each vertex, one upon the other, until
+    ``least`` vertices are left or less than a quarter merges. So the edges of a dense graph are merged once for many halvings."""
+    e, v, whole, n = edges.strongest(seed), nodes, None, None
+    while n is None or n > least:
+        mates = heavy_matching(e, v, limits, seed)
+        (e, v), seed = contracted(e, v, mates), seed + 1
+        whole = mates if whole is None else written(whole.withColumnRenamed("coarse", "by").join(mates.withColumnRenamed("vertex", "by"), "by").select("vertex", "coarse"))
+        left = v.count()
+        if n is not None and left > 0.75 * n:
+            break
+        n = left
+    return whole, v
+
+
 def by_levels(edges: DataFrame, nodes: DataFrame, parts: int) -> DataFrame:
     """(vertex, part): every cell's vertices in the order of their components and of levels from the least vertex, cut into
     runs of equal load."""
@@ -88,16 +179,38 @@ def _loads(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cell", "part").agg(F.sum("weight").alias("load"))
 
 
-def _pulls(edges: DataFrame, rows: DataFrame) -> DataFrame:
+def _pulls(edges: DataFrame | Squares, rows: DataFrame) -> DataFrame:
     """(vertex, to, pull): the weight of a vertex's edges to each part that it touches."""
+    if isinstance(edges, Squares):
+        return edges.touching(rows.select("vertex", F.col("part").alias("to"))).groupBy("vertex", "to").agg(F.sum("w").alias("pull"))
     near = rows.select(F.col("vertex").alias("b"), F.col("part").alias("to"))
     return edges.join(near, "b").groupBy(F.col("a").alias("vertex"), "to").agg(F.sum("w").alias("pull"))
 
 
-def independent(edges: DataFrame, wishes: DataFrame, seed: int) -> DataFrame:
-    """The ``wishes`` (vertex, gain, ...) of vertices none of whose neighbours wishes more; their gains add up exactly."""
+def _pulls_after(pulls: DataFrame, edges: Squares, moved: DataFrame) -> DataFrame:
+    """``_pulls`` after vertices ``moved`` (vertex, part, to), by the differences that these make."""
+    now = F.inline(F.array(F.struct(F.col("part").alias("to"), (-F.col("w")).alias("pull")), F.struct("to", F.col("w").alias("pull"))))
+    more = edges.touching(moved.select("vertex", "part", "to")).select("vertex", now)
+    return pulls.unionByName(more.groupBy("vertex", "to").agg(F.sum("pull").alias("pull"))).groupBy("vertex", "to").agg(F.sum("pull").alias("pull")).where("pull <> 0")
+
+
+def independent(edges: DataFrame | Squares, wishes: DataFrame, seed: int) -> DataFrame:
+    """The ``wishes`` (vertex, gain, ...) of vertices none of whose neighbours wishes more; their gains add up exactly.
+
+    In a dense graph the greatest wishes are sent to their neighbours first; only those that none of them
+    beats, which are few, are then compared with all of theirs.
+    """
     rank = F.struct("gain", F.xxhash64(F.lit(seed), "vertex").alias("h"), "vertex")
     wish = written(wishes.withColumn("rank", rank))
+    if isinstance(edges, Squares):
+        bound = wish.agg(F.percentile_approx("gain", 1 - 1 / 32).alias("g")).first()["g"]
+        if bound is None:
+            return wish.drop("rank")
+        great = edges.touching(wish.where(F.col("gain") >= bound).select("vertex", "rank")).groupBy("vertex").agg(F.max("rank").alias("other"))
+        left = written(wish.join(great, "vertex", "left").where("other is null or other < rank").drop("other"))
+        mine = edges.touching(left.select("vertex", "rank")).select("vertex", "near", F.col("rank").alias("mine"))
+        beaten = mine.join(wish.select("vertex", F.col("rank").alias("other")), "vertex").where("other > mine").select(F.col("near").alias("vertex")).distinct()
+        return left.join(beaten, "vertex", "left_anti").drop("rank")
     mine, other = wish.select(F.col("vertex").alias("a"), F.col("rank").alias("mine")), wish.select(F.col("vertex").alias("b"), F.col("rank").alias("other"))
     beaten = edges.join(mine, "a").join(other, "b").where("other > mine").select(F.col("a").alias("vertex")).distinct()
     return wish.join(beaten, "vertex", "left_anti").drop("rank")
@@ -110,7 +223,7 @@ def _running(by: list[str], weight: str = "weight"):
     return F.sum(weight).over(w)
 
 
-def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, slack: float = SLACK, rounds: int | None = None) -> DataFrame:
+def refined(edges: DataFrame | Squares, nodes: DataFrame, labels: DataFrame, parts: int, slack: float = SLACK, rounds: int | None = None) -> DataFrame:
     """Labels (vertex, part) with a smaller cut: vertices go to the part that pulls them most, round after round.
 
     In a round only vertices none of whose neighbours gains more may move, so the cut falls by the sum of the
@@ -120,11 +233,12 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
     rows = written(nodes.join(labels, "vertex"))
     means = nodes.groupBy("cell").agg((F.sum("weight") / parts).alias("mean"))
     full = nodes.select("cell").distinct().withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    kept = written(_pulls(edges, rows)) if isinstance(edges, Squares) else None
     turn = 0
     while rounds is None or turn < rounds:
         turn += 1
         loads = full.join(_loads(rows), ["cell", "part"], "left").join(means, "cell").select("cell", "part", F.coalesce("load", F.lit(0.0)).alias("load"), "mean")
-        pulls = _pulls(edges, rows).join(rows, "vertex")
+        pulls = (_pulls(edges, rows) if kept is None else kept).join(rows, "vertex")
         own = F.coalesce(F.max(F.when(F.col("to") == F.col("part"), F.col("pull"))), F.lit(0.0))
         best = F.max(F.when(F.col("to") != F.col("part"), F.struct("pull", F.xxhash64(F.lit(turn), "vertex", "to").alias("h"), "to")))
         wish = pulls.groupBy("vertex", "cell", "part", "weight").agg(own.alias("own"), best.alias("best"))
@@ -132,36 +246,52 @@ def refined(edges: DataFrame, nodes: DataFrame, labels: DataFrame, parts: int, s
         wish = independent(edges, wish, turn).withColumns({"into": _running(["cell", "to"]), "outof": _running(["cell", "part"])})
         at = lambda c, load: loads.select("cell", F.col("part").alias(c), F.col("load").alias(load), *(["mean"] if c == "to" else []))
         wish = wish.join(at("to", "there"), ["cell", "to"]).join(at("part", "here"), ["cell", "part"])
-        moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "to")
-        before, rows = rows, written(rows.select("vertex", "cell", "weight", "part").join(moved, "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
+        moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "part", "to")
+        if kept is not None:
+            moved = written(moved)
+        before, rows = rows, written(rows.select("vertex", "cell", "weight", "part").join(moved.select("vertex", "to"), "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
         forgotten(before)
         if rows.where("moved").isEmpty():
             break
+        if kept is not None and turn != rounds:
+            before, kept = kept, written(_pulls_after(kept, edges, moved) if edges.whole else _pulls(edges, rows))
+            forgotten(before)
     return rows.select("vertex", "cell", "weight", "part")
 
 
-@in_shuffles(most=SMALL)
-def multilevel_parts(edges: DataFrame, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 4) -> DataFrame:
+@in_shuffles(most=SMALL, lie=True)
+def multilevel_parts(edges: DataFrame | Squares, parts: int, vertices: DataFrame | None = None, slack: float = SLACK, rounds: int = 4) -> DataFrame:
     """(vertex, cell, weight, part): every cell of the graph in ``parts`` parts of near equal load and a small cut.
 
     Matching merges pairs over heavy edges until a part has some COARSE vertices left or less than a quarter of them
     merges (no merged vertex outweighs half of ``slack``); the coarsest graph is cut along its levels; then the labels go
     back, graph by graph, each ``refined``, the whole graph in at most ``rounds`` and the others in half as many. Loads stay within ``slack`` of the mean as far as
     single vertices allow it. Columns of ``edges`` and ``vertices`` as in ``graph``. Empty graph: no rows.
+
+    Dense graphs lie in ``Squares`` (``edges`` may be such) and shrink by up to SHRINK from one to the next, as their edges
+    hardly become fewer before.
     """
-    e, v = graph(edges, vertices)
+    e, v = _once(edges, vertices)
+    n = v.count()
+    given = isinstance(edges, Squares) and (vertices is None or "cell" not in vertices.columns) and edges.count > max(MANY, DENSE * n)
+    e = edges if given else _laid(e, n)
     cells = v.groupBy("cell").agg(F.sum("weight").alias("total"))
     limits = written(cells.select("cell", (F.col("total") / parts * slack / 2).alias("limit")))
-    enough, n, down = COARSE * parts * limits.count(), v.count(), []
+    enough, down = COARSE * parts * limits.count(), []
     while n > enough:
-        mates = heavy_matching(e, v, limits, len(down))
-        coarser = contracted(e, v, mates)
-        left = coarser[1].count()
+        if isinstance(e, Squares):
+            mates, fewer = shrunk(e, v, limits, len(down), max(enough, n // SHRINK))
+            left = fewer.count()
+        else:
+            mates = heavy_matching(e, v, limits, len(down))
+            coarser, fewer = contracted(e, v, mates)
+            left = fewer.count()
         if left > 0.75 * n:
             break
         down.append((e, v, mates))
-        (e, v), n = coarser, left
-    rows = refined(e, v, by_levels(e, v, parts), parts, slack, rounds)
+        e, v, n = _laid(e.merged(mates), left) if isinstance(e, Squares) else coarser, fewer, left
+    labels = by_levels(e.both() if isinstance(e, Squares) else e, v, parts)
+    rows = refined(e, v, labels, parts, slack, rounds)
     while down:
         e, v, mates = down.pop()
         labels = mates.join(rows.select(F.col("vertex").alias("coarse"), "part"), "coarse").select("vertex", "part")
