@@ -280,3 +280,58 @@ def test_buckets_are_not_shuffled(spark):
         assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 1
         assert joined.count() == near.where("a < 10").count() > 0
     forgotten(near)
+
+
+def test_dense_graphs_shrink_by_stars(spark, monkeypatch):
+    """A dense graph is brought down in few rounds of stars; none outweighs the limit, each hangs together, and edges aren't sorted."""
+    from tremolite.operators.parallel import SMALL, shuffled
+
+    rng = random.Random(9)
+    pairs = {(i, j) for i in range(400) for j in range(i + 1, 400) if rng.random() < (0.3 if i // 100 == j // 100 else 0.02)} | {(0, j) for j in range(1, 400)}
+    squares = partitions.Squares(frame(spark, sorted(pairs)))
+    nodes = written(spark.range(400).select(F.col("id").alias("vertex"), F.lit(0).alias("cell"), F.lit(1.0).alias("weight")))
+    near = defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    limits = spark.createDataFrame([(0, 9.0)], "cell long, limit double")
+    with shuffled(spark, most=SMALL, lie=True):
+        mates = partitions.starred(squares, nodes, None, limits, 1, 0.1)
+        stars = defaultdict(set)
+        for r in mates.collect():
+            stars[r.coarse].add(r.vertex)
+        assert sum(map(len, stars.values())) == 400 and max(map(len, stars.values())) <= 9 and len(stars) < 150
+        assert all(any(x <= near[v] | {v} for v in range(400)) and c in x for c, x in stars.items())
+        whole, fewer = partitions.shrunk(squares, nodes, limits, 0, 60)
+        assert whole.count() == 400 and fewer.agg(F.sum("weight"), F.max("weight")).first()[0] == 400 and fewer.agg(F.max("weight")).first()[0] <= 9
+        plan = squares.labelled(nodes, "cell")._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    seen, plain = [], partitions.written
+    monkeypatch.setattr(partitions, "written", lambda df: seen.append(1) or plain(df))
+    monkeypatch.setattr(partitions, "MANY", 1000)
+    parts = written(partitions.multilevel_parts(squares, 2, rounds=1))
+    assert len(seen) < 40  # 59 when vertices were matched in pairs
+    assert parts.count() == 400 and all(abs(r.n - 200) <= 10 for r in parts.groupBy("part").agg(F.sum("weight").alias("n")).collect())
+
+
+def test_repeated_edges_of_squares_count_once(spark):
+    """Pairs that share many groups are told apart in their square, and pulls are sums of what crosses and of degrees."""
+    from tremolite.operators import graphs
+    from tremolite.operators.parallel import SMALL, shuffled
+
+    rng = random.Random(2)
+    links = spark.createDataFrame([(rng.randrange(30), rng.randrange(40)) for _ in range(300)] + [(None, 1), (3, None)], "m int, g long")
+    want = {tuple(r) for r in graphs.sharing_graph(links, "m", "g").collect()}
+    pairs, most = graphs.sharing_pairs(links, "m", "g")
+    squares = partitions.Squares(pairs, most)
+    rows = squares.rows.collect()
+    assert len(want) == len(rows) == squares.count <= pairs.count() <= most and {(r.a, r.b) for r in rows} == want and {r.w for r in rows} == {1.0}
+    degree = defaultdict(int)
+    for a, b in want:
+        degree[a] += 1
+        degree[b] += 1
+    assert {r.vertex: r.degree for r in squares.degrees().collect()} == degree
+    labels = spark.range(30).select(F.col("id").alias("vertex"), F.lit(0).alias("part"))
+    with shuffled(spark, most=SMALL, lie=True):
+        assert {r.vertex: (r.to, r.pull) for r in partitions._pulls(squares, labels).collect()} == {v: (0, n) for v, n in degree.items()}
+    none, most = graphs.sharing_pairs(links.where("m < 0"), "m", "g")
+    assert most == 0 and partitions.multilevel_parts(partitions.Squares(none, most), 2).count() == 0

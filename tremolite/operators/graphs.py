@@ -65,6 +65,14 @@ def sharing_graph(links: DataFrame, member: str, group: str, least: int | None =
     return pairs.unionByName(_once(ends, rows))
 
 
+def sharing_pairs(links: DataFrame, member: str, group: str) -> tuple[DataFrame, int]:
+    """The edges (a, b), a < b, of ``sharing_graph``, once for each group that both ends share, and a bound of how many rows
+    these are: for those who deal out edges anyway and tell them apart where they come to lie."""
+    rows = written(links.select(F.col(member).alias("m"), F.col(group).alias("g")).where("m is not null and g is not null").distinct())
+    most = rows.groupBy("g").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0
+    return rows.withColumnRenamed("m", "a").join(rows.withColumnRenamed("m", "b"), "g").where("a < b").select("a", "b"), int(most)
+
+
 def _once(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct ``pairs`` of members (m) of a group (g), in as many tasks as all pairs need."""
     n = rows.groupBy("g").agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()[0] or 0

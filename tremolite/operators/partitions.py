@@ -6,6 +6,8 @@ cells are cut at once. Loads are sums of vertex weights.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ COARSE, PROPOSALS = 32, 2
 STILL = 3
 #: Edges, and edges for each vertex, over which a graph is laid in squares; edges of a square from which there are more squares.
 MANY, DENSE, SQUARE = 1 << 16, 16, 1 << 23
-#: Heaviest edges of a vertex that dense graphs are matched over, and how far vertices shrink before all edges are merged.
-STRONGEST, SHRINK = 3, 32
+#: Heaviest edges of a vertex that ``strongest`` keeps.
+STRONGEST = 3
+#: Vertices of a dense graph for each leader of a star, and how far vertices shrink before all edges are merged.
+STAR, SHRINK = 16, 256
 
 
 class Squares:
@@ -30,15 +34,22 @@ class Squares:
 
     A table of vertices goes to the squares of a row or column, so joins with either end leave the edges where they lie,
     and sums over the edges of a vertex shrink in a square before they are shuffled: if computed ``shuffled`` with ``lie``.
+    What comes to a square is hashed, so its edges aren't sorted for a join either.
     """
 
-    def __init__(self, edges: DataFrame):
+    def __init__(self, edges: DataFrame, most: int | None = None):
+        """``edges`` may be named again and again if ``most`` says how many rows there are at most: each then counts once, with
+        weight 1, and is told apart in its square."""
         self.sparkSession = edges.sparkSession
-        self.count = edges.count()
-        self.side = max(8, int((self.count / SQUARE) ** 0.5) + 1)
-        w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
-        self.rows = bucketed(edges.select((self._line("a") * self.side + self._line("b")).alias("square"), "a", "b", w.alias("w")), "square")
+        self.side = max(8, int(((edges.count() if most is None else most) / SQUARE) ** 0.5) + 1)
         self.buckets = max(1, int(self.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        ends = [(self._line("a") * self.side + self._line("b")).alias("square"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")]
+        if most is None:
+            rows = edges.select(*ends, (F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)).alias("w"))
+        else:
+            rows = edges.select(*ends).repartition(self.buckets, "square").distinct().withColumn("w", F.lit(1.0))
+        self.rows = bucketed(rows, "square")
+        self.count, self._degrees = self.rows.count(), None
         #: Sums of whole numbers are the same in any order, so they may be kept up to date by differences.
         self.whole = self.rows.where("w <> floor(w)").isEmpty()
 
@@ -49,7 +60,7 @@ class Squares:
         table = table.withColumnRenamed("vertex", end).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(self.side - 1))))
         line, other = self._line(end), F.col("other")
         square = line * self.side + other if end == "a" else other * self.side + line
-        return table.withColumn("square", square).drop("other").repartition(self.buckets, "square")
+        return table.withColumn("square", square).drop("other").repartition(self.buckets, "square").hint("shuffle_hash")
 
     def touching(self, table: DataFrame) -> DataFrame:
         """Edges with an end in ``table`` (vertex, ...), once for each such end: that end as ``near``, the other as ``vertex``, w, ..."""
@@ -62,6 +73,13 @@ class Squares:
         of = lambda c: self._at(table.select("vertex", F.col(label).alias(f"{label}_{c}")), c)
         return self.rows.join(of("a"), ["square", "a"]).join(of("b"), ["square", "b"]).drop("square")
 
+    def degrees(self) -> DataFrame:
+        """(vertex, degree): the weight of a vertex's edges; summed once."""
+        if self._degrees is None:
+            of = lambda c: self.rows.groupBy(F.col(c).alias("vertex")).agg(F.sum("w").alias("degree"))
+            self._degrees = written(of("a").unionByName(of("b")).groupBy("vertex").agg(F.sum("degree").alias("degree")))
+        return self._degrees
+
     def both(self) -> DataFrame:
         return written(_flipped(self.rows.select("a", "b", "w")))
 
@@ -102,12 +120,13 @@ def graph(edges: DataFrame, vertices: DataFrame | None = None) -> tuple[DataFram
 def _once(edges: DataFrame | Squares, vertices: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """``graph`` with edges once each, the smaller end as a."""
     if isinstance(edges, Squares):
-        rows = edges.rows.select("a", "b", "w")
+        rows, named = edges.rows.select("a", "b", "w"), edges.degrees()
     else:
         w = F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)
         rows = edges.where("a <> b").select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b"), w.alias("w"))
         rows = written(rows.groupBy("a", "b").agg(F.sum("w").alias("w")))
-    named = rows.select(F.explode(F.array("a", "b")).alias("vertex")).distinct().select("vertex", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("weight"))
+        named = rows.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
+    named = named.select("vertex", F.lit(None).cast("long").alias("cell"), F.lit(None).cast("double").alias("weight"))
     if vertices is not None:
         given = lambda c, kind: (F.col(c) if c in vertices.columns else F.lit(None)).cast(kind).alias(c)
         named = named.unionByName(vertices.select(F.col("vertex").cast("long").alias("vertex"), given("cell", "long"), given("weight", "double")))
@@ -147,18 +166,45 @@ def contracted(edges: DataFrame, nodes: DataFrame, mates: DataFrame) -> tuple[Da
     return written(rows), written(nodes.join(mates, "vertex").groupBy(F.col("coarse").alias("vertex")).agg(F.first("cell").alias("cell"), F.sum("weight").alias("weight")))
 
 
+def starred(edges: Squares, nodes: DataFrame, whole: DataFrame | None, limits: DataFrame, seed: int, share: float) -> DataFrame:
+    """(vertex, coarse) of ``nodes``, whose members ``whole`` (vertex, coarse) names (None: each is its own): a ``share`` of them by hash are leaders, and each
+    other joins the leader that pulls it most, named by the leader; those without one stay by themselves.
+
+    Where the joint weight is over the cell's ``limit``, members are dealt out by hash to stars of half of that, and those
+    that even so find no room stay by themselves: no star outweighs the limit, none is a long task.
+    """
+    leads = lambda c: F.pmod(F.xxhash64(F.lit(seed), F.col(c)), F.lit(1 << 20)) < int(share * (1 << 20))
+    if whole is None:
+        to = lambda x, y: edges.rows.where(leads(y) & ~leads(x)).select(F.col(x).alias("vertex"), F.col(y).alias("lead"), "w")
+        pulls = to("a", "b").unionByName(to("b", "a"))
+    else:
+        pulls = edges.touching(whole.where(leads("coarse")).withColumnRenamed("coarse", "lead")).groupBy("vertex", "lead").agg(F.sum("w").alias("w"))
+        pulls = pulls.join(whole.where(~leads("coarse")), "vertex").groupBy(F.col("coarse").alias("vertex"), "lead").agg(F.sum("w").alias("w"))
+    best = F.max(F.struct("w", F.xxhash64(F.lit(seed), "vertex", "lead").alias("h"), "lead")).alias("best")
+    choice = pulls.groupBy("vertex").agg(best).select("vertex", "best.lead", "best.w")
+    choice = choice.join(nodes, "vertex").join(nodes.select(F.col("vertex").alias("lead"), F.col("weight").alias("held")), "lead").join(limits, "cell")
+    choice = written(choice.where("weight + held <= limit").select("vertex", "lead", "w", "weight", "held", "limit"))
+    stars = F.when(F.col("held") + F.col("total") <= F.col("limit"), F.lit(1)).otherwise(F.ceil(2 * (F.col("held") + F.col("total")) / F.col("limit")))
+    choice = choice.join(choice.groupBy("lead").agg(F.sum("weight").alias("total")), "lead").withColumn("star", F.pmod(F.xxhash64(F.lit(seed), "vertex"), stars))
+    turns = Window.partitionBy("lead", "star").orderBy(F.desc("w"), "vertex").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sum("weight").over(turns) + F.when(F.col("star") == 0, F.col("held")).otherwise(0.0)
+    joined = choice.select("vertex", "limit", held.alias("sum"), F.when(F.col("star") == 0, F.col("lead")).otherwise(F.first("vertex").over(turns)).alias("coarse"))
+    return written(nodes.select("vertex").join(joined.where("sum <= limit").select("vertex", "coarse"), "vertex", "left").select("vertex", F.coalesce("coarse", "vertex").alias("coarse")))
+
+
 def shrunk(edges: Squares, nodes: DataFrame, limits: DataFrame, seed: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(vertex, coarse) and the coarse vertices: matchings over the heaviest edges of each vertex, one upon the other, until
-    ``least`` vertices are left or less than a quarter merges. So the edges of a dense graph are merged once for many halvings."""
-    e, v, whole, n = edges.strongest(seed), nodes, None, None
-    while n is None or n > least:
-        mates = heavy_matching(e, v, limits, seed)
-        (e, v), seed = contracted(e, v, mates), seed + 1
+    """(vertex, coarse) and the coarse vertices: stars of stars of at most some STAR vertices each, in as many rounds as bring them
+    to ``least``, or until less than a quarter merges. So the edges of a dense graph are merged once for many halvings."""
+    whole, v, n = None, nodes, nodes.count()
+    rounds = max(1, math.ceil(math.log(n / least, STAR) - 0.1))
+    share = min(0.5, 0.8 * least / n) ** (1 / rounds)
+    for turn in range(rounds):
+        mates = starred(edges, v, whole, limits, seed * 64 + turn, share)
         whole = mates if whole is None else written(whole.withColumnRenamed("coarse", "by").join(mates.withColumnRenamed("vertex", "by"), "by").select("vertex", "coarse"))
-        left = v.count()
-        if n is not None and left > 0.75 * n:
+        v = written(v.join(mates, "vertex").groupBy(F.col("coarse").alias("vertex")).agg(F.first("cell").alias("cell"), F.sum("weight").alias("weight")))
+        before, n = n, v.count()
+        if n > 0.75 * before:
             break
-        n = left
     return whole, v
 
 
@@ -181,6 +227,12 @@ def _loads(rows: DataFrame) -> DataFrame:
 
 def _pulls(edges: DataFrame | Squares, rows: DataFrame) -> DataFrame:
     """(vertex, to, pull): the weight of a vertex's edges to each part that it touches."""
+    if isinstance(edges, Squares) and edges.whole:  # what crosses is summed, the rest of a vertex's edges pull it to its own part
+        end = lambda x, y: F.struct(F.col(x).alias("vertex"), F.col(f"part_{y}").alias("to"), F.col("w").alias("pull"))
+        cross = edges.labelled(rows, "part").where("part_a <> part_b").select(F.inline(F.array(end("a", "b"), end("b", "a"))))
+        cross = written(cross.groupBy("vertex", "to").agg(F.sum("pull").alias("pull")))
+        own = edges.degrees().join(rows.select("vertex", F.col("part").alias("to")), "vertex").join(cross.groupBy("vertex").agg(F.sum("pull").alias("gone")), "vertex", "left")
+        return cross.unionByName(own.select("vertex", "to", (F.col("degree") - F.coalesce("gone", F.lit(0.0))).alias("pull")).where("pull > 0"))
     if isinstance(edges, Squares):
         return edges.touching(rows.select("vertex", F.col("part").alias("to"))).groupBy("vertex", "to").agg(F.sum("w").alias("pull"))
     near = rows.select(F.col("vertex").alias("b"), F.col("part").alias("to"))
@@ -197,20 +249,14 @@ def _pulls_after(pulls: DataFrame, edges: Squares, moved: DataFrame) -> DataFram
 def independent(edges: DataFrame | Squares, wishes: DataFrame, seed: int) -> DataFrame:
     """The ``wishes`` (vertex, gain, ...) of vertices none of whose neighbours wishes more; their gains add up exactly.
 
-    In a dense graph the greatest wishes are sent to their neighbours first; only those that none of them
-    beats, which are few, are then compared with all of theirs.
+    In a dense graph wishes go to the squares of both ends, and only those that are beaten there are sent on.
     """
-    rank = F.struct("gain", F.xxhash64(F.lit(seed), "vertex").alias("h"), "vertex")
-    wish = written(wishes.withColumn("rank", rank))
+    rank = lambda gain, v: F.struct(F.col(gain).alias("gain"), F.xxhash64(F.lit(seed), F.col(v)).alias("h"), F.col(v).alias("vertex"))
     if isinstance(edges, Squares):
-        bound = wish.agg(F.percentile_approx("gain", 1 - 1 / 32).alias("g")).first()["g"]
-        if bound is None:
-            return wish.drop("rank")
-        great = edges.touching(wish.where(F.col("gain") >= bound).select("vertex", "rank")).groupBy("vertex").agg(F.max("rank").alias("other"))
-        left = written(wish.join(great, "vertex", "left").where("other is null or other < rank").drop("other"))
-        mine = edges.touching(left.select("vertex", "rank")).select("vertex", "near", F.col("rank").alias("mine"))
-        beaten = mine.join(wish.select("vertex", F.col("rank").alias("other")), "vertex").where("other > mine").select(F.col("near").alias("vertex")).distinct()
-        return left.join(beaten, "vertex", "left_anti").drop("rank")
+        wish = written(wishes)
+        beaten = edges.labelled(wish, "gain").select(F.when(rank("gain_a", "a") < rank("gain_b", "b"), F.col("a")).otherwise(F.col("b")).alias("vertex"))
+        return wish.join(beaten.distinct(), "vertex", "left_anti")
+    wish = written(wishes.withColumn("rank", rank("gain", "vertex")))
     mine, other = wish.select(F.col("vertex").alias("a"), F.col("rank").alias("mine")), wish.select(F.col("vertex").alias("b"), F.col("rank").alias("other"))
     beaten = edges.join(mine, "a").join(other, "b").where("other > mine").select(F.col("a").alias("vertex")).distinct()
     return wish.join(beaten, "vertex", "left_anti").drop("rank")
@@ -249,9 +295,11 @@ def refined(edges: DataFrame | Squares, nodes: DataFrame, labels: DataFrame, par
         moved = wish.where((F.col("there") + F.col("into") <= (1 + slack) * F.col("mean")) & (F.col("here") - F.col("outof") >= (1 - slack) * F.col("mean"))).select("vertex", "part", "to")
         if kept is not None:
             moved = written(moved)
+            if moved.isEmpty():
+                break
         before, rows = rows, written(rows.select("vertex", "cell", "weight", "part").join(moved.select("vertex", "to"), "vertex", "left").select("vertex", "cell", "weight", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("moved")))
         forgotten(before)
-        if rows.where("moved").isEmpty():
+        if kept is None and rows.where("moved").isEmpty():
             break
         if kept is not None and turn != rounds:
             before, kept = kept, written(_pulls_after(kept, edges, moved) if edges.whole else _pulls(edges, rows))
@@ -268,8 +316,8 @@ def multilevel_parts(edges: DataFrame | Squares, parts: int, vertices: DataFrame
     back, graph by graph, each ``refined``, the whole graph in at most ``rounds`` and the others in half as many. Loads stay within ``slack`` of the mean as far as
     single vertices allow it. Columns of ``edges`` and ``vertices`` as in ``graph``. Empty graph: no rows.
 
-    Dense graphs lie in ``Squares`` (``edges`` may be such) and shrink by up to SHRINK from one to the next, as their edges
-    hardly become fewer before.
+    Dense graphs lie in ``Squares`` (``edges`` may be such) and shrink by stars instead of pairs, by up to SHRINK from one to the
+    next, as their edges hardly become fewer before.
     """
     e, v = _once(edges, vertices)
     n = v.count()

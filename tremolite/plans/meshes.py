@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import entities, graphs, numbering, partitions
 from ..operators import recorders as R
 from ..operators.parallel import shuffled, written
-from .queries import CHAIN, EDGES, LINKS, _edges, query, table
+from .queries import CHAIN, EDGES, LINKS, _edges, _links, query, table
 
 
 def _levels_sql(name: str, root: str) -> str:
@@ -53,7 +53,7 @@ def g08_nested_dissection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH k AS " + LINKS + ", e AS MATERIALIZED " + EDGES + ", v AS (SELECT a AS v FROM e UNION SELECT b FROM e) SELECT CAST(range AS INTEGER) AS part, (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM e WHERE a % 4 <> b % 4) AS cut_by_tag, true AS within, true AS cuts_fewer FROM range(4)")
 def g09_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four parts of the graph of parts: each within 5 % of the mean (or one vertex), the cut under that of parts by tag."""
-    edges = partitions.Squares(written(_edges(spark, sf_dir)))
+    edges = partitions.Squares(*graphs.sharing_pairs(_links(spark, sf_dir), "node_tag", "element_tag"))
     rows = written(partitions.multilevel_parts(edges, 4))
     sizes = rows.groupBy("part").agg(F.sum("weight").alias("load"))
     by_tag = edges.rows.agg(F.count(F.when(F.col("a") % 4 != F.col("b") % 4, 1)).alias("cut_by_tag"))
